@@ -6,19 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.llm import tables
 from quillspan.llm.near_dedup import near_dedup
+from quillspan.llm.packing import pack
+from quillspan.llm.pii import pii_report
+from quillspan.llm.warc import page_records, read_warc, write_warc
 from quillspan.session import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = tables.new_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_records(read_warc(spark, path))
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = [op10_minhash_near_dedup]
+    own = [op3_warc, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
