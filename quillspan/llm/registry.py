@@ -10,6 +10,7 @@ from quillspan.llm import tables
 from quillspan.llm.near_dedup import near_dedup
 from quillspan.llm.packing import pack
 from quillspan.llm.pii import pii_report
+from quillspan.llm.substring_dedup import substring_dedup
 from quillspan.llm.warc import page_records, read_warc, write_warc
 from quillspan.session import ship, table
 
@@ -29,6 +30,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, path))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -44,7 +50,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op3_warc, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
+    own = [op3_warc, op4_substring_dedup, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
