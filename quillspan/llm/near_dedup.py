@@ -8,9 +8,8 @@ minhashes.  A pair of texts with similarity 0.75 shares a key with probability
 
 Buckets are never expanded into all pairs.  Rounds link each text to one
 leader that it meets most often, and drop candidates that are already in one
-component.  What is left between different components is joined exactly, by
-prefix filtering: two sets of similarity t share one of their
-``n - ceil(t n) + 1`` rarest shingles.
+component.  Texts that still meet others of a different component are compared
+in blocks, by an index of shingles, and only true links come out.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
-from quillspan.llm.graph import components
+from quillspan.llm.linking import BLOCK, ROUNDS, linked
 from quillspan.llm.tables import cut
 
 WORDS = 5
@@ -31,10 +30,6 @@ WORDS = 5
 PERCENT = 75
 COLLECTIONS = 14
 PER_COLLECTION = 2
-#: Rounds of one leader a text before the exact join of the rest.
-ROUNDS = 2
-#: Buckets of the fixed-size frequency sketch that orders shingles from rare to common (order only, never a filter).
-SKETCH_BITS = 20
 
 _SKETCH = "doc_id long, n_words long, n_shingles long, fp_a long, fp_b long, sig binary"
 
@@ -119,95 +114,6 @@ def _pack_sets(words: int):
     return run
 
 
-def _overlaps(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(_overlaps(percent), "a long, b long")
-
-
-def _leader_edges(members: DataFrame, turn: int) -> DataFrame:
-    """For each text in a bucket with texts of another component, the leader it shares most such buckets with."""
-    order = F.xxhash64(F.lit(turn), "doc_id")
-    leaders = (
-        members.groupBy("key")
-        .agg(F.min_by("doc_id", order).alias("leader"), F.min_by("component", order).alias("its"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo < hi")
-        .select("key", "leader", "its")
-    )
-    met = members.join(leaders, "key").where("component <> its").groupBy("doc_id", "leader").count()
-    best = met.groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    return best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-
-
-def _frequencies(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        for batch in batches:
-            hashes = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
-            np.add.at(counts, (hashes >> np.uint64(64 - bits)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
-
-    return run
-
-
-def _prefixes(counts, percent: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = counts.value
-        for batch in batches:
-            tokens, sizes = [], []
-            for s in batch.column("shingles"):
-                x = np.frombuffer(s.as_buffer(), np.uint64)
-                keep = len(x) - -(-percent * len(x) // 100) + 1
-                order = np.lexsort((x, often[x >> np.uint64(64 - bits)]))[:keep]
-                tokens.append(x[order].view(np.int64))
-                sizes.append(len(order))
-            if tokens:
-                arrays = [pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("doc_id", "component", "n")]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.concatenate(tokens))], names=["doc_id", "component", "n", "token"])
-
-    return run
-
-
-def _rest(members: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame | None:
-    """All pairs of similar prefix between different components that meet in a bucket's neighbourhood; None if there are none."""
-    spark = members.sparkSession
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    docs = members.join(mixed, "key").select("doc_id", "component").distinct()
-    left = cut(sets.join(docs, "doc_id").select("doc_id", "component", "n", "shingles"), "rest")
-    if left.isEmpty():
-        return None
-    counts = np.zeros(1 << bits, dtype=np.int64)
-    table = left.select("shingles").mapInArrow(_frequencies(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    shared = spark.sparkContext.broadcast(counts.astype(np.int32))
-    posts = cut(left.mapInArrow(_prefixes(shared, percent, bits), "doc_id long, component long, n long, token long"), "posts")
-    # Every pair between components has one end outside the component that holds most of a token's texts.
-    per = posts.groupBy("token", "component").count()
-    main = per.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    many = posts.join(main.select("token", "main"), "token")
-    outside = many.where("component <> main").select("token", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    fits = (F.col("cx") != F.col("component")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-    met = outside.join(many.select("token", "doc_id", "component", "n"), "token").where(fits)
-    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-
-
 def near_dedup(
     docs: DataFrame,
     words: int = WORDS,
@@ -215,7 +121,7 @@ def near_dedup(
     collections: int = COLLECTIONS,
     per_collection: int = PER_COLLECTION,
     rounds: int = ROUNDS,
-    sketch_bits: int = SKETCH_BITS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -245,25 +151,8 @@ def near_dedup(
     wanted = members.select("doc_id").distinct()
     sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id long, n long, shingles binary"), "sets")
 
-    found = None
-    parts = None
-    for turn in range(rounds + 1):
-        if parts is None:
-            placed = members.withColumn("component", F.col("doc_id"))
-        else:
-            placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        edges = _leader_edges(placed, turn) if turn < rounds else _rest(cut(placed, "placed"), sets, percent, sketch_bits)
-        if edges is None:
-            break
-        links = _verify(edges, sets, percent)
-        found = cut(links if found is None else found.union(links), "found")
-        parts = cut(components(found), "components")
-
+    parts = linked(members, sets, percent, rounds=rounds, block=block)
     out = rows.join(classes.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"], "left")
-    if parts is not None:
-        out = out.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.when(F.col("n_words") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

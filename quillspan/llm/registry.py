@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import tables
+from quillspan.llm.line_dedup import line_dedup
 from quillspan.llm.near_dedup import near_dedup
 from quillspan.llm.packing import pack
 from quillspan.llm.pii import pii_report
@@ -23,6 +24,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = tables.new_folder(spark, "warc")
@@ -50,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op3_warc, op4_substring_dedup, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
+    own = [op1_line_dedup, op3_warc, op4_substring_dedup, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
