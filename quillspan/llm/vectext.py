@@ -34,10 +34,10 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 16)
+            size = max(n, 1 << 16)
 
             def table(b: int) -> np.ndarray:
-                steps = np.full(n, b, dtype=np.uint64)
+                steps = np.full(size, b, dtype=np.uint64)
                 steps[0] = 1
                 return np.cumprod(steps, dtype=np.uint64)
 
