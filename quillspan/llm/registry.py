@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import tables
+from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.line_dedup import line_dedup
 from quillspan.llm.near_dedup import near_dedup
 from quillspan.llm.packing import pack
 from quillspan.llm.pii import pii_report
 from quillspan.llm.substring_dedup import substring_dedup
+from quillspan.llm.toxicity import toxicity
 from quillspan.llm.warc import page_records, read_warc, write_warc
 from quillspan.session import ship, table
 
@@ -29,10 +31,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     path = tables.new_folder(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
+    write_warc(table(spark, sf_dir, "pages"), path, compression="gzip")
     return page_records(read_warc(spark, path))
 
 
@@ -41,6 +48,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -56,7 +68,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op3_warc, op4_substring_dedup, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
+    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
