@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import tables
+from quillspan.llm.ann import nearest
 from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.line_dedup import line_dedup
 from quillspan.llm.near_dedup import near_dedup
@@ -62,13 +63,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op7_pattern_packing, op8_pii, op10_minhash_near_dedup]
+    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup]
     return {f.__name__: f for f in own}
 
 
