@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillspan.llm import tables
 from quillspan.llm.ann import nearest
 from quillspan.llm.decontaminate import contaminated
+from quillspan.llm.html_extract import extract_pages
 from quillspan.llm.line_dedup import line_dedup
 from quillspan.llm.near_dedup import near_dedup
 from quillspan.llm.packing import pack
@@ -54,6 +56,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -74,8 +81,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup]
-    return {f.__name__: f for f in own}
+    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op6_html_extract, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
