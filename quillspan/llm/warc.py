@@ -65,7 +65,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     base = base.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    first = base.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("holder"))
+    first = base.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("holder"), F.count("*").alias("k"))
+    first = first.where("k > 1").drop("k")
     joined = base.join(first, ["digest", "size"], "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     own = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
