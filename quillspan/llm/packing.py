@@ -12,8 +12,8 @@ its length and looks its place up in the plan.
 from __future__ import annotations
 
 import math
-import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,51 +31,125 @@ END_ID = 1
 COARSE = 64
 PATTERN_DOCS = 3
 #: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Bytes of text that are split at once.
+SLICE_BYTES = 6 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters that str.split() takes as white space and the tokenizer's normaliser does not.
-_ODD = re.compile("[\x1c-\x1f]")
-_TOKENIZERS: dict[str, tuple] = {}
+#: Classes of Latin-1 characters in the tokenizer's own split (fixed by its file): blank, letter, number, other.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[*range(9, 14), 0x20, 0x85, 0xA0]] = 0
+_CLASS[[*range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_CLASS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+_TOKENIZERS: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class _Words:
+    """A tokenizer with the ids of the words it has met, kept end to end."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
-
-
-def token_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit; words are encoded once, as no token spans white space."""
-    tokenizer, known = _tokenizer(path)
-
-    def encode(parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    words = [None if t is None or _ODD.search(t) else t.split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    fresh = list({w for ws in words if ws for w in ws if w not in known})
-    for i in range(0, len(fresh), 4096):
-        part = fresh[i : i + 4096]
-        known.update(zip(part, encode(part)))
-    for text, ws in zip(texts, words):
-        if ws is not None:
-            yield b"".join(map(known.__getitem__, ws))
-        else:
-            yield encode([text])[0] if text else b""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        last = self.tokenizer.pre_tokenizer[1]
+        #: The byte-level letters of each Latin-1 character.
+        self.letters = {c: "".join(t for t, _ in last.pre_tokenize_str(chr(c))) for c in range(0x100)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = array("I")
+        self.begin = array("q", [0])
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts: split with numpy, each distinct word encoded once."""
+        data = b"\n".join(texts) + b"\n"
+        buf = np.frombuffer(data, np.uint8)
+        starts, ends = _split(buf)
+        hashes, one, inverse = np.unique(V.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.place) > CACHE_WORDS:
+            self.clear()
+        where = np.empty(len(hashes), dtype=np.int64)
+        place, begin, ids, model, letters = self.place, self.begin, self.ids, self.model, self.letters
+        for i, (h, a, b) in enumerate(zip(hashes.tolist(), starts[one].tolist(), ends[one].tolist())):
+            at = place.get(h)
+            if at is None:
+                at = place[h] = len(begin) - 1
+                ids.extend([t.id for t in model.tokenize(data[a:b].decode("latin-1").translate(letters))])
+                begin.append(len(ids))
+            where[i] = at
+        offsets = np.array(begin)
+        word = where[inverse.reshape(-1)]
+        counts = offsets[word + 1] - offsets[word]
+        after = np.cumsum(counts)
+        flat = np.array(ids, dtype="<u4")[np.arange(after[-1] if len(after) else 0) + np.repeat(offsets[word] - after + counts, counts)]
+        first = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+        bounds = 4 * np.concatenate([[0], after])[first]
+        out = flat.tobytes()
+        return [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def _split(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's words in lower-cased Latin-1: English endings, letter runs, single numbers, runs of the rest."""
+    kind = _CLASS[buf]
+    edge = np.ones(len(buf), dtype=bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    # An apostrophe that begins a word takes a following s, t, m, d, re, ve or ll.
+    at = np.flatnonzero((buf == 0x27) & edge)
+    if len(at):
+        padded = np.concatenate([buf, np.zeros(2, np.uint8)])
+        one, two = padded[at + 1], padded[at + 2]
+        three = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        for found, size in ((at[short], 2), (at[three], 3)):
+            edge[found + 1] = False
+            edge[found + size] = True
+    marks = np.append(np.flatnonzero(edge), len(buf))
+    solid = kind[marks[:-1]] != 0
+    return marks[:-1][solid], marks[1:][solid]
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit.
+
+    A word's ids do not depend on its neighbours, so each is encoded once and
+    kept.  Latin-1 texts without special tokens are split here as the tokenizer
+    splits them; all others go to the whole tokenizer.
+    """
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _Words(path)
+    known = _TOKENIZERS[path]
+    out: list[bytes] = [b""] * len(texts)
+    plain: list[int] = []
+    latin: list[bytes] = []
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        try:
+            if "<|" in text:
+                raise ValueError
+            latin.append(text.lower().encode("latin-1"))
+            plain.append(i)
+        except ValueError:  # also what cannot be encoded
+            out[i] = known.whole(text)
+    if latin:
+        for i, ids in zip(plain, known.latin(latin)):
+            out[i] = ids
+    return out
 
 
 def _cut_pieces(path: str, limit: int, end_id: int):
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in V.slices(batches, "text"):
+        for batch in V.slices(batches, "text", SLICE_BYTES):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), token_bytes(batch.column("text").to_pylist(), path)):
                 ids += end
