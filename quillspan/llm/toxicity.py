@@ -151,7 +151,7 @@ class Model:
             total = sum(c for c, _ in near)
             votes = sum(c * self.labels[i] for c, i in near)
             evidence = ",".join(f"{self.ids[i]}:{int(self.labels[i])}:{c:.4f}" for c, i in near[:3])
-            self.found[vector] = (float((votes + PRIOR * self.rate) / (total + PRIOR)), evidence)
+            self.found[vector] = (min(1.0, float((votes + PRIOR * self.rate) / (total + PRIOR))), evidence)
         return self.found[vector]
 
 
