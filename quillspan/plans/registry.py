@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import relational, retrieval, rules, texts
+from quillspan.plans import data, relational, retrieval, rules, texts
 from quillspan.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relational, retrieval, rules, texts)
+_MODULES = (relational, retrieval, rules, texts, data)
 
 
 def _shipped(f: Query) -> Query:
