@@ -85,5 +85,35 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+_WORDS = r"coalesce(regexp_extract_all({t}, '[^\x20\x09-\x0D]+'), [])"
+
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS holder FROM p),
+v AS (SELECT *, list_transform(range(0, 8), lambda g: list_sum(list_transform(range(1, 6), lambda k: (strpos('0123456789abcdef', substr(x, 5 * g + k, 1)) - 1) * CAST(power(16, 5 - k) AS BIGINT)))) AS groups FROM d)
+SELECT page_id, payload_bytes,
+array_to_string(list_transform(groups, lambda n: array_to_string(list_transform([32768, 1024, 32, 1], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST(n AS BIGINT) // s % 32 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> holder THEN holder END AS refers_to FROM v"""
+
+_OP4 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(t='text')} AS ws FROM documents),
+x AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i+19], ' ') ORDER BY doc_id, i) AS r FROM x),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM k WHERE r > 1),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+g AS (SELECT t.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY t.p) FILTER (WHERE c.p IS NULL) AS kept FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.p = c.p GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
+
+_OP10 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 75 * (x.n + y.n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, q.c AS component_id, q.c = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express and run over whole tables; the others are tested against brute force."""
+    return {"op3_warc": _OP3, "op4_substring_dedup": _OP4, "op10_minhash_near_dedup": _OP10}
