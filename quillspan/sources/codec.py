@@ -38,7 +38,8 @@ def decode_vector(texts: pd.Series) -> pd.Series:
 
 def read_cases(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines under a stated schema, and the violations: unreadable lines and keys that occur twice or not at all."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = spark.read.text(path).select(parsed.alias("r")).select("r.*")
     bad = rows.where("_bad is not null").select(F.lit("unreadable").alias("issue"), F.col("_bad").alias("value"))
     good = rows.where("_bad is null").drop("_bad")
     twice = good.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or {key} is null").select(F.lit("key").alias("issue"), F.col(key).cast("string").alias("value"))

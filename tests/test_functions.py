@@ -142,3 +142,21 @@ def test_publish_moves_the_pointer(spark, tmp_path):
     K.publish(spark.range(5), str(tmp_path))
     assert K.published(spark, str(tmp_path)).count() == 5
     assert K.published(spark, str(tmp_path), first).count() == 3
+
+
+def test_vector_codec_is_canonical():
+    from quillspan.sources import codec
+
+    assert codec.decode(codec.encode([1.0, -0.5])) == [1.0, -0.5]
+    for bad in (None, "", "AAAA", "!!!!", codec.encode([1.0]) + "\n", "AACAPx=="):
+        assert codec.decode(bad) is None
+
+
+def test_json_lines_with_violations(spark, tmp_path):
+    from quillspan.sources.codec import read_cases
+
+    (tmp_path / "cases.jsonl").write_text('{"id": "a", "q": 1}\n{"id": "a", "q": 2}\nnot json\n{"q": 3}\n')
+    good, bad = read_cases(spark, str(tmp_path), "id string, q int", "id")
+    assert good.count() == 3
+    assert sorted((r.issue, r.value) for r in bad.collect() if r.value) == [("key", "a"), ("unreadable", "not json")]
+    assert bad.where("issue = 'key' and value is null").count() == 1
