@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import dates as D
+from quillspan.functions import stem as ST
 from quillspan.functions import text as T
 from quillspan.operators import chunking as C
 from quillspan.operators import spans as S
@@ -157,3 +158,10 @@ def chunk_stats(spark, sf_dir):
 def html_blocks(spark, sf_dir):
     """Structural blocks of every page with their heading trail."""
     return P.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def stemmed_lexemes(spark, sf_dir):
+    """How many documents hold each English stem."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return docs.select(F.explode(ST.lexeme_list("text")).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("documents"))

@@ -160,3 +160,15 @@ def test_json_lines_with_violations(spark, tmp_path):
     assert good.count() == 3
     assert sorted((r.issue, r.value) for r in bad.collect() if r.value) == [("key", "a"), ("unreadable", "not json")]
     assert bad.where("issue = 'key' and value is null").count() == 1
+
+
+def test_stems():
+    from quillspan.functions.stem import lexemes, stem
+
+    # Published examples of the algorithm's steps.
+    pairs = "caresses:caress ponies:poni cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit digitizer:digit operator:oper triplicate:triplic formative:form hopeful:hope goodness:good revival:reviv allowance:allow adjustment:adjust adoption:adopt irritant:irrit effective:effect probate:probat rate:rate controll:control roll:roll"
+    for pair in pairs.split():
+        word, expected = pair.split(":")
+        assert stem(word) == expected, word
+    assert lexemes("The cats and the CAT hoped; 2 naïve") == ["2", "cat", "hope", "naïve"]
+    assert lexemes(None) == []
