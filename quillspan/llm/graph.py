@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from quillspan.llm.tables import cut
 
 
-def _marks(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    return tuple(row)
+def _stars(links: DataFrame) -> bool:
+    """Whether every node either has one link, to a node that has none itself, or has none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(links.select("b", F.lit(0), F.lit(1)))
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Rows (node, component) for every node of ``edges``; the component is its smallest node.
+def components(edges: DataFrame, a: str = "a", b: str = "b", roots: bool = True) -> DataFrame:
+    """Rows (node, component) for every node of ``edges``; the component is its smallest node, left out as a node if not ``roots``.
 
     Null ends and self-links are ignored; repeated links count once.  A node
     with very many links is only ever met in an aggregation that combines
@@ -22,19 +24,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     links = cut(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
-    before = _marks(links)
-    while before[0]:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while not _stars(links):
+        # Small star: smaller neighbours and the node itself move to the smallest.  It comes first, as it thins out dense groups.
+        lowest = links.groupBy("a").agg(F.min("b").alias("m"))
+        moved = links.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = cut(moved.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "links")
+        # Large star: greater neighbours move to the smallest of the neighbourhood.
+        both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        links = cut(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "links")
-        after = _marks(links)
-        if after == before:
-            break
-        before = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+        links = cut(large.distinct(), "links")
+    below = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if not roots:
+        return below
+    return below.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,6 +8,7 @@ only true links come out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.graph import components
 from quillspan.llm.tables import cut
 
-#: Rounds of one leader a set before the comparison of the rest, and sets in a block of that.
-ROUNDS = 2
+#: Sets in a block of the comparison of the rest; sets for which one round of leaders is enough, with one more for each doubling.
 BLOCK = 1000
+ONE_ROUND = 200_000
 
 #: What turns a stored set into its sorted distinct 64-bit shingle hashes.
 Unpack = Callable[[bytes], np.ndarray]
@@ -98,12 +99,15 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack:
     cluster's main component are the queries; each is compared with all of its
     cluster, block by block, and only true links come out.
     """
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("b")).where("lo < hi")
-    met = cut(members.join(mixed.select("key", "b"), "key").select("doc_id", "component", "b").distinct(), "met")
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    met = cut(members.join(mixed.select("key", "lo"), "key").select("doc_id", "component", "lo").distinct(), "met")
     if met.isEmpty():
         return None
-    clusters = components(met, "doc_id", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    docs = cut(met.select("doc_id", "component").distinct().join(clusters, "doc_id"), "clusters")
+    # Clusters are found over components, of which there are far fewer than texts in a large group.
+    clusters = components(met.select("component", "lo").distinct(), "component", "lo", roots=False)
+    clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    docs = met.select("doc_id", "component").distinct().join(clusters, "component", "left")
+    docs = cut(docs.withColumn("cluster", F.coalesce("cluster", "component")), "clusters")
     per = docs.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     main = per.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.ceil(F.sum("k") / block).alias("blocks"))
     placed = docs.join(main, "cluster").join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -114,14 +118,15 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack:
     return held.union(asks.select(row)).groupBy("group").applyInArrow(_against_block(percent, unpack), "a long, b long")
 
 
-def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = stored, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """Components (node, component) of the links 100 * intersection >= percent * union.
+def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = stored, block: int = BLOCK) -> DataFrame:
+    """Components (node, component) of the links 100 * intersection >= percent * union; a component's smallest node is left out.
 
     ``members``: (key, doc_id), each pair once, of keys that two or more share.
     ``sets``: (doc_id, n, shingles), n the set's size and shingles what
     ``unpack`` reads, for every doc_id in ``members``.
     """
     found = parts = None
+    rounds = 1 + math.ceil(math.log2(max(1.0, sets.count() / ONE_ROUND)))
     for turn in range(rounds + 1):
         if parts is None:
             placed = members.withColumn("component", F.col("doc_id"))
@@ -134,5 +139,5 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = s
             links = _rest(cut(placed, "placed"), sets, percent, block, unpack)
         if links is not None:
             found = cut(links if found is None else found.union(links), "found")
-            parts = cut(components(found), "components")
+            parts = components(found, roots=False)
     return parts

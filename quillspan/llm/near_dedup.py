@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
-from quillspan.llm.linking import BLOCK, ROUNDS, linked
+from quillspan.llm.linking import BLOCK, linked
 from quillspan.llm.tables import cut
 
 WORDS = 5
@@ -120,7 +120,6 @@ def near_dedup(
     percent: int = PERCENT,
     collections: int = COLLECTIONS,
     per_collection: int = PER_COLLECTION,
-    rounds: int = ROUNDS,
     block: int = BLOCK,
 ) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
@@ -151,7 +150,7 @@ def near_dedup(
     wanted = members.select("doc_id").distinct()
     sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id long, n long, shingles binary"), "sets")
 
-    parts = linked(members, sets, percent, rounds=rounds, block=block)
+    parts = linked(members, sets, percent, block=block)
     out = rows.join(classes.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"], "left")
     out = out.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.when(F.col("n_words") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
