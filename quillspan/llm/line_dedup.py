@@ -1,11 +1,12 @@
 """Fuzzy line dedup by MinHash: one line of each group of near-equal lines stays.
 
-Lines are compared with A-Z lower-cased, as sets of nine-character shingles.
+Lines are compared with A-Z lower-cased, as sets of eight-character shingles (UTF-16 units).
 One-permutation hashing with optimal densification (Shrivastava, 2017) gives 64
 minhashes for one hash a character; 16 bands of four propose lines of
 similarity 0.75 with probability 0.998.  Candidates are confirmed by exact
 Jaccard similarity, and of each connected component the first line (smallest
 doc_id, then line number) stays.  Equal lines are one node throughout.
+A band's lines are told apart by 32 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
@@ -22,17 +23,14 @@ from quillspan.llm.linking import linked
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut
 
-SHINGLE = 9
+#: Units of a shingle: two 64-bit words, which hash without a loop over the units.
+SHINGLE = 8
 BINS, BANDS = 64, 16
 #: Similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BLOOM_BITS = 26
 
 _LAST = (1 << 63) - 1
-_SOLID = np.ones(256, dtype=np.int64)
-_SOLID[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-
-
 def _since(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
@@ -46,21 +44,44 @@ def line_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first
 
 
-def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every run of ``size`` code points within each span, and the span of each; shorter spans have none."""
-    heads = np.flatnonzero((buf & 0xC0) != 0x80)
-    low, high = np.searchsorted(heads, starts), np.searchsorted(heads, ends)
-    counts = np.maximum(high - low - size + 1, 0)
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased texts as UTF-16 units on end, and where each begins; bytes that are not UTF-8 count as ``?``."""
+    buf, offsets = V.raw(column, lower=True)
+    if len(buf) and buf.max() >= 0x80:
+        try:
+            text = buf.tobytes().decode("utf-8")
+            sizes = (((buf & 0xC0) != 0x80).view(np.int8) + (buf >= 0xF0)).astype(np.int64)
+            return np.frombuffer(text.encode("utf-16-le"), dtype="<u2"), _since(sizes)[offsets]
+        except UnicodeDecodeError:
+            buf = np.where(buf < 0x80, buf, 63)
+    return buf.astype("<u2"), offsets
+
+
+def _unit_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE units from each place on."""
+    n = len(text) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    low = np.ndarray((n,), "<u8", text.data, 0, (2,))
+    high = np.ndarray((n,), "<u8", text.data, 8, (2,))
+    h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def shingles(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every shingle within each span of units, and the span of each; shorter spans have none."""
+    counts = np.maximum(ends - starts - SHINGLE + 1, 0)
     owner = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(counts.sum()) - (np.cumsum(counts) - counts)[owner] + low[owner]
-    heads = np.append(heads, len(buf))
-    return V.span_hashes(buf, heads[at], heads[at + size]), owner
+    at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+    return _unit_hashes(text)[at], owner
 
 
 def shingle_set(line: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of one line, already lower-cased."""
-    buf = np.frombuffer(line, np.uint8)
-    return np.unique(shingles(buf, np.zeros(1, np.int64), np.array([len(buf)]), SHINGLE)[0])
+    """The sorted distinct shingle hashes of one line, given as UTF-16 units."""
+    return np.unique(_unit_hashes(np.frombuffer(line, dtype="<u2")))
 
 
 def _densifier(bins: int) -> np.ndarray:
@@ -73,7 +94,7 @@ def bands(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int, n_bands: int
     """Band keys of n sets, one row a set, from the sets' hashes; every set has at least one."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * bins, empty, dtype=np.uint64)
-    np.minimum.at(sig, owner * bins + (hashes % np.uint64(bins)).astype(np.int64), hashes >> np.uint64(6))
+    np.minimum.at(sig, owner * bins + (hashes & np.uint64(bins - 1)).view(np.int64), hashes >> np.uint64(6))
     sig = sig.reshape(n, bins)
     real = sig != empty
     row, col = np.nonzero(~real)
@@ -97,9 +118,9 @@ def bands(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int, n_bands: int
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every line that is not blank: doc, version, line number, hash."""
     for batch in V.slices(batches, "text"):
-        buf, offsets = V.raw(batch.column("text"), lower=True)
+        buf, offsets = units(batch.column("text"))
         starts, ends, first = line_bounds(buf, offsets)
-        solid = _since(_SOLID[buf])
+        solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
         at = np.flatnonzero(solid[ends] > solid[starts])
         owner = np.searchsorted(first, at, side="right") - 1
         hashes = V.span_hashes(buf, starts[at], ends[at])
@@ -115,23 +136,23 @@ def _band_rows(shared=None, bits: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.slices(batches, "text"):
-            buf, offsets = V.raw(batch.column("text"), lower=True)
+            buf, offsets = units(batch.column("text"))
             starts, ends, _ = line_bounds(buf, offsets)
-            heads = _since((buf & 0xC0) != 0x80)
-            long_ = heads[ends] - heads[starts] >= SHINGLE
+            long_ = ends - starts >= SHINGLE
             starts, ends = starts[long_], ends[long_]
             hashes, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
             starts, ends = starts[one], ends[one]
-            keys = bands(*shingles(buf, starts, ends, SHINGLE), len(one), BINS, BANDS)
+            keys = bands(*shingles(buf, starts, ends), len(one), BINS, BANDS)
             if shared is None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(hashes, BANDS).view(np.int64))], names=["key", "hash"])
+                tags = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(tags, BANDS))], names=["key", "tag"])
                 continue
             keep = np.ones(keys.shape, dtype=bool)
             for p in _probes(keys, bits):
                 keep &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
             row, col = np.nonzero(keep)
             data = buf.tobytes()
-            texts = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+            texts = [data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist())]
             firsts = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[row, col].view(np.int64)), pa.array(hashes[row].view(np.int64)), pa.array([texts[r] if f else None for r, f in zip(row.tolist(), firsts.tolist())], pa.binary())],
@@ -147,30 +168,16 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("shingles")], names=["doc_id", "n", "shingles"])
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, lines, gone = [], [], []
-        for text, remove in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
-            parts = (text or "").split("\n")
-            drop = set(remove or ())
-            lines.append(len(parts) if text else 0)
-            gone.append(len(drop))
-            texts.append("\n".join([p for i, p in enumerate(parts) if i not in drop]) if drop else text)
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("row_doc", "row_version")], pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())],
-            names=["doc_id", "version", "n_lines", "n_removed", "text"],
-        )
-
-
 def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """Per document with any: doc, version (the text's hash) and ``lines``, the numbers from 0 of the lines to remove."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").withColumn("version", F.xxhash64("text"))
     lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long"), "lines")
-    proposed = texts.select("text").mapInArrow(_band_rows(), "key long, hash long")
-    shared = cut(proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
+    proposed = texts.select("text").mapInArrow(_band_rows(), "key long, tag int")
+    shared = cut(proposed.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
     found = texts.select("text").mapInArrow(_band_rows(bloom(shared, bloom_bits), bloom_bits), "key long, hash long, words binary")
-    found = cut(found.join(shared.withColumnRenamed("core", "key"), "key", "left_semi").union(found.where("words is not null").select(F.lit(None).cast("long"), "hash", "words")), "candidates")
-    members = cut(found.where("key is not null").select("key", F.col("hash").alias("doc_id")).distinct(), "members")
+    found = cut(found, "candidates")
+    members = found.select("key", F.col("hash").alias("doc_id")).distinct().join(shared.withColumnRenamed("core", "key"), "key", "left_semi")
+    members = cut(members, "members")
     sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
     sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
     parts = linked(members, sets, percent, shingle_set)
@@ -181,12 +188,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     return later.groupBy("doc", "version").agg(F.collect_list("line").alias("lines"))
 
 
-def _kept(docs: DataFrame, **options) -> DataFrame:
-    gone = cut(removed_lines(docs, **options), "removed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("row_doc"), "text", F.xxhash64("text").alias("row_version"))
-    keyed = texts.withColumn("doc", F.coalesce("row_doc", F.lit(_LAST))).withColumn("version", F.col("row_version"))
-    joined = keyed.join(gone, ["doc", "version"], "left").select("row_doc", "row_version", "text", "lines")
-    return joined.mapInArrow(_keep, "doc_id long, version long, n_lines long, n_removed long, text string")
+def _without(text: Column, lines: Column) -> Column:
+    """The text without the lines of the given numbers; unchanged where there are none."""
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    return F.when(lines.isNull(), text).otherwise(kept)
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -197,7 +202,13 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     has no lines and stays null.  Rows without ``doc_id`` come after all
     others.  Rows that repeat a ``doc_id`` stand at the same place.
     """
-    return _kept(docs, **options).select("doc_id", "n_lines", "n_removed", "text")
+    gone = cut(removed_lines(docs, **options), "removed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("version", F.xxhash64("text"))
+    joined = texts.join(gone, ["doc", "version"], "left")
+    n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return joined.select(
+        "doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), _without(F.col("text"), F.col("lines")).alias("text")
+    )
 
 
 def strip_lines(docs: DataFrame, **options) -> DataFrame:
@@ -207,6 +218,5 @@ def strip_lines(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__version": F.xxhash64("text")})
     gone = gone.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
     joined = keyed.join(gone, ["__doc", "__version"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept))
+    out = joined.withColumn("text", _without(F.col("text"), F.col("__lines")))
     return out.where(F.col("__lines").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(names)
