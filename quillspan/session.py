@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch between Spark and its Python workers: whole texts are large, so few of them.
+BATCH_ROWS = 1000
 
 
 def session(name: str = "quillspan", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,7 +24,8 @@ def session(name: str = "quillspan", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application, so that they need not have it installed."""
+    """Sends this package to the Python workers, once an application, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
