@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from quillspan.llm.tables import cut
 WINDOW = 20
 CORE = 10
 #: Neighbourhoods a shard holds on average, and occurrences beyond which a core takes the aggregated way.
-SHARD_ROWS = 20_000
-OFTEN = 1_000
+SHARD_ROWS = 10_000
+OFTEN = 5_000
 #: Bits of the Bloom filter: 8 MB, whatever the corpus.
 BLOOM_BITS = 26
 
@@ -86,7 +87,7 @@ def _words(column: pa.Array):
 
 def _core_counts(window: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in V.slices(batches, "text", 8 << 20):
+        for batch in V.slices(batches, "text"):
             _, _, _, first, hashes = _words(batch.column("text"))
             seeds, counts = np.unique(cores(hashes, first, window, core)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(counts, pa.int64())], names=["core", "n"])
@@ -164,14 +165,23 @@ def _spans(covered: list[int], window: int) -> Iterator[tuple[int, int]]:
 
 def _shard(window: int, core: int):
     def run(table: pa.Table) -> pa.Table:
-        """Confirms and compiles the shard's phrases, streams its neighbourhoods and marks words that occur earlier."""
-        letters: dict[bytes, str] = {}
+        """Confirms and compiles the shard's phrases, streams its neighbourhoods and marks words that occur earlier.
+
+        Equal neighbourhoods are streamed once; all but the first of them are
+        repeats as a whole.
+        """
         docs, versions, starts = (table.column(c).to_pylist() for c in ("doc", "version", "start"))
-        lines = ["".join([letters.setdefault(w, chr(len(letters) + 0x10000 if len(letters) > 0xD000 else len(letters) + 1)) for w in x.split()]) for x in table.column("words").to_pylist()]
-        phrases: dict[str, int] = {}
-        for line, inside in zip(lines, table.column("inside").to_pylist()):
+        alike: dict[tuple[bytes, int], list[int]] = {}
+        for row, key in enumerate(zip(table.column("words").to_pylist(), table.column("inside").to_pylist())):
+            alike.setdefault(key, []).append(row)
+        # One letter a word, surrogates left out.
+        letters: dict[bytes, str] = {}
+        lines, phrases = [], {}
+        for (text, inside), rows in alike.items():
+            line = "".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (0x10000 if len(letters) > 0xD000 else 1))) for w in text.split()])
+            lines.append(line)
             phrase = line[inside : inside + core]
-            phrases[phrase] = phrases.get(phrase, 0) + 1
+            phrases[phrase] = phrases.get(phrase, 0) + len(rows)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for phrase, n in phrases.items():
             if n > 1:
@@ -181,18 +191,30 @@ def _shard(window: int, core: int):
             automaton.make_automaton()
             earliest: dict[str, tuple[int, int]] = {}
             placed = []
-            for line, doc, start in zip(lines, docs, starts):
-                found = set()
-                for end, _ in automaton.iter(line):
-                    found.update(range(max(0, end + 1 - window), min(end + 1 - core, len(line) - window) + 1))
-                placed.append(sorted(found))
-                for s in found:
-                    here, phrase = (doc, start + s), line[s : s + window]
-                    if earliest.get(phrase, here) >= here:
-                        earliest[phrase] = here
-            for line, doc, version, start, found in zip(lines, docs, versions, starts, placed):
-                covered = [start + s for s in found if earliest[line[s : s + window]] < (doc, start + s)]
-                out += [(doc, version, a, b) for a, b in _spans(covered, window)]
+            for line, rows in zip(lines, alike.values()):
+                ends = [end + 1 for end, _ in automaton.iter(line)]
+                # Windows in between that hold no recurring phrase are first wherever they are.
+                low = max(0, min(ends) - window) if ends else 0
+                high = min(max(ends) - core, len(line) - window) + 1 if ends else 0
+                first = min(rows, key=lambda r: (docs[r], starts[r]))
+                placed.append((low, high, first))
+                doc, start = docs[first], starts[first]
+                for s in range(low, high):
+                    phrase = line[s : s + window]
+                    have = earliest.get(phrase)
+                    if have is None or (doc, start + s) < have:
+                        earliest[phrase] = (doc, start + s)
+            for line, rows, (low, high, first) in zip(lines, alike.values(), placed):
+                if low >= high:
+                    continue
+                doc, start = docs[first], starts[first]
+                covered = [start + s for s in range(low, high) if earliest[line[s : s + window]] < (doc, start + s)]
+                out += [(doc, versions[first], a, b) for a, b in _spans(covered, window)]
+                for r in rows:
+                    if (docs[r], starts[r]) > (doc, start):
+                        out.append((docs[r], versions[r], starts[r] + low, starts[r] + high - 1 + window))
+                    elif r != first:  # the same document given twice
+                        out += [(docs[r], versions[r], a, b) for a, b in _spans(covered, window)]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         columns = list(zip(*out)) if out else [[]] * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "version", "a", "b"])
@@ -217,18 +239,20 @@ def _explode_windows(window: int):
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in V.slices(batches, "text"):
-        rows = []
         buf, offsets = V.raw(batch.column("text"))
         starts, ends, first = V.word_bounds(buf, offsets)
-        data = buf.tobytes()
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            n = int(first[i + 1] - first[i])
-            keep = np.ones(n, dtype=bool)
-            for s in spans or ():
-                keep[s["a"] : s["b"]] = False
-            at = np.flatnonzero(keep) + first[i]
+        spans = batch.column("spans")
+        flat = spans.flatten()
+        owner = np.repeat(np.arange(len(spans)), np.asarray(pc.fill_null(pc.list_value_length(spans), 0)))
+        depth = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.add.at(depth, first[owner] + np.asarray(flat.field("a")), 1)
+        np.add.at(depth, first[owner] + np.asarray(flat.field("b")), -1)
+        keep = np.cumsum(depth[:-1]) == 0
+        data, rows = buf.tobytes(), []
+        for low, high in zip(first[:-1].tolist(), first[1:].tolist()):
+            at = np.flatnonzero(keep[low:high]) + low
             kept = b" ".join([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            rows.append((n, n - len(at), hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((high - low, high - low - len(at), hashlib.sha256(kept).hexdigest(), kept))
         n, gone, digest, kept = zip(*rows)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest), pa.array(kept, pa.binary()).cast(pa.string())],
@@ -250,10 +274,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, shar
     shards = max(64, total // shard_rows)
     shape = "core long, doc long, version long, start int, inside int, words binary"
     near = texts.mapInArrow(_neighbourhoods(window, core, bloom(recurring, bloom_bits), bloom_bits), shape)
-    near = cut(near.join(recurring, "core"), "neighbourhoods")
-    rare = near.where(F.col("n") <= often).withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
+    # Only the cores that occur very often are marked: few, so Catalyst broadcasts them or, beyond its threshold, joins.
+    marked = recurring.where(F.col("n") > often).select("core", F.lit(True).alias("often"))
+    near = cut(near.join(cut(marked, "often"), "core", "left"), "neighbourhoods")
+    rare = near.where("often is null").withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
     spans = rare.groupBy("shard").applyInArrow(_shard(window, core), "doc long, version long, a long, b long")
-    every = near.where(F.col("n") > often).select("doc", "version", "start", "words").mapInArrow(_explode_windows(window), "window long, doc long, version long, start long")
+    every = near.where("often").select("doc", "version", "start", "words").mapInArrow(_explode_windows(window), "window long, doc long, version long, start long")
     every = cut(every, "windows")
     first = every.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1")
     later = every.join(first, "window").where(F.struct("doc", "start") > F.col("first"))
