@@ -185,7 +185,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     grouped = grouped.select("doc", "version", "line", "group")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
     later = grouped.join(first, "group").where(F.struct("doc", "line") > F.col("first"))
-    return later.groupBy("doc", "version").agg(F.collect_list("line").alias("lines"))
+    return later.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))
 
 
 def _without(text: Column, lines: Column) -> Column:
