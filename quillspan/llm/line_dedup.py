@@ -7,6 +7,11 @@ similarity 0.75 with probability 0.998.  Candidates are confirmed by exact
 Jaccard similarity, and of each connected component the first line (smallest
 doc_id, then line number) stays.  Equal lines are one node throughout.
 A band's lines are told apart by 32 bits of their hashes.
+
+One changed character costs eight shingles on each side, too much for lines
+under 63 units.  Lines of 16 to 64 units are therefore also linked where they
+are equal once at most one unit of each is left out; hashes of the line and of
+all that is left of it without one unit find these links, each and no other.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
+from quillspan.llm.graph import components
 from quillspan.llm.linking import linked
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut
@@ -29,6 +35,8 @@ BINS, BANDS = 64, 16
 #: Similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BLOOM_BITS = 26
+#: Units of the lines that one edit links, least and most; from 63 on the shingles allow for one.
+EDIT_LEAST, EDIT_MOST = 16, 64
 
 _LAST = (1 << 63) - 1
 def _since(flags: np.ndarray) -> np.ndarray:
@@ -162,6 +170,57 @@ def _band_rows(shared=None, bits: int = 0):
     return run
 
 
+def edit_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each span of units, and of each span without one of its units; and the span of each hash."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(owner)) - begin[owner]
+    unit = V.mix64(text[starts[owner] + place].astype(np.uint64))
+    weight = V.mix64(np.arange(sizes.max(initial=0) + 1, dtype=np.uint64) + np.uint64(1 << 32))
+    # Sums before each place, of units where they stand and of units moved one place to the front.
+    here = np.concatenate([np.zeros(1, np.uint64), np.cumsum(unit * weight[place + 1])])
+    moved = np.concatenate([np.zeros(1, np.uint64), np.cumsum(unit * weight[place])])
+    last = begin + sizes
+    at = begin[owner] + place
+    without = here[at] - here[begin[owner]] + moved[last[owner]] - moved[at + 1]
+    whole = here[last] - here[begin]
+    length = np.concatenate([sizes, sizes[owner] - 1]).astype(np.uint64)
+    return V.mix64(np.concatenate([whole, without]) ^ V.mix64(length)), np.concatenate([np.arange(len(starts)), owner])
+
+
+def _edit_rows(shared=None, bits: int = 0):
+    """Edit keys of each batch's distinct short lines; with a filter, only keys it lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in V.slices(batches, "text"):
+            buf, offsets = units(batch.column("text"))
+            starts, ends, _ = line_bounds(buf, offsets)
+            solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
+            short = (ends - starts >= EDIT_LEAST) & (ends - starts <= EDIT_MOST) & (solid[ends] > solid[starts])
+            starts, ends = starts[short], ends[short]
+            hashes, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
+            keys, owner = edit_keys(buf, starts[one], ends[one])
+            if shared is not None:
+                keep = np.ones(len(keys), dtype=bool)
+                for p in _probes(keys, bits):
+                    keep &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+                keys, owner = keys[keep], owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hashes[owner].view(np.int64))], names=["key", "hash"])
+
+    return run
+
+
+def _edit_links(texts: DataFrame, bloom_bits: int) -> DataFrame:
+    """Links (a, b) of short lines one edit apart: the lines of a key to its least."""
+    proposed = texts.select("text").mapInArrow(_edit_rows(), "key long, hash long")
+    shared = proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core"), "lo")
+    shared = cut(shared, "edits")
+    found = texts.select("text").mapInArrow(_edit_rows(bloom(shared.select("core"), bloom_bits), bloom_bits), "key long, hash long")
+    links = found.join(shared.withColumnRenamed("core", "key"), "key").where("hash <> lo")
+    return cut(links.select(F.col("lo").alias("a"), F.col("hash").alias("b")).distinct(), "edit_links")
+
+
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = [len(shingle_set(x)) for x in batch.column("shingles").to_pylist()]
@@ -181,6 +240,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
     sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
     parts = linked(members, sets, percent, shingle_set)
+    edits = _edit_links(texts, bloom_bits)
+    if not edits.isEmpty():
+        parts = components(cut(edits.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), "links"), roots=False)
     grouped = lines.join(parts.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group", F.coalesce("component", "hash"))
     grouped = grouped.select("doc", "version", "line", "group")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
@@ -198,7 +260,8 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, text without the removed lines.
 
     Reads only ``doc_id`` and ``text``.  Blank lines stay and count for
-    nothing; lines shorter than a shingle match only equal lines.  A null text
+    nothing; lines shorter than a shingle match only equal lines, lines from
+    EDIT_LEAST units on also those one edit away.  A null text
     has no lines and stays null.  Rows without ``doc_id`` come after all
     others.  Rows that repeat a ``doc_id`` stand at the same place.
     """

@@ -137,6 +137,23 @@ def test_line_dedup(docs, rows):
     assert {10_001, 10_002, 10_003} <= left
 
 
+def test_line_dedup_one_edit(spark):
+    """Lines one edit apart are linked at every length from 16 to 70 and every place; two edits in a short line are not."""
+    rng = random.Random(5)
+    lines, linked_to = [], {}
+    for n in range(16, 71):
+        base = "".join(rng.choice("abcdefghij klmnopqrstuvwxyz") for _ in range(n - 2))
+        base = f"<{base}>"
+        lines.append(base)
+        i = rng.randrange(1, n - 1)
+        for changed in (base[:i] + "7" + base[i + 1 :], base[:i] + "8" + base[i:], base[:i] + base[i + 1 :]):
+            linked_to[len(lines)] = len(changed) >= 16
+            lines.append(changed)
+    lines += ["Sent on 2024-01-01 to all", "Sent on 2025-01-02 to all", "too short 1 x", "too short 2 x"]
+    out = line_dedup(spark.createDataFrame([(d, x) for d, x in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_removed} == {d for d, near in linked_to.items() if near}
+
+
 def test_empty_tables(docs):
     none = docs.where("doc_id < 0")
     for operator in (near_dedup, substring_dedup, line_dedup):
