@@ -9,6 +9,7 @@ to its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ from quillspan.llm.tables import cut
 
 #: Hosts whose paths are broadcast (under 1 kB each); beyond it they are joined.
 BROADCAST_HOSTS = 20_000
+#: A longer path is replaced by its hash.
 PATH_CHARS = 500
 #: Elements nested deeper are taken as part of the one at this depth.
 MAX_DEPTH = 300
@@ -44,8 +46,9 @@ FAMILY = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
-#: Elements whose content is no page text.
-RAW = "script style noscript template textarea select svg math iframe object canvas audio video title button"
+#: Elements whose content is no page text: those that only their own end tag ends, and those of which a start tag without an end counts for nothing.
+RAW = "script style noscript textarea iframe title"
+SOFT = frozenset("template select svg math object canvas audio video button".split())
 DROP_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_NAMES = frozenset(
@@ -57,11 +60,16 @@ OWN_NAMES = frozenset("article content entry main post story".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>" + RAW.replace(" ", "|") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.S | re.I,
 )
+_SOFT = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>" + "|".join(sorted(SOFT)) + r")(?=[\s/>])(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
 _DIGITS = re.compile(r"\d+")
@@ -70,31 +78,85 @@ _DIGITS = re.compile(r"\d+")
 class Element:
     """An open or closed block element: generalised name, path, whether it is to be dropped, and its score."""
 
-    __slots__ = ("tag", "parent", "path", "drop", "inside", "score", "order")
+    __slots__ = ("tag", "parent", "path", "named", "barred", "drop", "inside", "held", "mains", "score", "order")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         classes = _DIGITS.sub("#", ".".join(sorted(attributes.get("class", "").lower().split())))
         own = f"{tag}.{classes}" if classes else tag
-        # Very long paths take no part in votes.
-        path = own if parent is None else parent.path and f"{parent.path}/{own}"
-        self.path = path if path and len(path) <= PATH_CHARS else None
+        path = own if parent is None else f"{parent.path}/{own}"
+        self.path = path if len(path) <= PATH_CHARS else "~" + hashlib.md5(path.encode("utf-8", "replace")).hexdigest()
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.drop = bool(parent and parent.drop) or self._boilerplate(attributes)
-        self.score = 0.0
+        self.named = self.barred = self.drop = False
+        self._boilerplate(attributes)
+        self.barred = self.barred or bool(parent and parent.barred)
+        self.held = self.mains = self.score = 0.0
 
-    def _boilerplate(self, attributes: dict[str, str]) -> bool:
+    def _boilerplate(self, attributes: dict[str, str]) -> None:
+        """Sets ``barred`` by tag, role or being hidden, and ``named`` by a word of class or id."""
         if self.tag in ("html", "body", "article", "main") and "comment" not in attributes.get("class", "").lower():
-            return False
+            return
         if self.tag in DROP_TAGS or attributes.get("role", "").lower() in DROP_ROLES:
-            return True
+            self.barred = True
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-            return True
+            self.barred = True
         names = set(_NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
         if names & DROP_NAMES:
-            return True
-        header = self.tag == "header" or "header" in names
-        return header and not self.inside and not names & OWN_NAMES
+            self.named = True
+        if not self.inside and not names & OWN_NAMES:
+            self.barred = self.barred or self.tag == "header"
+            self.named = self.named or "header" in names
+
+    def is_main(self) -> bool:
+        """An article or main outside any other, and no comment."""
+        return self.tag in ("article", "main") and not self.named and not self.barred and not (self.parent and self.parent.inside)
+
+
+def prose(text: str, linked: int) -> float:
+    return max(0.0, len(text) - 2.0 * linked)
+
+
+def settle(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> None:
+    """Sets ``drop``: what is barred or named, and all in it.
+
+    A name drops no article or main further in, and not the element that holds
+    most of the page's prose, unless an article or main lies elsewhere.
+    """
+    total = 0.0
+    for e, text, linked in blocks:
+        if not e.barred:
+            e.held += prose(text, linked)
+            total += prose(text, linked)
+    mains = 0.0
+    for e in reversed(elements):
+        if e.is_main():
+            e.mains = e.held
+            mains += e.held
+        if e.parent:
+            e.parent.held += e.held
+            e.parent.mains += e.mains
+    for e in elements:
+        most = 2 * e.held > total and e.mains == mains and not e.inside
+        above = bool(e.parent and e.parent.drop) and not e.is_main()
+        e.drop = e.barred or above or e.named and not most
+
+
+def soft_ends(page: str) -> dict[int, int]:
+    """Of the elements in SOFT that have an end tag: where each starts and ends."""
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for m in _SOFT.finditer(page):
+        if not m["tag"]:
+            continue
+        tag = m["tag"].lower()
+        if m["end"]:
+            if open_.get(tag):
+                ends[open_[tag].pop()] = m.end()
+        elif tag in ("svg", "math") and m["attrs"].endswith("/"):
+            ends[m.start()] = m.end()
+        else:
+            open_.setdefault(tag, []).append(m.start())
+    return ends
 
 
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
@@ -120,7 +182,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
         del stack[upto:]
 
     last = 0
+    ends = soft_ends(page)
     for m in _TOKEN.finditer(page):
+        if m.start() < last:
+            continue
         if m.start() > last:
             piece = page[last : m.start()]
             buffer.append(piece)
@@ -132,6 +197,9 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
             if m[0].startswith("<![CDATA["):
                 buffer.append(_html.escape(m[0][9:].removesuffix("]]>")))
             continue
+        if tag in SOFT:
+            last = ends.get(m.start(), last)
+            continue
         if tag == "a":
             in_link = 0 if (m["end"] or m["end2"]) else 1
         if tag == "br":
@@ -178,6 +246,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
     if last < len(page):
         buffer.append(page[last:])
     flush()
+    settle(elements, blocks)
     return elements, blocks
 
 
@@ -190,7 +259,7 @@ def best_container(elements: list[Element], blocks: list[tuple[Element, str, int
     for e, text, linked in blocks:
         if e.drop:
             continue
-        weight = max(0.0, len(text) - 2.0 * linked)
+        weight = prose(text, linked)
         while e.tag in _LEAVES and e.parent:
             e = e.parent
         e.score += weight

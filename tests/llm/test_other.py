@@ -140,6 +140,22 @@ def test_deep_and_broken_html():
     assert html_extract.extract("<p", None) == "<p"
 
 
+def test_html_keeps_what_a_wrapper_or_an_open_tag_surrounds():
+    prose = "<p>The long text of this page, which is what a reader came for.</p><p>And a second paragraph of it.</p>"
+    text = "The long text of this page, which is what a reader came for.\n\nAnd a second paragraph of it."
+    side = '<div class="sidebar"><p>Side note.</p></div>'
+    for name in ("layout has-sidebar", "content-with-sidebar", "no-comments", "has-header"):
+        assert html_extract.extract(f'<body><div class="{name}"><article>{prose}</article>{side}</div></body>', None) == text
+        assert html_extract.extract(f'<body><div class="{name}"><div>{prose}</div>{side}</div></body>', None) == text
+    talk = '<div class="comments"><article class="reply">' + "<p>A reader says a great deal about all this.</p>" * 3 + "</article></div>"
+    assert html_extract.extract(f"<body><article>{prose}{talk}</article></body>", None) == text
+    for tag in ("<button>", "<video src=x>", "<svg/>", "<button-group>", "<title-bar>", "<svg><svg></svg><g></svg>", "<select><option>one</select>"):
+        assert html_extract.extract(f"<body><div>{tag}{prose}</div></body>", None) == text, tag
+    deep = [f'<div class="{"u" * 600}"><div class="a{n}">{prose}</div></div>' for n in range(2)]
+    paths = {html_extract.best_container(*html_extract.parse(x)).path for x in deep}
+    assert len(paths) == 1 and None not in paths and html_extract.extract(deep[0], paths.pop()) == text
+
+
 def test_token_bytes_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
