@@ -30,8 +30,8 @@ from quillspan.llm.tables import cut
 
 #: Labelled rows that are fitted on, at most (chosen by hash of doc_id, in expectation; see ``_sample``).
 EXAMPLES = 40_000
-#: Terms of the vocabulary, and toxic-side candidates it is chosen from, at most.
-TERMS, CANDIDATES = 2_000, 30_000
+#: Terms of the vocabulary at most, by the ratio.
+TERMS = 2_000
 #: Toxic examples a term must occur in, its log-likelihood ratio, and how many times as often as in clean ones.
 LEAST_TOXIC, LEAST_RATIO, LEAST_LIFT = 3, 10.0, 5.0
 NEAREST = 15
@@ -195,6 +195,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _rated(n_toxic: int, n_clean: int):
+    """The terms (term, a, b) that pass, with their ratio."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rates = pa.array([ratio(a, b, n_toxic, n_clean) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], pa.float64())
+            rows = pa.RecordBatch.from_arrays([batch.column("term"), rates], names=["term", "rate"])
+            yield rows.filter(pa.array([x >= LEAST_RATIO for x in rates.to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _chosen(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, n_terms: int) -> list[str]:
+    """The terms of greatest ratio; every term of LEAST_TOXIC toxic examples is tested, however many there are."""
+    often = _sums(toxic).where(F.col("n") >= LEAST_TOXIC).withColumnRenamed("n", "a")
+    counted = often.join(_sums(clean).withColumnRenamed("n", "b"), "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    passed = counted.where(F.col("a") * n_clean > F.lit(LEAST_LIFT) * F.col("b") * n_toxic).mapInArrow(_rated(n_toxic, n_clean), "term string, rate double")
+    return sorted(r.term for r in passed.orderBy(F.desc("rate"), "term").limit(n_terms).collect())
+
+
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """Texts and labels of at most about ``most`` labelled rows that are not held out (a hash threshold, so within a few standard deviations)."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -217,11 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: i
     single = cut(sample.join(one, "doc_id", "left_semi"), "single")
     toxic, clean = single.where("toxic = 1"), single.where("toxic <> 1")
     n_toxic, n_clean = toxic.count(), clean.count()
-    often = _sums(toxic).where(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    in_toxic = {r.term: r.n for r in often.collect()}
-    in_clean = {r.term: r.n for r in _sums(clean, frozenset(in_toxic)).collect()}
-    rated = [(ratio(a, in_clean.get(t, 0), n_toxic, n_clean), t) for t, a in in_toxic.items()]
-    chosen = sorted(t for r, t in sorted(rated, key=lambda x: (-x[0], x[1]))[:n_terms] if r >= LEAST_RATIO)
+    chosen = _chosen(toxic, clean, n_toxic, n_clean, n_terms)
     # Document frequencies over the whole corpus.
     n_docs = docs.count()
     frequency = {r.term: r.n for r in _sums(docs, frozenset(chosen)).collect()} if chosen else {}

@@ -93,6 +93,16 @@ def test_toxicity(spark, sf):
     assert toxicity.toxicity(docs.where("false"), marks).count() == 0
 
 
+def test_rare_toxic_terms_pass_beside_many_common_ones(spark):
+    """More neutral terms of higher frequency than the 30,000 that a cut by frequency once let through."""
+    # Beginnings of words are terms too; those of the fillers are shared, those of the rare word are its own.
+    common = " ".join(f"{'abcdefghij'[i % 10]}{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(31_000))
+    toxic = spark.createDataFrame([(f"{common} {'vilest' if d < 6 else ''}",) for d in range(12)], "text string")
+    clean = spark.createDataFrame([(common,)] * 12, "text string")
+    assert toxicity._sums(toxic).where("n > 6").count() > 30_000
+    assert toxicity._chosen(toxic, clean, 12, 12, 2_000) == ["^vile", "^viles", "vilest"]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(1)
     model = toxicity.Model([f"t{i}" for i in range(40)], np.ones(40))
