@@ -5,8 +5,8 @@ One-permutation hashing with optimal densification (Shrivastava, 2017) gives 64
 minhashes for one hash a character; 16 bands of four propose lines of
 similarity 0.75 with probability 0.998.  Candidates are confirmed by exact
 Jaccard similarity, and of each connected component the first line (smallest
-doc_id, then line number) stays.  Equal lines are one node throughout.
-A band's lines are told apart by 32 bits of their hashes.
+doc_id, then line number) stays.  Equal lines are one node throughout; a line
+is known by a 64-bit hash of its units.
 
 One changed character costs eight shingles on each side, too much for lines
 under 63 units.  Lines of 16 to 64 units are therefore also linked where they
@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
-from quillspan.llm.graph import components
-from quillspan.llm.linking import linked
+from quillspan.llm.linking import contracted, linked, placed_links
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut
 
@@ -39,6 +38,8 @@ BLOOM_BITS = 26
 EDIT_LEAST, EDIT_MOST = 16, 64
 
 _LAST = (1 << 63) - 1
+
+
 def _since(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags)])
 
@@ -124,18 +125,21 @@ def bands(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int, n_bands: int
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that is not blank: doc, version, line number, hash."""
+    """Every line that is not blank: doc, version, line number, hash and, of lines that one edit links, the units."""
     for batch in V.slices(batches, "text"):
         buf, offsets = units(batch.column("text"))
         starts, ends, first = line_bounds(buf, offsets)
         solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
         at = np.flatnonzero(solid[ends] > solid[starts])
         owner = np.searchsorted(first, at, side="right") - 1
-        hashes = V.span_hashes(buf, starts[at], ends[at])
+        starts, ends = starts[at], ends[at]
+        hashes = V.span_hashes(buf, starts, ends)
+        short = (ends - starts >= EDIT_LEAST) & (ends - starts <= EDIT_MOST)
+        texts = [bytes(buf[a:b].data) if s else None for s, a, b in zip(short.tolist(), starts.tolist(), ends.tolist())]
         which = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc").take(which), batch.column("version").take(which), pa.array((at - first[owner]).astype(np.int32)), pa.array(hashes.view(np.int64))],
-            names=["doc", "version", "line", "hash"],
+            [batch.column("doc").take(which), batch.column("version").take(which), pa.array((at - first[owner]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(texts, pa.binary())],
+            names=["doc", "version", "line", "hash", "short"],
         )
 
 
@@ -152,8 +156,7 @@ def _band_rows(shared=None, bits: int = 0):
             starts, ends = starts[one], ends[one]
             keys = bands(*shingles(buf, starts, ends), len(one), BINS, BANDS)
             if shared is None:
-                tags = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(tags, BANDS))], names=["key", "tag"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(hashes, BANDS).view(np.int64))], names=["key", "hash"])
                 continue
             keep = np.ones(keys.shape, dtype=bool)
             for p in _probes(keys, bits):
@@ -189,35 +192,21 @@ def edit_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return V.mix64(np.concatenate([whole, without]) ^ V.mix64(length)), np.concatenate([np.arange(len(starts)), owner])
 
 
-def _edit_rows(shared=None, bits: int = 0):
-    """Edit keys of each batch's distinct short lines; with a filter, only keys it lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in V.slices(batches, "text"):
-            buf, offsets = units(batch.column("text"))
-            starts, ends, _ = line_bounds(buf, offsets)
-            solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
-            short = (ends - starts >= EDIT_LEAST) & (ends - starts <= EDIT_MOST) & (solid[ends] > solid[starts])
-            starts, ends = starts[short], ends[short]
-            hashes, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
-            keys, owner = edit_keys(buf, starts[one], ends[one])
-            if shared is not None:
-                keep = np.ones(len(keys), dtype=bool)
-                for p in _probes(keys, bits):
-                    keep &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-                keys, owner = keys[keep], owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hashes[owner].view(np.int64))], names=["key", "hash"])
-
-    return run
+def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edit keys of short lines, given as UTF-16 units."""
+    for batch in V.slices(batches, "short", V.SLICE_BYTES // 16):
+        lines = batch.column("short").to_pylist()
+        ends = np.cumsum([len(x) // 2 for x in lines])
+        keys, owner = edit_keys(np.frombuffer(b"".join(lines), "<u2"), np.concatenate([[0], ends[:-1]]), ends)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("hash").take(pa.array(owner))], names=["key", "hash"])
 
 
-def _edit_links(texts: DataFrame, bloom_bits: int) -> DataFrame:
+def _edit_links(lines: DataFrame) -> DataFrame:
     """Links (a, b) of short lines one edit apart: the lines of a key to its least."""
-    proposed = texts.select("text").mapInArrow(_edit_rows(), "key long, hash long")
-    shared = proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core"), "lo")
-    shared = cut(shared, "edits")
-    found = texts.select("text").mapInArrow(_edit_rows(bloom(shared.select("core"), bloom_bits), bloom_bits), "key long, hash long")
-    links = found.join(shared.withColumnRenamed("core", "key"), "key").where("hash <> lo")
+    short = lines.where("short is not null").groupBy("hash").agg(F.first("short").alias("short"))
+    keys = cut(short.mapInArrow(_edit_rows, "key long, hash long"), "edits")
+    shared = keys.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("key", "lo")
+    links = keys.join(shared, "key").where("hash <> lo")
     return cut(links.select(F.col("lo").alias("a"), F.col("hash").alias("b")).distinct(), "edit_links")
 
 
@@ -230,9 +219,9 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """Per document with any: doc, version (the text's hash) and ``lines``, the numbers from 0 of the lines to remove."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").withColumn("version", F.xxhash64("text"))
-    lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long"), "lines")
-    proposed = texts.select("text").mapInArrow(_band_rows(), "key long, tag int")
-    shared = cut(proposed.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
+    lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long, short binary"), "lines")
+    proposed = texts.select("text").mapInArrow(_band_rows(), "key long, hash long")
+    shared = cut(proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
     found = texts.select("text").mapInArrow(_band_rows(bloom(shared, bloom_bits), bloom_bits), "key long, hash long, words binary")
     found = cut(found, "candidates")
     members = found.select("key", F.col("hash").alias("doc_id")).distinct().join(shared.withColumnRenamed("core", "key"), "key", "left_semi")
@@ -240,9 +229,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
     sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
     parts = linked(members, sets, percent, shingle_set)
-    edits = _edit_links(texts, bloom_bits)
+    edits = _edit_links(lines)
     if not edits.isEmpty():
-        parts = components(cut(edits.union(parts.select(F.col("component").alias("a"), F.col("node").alias("b"))), "links"), roots=False)
+        parts = contracted(parts, placed_links(edits, parts))
     grouped = lines.join(parts.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group", F.coalesce("component", "hash"))
     grouped = grouped.select("doc", "version", "line", "group")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")

@@ -1,14 +1,15 @@
-"""Links between similar sets that share a bucket, and their components, without expanding a bucket into pairs.
+"""Links between similar sets that share a bucket, as components, without expanding a bucket into pairs.
 
-Rounds link each set to one leader that it meets most often, and drop
-candidates that are already in one component.  Sets that still meet others of
-a different component are compared in blocks, by an index of shingles, and
-only true links come out.
+Rounds link each set to one leader that it meets most often, contract what is
+linked, and drop candidates that are already in one component; they end when a
+round links few.  Sets that still meet others of a different component are
+compared exactly in blocks of bounded size, by a prefix index of their rarest
+shingles.  A link only ever comes out where it merges two components, so there
+are fewer links than components.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from quillspan.llm.graph import components
 from quillspan.llm.tables import cut
 
-#: Sets in a block of the comparison of the rest; sets for which one round of leaders is enough, with one more for each doubling.
-BLOCK = 1000
-ONE_ROUND = 200_000
+#: Shingles of a block of the exact comparison: 16 MB of hashes.
+BLOCK = 2_000_000
+#: A round of leaders is the last if it links fewer than one in so many sets.
+SETTLED = 50
+#: Pairs of places in the index that are expanded at once.
+_CHUNK = 1 << 20
 
 #: What turns a stored set into its sorted distinct 64-bit shingle hashes.
 Unpack = Callable[[bytes], np.ndarray]
@@ -40,64 +44,149 @@ def _overlaps(percent: int, unpack: Unpack):
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield batch.select(["ca", "cb"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
-    """Of the pairs (a, b), those whose full sets are similar enough."""
+    """The components (ca, cb) of those pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "sa", "sb").mapInArrow(_overlaps(percent, unpack), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").where(fits).select("ca", "cb", "sa", "sb").mapInArrow(_overlaps(percent, unpack), "ca long, cb long")
 
 
 def _leader_edges(members: DataFrame, turn: int) -> DataFrame:
-    """For each text in a bucket with texts of another component, the leader it shares most such buckets with."""
+    """For each text in a bucket with texts of another component, the leader it shares most such buckets with; both with their components."""
     order = F.xxhash64(F.lit(turn), "doc_id")
     leaders = (
         members.groupBy("key")
-        .agg(F.min_by("doc_id", order).alias("leader"), F.min_by("component", order).alias("its"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.min_by(F.struct("doc_id", "component"), order).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi")
-        .select("key", "leader", "its")
+        .select("key", "leader")
     )
-    met = members.join(leaders, "key").where("component <> its").groupBy("doc_id", "leader").count()
-    best = met.groupBy("doc_id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    return best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    met = members.join(leaders, "key").where("component <> leader.component").groupBy("doc_id", "component", "leader").count()
+    best = met.groupBy("doc_id", "component").agg(F.max_by("leader", F.struct("count", -F.col("leader.doc_id"))).alias("leader"))
+    return best.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("leader.component").alias("ca"), F.col("component").alias("cb"))
+
+
+class _Roots:
+    """Union-find over the components of one group."""
+
+    def __init__(self, names: np.ndarray):
+        self.names, self.at = np.unique(names, return_inverse=True)
+        self.up = np.arange(len(self.names))
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+            self.links.append((int(self.names[a]), int(self.names[b])))
+
+    def now(self) -> np.ndarray:
+        """The root of every row."""
+        while True:
+            up = self.up[self.up]
+            if (up == self.up).all():
+                return self.up[self.at]
+            self.up = up
+
+
+def _merge(sets: list[np.ndarray], roots: _Roots, held: np.ndarray, asks: np.ndarray, percent: int) -> None:
+    """Joins the components of all similar pairs of one that asks and one that is held.
+
+    With a set's shingles by how many sets hold them, rarest first, two similar
+    sets share one among their first n - ceil(percent * n / 100) + 1.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    tokens, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(tokens))
+    # Each set's shingles by rank, on end: one sorted array of (set, rank).
+    every = np.sort((owner << 32) | rank[inverse.reshape(-1)])
+    begin = np.cumsum(sizes) - sizes
+    first = np.arange(len(every)) - begin[owner] < (sizes + (-percent * sizes) // 100 + 1)[owner]
+    lone = np.sort(often) == 1
+    first &= ~lone[every & 0xFFFFFFFF]
+    at, who = every[first] & 0xFFFFFFFF, owner[first]
+    order = np.argsort(at[held[who]], kind="stable")
+    posting, holder = at[held[who]][order], who[held[who]][order]
+    ask = asks[who]
+    low = np.searchsorted(posting, at[ask], "left")
+    many = np.searchsorted(posting, at[ask], "right") - low
+    asker = who[ask]
+    done = np.concatenate([[0], np.cumsum(many)])
+    a = 0
+    while a < len(many):
+        # Whole askers, as many as fit; one asker alone if it does not.
+        b = max(a + 1, int(np.searchsorted(done, done[a] + _CHUNK, "right")) - 1)
+        while b < len(many) and asker[b] == asker[b - 1]:
+            b += 1
+        hit = np.repeat(low[a:b] - (done[a:b] - done[a]), many[a:b]) + np.arange(done[b] - done[a])
+        x, y = np.repeat(asker[a:b], many[a:b]), holder[hit]
+        _compare(x, y, sizes, begin, every, roots, percent)
+        a = b
+
+
+def _compare(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, begin: np.ndarray, every: np.ndarray, roots: _Roots, percent: int) -> None:
+    """Exact comparison of the pairs, in waves: of each pair of components one pair first, then ever more."""
+    now = roots.now()
+    fit = (now[x] != now[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+    pairs = np.unique(x[fit] * len(sizes) + y[fit])
+    x, y = pairs // len(sizes), pairs % len(sizes)
+    wave = 1
+    while len(x):
+        lo, hi = np.minimum(now[x], now[y]), np.maximum(now[x], now[y])
+        kind = lo * len(roots.up) + hi
+        order = np.argsort(kind, kind="stable")
+        _, start, count = np.unique(kind[order], return_index=True, return_counts=True)
+        turn = np.empty(len(x), dtype=np.int64)
+        turn[order] = np.arange(len(x)) - np.repeat(start, count)
+        mine = np.flatnonzero(turn < wave)
+        for part in np.array_split(mine, 1 + int(sizes[x[mine]].sum() >> 21)):
+            p, q = x[part], y[part]
+            n = sizes[p]
+            where = np.repeat(begin[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            want = (np.repeat(q, n) << 32) | (every[where] & 0xFFFFFFFF)
+            found = np.minimum(np.searchsorted(every, want), len(every) - 1)
+            same = np.add.reduceat((every[found] == want).astype(np.int64), np.cumsum(n) - n)
+            for i, j in zip(*(v[100 * same >= percent * (n + sizes[q] - same)].tolist() for v in (p, q))):
+                roots.join(roots.at[i], roots.at[j])
+        now = roots.now()
+        left = (turn >= wave) & (now[x] != now[y])
+        x, y = x[left], y[left]
+        wave *= 4
 
 
 def _against_block(percent: int, unpack: Unpack):
     def run(table: pa.Table) -> pa.Table:
-        """Similar pairs between a group's queries and its block of sets, by counting shared shingles in one sorted index."""
-        docs, parts, query, sizes = (table.column(c).to_numpy() for c in ("doc_id", "component", "query", "n"))
-        sets = [unpack(s) for s in table.column("shingles").to_pylist()]
-        held = np.flatnonzero(~query)
-        found: list[tuple[int, int]] = []
-        if len(held) and query.any():
-            owner = np.repeat(np.arange(len(held)), sizes[held])
-            tokens = np.concatenate([sets[i] for i in held])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            for i in np.flatnonzero(query):
-                low = np.searchsorted(tokens, sets[i], "left")
-                many = np.searchsorted(tokens, sets[i], "right") - low
-                at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                same = np.bincount(owner[at], minlength=len(held))
-                good = (100 * same >= percent * (sizes[i] + sizes[held] - same)) & (parts[held] != parts[i])
-                found += [(min(docs[i], d), max(docs[i], d)) for d in docs[held[good]]]
-        a, b = zip(*found) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        """Links between components of a group that similar pairs of those that ask and those that are held merge."""
+        held, asks = table.column("held").to_numpy(), table.column("asks").to_numpy()
+        roots = _Roots(table.column("component").to_numpy())
+        if held.any() and asks.any():
+            _merge([unpack(s) for s in table.column("shingles").to_pylist()], roots, held, asks, percent)
+        a, b = zip(*roots.links) if roots.links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["ca", "cb"])
 
     return run
 
 
 def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack: Unpack) -> DataFrame | None:
-    """Every link that is left between different components whose texts meet in a bucket; None if no bucket has two.
+    """Links (ca, cb) for all that is left between components whose texts meet in a bucket; None if no bucket has two.
 
     Texts that meet in such buckets form clusters.  Texts outside their
-    cluster's main component are the queries; each is compared with all of its
-    cluster, block by block, and only true links come out.
+    cluster's main component ask, and are compared with all of the cluster.
+    Clusters of up to ``block`` shingles share groups; a larger one is dealt to
+    blocks of it and slices of those that ask, a group for each of both.
     """
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     met = cut(members.join(mixed.select("key", "lo"), "key").select("doc_id", "component", "lo").distinct(), "met")
@@ -106,16 +195,45 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack:
     # Clusters are found over components, of which there are far fewer than texts in a large group.
     clusters = components(met.select("component", "lo").distinct(), "component", "lo", roots=False)
     clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    docs = met.select("doc_id", "component").distinct().join(clusters, "component", "left")
+    docs = met.select("doc_id", "component").distinct().join(clusters, "component", "left").join(sets.select("doc_id", "n"), "doc_id")
     docs = cut(docs.withColumn("cluster", F.coalesce("cluster", "component")), "clusters")
-    per = docs.groupBy("cluster", "component").agg(F.count("*").alias("k"))
-    main = per.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.ceil(F.sum("k") / block).alias("blocks"))
-    placed = docs.join(main, "cluster").join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    groups = max(1, docs.count() // block)
-    row = ["doc_id", "component", "n", "shingles", "query", F.pmod(F.xxhash64("cluster", "own"), F.lit(groups)).alias("group")]
-    held = placed.withColumn("query", F.lit(False)).select(row)
-    asks = placed.where("component <> main").withColumn("query", F.lit(True)).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return held.union(asks.select(row)).groupBy("group").applyInArrow(_against_block(percent, unpack), "a long, b long")
+    per = docs.groupBy("cluster", "component").agg(F.sum("n").alias("k"))
+    main = per.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
+    main = main.select("cluster", "main", F.ceil(F.col("all") / block).alias("blocks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / block), F.lit(1)).alias("slices"))
+    placed = docs.join(main, "cluster").join(sets.select("doc_id", "shingles"), "doc_id").withColumn("asks", F.col("component") != F.col("main"))
+    groups = max(1, (docs.agg(F.sum("n")).first()[0] or 0) // block)
+    row = ["component", "shingles", "held", "asks", "group"]
+    whole = placed.where("blocks = 1").withColumn("held", F.lit(True)).withColumn("group", F.pmod(F.xxhash64("cluster"), F.lit(groups)))
+    parted = placed.where("blocks > 1")
+
+    def dealt(kind: str, others: str, own: str) -> DataFrame:
+        """One row for each of the other dimension's parts; which part of its own a text is in is a hash of it."""
+        rows = parted if kind == "held" else parted.where("asks")
+        rows = rows.withColumns({"held": F.lit(kind == "held"), "asks": F.lit(kind == "asks"), "own": F.pmod(F.xxhash64(F.lit(kind), "doc_id"), F.col(own))})
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+        at = (F.col("own"), F.col("other")) if kind == "held" else (F.col("other"), F.col("own"))
+        return rows.withColumn("group", F.xxhash64("cluster", *at))
+
+    every = whole.select(row).union(dealt("held", "slices", "blocks").select(row)).union(dealt("asks", "blocks", "slices").select(row))
+    return every.groupBy("group").applyInArrow(_against_block(percent, unpack), "ca long, cb long")
+
+
+def contracted(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``parts`` with the components that ``links`` merge; only components that change take part in the search."""
+    merged = components(links, "ca", "cb", roots=False)
+    if parts is None:
+        return merged
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    moved = parts.join(to, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    return cut(moved.union(merged), "parts")
+
+
+def placed_links(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes as links (ca, cb) between their components in ``parts``."""
+    for end in ("a", "b"):
+        to = parts.select(F.col("node").alias(end), F.col("component").alias("c"))
+        links = links.join(to, end, "left").withColumn("c" + end, F.coalesce("c", end)).drop("c")
+    return links.select("ca", "cb")
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = stored, block: int = BLOCK) -> DataFrame:
@@ -125,19 +243,17 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = s
     ``sets``: (doc_id, n, shingles), n the set's size and shingles what
     ``unpack`` reads, for every doc_id in ``members``.
     """
-    found = parts = None
-    rounds = 1 + math.ceil(math.log2(max(1.0, sets.count() / ONE_ROUND)))
-    for turn in range(rounds + 1):
+    parts: DataFrame | None = None
+    enough, turn, settled = sets.count() / SETTLED, 0, False
+    while True:
         if parts is None:
             placed = members.withColumn("component", F.col("doc_id"))
         else:
             placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        if turn < rounds:
-            links = _verify(_leader_edges(placed, turn), sets, percent, unpack)
-        else:
+        if settled:
             links = _rest(cut(placed, "placed"), sets, percent, block, unpack)
-        if links is not None:
-            found = cut(links if found is None else found.union(links), "found")
-            parts = components(found, roots=False)
-    return parts
+            return parts if links is None else contracted(parts, cut(links, "found"))
+        links = cut(_verify(_leader_edges(placed, turn), sets, percent, unpack).distinct(), "found")
+        parts = contracted(parts, links)
+        settled, turn = links.count() <= enough, turn + 1

@@ -6,10 +6,10 @@ of collections, so 14 collections (28 minhashes) give 91 keys of four
 minhashes.  A pair of texts with similarity 0.75 shares a key with probability
 0.9998.  Candidates are confirmed on the full sets.
 
-Buckets are never expanded into all pairs.  Rounds link each text to one
-leader that it meets most often, and drop candidates that are already in one
-component.  Texts that still meet others of a different component are compared
-in blocks, by an index of shingles, and only true links come out.
+Buckets are never expanded into all pairs: ``linking`` links texts to leaders
+round by round, compares the rest in blocks, and lets out only links that merge
+two components.  A word, a shingle and a whole text are known by non-linear
+64-bit hashes of their bytes; texts count as equal by two such hashes.
 """
 
 from __future__ import annotations

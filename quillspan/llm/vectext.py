@@ -11,41 +11,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that one numpy pass holds; bounds a worker's memory, not the length of a text.
 SLICE_BYTES = 1 << 20
+#: Bytes of a span from which one call a span is cheaper than numpy passes over its blocks.
+LONG_SPAN = 64
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_WORD = 0xC2B2AE3D27D4EB4F
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-
-            def table(b: int) -> np.ndarray:
-                steps = np.full(size, b, dtype=np.uint64)
-                steps[0] = 1
-                return np.cumprod(steps, dtype=np.uint64)
-
-            self.up, self.down = table(self.base), table(self.inverse)
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_WORD)
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+#: What is left of a 64-bit load when a span has so many bytes from there on.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -98,21 +80,51 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    up, down = _BYTE_POWERS.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of each span of bytes or units.
+
+    Short spans sum their blocks of eight bytes, each mixed with its place, and
+    mix in the length; those over LONG_SPAN bytes take XXH3.
+    """
+    width = buf.itemsize
+    data = np.concatenate([buf.view(np.uint8), np.zeros(8, np.uint8)])
+    loads = np.ndarray((len(data) - 7,), "<u8", data.data, 0, (1,))
+    at, size = starts * width, (ends - starts) * width
+    total = mix64((loads[at] & _MASK[np.minimum(size, 8)]) ^ _PLACE)
+    long_ = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    if len(long_):
+        more = (size[long_] - 1) // 8
+        begin = np.cumsum(more) - more
+        place = np.arange(1, more.sum() + 1) - np.repeat(begin, more)
+        owner = np.repeat(long_, more)
+        block = loads[at[owner] + 8 * place] & _MASK[np.minimum(size[owner] - 8 * place, 8)]
+        salt = mix64(np.arange(place.max() + 1, dtype=np.uint64) + _PLACE)
+        total[long_] += np.add.reduceat(mix64(block ^ salt[place]), begin)
+    total = mix64(total ^ (size.astype(np.uint64) * _LENGTH))
+    long_ = np.flatnonzero(size > LONG_SPAN)
+    if len(long_):
+        view = data.data
+        total[long_] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(at[long_].tolist(), (at + size)[long_].tolist())]
+    return total
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64((left ^ _PLACE) * _STEP + right)
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of ``size`` hashes; entry i covers i to i + size."""
+    """A hash of each run of ``size`` hashes, by doubling; entry i covers i to i + size."""
     if len(hashes) < size:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _WORD_POWERS.upto(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix64((total[size:] - total[:-size]) * down[: len(total) - size])
+    done, out, run, have = 0, None, hashes, 1
+    while True:
+        if size & have:
+            part = run[done : done + len(hashes) - size + 1]
+            out = part if out is None else _pair(out, part)
+            done += have
+        if done == size:
+            return mix64(out + np.uint64(size))
+        run = _pair(run[:-have], run[have:])
+        have *= 2
 
 
 def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +136,12 @@ def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def totals(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
-    """One hash for each text's whole sequence of word hashes, as signed 64-bit; texts without words differ from none."""
-    up, down = _WORD_POWERS.upto(len(hashes) + 1)
-    salted = mix64(hashes ^ np.uint64(seed))
+    """One hash for each text's whole sequence of word hashes, each mixed with its place, as signed 64-bit; texts without words differ from none."""
+    counts = np.diff(first)
+    place = (np.arange(len(hashes)) - np.repeat(first[:-1], counts)).astype(np.uint64)
     total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(salted * up[:-1], out=total[1:])
-    counts = np.diff(first).astype(np.uint64)
-    return mix64((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + counts * np.uint64(_BASE | 1)).view(np.int64)
+    np.cumsum(mix64(mix64(hashes ^ np.uint64(seed)) ^ mix64(place + _PLACE)), out=total[1:])
+    return mix64((total[first[1:]] - total[first[:-1]]) ^ (counts.astype(np.uint64) + np.uint64(1)) * _LENGTH).view(np.int64)
 
 
 def distinct_within(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

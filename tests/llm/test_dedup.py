@@ -7,6 +7,11 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import numpy as np
+import pyarrow as pa
+
+from quillspan.llm import linking
+from quillspan.llm import vectext as V
 from quillspan.llm.graph import components
 from quillspan.llm.line_dedup import line_dedup, strip_lines
 from quillspan.llm.near_dedup import near_dedup
@@ -77,10 +82,71 @@ def test_near_dedup_hot_group(spark):
     union = Sets()
     for a, b in similar_pairs(sets):
         union.join(a, b)
-    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=40).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=4000).collect()}
     assert got == {d: union.find(d) for d, _ in rows}
 
 
+def test_block_links_only_merge_components():
+    """Exact components of random groups, with no more links than merges, whoever asks."""
+    rng = np.random.default_rng(7)
+    for turn in range(30):
+        base = rng.integers(1, 1 << 62, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(60) > rng.random() * 0.4], rng.integers(1, 1 << 62, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(70)]
+        sets += [np.unique(rng.choice(base, 9)) for _ in range(20)] + [sets[3], sets[4]]
+        sets = [s if len(s) else base[:1] for s in sets]
+        start = rng.integers(0, 40, len(sets)) if turn % 2 else np.arange(len(sets))
+        asks = rng.random(len(sets)) < (0.3 if turn % 3 else 1.0)
+        table = pa.table({"component": start, "shingles": [s.tobytes() for s in sets], "held": np.ones(len(sets), bool), "asks": asks})
+        got, union = Sets(), Sets()
+        links = linking._against_block(75, linking.stored)(table).to_pylist()
+        for x in links:
+            got.join(x["ca"], x["cb"])
+        for a, b in similar_pairs([set(s.tolist()) for s in sets]):
+            if asks[a] or asks[b]:
+                union.join(int(start[a]), int(start[b]))
+        assert all(got.find(int(c)) == union.find(int(c)) for c in start)
+        assert len(links) == len(set(start.tolist())) - len({union.find(int(c)) for c in start})
+
+
+def test_hashes_of_structured_words():
+    """Words and sequences that collide under any polynomial modulo a power of two, at every length class."""
+    flip = str.maketrans("ab", "ba")
+    long_ = "a"
+    while len(long_) < 2048:
+        long_ += long_.translate(flip)
+    words_ = [long_[:n] for n in (1, 7, 8, 9, 16, 63, 64, 65, 128, 1024, 2048)]
+    words_ += [w.translate(flip) for w in words_] + ["a" * n for n in (2, 3, 15, 17)]
+    buf, offsets = V.raw(pa.array([" ".join(words_), " ".join(long_), " ".join(long_.translate(flip)), None, " "]))
+    starts, ends, first = V.word_bounds(buf, offsets)
+    data, hashes = buf.tobytes(), V.span_hashes(buf, starts, ends)
+    known = {}
+    for a, b, h in zip(starts.tolist(), ends.tolist(), hashes.tolist()):
+        assert known.setdefault(data[a:b], h) == h
+    assert len(set(known.values())) == len(known)
+    whole = V.totals(hashes, first, 1)
+    assert len(set(whole.tolist())) == 4 and whole[3] == whole[4]
+    wide = np.frombuffer("x".join([*words_, "end"]).encode("utf-16-le"), "<u2")
+    at = np.flatnonzero(wide == ord("x"))
+    lines = V.span_hashes(wide, np.append(0, at[:-1] + 1), at)
+    assert len(set(lines.tolist())) == len(set(words_))
+
+
+def test_near_dedup_tells_structured_words_apart(spark):
+    long_ = "a"
+    while len(long_) < 2048:
+        long_ += long_.translate(str.maketrans("ab", "ba"))
+    other = long_.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(8))
+    rows = [(1, long_), (2, other), (3, f"{tail} {long_} {tail}"), (4, f"{tail} {other} {tail}"), (5, f"{long_}\n{other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept for r in near_dedup(df).collect())
+    # The two words hold the same runs of eight letters, so as lines they are alike.
+    assert {r.doc_id: r.n_removed for r in line_dedup(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 2}
+    window = " ".join([*["x"] * 19, long_])
+    pair = spark.createDataFrame([(1, window), (2, window.replace(long_, other)), (3, window)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(pair).collect()} == {1: 0, 2: 0, 3: 20}
+
+
 @pytest.mark.parametrize("often", [5000, 2])
 def test_substring_dedup(docs, rows, often):
     at = [((LAST if d is None else d), words(t)) for d, t in rows]
