@@ -6,14 +6,17 @@ starts earlier in the corpus (smaller doc_id, or earlier in the same document).
 1. *Phrases.*  Of the ten-word phrases inside a window the one with the least
    hash is its core; equal windows have equal cores, and about one word in six
    starts one.  Cores are counted over the whole corpus.
-2. *Shards.*  The neighbourhood of each recurring core (its windows' words) goes
-   to the shard of the core.  A Bloom filter of fixed size spares most others
-   the shuffle; it only ever lets too much through.
-3. *Automata.*  Each shard confirms its recurring phrases word by word, compiles
-   them into an Aho-Corasick automaton over words, streams its neighbourhoods
-   through it, and compares the windows around each occurrence exactly.
-4. Cores that occur very often are not gathered in a shard: their windows'
-   first places come from an aggregation that combines before its shuffle.
+2. *Neighbourhoods.*  Every document is read again, and the words of all windows
+   around each recurring core are written.  A Bloom filter sized by the number
+   of such cores spares most others; it only ever lets too much through.  Equal
+   neighbourhoods form a class (by MD5 of their words); all but its first place
+   are repeats as a whole.
+3. *Automata.*  The classes of a core go to one shard.  A shard confirms its
+   recurring phrases word by word, compiles them into an Aho-Corasick automaton
+   over words, streams its neighbourhoods through it, and compares windows by
+   the first occurrence that the automaton locates in each.
+4. The classes of a core that has very many are salted over several shards;
+   their windows' first places in each shard then meet in an aggregation.
 
 Streaming every whole document through every shard would cost documents times
 shards, so only neighbourhoods of recurring cores are streamed.
@@ -36,11 +39,10 @@ from quillspan.llm.tables import cut
 
 WINDOW = 20
 CORE = 10
-#: Neighbourhoods a shard holds on average, and occurrences beyond which a core takes the aggregated way.
+#: Neighbourhoods that a shard holds on average, and members of a class that one row lists.
 SHARD_ROWS = 10_000
-OFTEN = 5_000
-#: Bits of the Bloom filter: 8 MB, whatever the corpus.
-BLOOM_BITS = 26
+#: Bits of the Bloom filter for each recurring core, and of the whole filter at most (64 MB) and at least, as powers of two.
+CORE_BITS, MOST_BITS, LEAST_BITS = 16, 29, 20
 
 _LAST = (1 << 63) - 1
 
@@ -135,16 +137,20 @@ def _neighbourhoods(window: int, core: int, shared, bits: int):
             owner = np.searchsorted(first, at, side="right") - 1
             data = buf.tobytes()
             texts = [data[a:b] for a, b in zip(starts[lo].tolist(), ends[hi + window - 1].tolist())]
+            inside = (at - lo).astype(np.int32)
+            kinds = [hashlib.md5(t + b" %d" % i).digest() for t, i in zip(texts, inside.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(seeds.view(np.int64)),
+                    pa.array(kinds, pa.binary()),
                     batch.column("doc").take(pa.array(owner)),
                     batch.column("version").take(pa.array(owner)),
-                    pa.array(lo - first[owner], pa.int32()),
-                    pa.array((at - lo).astype(np.int32)),
+                    pa.array((lo - first[owner]).astype(np.int64)),
+                    pa.array((hi + window - lo).astype(np.int32)),
+                    pa.array(inside),
                     pa.array(texts, pa.binary()),
                 ],
-                names=["core", "doc", "version", "start", "inside", "words"],
+                names=["core", "kind", "doc", "version", "start", "size", "inside", "words"],
             )
 
     return run
@@ -163,76 +169,60 @@ def _spans(covered: list[int], window: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
+def _lettered(texts: list[bytes]) -> list[str]:
+    """The texts with one letter a word, surrogates left out."""
+    letters: dict[bytes, str] = {}
+    return ["".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (0x10000 if len(letters) > 0xD000 else 1))) for w in t.split()]) for t in texts]
+
+
+def anchored(line: str, hits: list[tuple[int, int]], window: int, core: int) -> Iterator[tuple[int, tuple[int, int, str]]]:
+    """Each window of a line that holds a located phrase: its start and its identity, the first such phrase, where it lies, and the words around it."""
+    k = 0
+    for s in range(len(line) - window + 1):
+        while k < len(hits) and hits[k][0] < s:
+            k += 1
+        if k < len(hits) and hits[k][0] + core <= s + window:
+            at, phrase = hits[k]
+            yield s, (phrase, at - s, line[s:at] + line[at + core : s + window])
+
+
 def _shard(window: int, core: int):
     def run(table: pa.Table) -> pa.Table:
-        """Confirms and compiles the shard's phrases, streams its neighbourhoods and marks words that occur earlier.
+        """Confirms and compiles the shard's phrases, streams its neighbourhoods, and gives the words that occur earlier in it.
 
-        Equal neighbourhoods are streamed once; all but the first of them are
-        repeats as a whole.
+        Of salted cores it also gives each window at its first place in the
+        shard (``words``), to be compared with the other shards.
         """
-        docs, versions, starts = (table.column(c).to_pylist() for c in ("doc", "version", "start"))
-        alike: dict[tuple[bytes, int], list[int]] = {}
-        for row, key in enumerate(zip(table.column("words").to_pylist(), table.column("inside").to_pylist())):
-            alike.setdefault(key, []).append(row)
-        # One letter a word, surrogates left out.
-        letters: dict[bytes, str] = {}
-        lines, phrases = [], {}
-        for (text, inside), rows in alike.items():
-            line = "".join([letters.get(w) or letters.setdefault(w, chr(len(letters) + (0x10000 if len(letters) > 0xD000 else 1))) for w in text.split()])
-            lines.append(line)
-            phrase = line[inside : inside + core]
-            phrases[phrase] = phrases.get(phrase, 0) + len(rows)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for phrase, n in phrases.items():
-            if n > 1:
-                automaton.add_word(phrase)
+        docs, versions, starts, inside, salted, texts = (table.column(c).to_pylist() for c in ("doc", "version", "start", "inside", "salted", "words"))
+        lines = _lettered(texts)
+        phrases: dict[str, list[int]] = {}
+        for i, line in enumerate(lines):
+            phrases.setdefault(line[inside[i] : inside[i] + core], []).append(i)
+        automaton = ahocorasick.Automaton()
+        for number, (phrase, rows) in enumerate(phrases.items()):
+            if len(rows) > 1 or salted[rows[0]]:
+                automaton.add_word(phrase, number)
         out: list[tuple] = []
         if len(automaton):
             automaton.make_automaton()
-            earliest: dict[str, tuple[int, int]] = {}
-            placed = []
-            for line, rows in zip(lines, alike.values()):
-                ends = [end + 1 for end, _ in automaton.iter(line)]
-                # Windows in between that hold no recurring phrase are first wherever they are.
-                low = max(0, min(ends) - window) if ends else 0
-                high = min(max(ends) - core, len(line) - window) + 1 if ends else 0
-                first = min(rows, key=lambda r: (docs[r], starts[r]))
-                placed.append((low, high, first))
-                doc, start = docs[first], starts[first]
-                for s in range(low, high):
-                    phrase = line[s : s + window]
-                    have = earliest.get(phrase)
-                    if have is None or (doc, start + s) < have:
-                        earliest[phrase] = (doc, start + s)
-            for line, rows, (low, high, first) in zip(lines, alike.values(), placed):
-                if low >= high:
-                    continue
-                doc, start = docs[first], starts[first]
-                covered = [start + s for s in range(low, high) if earliest[line[s : s + window]] < (doc, start + s)]
-                out += [(doc, versions[first], a, b) for a, b in _spans(covered, window)]
-                for r in rows:
-                    if (docs[r], starts[r]) > (doc, start):
-                        out.append((docs[r], versions[r], starts[r] + low, starts[r] + high - 1 + window))
-                    elif r != first:  # the same document given twice
-                        out += [(docs[r], versions[r], a, b) for a, b in _spans(covered, window)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        columns = list(zip(*out)) if out else [[]] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "version", "a", "b"])
-
-    return run
-
-
-def _explode_windows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in V.slices(batches, "words"):
-            _, _, _, first, hashes = _words(batch.column("words").cast(pa.string()))
-            at, owner = V.windows(first, window)
-            which = pa.array(owner)
-            start = batch.column("start").to_numpy()[owner] + at - first[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(V.window_hashes(hashes, window)[at].view(np.int64)), batch.column("doc").take(which), batch.column("version").take(which), pa.array(start.astype(np.int64))],
-                names=["window", "doc", "version", "start"],
-            )
+            earliest: dict[tuple, tuple[int, int]] = {}
+            for i, line in enumerate(lines):
+                for s, window_id in anchored(line, [(end - core + 1, n) for end, n in automaton.iter(line)], window, core):
+                    place = (docs[i], starts[i] + s)
+                    if place < earliest.get(window_id, (_LAST, _LAST)):
+                        earliest[window_id] = place
+            for i, line in enumerate(lines):
+                covered = []
+                for s, window_id in anchored(line, [(end - core + 1, n) for end, n in automaton.iter(line)], window, core):
+                    place = (docs[i], starts[i] + s)
+                    if earliest[window_id] < place:
+                        covered.append(place[1])
+                    elif salted[i]:
+                        out.append((docs[i], versions[i], place[1], place[1] + window, b" ".join(texts[i].split()[s : s + window])))
+                out += [(docs[i], versions[i], a, b, None) for a, b in _spans(covered, window)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        columns = list(zip(*out)) if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "version", "a", "b", "words"])
 
     return run
 
@@ -265,25 +255,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, shard_rows: int = SHARD_ROWS, often: int = OFTEN, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Word ranges [a, b) that earlier text repeats: doc, version (the text's hash), a, b; ranges may overlap."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").withColumn("version", F.xxhash64("text"))
     counted = texts.select("text").mapInArrow(_core_counts(window, core), "core long, n long")
     recurring = cut(counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1"), "cores")
-    total = recurring.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(64, total // shard_rows)
-    shape = "core long, doc long, version long, start int, inside int, words binary"
-    near = texts.mapInArrow(_neighbourhoods(window, core, bloom(recurring, bloom_bits), bloom_bits), shape)
-    # Only the cores that occur very often are marked: few, so Catalyst broadcasts them or, beyond its threshold, joins.
-    marked = recurring.where(F.col("n") > often).select("core", F.lit(True).alias("often"))
-    near = cut(near.join(cut(marked, "often"), "core", "left"), "neighbourhoods")
-    rare = near.where("often is null").withColumn("shard", F.pmod(F.xxhash64("core"), F.lit(shards)))
-    spans = rare.groupBy("shard").applyInArrow(_shard(window, core), "doc long, version long, a long, b long")
-    every = near.where("often").select("doc", "version", "start", "words").mapInArrow(_explode_windows(window), "window long, doc long, version long, start long")
-    every = cut(every, "windows")
-    first = every.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = every.join(first, "window").where(F.struct("doc", "start") > F.col("first"))
-    return spans.union(later.select("doc", "version", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
+    bits = min(MOST_BITS, max(LEAST_BITS, (CORE_BITS * recurring.count()).bit_length()))
+    shape = "core long, kind binary, doc long, version long, start long, size int, inside int, words binary"
+    near = cut(texts.mapInArrow(_neighbourhoods(window, core, bloom(recurring, bits), bits), shape), "neighbourhoods")
+    # Members of a class are listed in parts of bounded size, so that only parts meet their class's first place.
+    salts = max(64, near.count() // shard_rows)
+    place = F.struct("doc", "start", "version")
+    parts = near.groupBy("kind", F.pmod(F.xxhash64("doc", "start"), F.lit(salts)).alias("salt")).agg(
+        F.first("core").alias("core"), F.first("size").alias("size"), F.min(place).alias("lo"), F.collect_list(place).alias("members")
+    )
+    parts = cut(parts, "parts")
+    classes = cut(parts.groupBy("kind").agg(F.first("core").alias("core"), F.min("lo").alias("first")), "classes")
+    members = parts.join(classes.select("kind", "first"), "kind").select("size", "first", F.explode("members").alias("m"))
+    whole = members.where("struct(m.doc, m.start) > struct(first.doc, first.start)").select("m.doc", "m.version", F.col("m.start").alias("a"), (F.col("m.start") + F.col("size")).alias("b"))
+    # A core of one class has no window elsewhere.
+    several = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    firsts = classes.join(several, "core").select("kind", "core", "k", "first.*")
+    total = several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    salted = F.col("k") > 4 * shard_rows
+    streamed = near.select("kind", "doc", "start", "version", "inside", "words").join(firsts, ["kind", "doc", "start", "version"]).dropDuplicates(["kind"])
+    streamed = streamed.withColumn("salted", salted).withColumn(
+        "shard", F.when(salted, F.xxhash64("core", F.pmod(F.xxhash64("kind"), F.ceil(F.col("k") / shard_rows)))).otherwise(F.pmod(F.xxhash64("core"), F.lit(max(64, total // shard_rows))))
+    )
+    streamed = streamed.select("shard", "doc", "version", "start", "inside", "salted", "words")
+    found = cut(streamed.groupBy("shard").applyInArrow(_shard(window, core), "doc long, version long, a long, b long, words binary"), "found")
+    apart = found.where("words is not null")
+    earliest = apart.groupBy("words").agg(F.min(F.struct("doc", "a")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    later = apart.join(earliest, "words").where(F.struct("doc", "a") > F.col("first"))
+    return whole.union(found.where("words is null").drop("words")).union(later.select("doc", "version", "a", "b"))
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:

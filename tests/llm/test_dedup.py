@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
-
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillspan.llm import linking
+from quillspan.llm import substring_dedup as substring
 from quillspan.llm import vectext as V
 from quillspan.llm.graph import components
 from quillspan.llm.line_dedup import line_dedup, strip_lines
@@ -147,8 +148,8 @@ def test_near_dedup_tells_structured_words_apart(spark):
     assert {r.doc_id: r.n_removed for r in substring_dedup(pair).collect()} == {1: 0, 2: 0, 3: 20}
 
 
-@pytest.mark.parametrize("often", [5000, 2])
-def test_substring_dedup(docs, rows, often):
+@pytest.mark.parametrize("shard_rows", [10_000, 1])
+def test_substring_dedup(docs, rows, shard_rows):
     at = [((LAST if d is None else d), words(t)) for d, t in rows]
     first = {}
     for d, w in at:
@@ -163,12 +164,41 @@ def test_substring_dedup(docs, rows, often):
                 keep[i : i + 20] = [False] * 20
         kept = " ".join(x for x, k in zip(w, keep) if k)
         expected[doc_id, len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest()] += 1
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, often=often).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, shard_rows=shard_rows).collect())
     assert got == expected
-    if often == 2:
+    if shard_rows == 1:
         assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in kept_texts(docs).collect())
 
 
+def test_the_automaton_locates_what_is_compared(monkeypatch):
+    """Windows are compared by what the automaton finds: without its hits, or with other phrases' numbers, nothing is marked."""
+    text = " ".join(f"w{i}" for i in range(24))
+    table = pa.table({"doc": [1, 2], "version": [1, 2], "start": [0, 5], "inside": pa.array([7, 7], pa.int32()), "salted": [False, False], "words": [text.encode() + b" x", text.encode() + b" y"]})
+    whole = substring._shard(20, 10)(table).to_pylist()
+    assert [(r["doc"], r["a"], r["b"]) for r in whole] == [(2, 5, 29)]
+
+    real = ahocorasick.Automaton
+
+    class Blind:
+        def __init__(self):
+            self.real = real()
+            self.add_word, self.make_automaton = self.real.add_word, self.real.make_automaton
+
+        def __len__(self):
+            return len(self.real)
+
+        def iter(self, line):
+            return iter(())
+
+    class Wrong(Blind):
+        def iter(self, line):
+            return iter([(end, (n, line)) for end, n in self.real.iter(line)])
+
+    for stub in (Blind, Wrong):
+        monkeypatch.setattr(substring.ahocorasick, "Automaton", stub)
+        assert substring._shard(20, 10)(table).num_rows == 0
+
+
 def test_line_dedup(docs, rows):
     places = defaultdict(list)
     for d, text in rows:
