@@ -8,15 +8,14 @@ starts earlier in the corpus (smaller doc_id, or earlier in the same document).
    starts one.  Cores are counted over the whole corpus.
 2. *Neighbourhoods.*  Every document is read again, and the words of all windows
    around each recurring core are written.  A Bloom filter sized by the number
-   of such cores spares most others; it only ever lets too much through.  Equal
-   neighbourhoods form a class (by MD5 of their words); all but its first place
-   are repeats as a whole.
-3. *Automata.*  The classes of a core go to one shard.  A shard confirms its
-   recurring phrases word by word, compiles them into an Aho-Corasick automaton
-   over words, streams its neighbourhoods through it, and compares windows by
-   the first occurrence that the automaton locates in each.
-4. The classes of a core that has very many are salted over several shards;
-   their windows' first places in each shard then meet in an aggregation.
+   of such cores spares most others; it only ever lets too much through.
+3. *Automata.*  The neighbourhoods of a core go to one shard, where equal ones
+   count once; all but the first of them are repeats as a whole.  A shard
+   compiles the phrases that stand in different neighbourhoods into an
+   Aho-Corasick automaton over words, streams the neighbourhoods through it,
+   and compares windows by the first occurrence that it locates in each.
+4. The neighbourhoods of a core that has more than a shard's rows are salted
+   over several shards; what is first in each of them meets in an aggregation.
 
 Streaming every whole document through every shard would cost documents times
 shards, so only neighbourhoods of recurring cores are streamed.
@@ -39,7 +38,7 @@ from quillspan.llm.tables import cut
 
 WINDOW = 20
 CORE = 10
-#: Neighbourhoods that a shard holds on average, and members of a class that one row lists.
+#: Neighbourhoods that a shard holds on average; the cores with more are salted.
 SHARD_ROWS = 10_000
 #: Bits of the Bloom filter for each recurring core, and of the whole filter at most (64 MB) and at least, as powers of two.
 CORE_BITS, MOST_BITS, LEAST_BITS = 16, 29, 20
@@ -137,20 +136,16 @@ def _neighbourhoods(window: int, core: int, shared, bits: int):
             owner = np.searchsorted(first, at, side="right") - 1
             data = buf.tobytes()
             texts = [data[a:b] for a, b in zip(starts[lo].tolist(), ends[hi + window - 1].tolist())]
-            inside = (at - lo).astype(np.int32)
-            kinds = [hashlib.md5(t + b" %d" % i).digest() for t, i in zip(texts, inside.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(seeds.view(np.int64)),
-                    pa.array(kinds, pa.binary()),
                     batch.column("doc").take(pa.array(owner)),
                     batch.column("version").take(pa.array(owner)),
-                    pa.array((lo - first[owner]).astype(np.int64)),
-                    pa.array((hi + window - lo).astype(np.int32)),
-                    pa.array(inside),
+                    pa.array((lo - first[owner]).astype(np.int32)),
+                    pa.array((at - lo).astype(np.int32)),
                     pa.array(texts, pa.binary()),
                 ],
-                names=["core", "kind", "doc", "version", "start", "size", "inside", "words"],
+                names=["core", "doc", "version", "start", "inside", "words"],
             )
 
     return run
@@ -188,38 +183,53 @@ def anchored(line: str, hits: list[tuple[int, int]], window: int, core: int) ->
 
 def _shard(window: int, core: int):
     def run(table: pa.Table) -> pa.Table:
-        """Confirms and compiles the shard's phrases, streams its neighbourhoods, and gives the words that occur earlier in it.
+        """Compiles the shard's phrases, streams its neighbourhoods, and gives the words that occur earlier in it.
 
         Of salted cores it also gives each window at its first place in the
         shard (``words``), to be compared with the other shards.
         """
-        docs, versions, starts, inside, salted, texts = (table.column(c).to_pylist() for c in ("doc", "version", "start", "inside", "salted", "words"))
-        lines = _lettered(texts)
+        docs, versions, starts, salted = (table.column(c).to_pylist() for c in ("doc", "version", "start", "salted"))
+        alike: dict[tuple[bytes, int], list[int]] = {}
+        for row, key in enumerate(zip(table.column("words").to_pylist(), table.column("inside").to_pylist())):
+            alike.setdefault(key, []).append(row)
+        lines = _lettered([text for text, _ in alike])
         phrases: dict[str, list[int]] = {}
-        for i, line in enumerate(lines):
-            phrases.setdefault(line[inside[i] : inside[i] + core], []).append(i)
+        for k, ((_, inside), line) in enumerate(zip(alike, lines)):
+            phrases.setdefault(line[inside : inside + core], []).append(k)
+        firsts = [min((docs[r], starts[r], r) for r in rows) for rows in alike.values()]
+        out: list[tuple] = []
+        for line, rows, (doc, start, _) in zip(lines, alike.values(), firsts):
+            out += [(docs[r], versions[r], starts[r], starts[r] + len(line), None) for r in rows if (docs[r], starts[r]) > (doc, start)]
         automaton = ahocorasick.Automaton()
-        for number, (phrase, rows) in enumerate(phrases.items()):
-            if len(rows) > 1 or salted[rows[0]]:
+        streamed: list[int] = []
+        for number, (phrase, members) in enumerate(phrases.items()):
+            # A phrase of one neighbourhood has no window elsewhere.
+            if len(members) > 1 or salted[firsts[members[0]][2]]:
                 automaton.add_word(phrase, number)
-        out: list[tuple] = []
+                streamed += members
         if len(automaton):
             automaton.make_automaton()
+            texts = list(alike)
             earliest: dict[tuple, tuple[int, int]] = {}
-            for i, line in enumerate(lines):
-                for s, window_id in anchored(line, [(end - core + 1, n) for end, n in automaton.iter(line)], window, core):
-                    place = (docs[i], starts[i] + s)
-                    if place < earliest.get(window_id, (_LAST, _LAST)):
-                        earliest[window_id] = place
-            for i, line in enumerate(lines):
-                covered = []
-                for s, window_id in anchored(line, [(end - core + 1, n) for end, n in automaton.iter(line)], window, core):
-                    place = (docs[i], starts[i] + s)
-                    if earliest[window_id] < place:
-                        covered.append(place[1])
-                    elif salted[i]:
-                        out.append((docs[i], versions[i], place[1], place[1] + window, b" ".join(texts[i].split()[s : s + window])))
-                out += [(docs[i], versions[i], a, b, None) for a, b in _spans(covered, window)]
+            found = []
+            for k in streamed:
+                doc, start, _ = firsts[k]
+                windows = list(anchored(lines[k], [(end - core + 1, n) for end, n in automaton.iter(lines[k])], window, core))
+                found.append(windows)
+                for s, identity in windows:
+                    place = earliest.get(identity)
+                    if place is None or (doc, start + s) < place:
+                        earliest[identity] = (doc, start + s)
+            for k, windows in zip(streamed, found):
+                doc, start, first = firsts[k]
+                covered = [start + s for s, identity in windows if earliest[identity] < (doc, start + s)]
+                spans = list(_spans(covered, window))
+                words = texts[k][0].split() if salted[first] else []
+                # The first, and what the same document given twice has there.
+                for version in {versions[r] for r in alike[texts[k]] if (docs[r], starts[r]) == (doc, start)}:
+                    out += [(doc, version, a, b, None) for a, b in spans]
+                    if words:
+                        out += [(doc, version, start + s, start + s + window, b" ".join(words[s : s + window])) for s, identity in windows if earliest[identity] == (doc, start + s)]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         columns = list(zip(*out)) if out else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "version", "a", "b", "words"])
@@ -261,33 +271,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, core: int = CORE, shar
     counted = texts.select("text").mapInArrow(_core_counts(window, core), "core long, n long")
     recurring = cut(counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1"), "cores")
     bits = min(MOST_BITS, max(LEAST_BITS, (CORE_BITS * recurring.count()).bit_length()))
-    shape = "core long, kind binary, doc long, version long, start long, size int, inside int, words binary"
-    near = cut(texts.mapInArrow(_neighbourhoods(window, core, bloom(recurring, bits), bits), shape), "neighbourhoods")
-    # Members of a class are listed in parts of bounded size, so that only parts meet their class's first place.
-    salts = max(64, near.count() // shard_rows)
-    place = F.struct("doc", "start", "version")
-    parts = near.groupBy("kind", F.pmod(F.xxhash64("doc", "start"), F.lit(salts)).alias("salt")).agg(
-        F.first("core").alias("core"), F.first("size").alias("size"), F.min(place).alias("lo"), F.collect_list(place).alias("members")
-    )
-    parts = cut(parts, "parts")
-    classes = cut(parts.groupBy("kind").agg(F.first("core").alias("core"), F.min("lo").alias("first")), "classes")
-    members = parts.join(classes.select("kind", "first"), "kind").select("size", "first", F.explode("members").alias("m"))
-    whole = members.where("struct(m.doc, m.start) > struct(first.doc, first.start)").select("m.doc", "m.version", F.col("m.start").alias("a"), (F.col("m.start") + F.col("size")).alias("b"))
-    # A core of one class has no window elsewhere.
-    several = classes.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
-    firsts = classes.join(several, "core").select("kind", "core", "k", "first.*")
-    total = several.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    salted = F.col("k") > 4 * shard_rows
-    streamed = near.select("kind", "doc", "start", "version", "inside", "words").join(firsts, ["kind", "doc", "start", "version"]).dropDuplicates(["kind"])
-    streamed = streamed.withColumn("salted", salted).withColumn(
-        "shard", F.when(salted, F.xxhash64("core", F.pmod(F.xxhash64("kind"), F.ceil(F.col("k") / shard_rows)))).otherwise(F.pmod(F.xxhash64("core"), F.lit(max(64, total // shard_rows))))
-    )
+    shape = "core long, doc long, version long, start int, inside int, words binary"
+    near = texts.mapInArrow(_neighbourhoods(window, core, bloom(recurring, bits), bits), shape)
+    # Few cores are salted, so Catalyst broadcasts them or, beyond its threshold, joins.
+    hot = cut(recurring.where(F.col("n") > shard_rows).select("core", F.ceil(F.col("n") / shard_rows).alias("salts")), "hot")
+    near = cut(near.join(hot, "core", "left"), "neighbourhoods")
+    shards = max(64, near.count() // shard_rows)
+    whole, part = F.pmod(F.xxhash64("core"), F.lit(shards)), F.pmod(F.xxhash64("doc", "start"), F.col("salts"))
+    streamed = near.withColumn("salted", F.col("salts").isNotNull()).withColumn("shard", F.when(F.col("salted"), F.xxhash64("core", part)).otherwise(whole))
     streamed = streamed.select("shard", "doc", "version", "start", "inside", "salted", "words")
     found = cut(streamed.groupBy("shard").applyInArrow(_shard(window, core), "doc long, version long, a long, b long, words binary"), "found")
     apart = found.where("words is not null")
     earliest = apart.groupBy("words").agg(F.min(F.struct("doc", "a")).alias("first"), F.count("*").alias("k")).where("k > 1")
     later = apart.join(earliest, "words").where(F.struct("doc", "a") > F.col("first"))
-    return whole.union(found.where("words is null").drop("words")).union(later.select("doc", "version", "a", "b"))
+    return found.where("words is null").drop("words").union(later.select("doc", "version", "a", "b"))
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
