@@ -2,15 +2,17 @@
 
 Documents are tokenised and cut in one pass.  Lengths are interchangeable, so
 the plan is made from the histogram of piece lengths alone (at most ``limit``
-bins, whatever the corpus): patterns of up to three coarse lengths that fill a
-sequence are fitted to the histogram by non-negative least squares, their
-repeat counts rounded, and all other pieces placed best-fit, longest first,
-into what is left.  Spark then gives every piece its rank among the pieces of
-its length and looks its place up in the plan.
+bins, whatever the corpus): the lengths are binned by quantiles of their tokens,
+patterns of one or two bins that fill a sequence are fitted to the histogram by
+non-negative least squares, their repeat counts rounded down, and all other
+pieces placed best-fit, longest first, into what is left.  Where best fit alone
+needs fewer sequences, its plan is taken.  Spark then gives every piece its rank
+among the pieces of its length and looks its place up in the plan.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 from array import array
@@ -27,9 +29,11 @@ from quillspan.llm.tables import cut
 
 LIMIT = 4096
 END_ID = 1
-#: Bins of the coarse histogram that patterns are enumerated over, and documents a pattern.
-COARSE = 64
-PATTERN_DOCS = 3
+#: Bins of lengths that patterns are enumerated over, and the documents of a pattern's first bin at most; its second bin fills it up.
+BINS = 32
+PATTERN_DOCS = 6
+#: Shares of the fitted repeats that are tried, the largest that costs no sequence wins: best fit needs pieces of all lengths for the rest.
+SHARES = (1.0, 0.9, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05)
 #: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
 #: Bytes of text that are split at once.
@@ -61,7 +65,7 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = array("I")
         self.begin = array("q", [0])
 
@@ -73,16 +77,17 @@ class _Words:
         data = b"\n".join(texts) + b"\n"
         buf = np.frombuffer(data, np.uint8)
         starts, ends = _split(buf)
-        hashes, one, inverse = np.unique(V.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        _, one, inverse = np.unique(V.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if len(self.place) > CACHE_WORDS:
             self.clear()
-        where = np.empty(len(hashes), dtype=np.int64)
+        where = np.empty(len(one), dtype=np.int64)
         place, begin, ids, model, letters = self.place, self.begin, self.ids, self.model, self.letters
-        for i, (h, a, b) in enumerate(zip(hashes.tolist(), starts[one].tolist(), ends[one].tolist())):
-            at = place.get(h)
+        for i, (a, b) in enumerate(zip(starts[one].tolist(), ends[one].tolist())):
+            word = data[a:b]
+            at = place.get(word)
             if at is None:
-                at = place[h] = len(begin) - 1
-                ids.extend([t.id for t in model.tokenize(data[a:b].decode("latin-1").translate(letters))])
+                at = place[word] = len(begin) - 1
+                ids.extend([t.id for t in model.tokenize(word.decode("latin-1").translate(letters))])
                 begin.append(len(ids))
             where[i] = at
         offsets = np.array(begin)
@@ -191,86 +196,142 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
-def patterns(total: int, most: int) -> list[tuple[int, ...]]:
-    """Every non-increasing tuple of up to ``most`` positive integers that sum to ``total``."""
-
-    def grow(left: int, top: int, places: int) -> Iterator[tuple[int, ...]]:
-        if left == 0:
-            yield ()
-        elif places:
-            for x in range(min(left, top), 0, -1):
-                if x * places < left:
+def patterns(tops: list[int], limit: int, most: int) -> list[dict[int, int]]:
+    """How many pieces of which bins fill a sequence: up to ``most`` of one bin, then of another as many as fit; ``tops`` are the bins' longest."""
+    out = {tuple([(i, limit // n)]) for i, n in enumerate(tops)}
+    for i, n in enumerate(tops):
+        for k in range(1, min(most, limit // n) + 1):
+            for j, m in enumerate(tops):
+                rest = (limit - k * n) // m
+                if j != i and rest:
+                    out.add(tuple(sorted([(i, k), (j, rest)])))
+    return [dict(x) for x in sorted(out)]
+
+
+def quantile_bins(histogram: dict[int, int], bins: int) -> list[list[int]]:
+    """The lengths, ascending, in up to ``bins`` runs of about equal token counts."""
+    lengths = sorted(histogram)
+    tokens = np.cumsum([n * histogram[n] for n in lengths])
+    at = np.minimum((tokens - 1) * bins // max(1, tokens[-1]), bins - 1) if lengths else []
+    out: dict[int, list[int]] = defaultdict(list)
+    for n, k in zip(lengths, at):
+        out[int(k)].append(n)
+    return [out[k] for k in sorted(out)]
+
+
+class _Open:
+    """Sequences with room, by the room: [lengths, how many]."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.groups: dict[int, list[list]] = defaultdict(list)
+
+    def put(self, lengths: tuple[int, ...], count: int) -> None:
+        self.groups[self.limit - sum(lengths)].append([lengths, count])
+
+    def best_fit(self, left: dict[int, int]) -> None:
+        """Places all that is left, longest first, where it leaves the least room."""
+        for n in sorted((n for n, c in left.items() if c), reverse=True):
+            c = left[n]
+            while c:
+                room = min((r for r in self.groups if r >= n), default=None)
+                if room is None:
+                    each = self.limit // n
+                    if c // each:
+                        self.put((n,) * each, c // each)
+                    if c % each:
+                        self.put((n,) * (c % each), 1)
                     break
-                for rest in grow(left - x, x, places - 1):
-                    yield (x, *rest)
-
-    return list(grow(total, total, most))
-
-
-def plan(histogram: dict[int, int], limit: int = LIMIT, coarse: int = COARSE, docs: int = PATTERN_DOCS) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (piece lengths in order, how many such sequences); uses up the histogram exactly."""
-    left = {n: c for n, c in histogram.items() if c}
-    unit = max(1, math.ceil(limit / coarse))
-    top = limit // unit
-    bins: dict[int, list[int]] = defaultdict(list)
-    for n in sorted(left):
-        bins[math.ceil(n / unit)].append(n)  # the last is the longest
-    open_: dict[int, list[list]] = defaultdict(list)  # room left -> [lengths, count]
-
-    def put(lengths: tuple[int, ...], count: int) -> None:
-        open_[limit - sum(lengths)].append([lengths, count])
-
-    shapes = patterns(top, docs) if left else []
-    if shapes:
-        a = np.zeros((top + 1, len(shapes)))
-        for j, shape in enumerate(shapes):
-            for k in shape:
-                a[k, j] += 1
-        b = np.array([sum(left[n] for n in bins.get(k, [])) for k in range(top + 1)], dtype=float)
-        # Long pieces must be matched; what is missed of short ones fills gaps later.
-        weight = np.sqrt(np.arange(top + 1) / top)
-        x = nnls(a * weight[:, None], b * weight)
-        for j in np.argsort(-x):
-            repeats = round(float(x[j]))
-            while repeats > 0:
-                slots, want = [], defaultdict(int)
-                for k in shapes[j]:
-                    have = next((n for n in reversed(bins.get(k, [])) if left[n] > want[n]), None)
-                    if have is None:
+                group = self.groups[room][-1]
+                times = min(room // n, max(1, c // group[1]))
+                used = min(group[1], c // times)
+                group[1] -= used
+                if not group[1]:
+                    self.groups[room].pop()
+                    if not self.groups[room]:
+                        del self.groups[room]
+                self.put(group[0] + (n,) * times, used)
+                c -= used * times
+
+    def sequences(self) -> list[tuple[tuple[int, ...], int]]:
+        return [(tuple(lengths), count) for groups in self.groups.values() for lengths, count in groups]
+
+
+def fit_patterns(left: dict[int, int], open_: _Open, limit: int, bins: int, most: int, share: float) -> int:
+    """Moves what a share of the fitted patterns places, sequences without room, from ``left`` to ``open_``; how many pieces that is."""
+    held = quantile_bins(left, bins)
+    bin_of = {n: i for i, lengths in enumerate(held) for n in lengths}
+    lengths = sorted(left)
+    shapes = patterns([b[-1] for b in held], limit, most)
+    if not shapes:
+        return 0
+    a = np.zeros((len(held), len(shapes)))
+    for j, shape in enumerate(shapes):
+        for i, k in shape.items():
+            a[i, j] = k
+    b = np.array([sum(left[n] for n in x) for x in held], dtype=float)
+    # A bin counts by its tokens, as what is missed of short pieces fills gaps later.
+    weight = np.array([float(x[-1]) for x in held]) / limit
+    x = nnls(a * weight[:, None], b * weight)
+    placed = 0
+    for j in np.argsort(-x):
+        repeats = int(share * x[j] + 1e-9)
+        while repeats > 0:
+            # The longest that are left of each bin, as often as the rarest of them allows.
+            want: dict[int, int] = defaultdict(int)
+            for i, k in shapes[j].items():
+                for n in reversed(held[i]):
+                    take = min(k, left[n])
+                    if take:
+                        want[n] += take
+                        k -= take
+                    if not k:
                         break
-                    want[have] += 1
-                    slots.append(have)
-                if len(slots) < len(shapes[j]):
+                if k:
+                    want.clear()
                     break
-                take = min([repeats, *(left[n] // w for n, w in want.items())])
-                for n, w in want.items():
-                    left[n] -= take * w
-                    if not left[n]:
-                        bins[math.ceil(n / unit)].remove(n)
-                put(tuple(slots), take)
-                repeats -= take
-    for n in sorted((n for n, c in left.items() if c), reverse=True):
-        c = left[n]
-        while c:
-            room = min((r for r, groups in open_.items() if r >= n and groups), default=None)
-            if room is None:
-                each = limit // n
-                if c // each:
-                    put((n,) * each, c // each)
-                if c % each:
-                    put((n,) * (c % each), 1)
+            if not want:
+                break
+            # The bins' longest stand for all of a bin: what shorter pieces leave open is filled, longest first.
+            room = limit - sum(n * k for n, k in want.items())
+            at = bisect.bisect_right(lengths, room)
+            while at:
+                n = lengths[at - 1]
+                if left[n] > want.get(n, 0):
+                    want[n] += 1
+                    room -= n
+                    at = min(at, bisect.bisect_right(lengths, room))
+                else:
+                    at -= 1
+            if room:
                 break
-            group = open_[room][-1]
-            times = min(room // n, max(1, c // group[1]))
-            used = min(group[1], c // times)
-            group[1] -= used
-            if not group[1]:
-                open_[room].pop()
-                if not open_[room]:
-                    del open_[room]
-            put(group[0] + (n,) * times, used)
-            c -= used * times
-    return [(tuple(lengths), count) for groups in open_.values() for lengths, count in groups]
+            times = min([repeats, *(left[n] // k for n, k in want.items())])
+            for n, k in want.items():
+                left[n] -= times * k
+                if not left[n]:
+                    lengths.remove(n)
+                    held[bin_of[n]].remove(n)
+            open_.put(tuple(n for n, k in want.items() for _ in range(k)), times)
+            placed += times * sum(want.values())
+            repeats -= times
+    return placed
+
+
+def plan(histogram: dict[int, int], limit: int = LIMIT, bins: int = BINS, most: int = PATTERN_DOCS) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (piece lengths in order, how many such sequences); uses up the histogram exactly.
+
+    Best fit alone is the last of the plans; of those with fewest sequences the
+    one with the largest share of patterns is taken.
+    """
+    counts = {n: c for n, c in histogram.items() if c}
+    plans = []
+    for share in (*SHARES, 0.0):
+        left, open_ = dict(counts), _Open(limit)
+        if share:
+            fit_patterns(left, open_, limit, bins, most, share)
+        open_.best_fit(left)
+        plans.append(open_.sequences())
+    return min(plans, key=lambda sequences: sum(count for _, count in sequences))
 
 
 def _lookup(sequences: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
