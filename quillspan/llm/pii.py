@@ -4,7 +4,8 @@ A pattern proposes spans, left to right without overlap within its kind.
 Validators confirm them: part values for addresses, Luhn for cards, digit
 counts for phones, mod-97 for bank accounts.  Words near a span raise its
 score.  Positions come from the lengths of what lies between matches, so no
-Python runs.  Patterns use possessive quantifiers and anchored starts, which
+Python runs; they are added up in blocks, so that a text with very many matches
+takes time linear in them.  Patterns use possessive quantifiers and anchored starts, which
 match the same spans as the plain forms but in time linear in the text.
 """
 
@@ -37,6 +38,8 @@ CONTEXT = {
 CONTEXT_CHARS = 40
 #: Scores of a confirmed span without and with a context word.
 SCORE, NEAR = 0.7, 0.95
+#: Matches whose positions are added up in one array.
+BLOCK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -88,25 +91,35 @@ def _hinted(kind: str, text: Column) -> Column:
 def _found(kind: str, rank: int, text: Column, matches: Column) -> Column:
     """Confirmed spans of a kind as structs (start, rank, kind, end, score), code points, end exclusive."""
     between = F.split(text, PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)").alias("out"))
+    spans = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
+
+    def tail(before: Column, pair: Column) -> Column:
+        """What stands before the next match, as far as its context goes."""
+        return F.right(F.concat(F.right(before, F.lit(CONTEXT_CHARS)), F.right(pair["gap"], F.lit(CONTEXT_CHARS)), F.right(pair["match"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(_valid(kind, pair["match"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        before = F.right(F.concat(acc["tail"], F.right(pair["gap"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        score = F.when(before.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), F.lit(NEAR)).otherwise(F.lit(SCORE))
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score"))
+        out = F.when(_valid(kind, pair["match"]), F.concat(acc["out"], F.array(span).cast(spans))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), tail(acc["tail"], pair).alias("tail"), out.alias("out"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
-    def scored(s: Column) -> Column:
-        low = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.substring(text, low + 1, s["start"] - low).rlike(rf"(?i)\b(?:{CONTEXT[kind]})")
-        score = F.when(near, F.lit(NEAR)).otherwise(F.lit(SCORE))
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), score.alias("score"))
-
-    empty = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,score:double>>)")
-    return F.when(F.size(matches) > 0, F.transform(spans, scored)).otherwise(empty)
+    # Blocks of pairs; where each begins and what stands before it; then the spans of each.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def advance(acc: Column, block: Column) -> Column:
+        size = F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["match"]))
+        begin = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), block.alias("block"))
+        return F.struct((acc["at"] + size).alias("at"), F.aggregate(block, acc["tail"], tail).alias("tail"), F.concat(acc["out"], F.array(begin)).alias("out"))
+
+    none = F.expr("cast(array() as array<struct<at:int,tail:string,block:array<struct<gap:string,match:string>>>>)")
+    begun = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), advance, lambda acc: acc["out"])
+    empty = F.expr(f"cast(array() as {spans})")
+    found = F.transform(begun, lambda b: F.aggregate(b["block"], F.struct(b["at"].alias("at"), b["tail"].alias("tail"), empty.alias("out")), step, lambda acc: acc["out"]))
+    return F.when(F.size(matches) > 0, F.flatten(found)).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
