@@ -30,8 +30,6 @@ from quillspan.llm.tables import cut
 
 #: Labelled rows that are fitted on, at most (chosen by hash of doc_id, in expectation; see ``_sample``).
 EXAMPLES = 40_000
-#: Terms of the vocabulary at most, by the ratio.
-TERMS = 2_000
 #: Toxic examples a term must occur in, its log-likelihood ratio, and how many times as often as in clean ones.
 LEAST_TOXIC, LEAST_RATIO, LEAST_LIFT = 3, 10.0, 5.0
 NEAREST = 15
@@ -86,11 +84,13 @@ class Model:
         all_words = words(text)
         own = set(all_words)
         counts: dict[int, int] = {}
-        for w in own & self.only_words:
-            counts[self.words[w]] = all_words.count(w)
+        hit = own & self.only_words
+        for w, c in Counter([w for w in all_words if w in hit]).items() if hit else ():
+            counts[self.words[w]] = c
         for n, known in self.beginnings.items():
-            for b in {w[:n] for w in own if len(w) > n} & known.keys():
-                counts[known[b]] = sum(w[:n] == b and len(w) > n for w in all_words)
+            hit = {w[:n] for w in own if len(w) > n} & known.keys()
+            for b, c in Counter([w[:n] for w in all_words if len(w) > n and w[:n] in hit]).items() if hit else ():
+                counts[known[b]] = c
         raw = {i: (1 + math.log(c)) * self.weights[i] for i, c in counts.items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         return tuple(sorted((i, x / norm) for i, x in raw.items())) if norm else ()
@@ -207,12 +207,12 @@ def _rated(n_toxic: int, n_clean: int):
     return run
 
 
-def _chosen(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int, n_terms: int) -> list[str]:
-    """The terms of greatest ratio; every term of LEAST_TOXIC toxic examples is tested, however many there are."""
+def _chosen(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
+    """The terms that pass; every term of LEAST_TOXIC toxic examples is tested, and all that pass are kept: the sample bounds them."""
     often = _sums(toxic).where(F.col("n") >= LEAST_TOXIC).withColumnRenamed("n", "a")
     counted = often.join(_sums(clean).withColumnRenamed("n", "b"), "term", "left").select("term", "a", F.coalesce("b", F.lit(0)).alias("b"))
     passed = counted.where(F.col("a") * n_clean > F.lit(LEAST_LIFT) * F.col("b") * n_toxic).mapInArrow(_rated(n_toxic, n_clean), "term string, rate double")
-    return sorted(r.term for r in passed.orderBy(F.desc("rate"), "term").limit(n_terms).collect())
+    return sorted(r.term for r in passed.select("term").collect())
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return cut(texts.join(F.broadcast(part), "doc_id"), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """A model from labelled rows that are not held out; without toxic ones it knows no term and scores the base rate."""
     sample = _sample(docs, labels, examples)
     sketched = sample.mapInArrow(_near_copies, "doc_id long, text string, toxic int, sketch long")
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: i
     single = cut(sample.join(one, "doc_id", "left_semi"), "single")
     toxic, clean = single.where("toxic = 1"), single.where("toxic <> 1")
     n_toxic, n_clean = toxic.count(), clean.count()
-    chosen = _chosen(toxic, clean, n_toxic, n_clean, n_terms)
+    chosen = _chosen(toxic, clean, n_toxic, n_clean)
     # Document frequencies over the whole corpus.
     n_docs = docs.count()
     frequency = {r.term: r.n for r in _sums(docs, frozenset(chosen)).collect()} if chosen else {}
