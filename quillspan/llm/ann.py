@@ -4,9 +4,11 @@ Equal vectors are one node that remembers the few smallest ids that a result
 can hold.  Nodes are dealt to shards of bounded size by hash.  A shard's graph
 is stored as flat neighbour arrays, one a level, padded with -1: links are
 chosen from exact candidates in the shard by the usual diversity rule, which
-gives the graph that insertion one by one approximates.  Every query descends
-every shard's levels greedily, then searches the lowest level with a beam; the
-shards' best are merged and scored in double precision on the original vectors.
+gives the graph that insertion one by one approximates.  Each shard's arrays are
+written as one row, then searched by slices of the queries of bounded size.
+Every query descends every shard's levels greedily, then searches the lowest
+level with a beam; the shards' best are merged and scored in double precision on
+the original vectors.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ QUERY_EVERY = 100
 SHARD = 8192
 #: Links a node on upper levels (twice as many on the lowest), candidates a link is chosen from, width of the beam.
 LINKS, CANDIDATES, BEAM = 16, 64, 128
-#: Queries that one row of the search carries to a shard.
-QUERY_BLOCK = 256
+#: Queries that one row of the search carries to a shard, and rows that one task searches a shard with on average.
+QUERY_BLOCK, SLICE_BLOCKS = 256, 16
 #: Parts that rows of one vector are dealt to before they meet.
 SALTS = 64
 #: Nodes whose distances to a whole shard are computed at once.
@@ -53,13 +55,16 @@ def _diverse(near: np.ndarray, distance: np.ndarray, data: np.ndarray, most: int
 class Graph:
     """Levels of one shard: ``nodes[l]`` are the positions on level l, ``links[l]`` their neighbours, padded with -1."""
 
-    def __init__(self, data: np.ndarray, seed: int = 1, links: int = LINKS, candidates: int = CANDIDATES):
-        self.data = data
+    def __init__(self, data: np.ndarray, links: list[np.ndarray], entry: int):
+        self.data, self.links, self.entry = data, links, entry
+
+    @classmethod
+    def build(cls, data: np.ndarray, seed: int = 1, links: int = LINKS, candidates: int = CANDIDATES) -> Graph:
         height = np.floor(-np.log(np.random.default_rng(seed).random(len(data))) / math.log(links)).astype(int)
-        self.links: list[np.ndarray] = []
+        graph = cls(data, [], int(np.argmax(height)) if len(data) else -1)
         for level in range(height.max(initial=0) + 1):
-            self.links.append(self._level(np.flatnonzero(height >= level), 2 * links if level == 0 else links, candidates))
-        self.entry = int(np.argmax(height)) if len(data) else -1
+            graph.links.append(graph._level(np.flatnonzero(height >= level), 2 * links if level == 0 else links, candidates))
+        return graph
 
     def _level(self, nodes: np.ndarray, most: int, candidates: int) -> np.ndarray:
         table = np.full((len(self.data), most), -1, dtype=np.int32)
@@ -140,15 +145,28 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
+_GRAPH = "size int, shard long, vectors binary, ids array<array<long>>, links array<binary>, entry int"
+
+
+def _build_shard(key: tuple, nodes: pa.Table) -> pa.Table:
+    """The shard's graph as one row: vectors, ids of each node, flat neighbour arrays by level, entry."""
+    table = nodes.sort_by("node")
+    exact = _matrix(table.column("vector"))
+    graph = Graph.build(exact.astype(np.float32))
+    row = {"size": key[0].as_py(), "shard": key[1].as_py(), "vectors": exact.tobytes(), "ids": table.column("ids").to_pylist(), "links": [x.tobytes() for x in graph.links], "entry": graph.entry}
+    kinds = pa.schema([("size", pa.int32()), ("shard", pa.int64()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))), ("links", pa.list_(pa.binary())), ("entry", pa.int32())])
+    return pa.Table.from_pylist([row], schema=kinds)
+
+
 def _search_shard(k: int, beam: int):
-    def run(key: tuple, nodes: pa.Table, blocks: pa.Table) -> pa.Table:
-        """Builds the shard's graph and searches it with every block of queries; rows (query_id, ids, distances of the nodes found)."""
+    def run(key: tuple, graphs: pa.Table, blocks: pa.Table) -> pa.Table:
+        """Searches one shard's graph with one slice of the queries; rows (query_id, ids, distances of the nodes found)."""
         out: list[tuple[int, int, float]] = []
-        if nodes.num_rows and blocks.num_rows:
-            table = nodes.sort_by("node")
-            exact = _matrix(table.column("vector"))
-            graph = Graph(exact.astype(np.float32))
-            ids = table.column("ids").to_pylist()
+        if graphs.num_rows and blocks.num_rows:
+            row = graphs.slice(0, 1).to_pylist()[0]
+            ids = row["ids"]
+            exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+            graph = Graph(exact.astype(np.float32), [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row["links"]], row["entry"])
             for block in blocks.column("queries").to_pylist():
                 for q in block:
                     point = np.asarray(q["vector"], dtype=np.float64)
@@ -193,9 +211,13 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, shard: int
     queries = rows.where(F.col("vec_id") % every == 0)
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, queries.count() // query_block))))
     blocks = blocks.groupBy("size", "block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    sent = blocks.join(F.broadcast(sizes), "size").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    left = dealt.select("size", "shard", "node", "vector", "ids").groupBy("size", "shard")
-    right = sent.select("size", "shard", "queries").groupBy("size", "shard")
+    graphs = cut(dealt.select("size", "shard", "node", "vector", "ids").groupBy("size", "shard").applyInArrow(_build_shard, _GRAPH), "graphs")
+    n_slices = max(1, queries.count() // (query_block * SLICE_BLOCKS))
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long")))
+    sent = blocks.withColumn("slice", F.pmod("block", F.lit(n_slices))).join(F.broadcast(sizes), "size")
+    sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    left = graphs.withColumn("slice", slices).groupBy("size", "shard", "slice")
+    right = sent.select("size", "shard", "slice", "queries").groupBy("size", "shard", "slice")
     found = left.cogroup(right).applyInArrow(_search_shard(k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
