@@ -47,8 +47,8 @@ FAMILY = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
 }
 #: Elements whose content is no page text: those that only their own end tag ends, and those of which a start tag without an end counts for nothing.
-RAW = "script style noscript textarea iframe title"
-SOFT = frozenset("template select svg math object canvas audio video button".split())
+RAW = "script style noscript textarea iframe"
+SOFT = frozenset("title template select svg math object canvas audio video button".split())
 DROP_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_NAMES = frozenset(

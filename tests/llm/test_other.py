@@ -16,12 +16,54 @@ from quillspan.llm import ann, decontaminate, html_extract, packing, pii, tables
 from quillspan.llm.registry import tokenizer_path
 
 
-def test_tiles_mark_longest_first_in_any_order():
+def seed_runs(doc, item, seed):
+    pairs = [(i, j) for i in range(len(doc) - seed + 1) for j in range(len(item) - seed + 1) if doc[i : i + seed] == item[j : j + seed]]
+    return decontaminate.runs_of(*[np.array(x, dtype=np.int64) for x in ([i for i, _ in pairs], [j for _, j in pairs], [1] * len(pairs))])
+
+
+def greedy_tiles(doc, item, seed):
+    """Brute force: of all matches of unmarked words the longest, ties at the smallest places, until none has ``seed`` words."""
+    used, free, out = set(), set(range(len(item))), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used and j + n in free:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < seed:
+            return out
+        out.append((i, j, n))
+        used.update(range(i, i + n))
+        free.difference_update(range(j, j + n))
+
+
+def test_tiles_equal_brute_force():
     doc = "x a b c d e f y p q r s t z".split()
     item = "p q r s t a b c d e f".split()
-    pairs = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
-    at, p = np.array([x for x, _ in pairs]), np.array([y for _, y in pairs])
-    assert decontaminate.tiles(at, p, 3) == (11, 2, 6)
+    assert decontaminate.tiles(seed_runs(doc, item, 3), 3) == [(1, 5, 6), (8, 0, 5)]
+    rng = random.Random(8)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abc", "abcdefgh"])
+        item = [rng.choice(letters) for _ in range(rng.randint(0, 18))]
+        doc = [rng.choice(letters) for _ in range(rng.randint(0, 14))] + item[rng.randint(0, 6) :] + item[: rng.randint(0, 9)]
+        assert decontaminate.tiles(seed_runs(doc, item, 3), 3) == greedy_tiles(doc, item, 3)
+
+
+def test_decontamination_of_repeated_and_structured_words(spark):
+    long_ = "a"
+    while len(long_) < 2048:
+        long_ += long_.translate(str.maketrans("ab", "ba"))
+    other = long_.translate(str.maketrans("ab", "ba"))
+    bench = spark.createDataFrame([(1, f"u v w x {long_}"), (2, "la " * 300)], "item_id long, text string")
+    rows = [(1, f"u v w x {other}"), (2, f"so U V W X {long_}"), (3, "la " * 20_000), (4, "la " * 149), (5, "la " * 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (1_000_000, 0):
+        found = decontaminate.contaminated(docs.where("doc_id <> 3") if not words else docs, bench, broadcast_words=words).collect()
+        expected = {(2, 1, 1.0), (3, 2, 1.0), (5, 2, 0.5)}
+        assert {(r.doc_id, r.item_id, r.coverage) for r in found} == {x for x in expected if words or x[0] != 3}
 
 
 def test_decontamination(spark, docs, sf):
@@ -100,7 +142,7 @@ def test_rare_toxic_terms_pass_beside_many_common_ones(spark):
     toxic = spark.createDataFrame([(f"{common} {'vilest' if d < 6 else ''}",) for d in range(12)], "text string")
     clean = spark.createDataFrame([(common,)] * 12, "text string")
     assert toxicity._sums(toxic).where("n > 6").count() > 30_000
-    assert toxicity._chosen(toxic, clean, 12, 12, 2_000) == ["^vile", "^viles", "vilest"]
+    assert toxicity._chosen(toxic, clean, 12, 12) == ["^vile", "^viles", "vilest"]
 
 
 def test_nearest_examples_are_exact():
@@ -154,12 +196,12 @@ def test_html_keeps_what_a_wrapper_or_an_open_tag_surrounds():
     prose = "<p>The long text of this page, which is what a reader came for.</p><p>And a second paragraph of it.</p>"
     text = "The long text of this page, which is what a reader came for.\n\nAnd a second paragraph of it."
     side = '<div class="sidebar"><p>Side note.</p></div>'
-    for name in ("layout has-sidebar", "content-with-sidebar", "no-comments", "has-header"):
+    for name in ("layout has-sidebar", "content-with-sidebar", "content with-sidebar", "post has-comments", "social-policy", "no-comments", "has-header"):
         assert html_extract.extract(f'<body><div class="{name}"><article>{prose}</article>{side}</div></body>', None) == text
         assert html_extract.extract(f'<body><div class="{name}"><div>{prose}</div>{side}</div></body>', None) == text
     talk = '<div class="comments"><article class="reply">' + "<p>A reader says a great deal about all this.</p>" * 3 + "</article></div>"
     assert html_extract.extract(f"<body><article>{prose}{talk}</article></body>", None) == text
-    for tag in ("<button>", "<video src=x>", "<svg/>", "<button-group>", "<title-bar>", "<svg><svg></svg><g></svg>", "<select><option>one</select>"):
+    for tag in ("<title>", "<button>", "<video src=x>", "<svg/>", "<button-group>", "<title-bar>", "<svg><svg></svg><g></svg>", "<select><option>one</select>"):
         assert html_extract.extract(f"<body><div>{tag}{prose}</div></body>", None) == text, tag
     deep = [f'<div class="{"u" * 600}"><div class="a{n}">{prose}</div></div>' for n in range(2)]
     paths = {html_extract.best_container(*html_extract.parse(x)).path for x in deep}
@@ -193,6 +235,9 @@ def test_packing(spark, docs, rows):
     assert_packed([(r.sequence_id, r.offset, r.length) for r in out], 4096)
     total = sum(r.length for r in out)
     assert len({r.sequence_id for r in out}) <= math.ceil(total / 4096) + 1
+    alone = packing._Open(4096)
+    alone.best_fit(dict(Counter(r.length for r in out)))
+    assert len({r.sequence_id for r in out}) <= sum(count for _, count in alone.sequences())
     assert packing.pack(docs.where("false"), tokenizer_path()).count() == 0
 
 
@@ -250,7 +295,7 @@ def test_pii(spark, docs, rows):
     rng = random.Random(9)
     pool = ["a@b.co", "@", ".", "_x@d.com", "1.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567", "+", "0", "9", " ", "-", "😀", "é", "256", "\n", "(", "x"]
     more = [(50_000 + i, "".join(rng.choices(pool, k=rng.randint(1, 25)))) for i in range(400)]
-    more += [(60_000, "1" * 20_000 + "a" * 20_000 + "@"), (60_001, "a@b.c " * 500)]
+    more += [(60_000, "1" * 20_000 + "a" * 20_000 + "@"), (60_001, "a@b.c " * 500), (60_002, "mail a@b.cd 1.2.3.4, " * 20_000)]
     every = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     out = pii.pii_report(every.withColumn("email", F.lit(1)))
     plan = out._jdf.queryExecution().executedPlan().toString()
