@@ -59,16 +59,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack) ->
 
 def _leader_edges(members: DataFrame, turn: int) -> DataFrame:
     """For each text in a bucket with texts of another component, the leader it shares most such buckets with; both with their components."""
+    # Longs throughout, so that the aggregations hash and do not sort.
     order = F.xxhash64(F.lit(turn), "doc_id")
     leaders = (
         members.groupBy("key")
-        .agg(F.min_by(F.struct("doc_id", "component"), order).alias("leader"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .agg(F.min_by("doc_id", order).alias("leader"), F.min_by("component", order).alias("its"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi")
-        .select("key", "leader")
+        .select("key", "leader", "its")
     )
-    met = members.join(leaders, "key").where("component <> leader.component").groupBy("doc_id", "component", "leader").count()
-    best = met.groupBy("doc_id", "component").agg(F.max_by("leader", F.struct("count", -F.col("leader.doc_id"))).alias("leader"))
-    return best.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("leader.component").alias("ca"), F.col("component").alias("cb"))
+    met = members.join(leaders, "key").where("component <> its").groupBy("doc_id", "component", "leader", "its").count()
+    most = F.col("count") * (1 << 32) + F.shiftrightunsigned(F.xxhash64("leader"), 32)
+    best = met.groupBy("doc_id", "component").agg(F.max_by("leader", most).alias("leader"), F.max_by("its", most).alias("its"))
+    return best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), F.col("its").alias("ca"), F.col("component").alias("cb"))
 
 
 class _Roots:
