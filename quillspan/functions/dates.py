@@ -1,60 +1,129 @@
-"""Dates and times stated in text, and local times as instants."""
+"""Deadlines stated in text (date, weekday, time, zone) and local times as instants.
+
+Each kind of phrase is found by one pattern over the lower-cased text, then
+read part by part; months and weekdays are known by their first three letters.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-DMY = f"\\b(\\d{{1,2}}) ({_MONTHS}) (\\d{{4}})\\b"
-MDY = f"\\b({_MONTHS}) (\\d{{1,2}}), (\\d{{4}})\\b"
-ISO = "\\b(\\d{4})-(\\d{2})-(\\d{2})\\b"
-#: Day and month cannot be told apart.
-NUMERIC = "\\b\\d{1,2}[/.]\\d{1,2}[/.]\\d{2,4}\\b"
-CLOCK = "\\b([01]?\\d|2[0-3]):([0-5]\\d)\\b"
-HALF_DAY = "\\b(1[0-2]|0?[1-9])(?::([0-5]\\d))? ?(am|pm)\\b"
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_WEEKDAY = "(?:mon(?:day)?|tue(?:s(?:day)?)?|wed(?:s|nesday)?|thu(?:r(?:s(?:day)?)?)?|fri(?:day)?|sat(?:urday)?|sun(?:day)?)"
+_DAY = "\\d{1,2}(?:st|nd|rd|th)?"
+#: Day before month, month before day, and year first; a weekday may stand before the first two.
+DAY_FIRST = f"(?:\\b{_WEEKDAY}\\b[.,]*\\s+)?\\b{_DAY}\\s+(?:of\\s+)?{_MONTH}\\b[.,]*\\s+\\d{{4}}\\b"
+MONTH_FIRST = f"(?:\\b{_WEEKDAY}\\b[.,]*\\s+)?\\b{_MONTH}\\b[.]?\\s+{_DAY},?\\s+\\d{{4}}\\b"
+YEAR_FIRST = "\\b\\d{4}(?:-\\d\\d){2}\\b"
+MONTH_AND_YEAR = f"\\b{_MONTH}\\b\\s+\\d{{4}}\\b"
+#: Numbers parted by slashes or dots: day and month cannot be told apart.
+NUMERIC = "\\b\\d\\d?[./]\\d\\d?[./](?:\\d{4}|\\d{2,3})\\b"
+#: An am or pm, with or without dots, that no letter follows.
+_HALF = "[ap]\\.?m\\b\\.?"
+CLOCK = f"(?<![\\d:])\\d{{1,2}}:\\d\\d(?![\\d:])(?:\\s*{_HALF})?"
+HALF_DAY = f"(?<![\\d.:])\\d{{1,2}}(?:\\.[0-5]\\d)?\\s*{_HALF}"
+#: Phrases that name a zone, and the zone each means.
+ZONES = {"uk time": "Europe/London", "london time": "Europe/London", "utc": "UTC", "gmt": "UTC"}
+#: What stands after a time of day: words before "time", or capital letters with an offset.
+_TIME_BEFORE = "(?:\\d:\\d\\d(?:\\s*[aApP]\\.?[mM]\\b\\.?)?+|\\d\\s*[aApP]\\.?[mM]\\b\\.?|(?i:noon|midday))\\s*\\(?\\s*"
+ZONE_WORDS = _TIME_BEFORE + "((?i:[a-z]+(?:\\s+[a-z]+)?)\\s+(?i:time))\\b"
+ZONE_LETTERS = _TIME_BEFORE + "([A-Z]{2,5}(?:\\s*[+-]\\s*\\d{1,2}(?::?\\d\\d)?)?)\\b(?!\\s+(?i:time)\\b)"
+#: Where the zone of a deadline comes from.
+STATED, DEFAULT, UNKNOWN = "explicit_source", "institution_default", "unknown"
 
 
-def stated_dates(text: Column) -> Column:
-    """The distinct full dates, ascending; impossible ones are left out."""
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
 
-    def parsed(pattern: str, shape: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.try_to_timestamp(x, F.lit(shape)).cast("date"))
+def dated(text: Column) -> Column:
+    """The distinct full dates as structs (date, weekday stated, from 0 on Monday or null); impossible dates are left out."""
+    low = F.lower(text)
+
+    def read(phrase: Column) -> Column:
+        month, weekday = F.regexp_extract(phrase, f"\\b{_MONTH}\\b", 0), F.regexp_extract(phrase, f"^{_WEEKDAY}\\b", 0)
+        number = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.substring(month, 1, 3)) + 2) / 3).cast("string")
+        written = F.concat_ws("-", F.regexp_extract(phrase, "\\d{4}$", 0), number, F.regexp_extract(phrase, "\\b(\\d{1,2})(?:st|nd|rd|th|\\b)", 1))
+        day = F.try_to_timestamp(F.when(month == "", phrase).otherwise(written), F.lit("yyyy-M-d")).cast("date")
+        named = F.when(weekday != "", F.floor((F.instr(F.lit("montuewedthufrisatsun"), F.substring(weekday, 1, 3)) + 2) / 3).cast("int") - 1)
+        return F.struct(day.alias("date"), named.alias("weekday"))
+
+    found = F.transform(F.flatten(F.array(_all(low, DAY_FIRST), _all(low, MONTH_FIRST), _all(low, YEAR_FIRST))), read)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x["date"].isNotNull())))
 
-    every = F.concat(parsed(DMY, "d MMMM yyyy"), parsed(MDY, "MMMM d, yyyy"), parsed(ISO, "yyyy-MM-dd"))
-    return F.array_sort(F.array_distinct(F.filter(every, lambda d: d.isNotNull())))
+
+def stated_dates(text: Column) -> Column:
+    """The distinct full dates, ascending."""
+    return F.array_distinct(F.transform(dated(text), lambda x: x["date"]))
 
 
 def stated_times(text: Column) -> Column:
-    """The distinct times as HH:mm; noon is 12:00, midnight is none."""
+    """The distinct times as HH:mm, ascending; noon is 12:00, midnight is none; a null stands for impossible ones."""
+
+    def read(phrase: Column) -> Column:
+        hour, minute = F.regexp_extract(phrase, "^\\d+", 0).cast("int"), F.regexp_extract(phrase, "^\\d+[:.](\\d\\d)", 1)
+        half = F.regexp_extract(phrase, "([ap])\\.?m", 1)
+        fits = (F.when(minute == "", 0).otherwise(minute.cast("int")) < 60) & F.when(half == "", hour < 24).otherwise((hour >= 1) & (hour <= 12))
+        hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "p", 12).otherwise(0))
+        return F.when(fits, F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute)))
+
+    low = F.lower(text)
+    noon = F.transform(_all(low, "\\b(?:noon|midday)\\b"), lambda _: F.lit("12:00"))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(F.concat(_all(low, CLOCK), _all(low, HALF_DAY)), read), noon)))
+
+
+def stated_zone(text: Column) -> Column:
+    """struct(zone, reason): the one zone whose phrase occurs; none if a time names another, or if several occur."""
     low = F.lower(text)
-    clock = F.transform(F.regexp_extract_all(low, F.lit(CLOCK + "(?! ?[ap]m)"), F.lit(0)), lambda x: F.lpad(x, 5, "0"))
+    zones = F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(f"\\b{phrase}\\b"), F.lit(zone)) for phrase, zone in ZONES.items()])))
+    named = F.transform(F.concat(_all(text, ZONE_WORDS, 1), _all(text, ZONE_LETTERS, 1)), lambda x: F.lower(F.regexp_replace(x, "\\s+", " ")))
 
-    def from_half(x: Column) -> Column:
-        hour = F.regexp_extract(x, HALF_DAY, 1).cast("int") % 12 + F.when(F.regexp_extract(x, HALF_DAY, 3) == "pm", 12).otherwise(0)
-        minute = F.regexp_extract(x, HALF_DAY, 2)
-        return F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.when(minute == "", "00").otherwise(minute))
+    def one(p: Column) -> Column:
+        reason = F.when(F.exists(p["named"], lambda x: ~x.isin(*ZONES)), "unrecognised_timezone").when(F.size(p["zones"]) > 1, "conflicting_timezone")
+        return F.struct(F.when(reason.isNull(), F.get(p["zones"], F.lit(0))).alias("zone"), reason.alias("reason"))
 
-    half = F.transform(F.regexp_extract_all(low, F.lit(HALF_DAY), F.lit(0)), from_half)
-    noon = F.when(low.rlike("\\bnoon\\b"), F.array(F.lit("12:00"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.array_sort(F.array_distinct(F.concat(clock, half, noon)))
+    return _bound(F.struct(zones.alias("zones"), named.alias("named")), one)
 
 
 def deadline(text: Column) -> Column:
-    """struct(date, time, reason): one date, at most one time; otherwise the first reason that rejects it."""
-    dates, times = stated_dates(text), stated_times(text)
-    reason = (
-        F.when(text.rlike(NUMERIC), "numeric_date")
-        .when(F.size(dates) == 0, "no_date")
-        .when(F.size(dates) > 1, "several_dates")
-        .when(F.lower(text).rlike("\\bmidnight\\b"), "ambiguous_time")
-        .when(F.size(times) > 1, "several_times")
+    """struct(date, time, zone, reason, review): ``reason`` rejects the text, ``review`` lists what a reader must look at."""
+    low = F.lower(text)
+    none = F.expr("cast(array() as array<string>)")
+
+    def one(p: Column) -> Column:
+        dates, times, zone = F.array_distinct(F.transform(p["found"], lambda x: x["date"])), p["times"], p["zone"]
+        reason = F.when(p["numeric"], "numeric_date").when((F.size(dates) == 0) & p["month"], "month_only").when(F.size(dates) == 0, "no_date").when(F.size(dates) > 1, "several_dates")
+        unclear = F.when(p["midnight"], "ambiguous_time").when(F.exists(times, lambda t: t.isNull()), "impossible_time").when(F.size(times) > 1, "several_times")
+        wrong_day = F.when(F.exists(p["found"], lambda x: x["weekday"] != F.weekday(x["date"])), F.lit("weekday_mismatch"))
+        fine = reason.isNull()
+        return F.struct(
+            F.when(fine, F.get(dates, F.lit(0))).alias("date"),
+            F.when(fine & unclear.isNull(), F.get(times, F.lit(0))).alias("time"),
+            F.when(fine, zone["zone"]).alias("zone"),
+            reason.alias("reason"),
+            F.when(fine, F.array_compact(F.array(unclear, zone["reason"], wrong_day))).otherwise(none).alias("review"),
+        )
+
+    parts = F.struct(
+        dated(text).alias("found"),
+        stated_times(text).alias("times"),
+        stated_zone(text).alias("zone"),
+        low.rlike(NUMERIC).alias("numeric"),
+        low.rlike(MONTH_AND_YEAR).alias("month"),
+        low.rlike("\\bmidnight\\b").alias("midnight"),
     )
-    fine = reason.isNull()
-    return F.struct(F.when(fine, F.get(dates, F.lit(0))).alias("date"), F.when(fine, F.get(times, F.lit(0))).alias("time"), reason.alias("reason"))
+    return _bound(parts, one)
 
 
-def local_instant(local: Column, zone: str) -> Column:
+def local_instant(local: Column, zone: str | Column) -> Column:
     """struct(instant, state) of a wall-clock time: exact, in a gap (no instant) or in an overlap (two, so none); hour-long shifts."""
     utc = F.to_utc_timestamp(local, zone)
     gap = F.from_utc_timestamp(utc, zone) != local
@@ -62,3 +131,35 @@ def local_instant(local: Column, zone: str) -> Column:
     twice = (F.from_utc_timestamp(utc + hour, zone) == local) | (F.from_utc_timestamp(utc - hour, zone) == local)
     state = F.when(gap, "gap").when(twice, "overlap").otherwise("exact")
     return F.struct(F.when(state == "exact", utc).alias("instant"), state.alias("state"))
+
+
+def settled(parsed: Column, default_zone: str | None) -> Column:
+    """A parsed deadline with zone source, precision, instant and status; a time in a daylight-saving gap is refused."""
+
+    def placed(p: Column) -> Column:
+        review = p["review"]
+        unusable = F.array_contains(review, "unrecognised_timezone") | F.array_contains(review, "conflicting_timezone")
+        source = F.when(p["zone"].isNotNull(), STATED).when(F.lit(default_zone is not None) & ~unusable, DEFAULT).otherwise(UNKNOWN)
+        zone = F.when(p["zone"].isNotNull(), p["zone"]).when(~unusable, F.lit(default_zone))
+        local = F.try_to_timestamp(F.concat(p["date"].cast("string"), F.lit(" "), p["time"]), F.lit("yyyy-MM-dd HH:mm"))
+        return F.struct(p.alias("p"), unusable.alias("unusable"), source.alias("source"), zone.alias("zone"), local_instant(local, F.coalesce(zone, F.lit("UTC"))).alias("at"))
+
+    def one(x: Column) -> Column:
+        p, zone, at = x["p"], x["zone"], x["at"]
+        timed = p["time"].isNotNull() & zone.isNotNull()
+        missing = F.when(p["time"].isNotNull() & zone.isNull() & ~x["unusable"], F.lit("missing_timezone"))
+        twice = F.when(timed & (at["state"] == "overlap"), F.lit("ambiguous_local_time"))
+        reasons = F.concat(p["review"], F.array_compact(F.array(missing, twice)))
+        return F.struct(
+            p["date"].alias("date"),
+            p["time"].alias("time"),
+            zone.alias("zone"),
+            x["source"].alias("zone_source"),
+            F.when(p["time"].isNull(), "date").otherwise("datetime").alias("precision"),
+            F.when(timed, at["instant"]).alias("instant"),
+            F.when(p["reason"].isNotNull(), p["reason"]).when(timed & (at["state"] == "gap"), "nonexistent_local_time").alias("reason"),
+            F.when(F.size(reasons) > 0, "needs_review").otherwise("verified").alias("status"),
+            reasons.alias("review"),
+        )
+
+    return _bound(_bound(parsed, placed), one)

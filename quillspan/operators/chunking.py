@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,53 +101,64 @@ def groups(parts: list[Unit]) -> list[list[Unit]]:
     return out
 
 
+def _places(text: str, parts: list[Unit]) -> list[tuple[int, int]]:
+    """Where a chunk may begin anew, ascending, with ranks: the first unit of each span, and the ends of white space."""
+    spans: dict[int, int] = {}
+    for u in parts:
+        spans.setdefault(u.span, u.start)
+    return sorted([(at, SPAN) for at in spans.values()] + [(end, rank) for _, end, rank in _runs(text)[1]])
+
+
+def _shared_from(places: list[tuple[int, int]], closed: tuple[int, int], upto: int, sizes: Sizes) -> int:
+    """Where the next chunk, which reaches ``upto``, begins within the tail of the closed one; its end if there is no place."""
+    room = sizes.chars * sizes.overlap, sizes.chars * sizes.hard
+    earliest = max(closed[0] + 1, closed[1] - room[0], upto - room[1])
+    tail = places[bisect.bisect_left(places, (earliest, SPAN)) : bisect.bisect_left(places, (closed[1], SPAN))]
+    return min(tail, key=lambda place: (place[1], place[0]))[0] if tail else closed[1]
+
+
+def _with_tail(chunks: list[tuple[int, int]], sizes: Sizes) -> list[tuple[int, int]]:
+    """A last chunk below the least size joins the one before it, where both stay within the bound."""
+    if len(chunks) < 2:
+        return chunks
+    *head, (begin, _), (tail_begin, end) = chunks
+    small, whole = sizes.tokens(end - tail_begin) < sizes.least, sizes.tokens(end - begin) <= sizes.hard
+    return [*head, (begin, end)] if small and whole else chunks
+
+
 def pack(text: str, spans: list[tuple[str, int | None, int, int]], sizes: Sizes = SPAN_PACK) -> list[tuple[int, int]]:
-    """Chunk ranges of one version, in order; empty if nothing is visible."""
+    """Chunk ranges of one version, in order; empty if nothing is visible.
+
+    Groups of units are taken while they keep the chunk within the target; a
+    chunk below the least size may grow to the bound.  A new chunk begins in the
+    tail of the last one, but a heading or a new slide begins bare.  A group
+    beyond the bound is dealt out unit by unit.
+    """
     parts = units(text, spans, sizes)
-    run_starts, runs = _runs(text)
-    run_ends = [r[1] for r in runs]
-    heads = sorted({u.start for i, u in enumerate(parts) if i == 0 or parts[i - 1].span != u.span})
-    done: list[tuple[int, int]] = []
-    start = end = 0
-    last: Unit | None = None
-
-    def fits(upto: int) -> bool:
-        size = sizes.tokens(upto - start)
-        return size <= sizes.target or (sizes.tokens(end - start) < sizes.least and size <= sizes.hard)
-
-    def overlap(reach: int) -> int | None:
-        """The best place in the tail of the chunk just closed from which the next one still stays within the bound."""
-        low = max(done[-1][0] + 1, done[-1][1] - sizes.overlap * sizes.chars, reach - sizes.hard * sizes.chars)
-        high = done[-1][1]
-        found = [(SPAN, p) for p in heads[bisect.bisect_left(heads, low) : bisect.bisect_left(heads, high)]]
-        between = slice(bisect.bisect_left(run_ends, low), bisect.bisect_left(run_ends, high))
-        found += [(rank, e) for _, e, rank in runs[between]]
-        return min(found)[1] if found else None
-
-    def flows(u: Unit) -> bool:
-        return not u.heading and (u.slide is None or last is not None and u.slide == last.slide)
-
-    # A worklist of keep-together groups; one that is too large for a chunk is dealt out unit by unit.
-    work: list[tuple[list[Unit], bool]] = [(g, False) for g in reversed(groups(parts))]
-    while work:
-        group, forced = work.pop()
-        first, final = group[0], group[-1]
-        if last is not None and not forced and fits(final.end):
-            end, last = final.end, final
-            continue
-        if last is not None:
-            done.append((start, end))
-        whole = sizes.tokens(final.end - first.start) <= sizes.hard
-        begin = overlap(final.end if whole else first.end) if last is not None and flows(first) else None
-        start = first.start if begin is None else begin
-        end, last = (final.end, final) if whole else (first.end, first)
-        if not whole:
-            work += [([u], False) for u in reversed(group[1:])]
-    if last is not None:
-        done.append((start, end))
-    if len(done) > 1 and sizes.tokens(done[-1][1] - done[-1][0]) < sizes.least and sizes.tokens(done[-1][1] - done[-2][0]) <= sizes.hard:
-        done[-2:] = [(done[-2][0], done[-1][1])]
-    return done
+    places = _places(text, parts)
+    queue = deque(groups(parts))
+    chunks: list[tuple[int, int]] = []
+    before: Unit | None = None  # the last unit taken; the last chunk ends with it
+    while queue:
+        group = queue.popleft()
+        if before is not None:
+            start, end = chunks[-1]
+            most = sizes.hard if sizes.tokens(end - start) < sizes.least else sizes.target
+            if sizes.tokens(group[-1].end - start) <= most:
+                chunks[-1], before = (start, group[-1].end), group[-1]
+                continue
+        if sizes.tokens(group[-1].end - group[0].start) > sizes.hard:
+            queue.extendleft([u] for u in reversed(group[1:]))
+            group = group[:1]
+        lead, last = group[0], group[-1]
+        bare = before is None or lead.heading or lead.slide is not None and lead.slide != before.slide
+        start = lead.start
+        if not bare:
+            shared = _shared_from(places, chunks[-1], last.end, sizes)
+            start = shared if shared < chunks[-1][1] else start
+        chunks.append((start, last.end))
+        before = last
+    return _with_tail(chunks, sizes)
 
 
 _CHUNKS = "{key} long, chunk_ordinal int, start_offset long, end_offset long, first_span int, last_span int, estimated_tokens long, text_hash string"

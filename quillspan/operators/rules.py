@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERIFIED, REVIEW, DISPUTED = "verified", "needs_review", "disputed"
@@ -88,46 +87,43 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[st
 
 
 def order_tasks(tasks: DataFrame, prerequisites: DataFrame, owner: str) -> DataFrame:
-    """Each owner's tasks in a topological order that prefers (anchor, optional, key); a cycle falls back to that preference.
-
-    ``tasks``: owner, key, anchor, optional; ``prerequisites``: owner, key,
-    needs.  One owner's plan is one group, which is inherently sequential.
+    """Each owner's plan: owner, key, position from 1 and status (done, ready, blocked).
+
+    ``tasks``: owner, key, anchor, optional and, if there are such columns,
+    ``studying`` and ``done``; ``prerequisites``: owner, key, needs.  Of the
+    tasks whose needs are placed or done, the one of least (anchor, optional,
+    not studying, key) comes next; where a cycle leaves none, the rest follow in
+    that order.  Done tasks come last.  One owner's plan is one group, which is
+    inherently sequential.
     """
-    listed = prerequisites.groupBy(owner, "key").agg(F.sort_array(F.collect_set("needs")).alias("needs"))
-    joined = tasks.select(owner, "key", "anchor", "optional").join(listed, [owner, "key"], "left")
+    flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) if c in tasks.columns else F.lit(False).alias(c) for c in ("studying", "done")]
+    needed = prerequisites.groupBy(owner, "key").agg(F.collect_set("needs").alias("needs"))
+    rows = tasks.select(owner, "key", "anchor", "optional", *flags).join(needed, [owner, "key"], "left")
+
+    def placed(plan: pd.DataFrame) -> list[tuple[int, str]]:
+        plan = plan.sort_values(["anchor", "optional", "later", "key"], kind="stable")
+        open_, done = plan[~plan["done"]], set(plan.loc[plan["done"], "key"])
+        known = set(open_["key"])
+        unmet = {k: set(n if n is not None else ()) & known for k, n in zip(open_["key"], open_["needs"])}
+        status = {k: "blocked" if n else "ready" for k, n in unmet.items()} | dict.fromkeys(done, "done")
+        order: list[int] = []
+        while unmet:
+            following = next((k for k, n in unmet.items() if n.isdisjoint(unmet)), None)
+            taken = list(unmet) if following is None else [following]
+            order += taken
+            for k in taken:
+                del unmet[k]
+        order += [k for k in plan["key"] if k in done]
+        return [(k, status[k]) for k in order]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             out = []
             for who, own in zip(pdf[owner], pdf["tasks"]):
-                rank = {t["key"]: (t["anchor"], t["optional"], t["key"]) for t in own}
-                waits = {t["key"]: {n for n in (t["needs"] if t["needs"] is not None else ()) if n in rank} for t in own}
-                opens: dict = {}
-                for k, needs in waits.items():
-                    for n in needs:
-                        opens.setdefault(n, []).append(k)
-                ready = [(rank[k], k) for k, needs in waits.items() if not needs]
-                heapq.heapify(ready)
-                done: list = []
-                while len(done) < len(rank):
-                    if not ready:  # a cycle: the rest by preference
-                        left = set(done)
-                        done += sorted((k for k in rank if k not in left), key=rank.get)
-                        break
-                    k = heapq.heappop(ready)[1]
-                    done.append(k)
-                    for other in opens.get(k, ()):
-                        waits[other].discard(k)
-                        if not waits[other]:
-                            heapq.heappush(ready, (rank[other], other))
-                out += [(who, k, i + 1) for i, k in enumerate(done)]
-            yield pd.DataFrame(out, columns=[owner, "key", "position"])
-
-    lists = joined.groupBy(owner).agg(F.collect_list(F.struct("key", "anchor", "optional", "needs")).alias("tasks"))
-    return lists.mapInPandas(run, f"{owner} long, key long, position int")
-
-
-def window_latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row of each key in a total order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+                plan = pd.DataFrame([t.asDict() if hasattr(t, "asDict") else dict(t) for t in own])
+                plan["later"] = ~plan["studying"].astype(bool)
+                out += [(who, k, i, state) for i, (k, state) in enumerate(placed(plan.astype({"done": bool})), 1)]
+            yield pd.DataFrame(out, columns=[owner, "key", "position", "status"])
+
+    lists = rows.groupBy(owner).agg(F.collect_list(F.struct("key", "anchor", "optional", "studying", "done", "needs")).alias("tasks"))
+    return lists.mapInPandas(run, f"{owner} long, key long, position int, status string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.operators import aggregates as A
@@ -206,6 +207,6 @@ def order_tasks(spark, sf_dir):
     """Lines of an order as tasks, each needing the one before it: whatever their dates, the order of numbers must come out."""
     tasks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("key"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("anchor"), (F.col("l_returnflag") == "R").alias("optional"))
     tasks = tasks.groupBy("l_orderkey", "key").agg(F.min("anchor").alias("anchor"), F.bool_and("optional").alias("optional"))
-    w = R.Window.partitionBy("l_orderkey").orderBy("key")
+    w = Window.partitionBy("l_orderkey").orderBy("key")
     needs = tasks.withColumn("needs", F.lag("key").over(w)).where("needs is not null").select("l_orderkey", "key", "needs")
-    return R.order_tasks(tasks, needs, "l_orderkey")
+    return R.order_tasks(tasks, needs, "l_orderkey").drop("status")

@@ -29,11 +29,11 @@ def query(sql: str | None = None):
     return add
 
 
-_WORDS = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')"
+_WORDS = "regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
 @query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g') AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(t, ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM a)
+b AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(t), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM a)
 SELECT doc_id, sha256(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS text_hash FROM b""")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise(F.col("text")), 256).alias("text_hash"))

@@ -17,6 +17,9 @@ def test_normalise_is_idempotent(spark):
     assert once == "a b\n\nc"
     assert one(spark, once, T.normalise(F.col("t"))) == once
     assert one(spark, None, T.normalise(F.col("t"))) is None
+    assert one(spark, "e\u0301te\u0301", T.normalise(F.col("t"))) == "\xe9t\xe9"
+    assert one(spark, "Stra\xdfe \ufb01n", T.words(F.col("t"))) == ["strasse", "fin"]
+    assert one(spark, " a\u00a0 b\t\n c ", T.collapsed(F.col("t"))) == "a b c"
 
 
 def test_keys(spark):
@@ -33,6 +36,7 @@ def test_modality(spark):
 
 def test_percents(spark):
     assert one(spark, "20% and 5 per cent, not 1.30% nor 1234%", T.percents(F.col("t"))) == [20, 5]
+    assert one(spark, "40 percent, 30 Per Cent, 7  %, .5%, 12 percentile", T.percents(F.col("t"))) == [40, 30, 7]
 
 
 def test_deadlines(spark):
@@ -41,16 +45,52 @@ def test_deadlines(spark):
         "Due March 2, 2026, 5 pm": ("2026-03-02", "17:00", None),
         "Due 2026-03-12 at noon": ("2026-03-12", "12:00", None),
         "Due 12/03/2026": (None, None, "numeric_date"),
-        "Due 31 February 2026": (None, None, "no_date"),
+        "Due 31 February 2026": (None, None, "month_only"),
+        "Due soon": (None, None, "no_date"),
         "12 March 2026 or 13 March 2026": (None, None, "several_dates"),
-        "12 March 2026 at midnight": (None, None, "ambiguous_time"),
-        "12 March 2026 at 10:00 or 11:00": (None, None, "several_times"),
+        "Monday 3rd of March 2025, 2.30pm": ("2025-03-03", "14:30", None),
+        "by Sept 4, 2026 at midday": ("2026-09-04", "12:00", None),
+        "by Sept. 5, 2026 at midday": ("2026-09-05", "12:00", None),
+        "sometime in March 2026": (None, None, "month_only"),
+        "12 March 2026 at midnight": ("2026-03-12", None, None),
+        "12 March 2026 at 10:00 or 11:00": ("2026-03-12", None, None),
     }
     for text, expected in cases.items():
         d = one(spark, text, D.deadline(F.col("t")))
         assert (d.date and str(d.date), d.time, d.reason) == expected, text
 
 
+def test_what_a_deadline_leaves_to_review(spark):
+    cases = {
+        "Monday 3 March 2026": ["weekday_mismatch"],
+        "Tuesday 3 March 2026": [],
+        "3 March 2026 at 24:00": ["impossible_time"],
+        "3 March 2026 at midnight": ["ambiguous_time"],
+        "3 March 2026, 10:00 or 11 a.m.": ["several_times"],
+        "3 March 2026, 14:00 CET": ["unrecognised_timezone"],
+        "3 March 2026, 2:00 PM (Paris time)": ["unrecognised_timezone"],
+        "3 March 2026, 14:00 UTC or UK time": ["conflicting_timezone"],
+        "3 March 2026, 2:00 pm UK time": [],
+    }
+    for text, expected in cases.items():
+        assert one(spark, text, D.deadline(F.col("t"))["review"]) == expected, text
+
+
+def test_settled_deadlines(spark):
+    cases = {
+        ("3 July 2026, 14:00 UK time", None): ("Europe/London", "explicit_source", "datetime", "2026-07-03 13:00", "verified", None),
+        ("3 July 2026, 14:00", "Europe/London"): ("Europe/London", "institution_default", "datetime", "2026-07-03 13:00", "verified", None),
+        ("3 July 2026, 14:00", None): (None, "unknown", "datetime", None, "needs_review", None),
+        ("3 July 2026", None): (None, "unknown", "date", None, "verified", None),
+        ("25 October 2026, 01:30", "Europe/London"): ("Europe/London", "institution_default", "datetime", None, "needs_review", None),
+        ("29 March 2026, 01:30", "Europe/London"): ("Europe/London", "institution_default", "datetime", None, "verified", "nonexistent_local_time"),
+        ("3 July 2026, 14:00 CET", "Europe/London"): (None, "unknown", "datetime", None, "needs_review", None),
+    }
+    for (text, zone), expected in cases.items():
+        d = one(spark, text, D.settled(D.deadline(F.col("t")), zone))
+        assert (d.zone, d.zone_source, d.precision, d.instant and d.instant.strftime("%Y-%m-%d %H:%M"), d.status, d.reason) == expected, text
+
+
 def test_local_instants(spark):
     state = D.local_instant(F.to_timestamp("t"), "Europe/London")["state"]
     cases = {"2026-03-29 01:30:00": "gap", "2026-10-25 01:30:00": "overlap", "2026-07-01 12:00:00": "exact", "2026-10-25 02:30:00": "exact"}
