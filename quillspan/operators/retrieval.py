@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: Fixed value: the constant of reciprocal rank fusion, and the depth of each ranking.
 RRF_K = 60
 DEPTH = 50
+#: Distinct lexemes of all queries up to which they are broadcast; beyond it they are joined.
+QUERY_TERMS = 500_000
+#: Query vectors up to which they are broadcast (64 doubles each: 10 MB).
+QUERY_VECTORS = 20_000
 
 
 def lexemes(text: Column) -> Column:
@@ -24,6 +28,26 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def unit(v: Column) -> Column:
+    """The vector over its length, in double precision; null for the zero vector."""
+    wide = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 0, F.transform(wide, lambda x: x / norm))
+
+
+def vector_scores(queries: DataFrame, query_key: str, vectors: DataFrame, key: str, scope: str) -> DataFrame:
+    """Cosines, to six decimals, of each query with all vectors of its scope; (query, key, score).
+
+    Both have ``scope`` and ``embedding``.  Lengths are taken out once a vector;
+    the queries, a stated set, are broadcast while they are few.
+    """
+    asks = queries.select(scope, query_key, unit(F.col("embedding")).alias("_q"))
+    rows = vectors.select(scope, key, unit(F.col("embedding")).alias("_v"))
+    small = queries.limit(QUERY_VECTORS + 1).count() <= QUERY_VECTORS
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return rows.join(F.broadcast(asks) if small else asks, scope).select(query_key, key, F.round(dot, 6).alias("score"))
+
+
 def valid_vector(v: Column, dimensions: int) -> Column:
     """Right length, all components finite, not the zero vector; null is not valid."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -38,10 +62,14 @@ def term_table(texts: DataFrame, key: str, text: str) -> DataFrame:
 def lexical_matches(queries: DataFrame, query_key: str, query_text: str, texts: DataFrame, key: str, text: str) -> DataFrame:
     """(query, key): score, the occurrences of the query's distinct lexemes, and ``shared``, how many of them occur.
 
-    Only occurrences of query lexemes are aggregated: the join comes first.
+    Occurrences are narrowed to the queries' lexemes and counted a text before
+    anything is shuffled, as long as the queries have few enough lexemes.
     """
     wanted = term_table(queries, query_key, query_text).distinct()
-    return term_table(texts, key, text).join(wanted, "lexeme").groupBy(query_key, key).agg(F.count("*").alias("score"), F.count_distinct("lexeme").alias("shared"))
+    asked = wanted.select("lexeme").distinct()
+    small = asked.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    counted = term_table(texts, key, text).join(F.broadcast(asked) if small else asked, "lexeme", "left_semi").groupBy(key, "lexeme").agg(F.count("*").alias("n"))
+    return counted.join(wanted, "lexeme").groupBy(query_key, key).agg(F.sum("n").alias("score"), F.count("*").alias("shared"))
 
 
 def ranked(scored: DataFrame, query_key: str, order: list, depth: int) -> DataFrame:
@@ -50,16 +78,28 @@ def ranked(scored: DataFrame, query_key: str, order: list, depth: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
 
 
+def ranked_twice(scored: DataFrame, query_key: str, first: list, second: list, depth: int) -> DataFrame:
+    """Two rankings of one scored table in one pass: rank_a and rank_b, null beyond the depth; rows in neither are left out."""
+    parts = {n: F.row_number().over(Window.partitionBy(query_key).orderBy(*order)) for n, order in (("rank_a", first), ("rank_b", second))}
+    both = scored.withColumns(parts)
+    return both.withColumns({n: F.when(F.col(n) <= depth, F.col(n)) for n in parts}).where("rank_a is not null or rank_b is not null")
+
+
 def fuse(first: DataFrame, second: DataFrame, query_key: str, key: str) -> DataFrame:
-    """Reciprocal rank fusion of two rankings: exact sums as decimals, ties by best rank, first rank, second rank, key."""
+    """Reciprocal rank fusion of two rankings; see ``fused``."""
     a = first.select(query_key, key, F.col("rank").alias("rank_a"))
     b = second.select(query_key, key, F.col("rank").alias("rank_b"))
+    return fused(a.join(b, [query_key, key], "full"), query_key, key)
+
+
+def fused(ranks: DataFrame, query_key: str, key: str) -> DataFrame:
+    """Fusion of rank_a and rank_b: exact sums as decimals, ties by best rank, first rank, second rank, key."""
 
     def part(rank: str) -> Column:
         return F.coalesce(F.lit(1.0) / (RRF_K + F.col(rank)), F.lit(0.0))
 
     score = F.round((part("rank_a") + part("rank_b")).cast("decimal(38,18)"), 12)
-    both = a.join(b, [query_key, key], "full").withColumn("score", score)
+    both = ranks.select(query_key, key, "rank_a", "rank_b").withColumn("score", score)
     absent = F.lit(1 << 30)
     order = [F.desc("score"), F.least(F.coalesce("rank_a", absent), F.coalesce("rank_b", absent)), F.coalesce("rank_a", absent), F.coalesce("rank_b", absent), F.col(key)]
     return ranked(both, query_key, order, 2 * DEPTH)

@@ -100,12 +100,11 @@ def order_tasks(tasks: DataFrame, prerequisites: DataFrame, owner: str) -> DataF
     needed = prerequisites.groupBy(owner, "key").agg(F.collect_set("needs").alias("needs"))
     rows = tasks.select(owner, "key", "anchor", "optional", *flags).join(needed, [owner, "key"], "left")
 
-    def placed(plan: pd.DataFrame) -> list[tuple[int, str]]:
-        plan = plan.sort_values(["anchor", "optional", "later", "key"], kind="stable")
-        open_, done = plan[~plan["done"]], set(plan.loc[plan["done"], "key"])
-        known = set(open_["key"])
-        unmet = {k: set(n if n is not None else ()) & known for k, n in zip(open_["key"], open_["needs"])}
-        status = {k: "blocked" if n else "ready" for k, n in unmet.items()} | dict.fromkeys(done, "done")
+    def placed(plan: list[dict]) -> list[tuple[int, str]]:
+        """``plan`` by preference to (key, status) in order."""
+        known = {t["key"] for t in plan if not t["done"]}
+        unmet = {t["key"]: known.intersection(t["needs"] if t["needs"] is not None else ()) for t in plan if not t["done"]}
+        status = {k: "blocked" if n else "ready" for k, n in unmet.items()}
         order: list[int] = []
         while unmet:
             following = next((k for k, n in unmet.items() if n.isdisjoint(unmet)), None)
@@ -113,17 +112,14 @@ def order_tasks(tasks: DataFrame, prerequisites: DataFrame, owner: str) -> DataF
             order += taken
             for k in taken:
                 del unmet[k]
-        order += [k for k in plan["key"] if k in done]
-        return [(k, status[k]) for k in order]
+        return [(k, status[k]) for k in order] + [(t["key"], "done") for t in plan if t["done"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for who, own in zip(pdf[owner], pdf["tasks"]):
-                plan = pd.DataFrame([t.asDict() if hasattr(t, "asDict") else dict(t) for t in own])
-                plan["later"] = ~plan["studying"].astype(bool)
-                out += [(who, k, i, state) for i, (k, state) in enumerate(placed(plan.astype({"done": bool})), 1)]
-            yield pd.DataFrame(out, columns=[owner, "key", "position", "status"])
-
-    lists = rows.groupBy(owner).agg(F.collect_list(F.struct("key", "anchor", "optional", "studying", "done", "needs")).alias("tasks"))
+            plans = zip(pdf[owner], pdf["tasks"])
+            yield pd.DataFrame([(who, k, i, state) for who, own in plans for i, (k, state) in enumerate(placed(own), 1)], columns=[owner, "key", "position", "status"])
+
+    # Sorted by preference: the fields of a struct compare in turn.
+    preferred = F.sort_array(F.collect_list(F.struct("anchor", "optional", (~F.col("studying")).alias("later"), "key", "done", "needs")))
+    lists = rows.groupBy(owner).agg(preferred.alias("tasks"))
     return lists.mapInPandas(run, f"{owner} long, key long, position int, status string")

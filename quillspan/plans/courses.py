@@ -9,23 +9,11 @@ from quillspan.operators import aggregates as A
 from quillspan.operators import spans as S
 from quillspan.operators import versions as K
 from quillspan.plans.relational import conversation_blocks, resources
+from quillspan.plans.register import registry
 from quillspan.session import table
 from quillspan.sources import codec as V
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimensions, true AS same FROM embeddings")

@@ -12,24 +12,12 @@ from quillspan.functions import statements as ST
 from quillspan.operators import gates as G
 from quillspan.operators import spans as S
 from quillspan.operators import store as K
+from quillspan.plans.register import registry
 from quillspan.session import table
 from quillspan.sources import office as O
 from quillspan.streaming import sync
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def shared_folder(spark) -> str:
@@ -126,7 +114,8 @@ FROM k WHERE n = 1 OR event_type IS DISTINCT FROM b""")
 def stream_versions(spark, sf_dir):
     """The events read as a file stream and merged batch by batch; the same versions as the batch query's."""
     schema = table(spark, sf_dir, "events").schema
-    arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    # A pattern, which matches a file as well as a folder of part files.
+    arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[e]vents.parquet")
     root = shared_folder(spark)
     running = sync.sync_stream(arrivals.select("user_id", "event_id", "event_type", "ts"), f"{root}/versions", f"{root}/progress", "user_id", ["ts", "event_id"], "event_type")
     running.awaitTermination()

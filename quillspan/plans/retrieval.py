@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import retrieval as R
 from quillspan.operators import spans as S
+from quillspan.plans.register import registry
 from quillspan.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _TERMS = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')"
@@ -43,13 +31,13 @@ def vector_validity(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""")
 def cosine_topk(spark, sf_dir):
     """Exact nearest vectors of the query's own type (label is the scope), to six decimals."""
     rows = table(spark, sf_dir, "embeddings").where(R.valid_vector(F.col("embedding"), 64))
-    asks = rows.where("vec_id % 50 = 0").select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.join(asks, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    asks = rows.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("query_id"), "embedding")
+    scored = R.vector_scores(asks, "query_id", rows, "vec_id", "label").where("vec_id <> query_id")
     return R.ranked(scored, "query_id", [F.desc("score"), F.col("vec_id")], 10)
 
 
@@ -62,11 +50,59 @@ def lexical_topk(spark, sf_dir):
     return R.ranked(matches(spark, sf_dir), "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH).select("item_id", "doc_id", "rank")
 
 
+BY_TERMS, BY_SCORE = [F.desc, "shared", "score", "doc_id"], [F.desc, "score", "doc_id"]
+
+
+def _order(columns):
+    first, *rest = columns[1:]
+    return [columns[0](first), *[F.col(c) for c in rest]]
+
+
+def both_ranks(spark, sf_dir):
+    return R.ranked_twice(matches(spark, sf_dir), "item_id", _order(BY_TERMS), _order(BY_SCORE), R.DEPTH)
+
+
 def fused(spark, sf_dir):
-    scored = matches(spark, sf_dir)
-    by_terms = R.ranked(scored, "item_id", [F.desc("shared"), F.col("score"), F.col("doc_id")], R.DEPTH)
-    by_score = R.ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH)
-    return R.fuse(by_terms, by_score, "item_id", "doc_id")
+    return R.fused(both_ranks(spark, sf_dir), "item_id", "doc_id")
+
+
+_VECTORS = """v AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS item_id, x.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q JOIN embeddings x ON q.label = x.label WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND x.vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 50)"""
+
+
+def hybrid(spark, sf_dir, scope=None):
+    """Items' vectors against documents' vectors of their label, fused with the lexical ranking; ``scope`` narrows the documents of both."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs = docs.where(scope) if scope else docs
+    vectors = table(spark, sf_dir, "embeddings").where(R.valid_vector(F.col("embedding"), 64))
+    asks = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
+    own = vectors.withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    by_vector = R.ranked(R.vector_scores(asks, "item_id", own, "doc_id", "label"), "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH)
+    lexical = R.lexical_matches(items, "item_id", "text", docs, "doc_id", "text")
+    return R.fuse(by_vector, R.ranked(lexical, "item_id", _order(BY_TERMS), R.DEPTH), "item_id", "doc_id").select("item_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
+
+
+_HYBRID = _FUSED.replace("FROM a FULL JOIN b ON", "FROM v AS a FULL JOIN l AS b ON")
+_LEXICAL = "l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, score, doc_id) AS rank FROM m QUALIFY rank <= 50)"
+
+
+@query(f"WITH {_MATCHES}, {_LEXICAL}, {_VECTORS}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r")
+def hybrid_topk(spark, sf_dir):
+    """Vector and lexical rankings of 50 each, fused."""
+    return hybrid(spark, sf_dir)
+
+
+_SCOPED = "lang = 'en'"
+
+
+def _inside(sql):
+    return sql.replace("FROM documents", "FROM inside")
+
+
+@query(f"""WITH inside AS (SELECT * FROM documents WHERE {_SCOPED}), {_inside(_MATCHES)}, {_LEXICAL}, {_inside(_VECTORS)}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r""")
+def scoped_search(spark, sf_dir):
+    """The same within one language: what is out of scope takes no place in either ranking."""
+    return hybrid(spark, sf_dir, _SCOPED)
 
 
 @query(f"WITH {_MATCHES}, {_RANKS}, {_FUSED} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r")
@@ -123,14 +159,10 @@ s AS (SELECT mode, count(*) FILTER (WHERE first <= 5) AS at_5, CAST(sum(CASE WHE
 SELECT mode, at_5, mrr, row_number() OVER (ORDER BY at_5 DESC, mrr DESC, mode) = 1 AS selected FROM s""")
 def mode_selection(spark, sf_dir):
     """Hits at 5, then reciprocal ranks, choose among the modes; at most three rows are compared."""
-    scored = matches(spark, sf_dir)
-    by_terms = R.ranked(scored, "item_id", [F.desc("shared"), F.col("score"), F.col("doc_id")], R.DEPTH)
-    by_score = R.ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH)
-    modes = {"terms": by_terms, "score": by_score, "fused": R.fuse(by_terms, by_score, "item_id", "doc_id")}
-    ranks = None
-    for name, rows in modes.items():
-        part = rows.select(F.lit(name).alias("mode"), "item_id", "doc_id", "rank")
-        ranks = part if ranks is None else ranks.union(part)
+    ranks = both_ranks(spark, sf_dir)
+    rows = F.array(*[F.struct(F.lit(name).alias("mode"), F.col(rank).alias("rank")) for name, rank in (("terms", "rank_a"), ("score", "rank_b"))])
+    single = ranks.select("item_id", "doc_id", F.explode(rows).alias("m")).select("m.mode", "item_id", "doc_id", "m.rank").where("rank is not null")
+    ranks = single.union(R.fused(ranks, "item_id", "doc_id").select(F.lit("fused").alias("mode"), "item_id", "doc_id", "rank"))
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     first = ranks.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "item")).groupBy("mode", "item_id").agg(F.min("rank").alias("first"))
     sums = first.groupBy("mode").agg(F.count_if(F.col("first") <= 5).alias("at_5"), F.sum(F.when(F.col("first") <= 10, F.expr("2520 div first")).otherwise(0)).alias("mrr"))

@@ -7,22 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import aggregates as A
 from quillspan.operators import rules as R
+from quillspan.plans.register import registry
 from quillspan.session import table
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _EVIDENCE = """(SELECT l_orderkey AS subject, l_linenumber AS n, strftime(l_shipdate, '%Y-%m') AS due, CASE WHEN l_linenumber % 2 = 0 THEN '17:00' END AS time, CASE WHEN l_suppkey % 3 = 0 THEN 'Europe/London' END AS zone,

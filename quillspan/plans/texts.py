@@ -10,23 +10,11 @@ from quillspan.functions import stem as ST
 from quillspan.functions import text as T
 from quillspan.operators import chunking as C
 from quillspan.operators import spans as S
+from quillspan.plans.register import registry
 from quillspan.session import table
 from quillspan.sources import pages as P
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 _WORDS = "regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"

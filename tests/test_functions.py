@@ -117,6 +117,14 @@ def test_order_tasks_falls_back_on_a_cycle(spark):
     assert got == {(1, 3): 1, (1, 2): 2, (1, 1): 3, (2, 1): 1, (2, 2): 2}
 
 
+def test_order_tasks_prefers_what_is_studied_and_puts_done_last(spark):
+    rows = [(1, 1, "a", False, False, True), (1, 2, "b", False, False, False), (1, 3, "b", False, True, False), (1, 4, "b", True, True, False), (1, 5, "a", False, False, False), (1, 6, None, False, False, False)]
+    tasks = spark.createDataFrame(rows, "o long, key long, anchor string, optional boolean, studying boolean, done boolean")
+    needs = spark.createDataFrame([(1, 2, 1), (1, 5, 2), (1, 5, 99)], "o long, key long, needs long")
+    got = [(r.key, r.status) for r in R.order_tasks(tasks, needs, "o").orderBy("position").collect()]
+    assert got == [(6, "ready"), (3, "ready"), (2, "ready"), (5, "blocked"), (4, "ready"), (1, "done")]
+
+
 def test_merges_with_nulls(spark):
     rows = spark.createDataFrame([(1, "d", None, None, True, "a", 1), (1, "d", None, None, False, "b", 2), (1, "d", "09:00", None, False, "a", 1)], "s int, due string, time string, zone string, verified boolean, zone_source string, strength int")
     got = {(r.due, r.time): (r.verified, r.zone_source, r.statements) for r in R.merge_deadlines(rows, "s").collect()}
