@@ -1,6 +1,9 @@
 """Fuzzy line dedup by MinHash: one line of each group of near-equal lines stays.
 
-Lines are compared with A-Z lower-cased, as sets of eight-character shingles (UTF-16 units).
+Lines are compared with A-Z lower-cased, as sets of character shingles (UTF-16
+units): five units in lines of up to SHORT_MOST units, eight in lines of more
+than LONG_OVER, as long texts share nearly all of their runs of five.  Lines
+between the two are compared both ways, and either way links them.
 One-permutation hashing with optimal densification (Shrivastava, 2017) gives 64
 minhashes for one hash a character; 16 bands of four propose lines of
 similarity 0.75 with probability 0.998.  Candidates are confirmed by exact
@@ -8,8 +11,8 @@ Jaccard similarity, and of each connected component the first line (smallest
 doc_id, then line number) stays.  Equal lines are one node throughout; a line
 is known by a 64-bit hash of its units.
 
-One changed character costs eight shingles on each side, too much for lines
-under 63 units.  Lines of 16 to 64 units are therefore also linked where they
+One changed character costs five shingles on each side, too much for lines
+under 39 units.  Lines of 16 to 64 units are therefore also linked where they
 are equal once at most one unit of each is left out; hashes of the line and of
 all that is left of it without one unit find these links, each and no other.
 """
@@ -28,16 +31,20 @@ from quillspan.llm.linking import contracted, linked, placed_links
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut
 
-#: Units of a shingle: two 64-bit words, which hash without a loop over the units.
-SHINGLE = 8
+#: Units of a shingle in short lines and in long ones: 4 to 8, which two 64-bit loads cover.
+SHINGLE, LONG_SHINGLE = 5, 8
+#: Units up to which a line counts as short, and beyond which as long.
+SHORT_MOST, LONG_OVER = 640, 480
 BINS, BANDS = 64, 16
 #: Similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BLOOM_BITS = 26
-#: Units of the lines that one edit links, least and most; from 63 on the shingles allow for one.
+#: Units of the lines that one edit links, least and most; well beyond the 39 from which the shingles allow for one.
 EDIT_LEAST, EDIT_MOST = 16, 64
 
 _LAST = (1 << 63) - 1
+#: Tells the long set of a line that has both from its short one.
+_TWIN = np.uint64(0xA0761D6478BD642F)
 
 
 def _since(flags: np.ndarray) -> np.ndarray:
@@ -66,31 +73,33 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf.astype("<u2"), offsets
 
 
-def _unit_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of the SHINGLE units from each place on."""
-    n = len(text) - SHINGLE + 1
+def _unit_hashes(text: np.ndarray, size: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """A hash of the ``size`` units from each place on, or from those given."""
+    n = len(text) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    low = np.ndarray((n,), "<u8", text.data, 0, (2,))
-    high = np.ndarray((n,), "<u8", text.data, 8, (2,))
+    low = np.ndarray((n,), "<u8", text.data, 0, (2,))[at]
+    high = np.ndarray((n,), "<u8", text.data, 2 * (size - 4), (2,))[at]
     h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    h += V.mix64(np.full(1, size, np.uint64))
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
     return h
 
 
-def shingles(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every shingle within each span of units, and the span of each; shorter spans have none."""
-    counts = np.maximum(ends - starts - SHINGLE + 1, 0)
+    counts = np.maximum(ends - starts - size + 1, 0)
     owner = np.repeat(np.arange(len(starts)), counts)
     at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-    return _unit_hashes(text)[at], owner
+    return _unit_hashes(text, size, at), owner
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of one line, given as UTF-16 units."""
-    return np.unique(_unit_hashes(np.frombuffer(line, dtype="<u2")))
+def shingle_set(stored: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes of one line, given as the size of its shingles and its UTF-16 units."""
+    text = np.frombuffer(stored, dtype="<u2")
+    return np.unique(_unit_hashes(text[1:], int(text[0])))
 
 
 def _densifier(bins: int) -> np.ndarray:
@@ -144,30 +153,50 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_rows(shared=None, bits: int = 0):
-    """Band keys of each batch's distinct lines; with a filter, only keys it lets through, and the lines themselves."""
+    """Band keys of each batch's distinct lines; with a filter, only keys it lets through, and the lines themselves.
+
+    ``hash`` names a set: by its line's hash, or, where a line has two, the long one by its twin's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.slices(batches, "text"):
             buf, offsets = units(batch.column("text"))
             starts, ends, _ = line_bounds(buf, offsets)
-            long_ = ends - starts >= SHINGLE
-            starts, ends = starts[long_], ends[long_]
-            hashes, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
+            enough = ends - starts >= SHINGLE
+            starts, ends = starts[enough], ends[enough]
+            lines, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
             starts, ends = starts[one], ends[one]
-            keys = bands(*shingles(buf, starts, ends), len(one), BINS, BANDS)
+            short = np.flatnonzero(ends - starts <= SHORT_MOST)
+            long_ = np.flatnonzero(ends - starts > LONG_OVER)
+            near = shingles(buf, starts[short], ends[short], SHINGLE)
+            far = shingles(buf, starts[long_], ends[long_], LONG_SHINGLE)
+            of = np.concatenate([short, long_])
+            names = lines[of]
+            twins = np.flatnonzero((ends - starts)[long_] <= SHORT_MOST) + len(short)
+            names[twins] = V.mix64(names[twins] ^ _TWIN)
+            keys = bands(np.concatenate([near[0], far[0]]), np.concatenate([near[1], far[1] + len(short)]), len(of), BINS, BANDS)
             if shared is None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(hashes, BANDS).view(np.int64))], names=["key", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(names, BANDS).view(np.int64))], names=["key", "hash"])
                 continue
             keep = np.ones(keys.shape, dtype=bool)
             for p in _probes(keys, bits):
                 keep &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
             row, col = np.nonzero(keep)
             data = buf.tobytes()
-            texts = [data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist())]
             firsts = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+
+            def text(r: int) -> bytes:
+                size = SHINGLE if r < len(short) else LONG_SHINGLE
+                return size.to_bytes(2, "little") + data[2 * starts[of[r]] : 2 * ends[of[r]]]
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[row, col].view(np.int64)), pa.array(hashes[row].view(np.int64)), pa.array([texts[r] if f else None for r, f in zip(row.tolist(), firsts.tolist())], pa.binary())],
-                names=["key", "hash", "words"],
+                [
+                    pa.array(keys[row, col].view(np.int64)),
+                    pa.array(names[row].view(np.int64)),
+                    pa.array(lines[of[row]].view(np.int64)),
+                    pa.array([text(r) if f else None for r, f in zip(row.tolist(), firsts.tolist())], pa.binary()),
+                ],
+                names=["key", "hash", "of", "words"],
             )
 
     return run
@@ -213,7 +242,7 @@ def _edit_links(lines: DataFrame) -> DataFrame:
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = [len(shingle_set(x)) for x in batch.column("shingles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("shingles")], names=["doc_id", "n", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("of"), pa.array(sizes, pa.int64()), batch.column("shingles")], names=["doc_id", "of", "n", "shingles"])
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLOOM_BITS) -> DataFrame:
@@ -222,16 +251,17 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long, short binary"), "lines")
     proposed = texts.select("text").mapInArrow(_band_rows(), "key long, hash long")
     shared = cut(proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
-    found = texts.select("text").mapInArrow(_band_rows(bloom(shared, bloom_bits), bloom_bits), "key long, hash long, words binary")
+    found = texts.select("text").mapInArrow(_band_rows(bloom(shared, bloom_bits), bloom_bits), "key long, hash long, of long, words binary")
     found = cut(found, "candidates")
     members = found.select("key", F.col("hash").alias("doc_id")).distinct().join(shared.withColumnRenamed("core", "key"), "key", "left_semi")
     members = cut(members, "members")
-    sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
-    sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
+    sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("of").alias("of"), F.first("words").alias("shingles"))
+    sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, of long, n long, shingles binary"), "sets")
     parts = linked(members, sets, percent, shingle_set)
-    edits = _edit_links(lines)
-    if not edits.isEmpty():
-        parts = contracted(parts, placed_links(edits, parts))
+    # One edit links short lines, and the two sets of a line that has both belong together.
+    links = _edit_links(lines).union(sets.where("of <> doc_id").select(F.col("of").alias("a"), F.col("doc_id").alias("b")))
+    if not links.isEmpty():
+        parts = contracted(parts, placed_links(links, parts))
     grouped = lines.join(parts.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group", F.coalesce("component", "hash"))
     grouped = grouped.select("doc", "version", "line", "group")
     first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
@@ -249,7 +279,7 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, n_lines, n_removed, text without the removed lines.
 
     Reads only ``doc_id`` and ``text``.  Blank lines stay and count for
-    nothing; lines shorter than a shingle match only equal lines, lines from
+    nothing; lines shorter than five units match only equal lines, lines from
     EDIT_LEAST units on also those one edit away.  A null text
     has no lines and stays null.  Rows without ``doc_id`` come after all
     others.  Rows that repeat a ``doc_id`` stand at the same place.
