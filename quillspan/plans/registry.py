@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import courses, data, records, relational, retrieval, rules, texts
+from quillspan.plans import courses, data, mapping, records, relational, retrieval, rules, texts
 from quillspan.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relational, retrieval, rules, texts, data, courses, records)
+_MODULES = (relational, retrieval, rules, texts, data, courses, records, mapping)
 
 
 def _shipped(f: Query) -> Query:
