@@ -10,6 +10,7 @@ import corpus_pipeline
 from quillspan.llm import tables
 from quillspan.llm.ann import nearest
 from quillspan.llm.decontaminate import contaminated
+from quillspan.llm.exact_dedup import exact_dedup
 from quillspan.llm.html_extract import extract_pages
 from quillspan.llm.line_dedup import line_dedup
 from quillspan.llm.near_dedup import near_dedup
@@ -80,8 +81,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op6_html_extract, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup]
+    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op6_html_extract, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup, op13_exact_dedup]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -114,6 +119,11 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, q.c AS component_id, q.c = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q USING (doc_id)"""
 
 
+_OP13 = r"""
+WITH p AS (SELECT doc_id, length(coalesce(text, '')) AS c, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY c DESC, doc_id) AS place FROM p)
+SELECT r.doc_id, k.doc_id AS keep_id, n.n AS group_size, place = 1 AS kept, h AS text_sha256 FROM r JOIN (SELECT h, doc_id FROM r WHERE place = 1) k USING (h) JOIN (SELECT h, count(*) AS n FROM p GROUP BY h) n USING (h)"""
+
 _PII = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x.t, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0"),
@@ -150,4 +160,4 @@ def _pii_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express and run over whole tables; the others are tested against brute force."""
-    return {"op3_warc": _OP3, "op4_substring_dedup": _OP4, "op8_pii": _pii_sql(), "op10_minhash_near_dedup": _OP10}
+    return {"op3_warc": _OP3, "op4_substring_dedup": _OP4, "op8_pii": _pii_sql(), "op10_minhash_near_dedup": _OP10, "op13_exact_dedup": _OP13}
