@@ -64,12 +64,12 @@ def raw(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return (_LOWER[buf] if lower else buf), offsets - offsets[0]
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and the index of each text's first word."""
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, ``[^\\x20\\x09-\\x0D]+`` unless ``gap`` marks other bytes as none of theirs, and the index of each text's first word."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~gap[buf]
     fresh = np.zeros(len(buf) + 1, dtype=bool)
     fresh[offsets] = True
     start, end = solid.copy(), solid.copy()
