@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from quillspan.llm import tables
 from quillspan.llm.ann import nearest
+from quillspan.llm.conversations import damage, repair_report
 from quillspan.llm.decontaminate import contaminated
 from quillspan.llm.exact_dedup import exact_dedup
 from quillspan.llm.html_extract import extract_pages
@@ -82,6 +83,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return repair_report(damage(table(spark, sf_dir, "conversations")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -92,7 +98,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op6_html_extract, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup, op12_ranked_search, op13_exact_dedup]
+    own = [op1_line_dedup, op2_decontaminate, op3_warc, op4_substring_dedup, op5_toxicity, op6_html_extract, op7_pattern_packing, op8_pii, op9_hnsw, op10_minhash_near_dedup, op11_conversation_repair, op12_ranked_search, op13_exact_dedup]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -125,6 +131,27 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, q.c AS component_id, q.c = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) q USING (doc_id)"""
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+
+#: States: b begun, s, u, a after such a turn.  Inserts before a row, then the row's own edit; of a state's ways the least by (cost, audit) is kept.
+_OP11 = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda k: CAST(ascii(substr(name, k, 1)) AS BIGINT))),
+lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, substr(role, 1, 1) AS c FROM d),
+f AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS b, CASE WHEN regexp_matches(text, '^{_SPACE}*$') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?]{_SPACE}*$') THEN 3 ELSE 0 END AS fault FROM p),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE b || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+ins(s, t, add, labels, said) AS (VALUES ('b', 'b', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''), ('b', 'u', 5, 'I', chr(10) || 'user:'), ('s', 'u', 5, 'I', chr(10) || 'user:'), ('a', 'u', 5, 'I', chr(10) || 'user:'), ('u', 'a', 5, 'I', chr(10) || 'assistant:'), ('b', 'a', 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+e(s, c, t, label, cost) AS (SELECT s, '', s, 'D', 2 FROM (VALUES ('b'), ('s'), ('u'), ('a')) x(s) UNION ALL VALUES ('b', 's', 's', 'K', 0), ('b', 'u', 'u', 'K', 0), ('s', 'u', 'u', 'K', 0), ('a', 'u', 'u', 'K', 0), ('u', 'a', 'a', 'K', 0), ('b', '', 'u', 'R', 1), ('s', '', 'u', 'R', 1), ('a', '', 'u', 'R', 1), ('u', '', 'a', 'R', 1)),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 'b' AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS said FROM g
+UNION ALL SELECT conv_id, i, t, w.cost, w.audit, w.said FROM (SELECT f.conv_id, f.i, e.t, min({{'cost': r.cost + add + e.cost + CASE WHEN fault = 3 AND e.label <> 'D' THEN 5 ELSE 0 END, 'audit': audit || labels || e.label,
+'said': r.said || ins.said || CASE e.label WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE e.t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END}}) AS w
+FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1 JOIN ins ON ins.s = r.s JOIN e ON e.s = ins.t AND (e.label = 'D' OR fault IN (0, 3) AND (e.label = 'R' OR e.c = f.c)) GROUP BY f.conv_id, f.i, e.t)),
+z AS (SELECT g.conv_id, min({{'cost': cost + add, 'audit': audit || labels, 'said': r.said || ins.said}}) AS w FROM g JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.n JOIN ins ON ins.s = r.s AND ins.t IN ('b', 'a') GROUP BY g.conv_id)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.cost, 0) AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(substr(w.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM k.conv_id"""
+
 _TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 _OP12 = f"""
@@ -179,4 +206,4 @@ def _pii_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express and run over whole tables; the others are tested against brute force."""
-    return {"op3_warc": _OP3, "op4_substring_dedup": _OP4, "op8_pii": _pii_sql(), "op10_minhash_near_dedup": _OP10, "op12_ranked_search": _OP12, "op13_exact_dedup": _OP13}
+    return {"op3_warc": _OP3, "op4_substring_dedup": _OP4, "op8_pii": _pii_sql(), "op10_minhash_near_dedup": _OP10, "op11_conversation_repair": _OP11, "op12_ranked_search": _OP12, "op13_exact_dedup": _OP13}
