@@ -90,6 +90,17 @@ def lexemes(text: str | None) -> list[str]:
     return sorted({stem(w) for w in words if w not in STOP}, key=str.encode)
 
 
+def positions(text: str | None, asked: frozenset[str] | set[str] | None = None) -> dict[str, list[int]]:
+    """The places, from 1, of each stem among all words of a text; stop words take a place and have none. ``asked`` narrows the stems."""
+    out: dict[str, list[int]] = {}
+    for place, word in enumerate(_WORD.findall((text or "").lower()), 1):
+        if word not in STOP:
+            lexeme = stem(word)
+            if asked is None or lexeme in asked:
+                out.setdefault(lexeme, []).append(place)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def lexeme_list(texts: pd.Series) -> pd.Series:
     return texts.map(lexemes)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions import stem
+
 #: Fixed value: the constant of reciprocal rank fusion, and the depth of each ranking.
 RRF_K = 60
 DEPTH = 50
@@ -72,6 +77,97 @@ def lexical_matches(queries: DataFrame, query_key: str, query_text: str, texts:
     return counted.join(wanted, "lexeme").groupBy(query_key, key).agg(F.sum("n").alias("score"), F.count("*").alias("shared"))
 
 
+def stem_postings(texts: DataFrame, key: str, text: str, asked: set[str] | None = None) -> DataFrame:
+    """The positional inverted table (key, lexeme, positions): where each stem stands among a text's words, from 1.
+
+    ``asked`` narrows it to those stems before anything leaves the Arrow pass.
+    A null text has no row.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    wanted = None if asked is None else texts.sparkSession.sparkContext.broadcast(frozenset(asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lexemes_, places = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for lexeme, found in stem.positions(t, wanted and wanted.value).items():
+                    keys.append(i)
+                    lexemes_.append(lexeme)
+                    places.append(found)
+            columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(lexemes_, pa.string()), pa.array(places, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "lexeme", "positions"])
+
+    return texts.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, lexeme string, positions array<int>")
+
+
+def query_parts(queries: DataFrame, query_key: str, query_text: str, every: int | None = None) -> DataFrame:
+    """(query, lexeme, part): what a cover must hold one of.
+
+    All stems of a query are one part, so that any of them is a cover; with
+    ``every``, each of its first so many distinct stems is a part of its own.
+    """
+    stems = stem_postings(queries, query_key, query_text)
+    if every is None:
+        return stems.select(query_key, "lexeme", F.lit(0).alias("part"))
+    first = Window.partitionBy(query_key).orderBy(F.col("positions")[0])
+    return stems.withColumn("part", F.row_number().over(first) - 1).where(F.col("part") < every).select(query_key, "lexeme", "part")
+
+
+#: Fixed value: what a cover without other words between its own is worth.
+COVER = "0.1"
+
+
+def cover_density(events: Column, parts: Column) -> Column:
+    """The sum, to nine decimals, over minimal covers of COVER / (1 + words of a cover that match nothing).
+
+    ``events``: distinct (position, part), ascending.  A cover is an extent that
+    holds all of ``parts`` parts and within which no other one lies: for each
+    event, the least of the parts' latest places begins one if it lies further
+    on than the last cover's.  One pass; nothing is gathered.
+    """
+    state = "named_struct('latest', cast(array() as array<int>), 'begun', 0, 'at', 0, 'sum', cast(0 as decimal(38,18)))"
+
+    def step(acc: Column, event: Column) -> Column:
+        at = acc["at"] + 1
+        latest = F.transform(acc["latest"], lambda x, i: F.when(i == event["part"], at).otherwise(x))
+        begins = F.array_min(latest)
+        matched = at - begins + 1
+        length = event["position"] - F.element_at(events, F.greatest(begins, F.lit(1)))["position"] + 1
+        worth = (F.lit(COVER).cast("decimal(19,18)") / (1 + length - matched).cast("decimal(12,0)")).cast("decimal(38,18)")
+        fresh = begins > acc["begun"]
+        total = (acc["sum"] + F.when(fresh, worth).otherwise(F.lit(0).cast("decimal(38,18)"))).cast("decimal(38,18)")
+        return F.struct(latest.alias("latest"), F.when(fresh, begins).otherwise(acc["begun"]).alias("begun"), at.alias("at"), total.alias("sum"))
+
+    begun = F.expr(state).withField("latest", F.array_repeat(F.lit(0), parts))
+    return F.aggregate(events, begun, step, lambda acc: F.round(acc["sum"], 9))
+
+
+def cover_matches(queries: DataFrame, query_key: str, query_text: str, texts: DataFrame, key: str, text: str, every: int | None = None) -> DataFrame:
+    """(query, key, score) of the texts that hold a cover of the query; English stems, stop words left out, scores decimals.
+
+    Stems of the queries are sent to the pass over the texts while they are few;
+    beyond that the whole positional table is narrowed by a join.  Where any stem
+    is a cover every place is one, so places are counted before anything is
+    shuffled; otherwise a query's places in a text are folded once.
+    """
+    parts = query_parts(queries, query_key, query_text, every)
+    asked = parts.select("lexeme").distinct()
+    few = asked.limit(QUERY_TERMS + 1).collect()
+    small = len(few) <= QUERY_TERMS
+    postings = stem_postings(texts, key, text, {r.lexeme for r in few} if small else None)
+    if every is None:
+        counted = postings.select(key, "lexeme", F.size("positions").cast("long").alias("n"))
+        summed = counted.join(F.broadcast(parts) if small else parts, "lexeme").groupBy(query_key, key).agg(F.sum("n").alias("n"))
+        return summed.select(query_key, key, (F.col("n") * F.lit(COVER).cast("decimal(2,1)")).cast("decimal(38,18)").alias("score"))
+    # Of a text that holds only some parts nothing is gathered: parts are counted first.
+    met = postings.join(F.broadcast(parts) if small else parts, "lexeme")
+    sizes = parts.groupBy(query_key).agg(F.count_distinct("part").cast("int").alias("_parts"))
+    event = F.transform("positions", lambda p: F.struct(p.alias("position"), F.col("part").alias("part")))
+    per = met.groupBy(query_key, key).agg(F.count_distinct("part").alias("_met"), F.array_sort(F.flatten(F.collect_list(event))).alias("_events"))
+    whole = per.join(sizes, query_key).where(F.col("_met") == F.col("_parts"))
+    return whole.select(query_key, key, cover_density(F.col("_events"), F.col("_parts")).alias("score"))
+
+
 def ranked(scored: DataFrame, query_key: str, order: list, depth: int) -> DataFrame:
     """Rank 1..depth of each query in a total order."""
     w = Window.partitionBy(query_key).orderBy(*order)
@@ -85,6 +181,16 @@ def ranked_twice(scored: DataFrame, query_key: str, first: list, second: list, d
     return both.withColumns({n: F.when(F.col(n) <= depth, F.col(n)) for n in parts}).where("rank_a is not null or rank_b is not null")
 
 
+def ranking_problems(ranking: DataFrame, query_key: str, key: str, depth: int = DEPTH) -> DataFrame:
+    """(query, problem): what makes a query's ranking unfit for fusion: item_twice, rank_twice, or ranks that are not 1 to their number (not_dense), or too_deep."""
+    per = ranking.groupBy(query_key).agg(
+        F.count("*").alias("_n"), F.count_distinct(key).alias("_items"), F.count_distinct("rank").alias("_ranks"), F.min("rank").alias("_low"), F.max("rank").alias("_high")
+    )
+    tests = {"item_twice": F.col("_items") < F.col("_n"), "rank_twice": F.col("_ranks") < F.col("_n"), "not_dense": (F.col("_low") != 1) | (F.col("_high") != F.col("_ranks")), "too_deep": F.col("_high") > depth}
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in tests.items()]))
+    return per.select(query_key, F.explode(found).alias("problem"))
+
+
 def fuse(first: DataFrame, second: DataFrame, query_key: str, key: str) -> DataFrame:
     """Reciprocal rank fusion of two rankings; see ``fused``."""
     a = first.select(query_key, key, F.col("rank").alias("rank_a"))

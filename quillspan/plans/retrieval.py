@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspan.functions import stem as ST
 from quillspan.operators import retrieval as R
 from quillspan.operators import spans as S
 from quillspan.plans.register import registry
@@ -66,6 +67,62 @@ def fused(spark, sf_dir):
     return R.fused(both_ranks(spark, sf_dir), "item_id", "doc_id")
 
 
+def _suffixes(table, least, extra=""):
+    """A step of the stemmer in SQL: the longest suffix that fits is replaced where enough vowel-consonant pairs stand before it."""
+    rows = sorted((x.split(":") if ":" in x else (x, "") for x in table.split()), key=lambda x: -len(x[0]))
+    return "CASE " + " ".join(f"WHEN ends_with(w, '{end}') THEN CASE WHEN regexp_matches(left(w, -{len(end)}), '{least}'){extra if end == 'ion' else ''} THEN left(w, -{len(end)}) || '{new}' ELSE w END" for end, new in rows) + " ELSE w END"
+
+
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_ONE, _TWO, _JUST_ONE, _SHORT, _VOWEL = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$", f"^{_C}[aeiouy][^aeiouwxy]$", f"^({_C})?[aeiouy]"
+_CUT = f"""CASE WHEN b IS NULL THEN w WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN length(b) > 1 AND right(b, 1) = left(right(b, 2), 1) AND regexp_matches(b, '[^aeioulsz]$') THEN left(b, -1)
+WHEN regexp_matches(b, '{_JUST_ONE}') AND regexp_matches(b, '{_SHORT}') THEN b || 'e' ELSE b END"""
+#: The stemmer as regular expressions over the distinct words of both tables.
+_STEMS = f"""dw AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM (SELECT doc_id, unnest({_TERMS.format(t='text')}) AS word, generate_subscripts({_TERMS.format(t='text')}, 1) AS i FROM documents)),
+qw AS (SELECT item_id, unnest({_TERMS.format(t='text')}) AS word, generate_subscripts({_TERMS.format(t='text')}, 1) AS place FROM benchmark),
+s0 AS (SELECT word, word AS w FROM (SELECT word FROM dw UNION SELECT word FROM qw) WHERE regexp_matches(word, '^[a-z]{{3,}}$')),
+s1 AS (SELECT word, CASE WHEN regexp_matches(w, '(sses|ies)$') THEN left(w, -2) WHEN regexp_matches(w, '(^|[^s])s$') THEN left(w, -1) ELSE w END AS w FROM s0),
+s2 AS (SELECT word, w, CASE WHEN ends_with(w, 'eed') THEN NULL WHEN ends_with(w, 'ed') AND regexp_matches(left(w, -2), '{_VOWEL}') THEN left(w, -2) WHEN ends_with(w, 'ing') AND regexp_matches(left(w, -3), '{_VOWEL}') THEN left(w, -3) END AS b FROM s1),
+s3 AS (SELECT word, CASE WHEN ends_with(w, 'eed') THEN CASE WHEN regexp_matches(left(w, -3), '{_ONE}') THEN left(w, -1) ELSE w END ELSE {_CUT} END AS w FROM s2),
+s4 AS (SELECT word, CASE WHEN ends_with(w, 'y') AND regexp_matches(left(w, -1), '{_VOWEL}') THEN left(w, -1) || 'i' ELSE w END AS w FROM s3),
+s5 AS (SELECT word, {_suffixes(ST.STEP2, _ONE)} AS w FROM s4), s6 AS (SELECT word, {_suffixes(ST.STEP3, _ONE)} AS w FROM s5), s7 AS (SELECT word, {_suffixes(ST.STEP4, _TWO, " AND regexp_matches(left(w, -3), '[st]$')")} AS w FROM s6),
+s8 AS (SELECT word, CASE WHEN ends_with(w, 'e') AND (regexp_matches(left(w, -1), '{_TWO}') OR regexp_matches(left(w, -1), '{_JUST_ONE}') AND NOT regexp_matches(left(w, -1), '{_SHORT}')) THEN left(w, -1) ELSE w END AS w FROM s7),
+s9 AS (SELECT word, CASE WHEN ends_with(w, 'll') AND regexp_matches(w, '{_TWO}') THEN left(w, -1) ELSE w END AS w FROM s8),
+stops AS (SELECT unnest(string_split('{' '.join(sorted(ST.STOP))}', ' ')) AS word),
+dl AS (SELECT doc_id, coalesce(w, dw.word) AS lexeme, place FROM dw LEFT JOIN s9 USING (word) WHERE dw.word NOT IN (SELECT word FROM stops)),
+ql AS (SELECT item_id, lexeme, min(place) AS place FROM (SELECT item_id, coalesce(w, qw.word) AS lexeme, place FROM qw LEFT JOIN s9 USING (word) WHERE qw.word NOT IN (SELECT word FROM stops)) GROUP BY item_id, lexeme),
+ca AS (SELECT item_id, doc_id, count(*) AS n FROM dl JOIN ql USING (lexeme) GROUP BY item_id, doc_id)"""
+_COVER_LEXICAL = "l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM ca QUALIFY rank <= 50)"
+
+def by_covers(items, docs, every=None):
+    scored = R.cover_matches(items, "item_id", "text", docs, "doc_id", "text", every)
+    return R.ranked(scored, "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH)
+
+
+_COVER_ORDER = "row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)"
+
+
+@query(f"""WITH {_STEMS}, p AS (SELECT * FROM (SELECT item_id, lexeme, row_number() OVER (PARTITION BY item_id ORDER BY place) AS part FROM ql) WHERE part <= 2),
+k AS (SELECT item_id, count(*) AS parts FROM p GROUP BY item_id),
+e AS (SELECT item_id, doc_id, place, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY place) AS i, part FROM dl JOIN p USING (lexeme)),
+t AS (SELECT *, max(place) FILTER (WHERE part = 1) OVER w AS a, max(place) FILTER (WHERE part = 2) OVER w AS b, max(i) FILTER (WHERE part = 1) OVER w AS ai, max(i) FILTER (WHERE part = 2) OVER w AS bi FROM e WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY i)),
+c AS (SELECT t.*, CASE WHEN parts = 1 THEN a WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS start, CASE WHEN parts = 1 THEN ai WHEN a IS NOT NULL AND b IS NOT NULL THEN least(ai, bi) END AS si FROM t JOIN k USING (item_id)),
+m AS (SELECT *, lag(start) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS before FROM c),
+s AS (SELECT item_id, doc_id, round(sum(CAST(0.1::DOUBLE / (1 + (place - start + 1) - (i - si + 1)) AS DECIMAL(38, 18))), 9) AS score FROM m WHERE start > coalesce(before, 0) GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, CAST({_COVER_ORDER} AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM s QUALIFY {_COVER_ORDER} <= 50""")
+def lexical_every_rank(spark, sf_dir):
+    """Fifty best documents that hold both of an item's first two stems, by the density of their minimal covers."""
+    found = by_covers(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 2)
+    return found.select("item_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH {_STEMS}, s AS (SELECT item_id, doc_id, n / 10 AS score FROM ca) SELECT item_id, doc_id, CAST({_COVER_ORDER} AS INTEGER) AS rank, score FROM s QUALIFY {_COVER_ORDER} <= 50")
+def lexical_cover_rank(spark, sf_dir):
+    """Fifty best documents of each item by cover density of its stems, any of which is a cover."""
+    found = by_covers(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return found.select("item_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
+
+
 _VECTORS = """v AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS item_id, x.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS score
 FROM embeddings q JOIN embeddings x ON q.label = x.label WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND x.vec_id IN (SELECT doc_id FROM documents)) QUALIFY rank <= 50)"""
 
@@ -78,15 +135,13 @@ def hybrid(spark, sf_dir, scope=None):
     asks = vectors.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "item_id")
     own = vectors.withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
     by_vector = R.ranked(R.vector_scores(asks, "item_id", own, "doc_id", "label"), "item_id", [F.desc("score"), F.col("doc_id")], R.DEPTH)
-    lexical = R.lexical_matches(items, "item_id", "text", docs, "doc_id", "text")
-    return R.fuse(by_vector, R.ranked(lexical, "item_id", _order(BY_TERMS), R.DEPTH), "item_id", "doc_id").select("item_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
+    return R.fuse(by_vector, by_covers(items, docs), "item_id", "doc_id").select("item_id", "doc_id", "rank", F.col("score").cast("double").alias("score"))
 
 
 _HYBRID = _FUSED.replace("FROM a FULL JOIN b ON", "FROM v AS a FULL JOIN l AS b ON")
-_LEXICAL = "l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, score, doc_id) AS rank FROM m QUALIFY rank <= 50)"
 
 
-@query(f"WITH {_MATCHES}, {_LEXICAL}, {_VECTORS}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r")
+@query(f"WITH {_STEMS}, {_COVER_LEXICAL}, {_VECTORS}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r")
 def hybrid_topk(spark, sf_dir):
     """Vector and lexical rankings of 50 each, fused."""
     return hybrid(spark, sf_dir)
@@ -99,7 +154,7 @@ def _inside(sql):
     return sql.replace("FROM documents", "FROM inside")
 
 
-@query(f"""WITH inside AS (SELECT * FROM documents WHERE {_SCOPED}), {_inside(_MATCHES)}, {_LEXICAL}, {_inside(_VECTORS)}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r""")
+@query(f"""WITH inside AS (SELECT * FROM documents WHERE {_SCOPED}), {_inside(_STEMS)}, {_COVER_LEXICAL}, {_inside(_VECTORS)}, {_HYBRID} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(score AS DOUBLE) AS score FROM r""")
 def scoped_search(spark, sf_dir):
     """The same within one language: what is out of scope takes no place in either ranking."""
     return hybrid(spark, sf_dir, _SCOPED)
