@@ -18,20 +18,65 @@ def test_normalise_is_idempotent(spark):
     assert one(spark, once, T.normalise(F.col("t"))) == once
     assert one(spark, None, T.normalise(F.col("t"))) is None
     assert one(spark, "e\u0301te\u0301", T.normalise(F.col("t"))) == "\xe9t\xe9"
+    for text, expected in {"a\x0bb": "a\nb", "a\x0cb": "a\nb", "a\x85b\u2028c\u2029d": "a\nb\nc\nd", "a\r\n\r\rb\n": "a\n\nb", "\n\n a \n \u00a0b\u00a0 \n": "a\n\u00a0b\u00a0", "a\x01 \x1fb": "a b", " \t\n": ""}.items():
+        assert one(spark, text, T.normalise(F.col("t"))) == expected, repr(text)
     assert one(spark, "Stra\xdfe \ufb01n", T.words(F.col("t"))) == ["strasse", "fin"]
     assert one(spark, " a\u00a0 b\t\n c ", T.collapsed(F.col("t"))) == "a b c"
 
 
 def test_keys(spark):
-    assert one(spark, "Coursework 1: the report", T.canonical_key(F.col("t"))) == "coursework-1"
-    assert one(spark, "Final Café exam", T.canonical_key(F.col("t"))) == "final-café-exam"
+    cases = {
+        "Coursework 1: the report": "coursework 1",
+        "Coursework 1": "coursework 1",
+        "2026 Exam": "2026 exam",
+        "2026 Essay": "2026 essay",
+        "2026 Exam 2 resit": "2026 exam 2",
+        "The final big Exam 4": "the final big exam 4",
+        "The very final big Exam 4": "the very final big exam 4",
+        "A b c 7 d": "a b c 7",
+        "Final Café exam": "final café exam",
+        "Part2 one": "part2 one",
+        "...": "",
+    }
+    for text, expected in cases.items():
+        assert one(spark, text, T.canonical_key(F.col("t"))) == expected, text
     assert one(spark, "- Submit it.", T.statement_key(F.col("t"))) == one(spark, "submit IT", T.statement_key(F.col("t")))
 
 
+def test_safe_title(spark):
+    cases = {"O'Brien's `notes`": "O'Brien's `notes`", ' a\t"b"\u00a0<c>\x00 ': "a b c", "x" * 300: "x" * 200, "<>": ""}
+    for text, expected in cases.items():
+        assert one(spark, text, T.safe_title(F.col("t"))) == expected, text
+
+
 def test_modality(spark):
-    cases = {"You must not use AI": "mandatory", "You may use AI": "permissive", "It should run": "recommended", "You shall pass": "mandatory", "It runs": None, "You should not": "recommended"}
+    cases = {
+        "You must not use AI": "mandatory",
+        "You may use AI": "permissive",
+        "It should run": "recommended",
+        "You shall pass": "mandatory",
+        "It runs": None,
+        "You should not": "recommended",
+        "No data may be shared": "mandatory",
+        "No. You may go": "permissive",
+        "Phones are not allowed": "mandatory",
+        "It is not permitted, but you can ask": "mixed",
+        "You need  to sign": "mandatory",
+        "A signature is required": "mandatory",
+        "Attendance is compulsory": "mandatory",
+        "You are encouraged to ask": "recommended",
+        "It could rain, it might snow": "permissive",
+        "If you wish, leave": "permissive",
+        "You must, and you should": "mixed",
+        "Canned mayonnaise mustn": None,
+        "You CANNOT go": "mandatory",
+        "You may not enter but may look": "mixed",
+    }
     for text, expected in cases.items():
         assert one(spark, text, T.modality(F.col("t"))) == expected, text
+    firsts = {"\U0001f600 you may go, you must go": 6, "nothing": None, "No one, ever, may": 0, "shall": 0}
+    for text, expected in firsts.items():
+        assert one(spark, text, T.wording(F.col("t")))["first"] == expected, text
 
 
 def test_percents(spark):
@@ -45,7 +90,8 @@ def test_deadlines(spark):
         "Due March 2, 2026, 5 pm": ("2026-03-02", "17:00", None),
         "Due 2026-03-12 at noon": ("2026-03-12", "12:00", None),
         "Due 12/03/2026": (None, None, "numeric_date"),
-        "Due 31 February 2026": (None, None, "month_only"),
+        "Due 31 February 2026": (None, None, "impossible_date"),
+        "Due 2026-13-01": (None, None, "impossible_date"),
         "Due soon": (None, None, "no_date"),
         "12 March 2026 or 13 March 2026": (None, None, "several_dates"),
         "Monday 3rd of March 2025, 2.30pm": ("2025-03-03", "14:30", None),
@@ -53,7 +99,21 @@ def test_deadlines(spark):
         "by Sept. 5, 2026 at midday": ("2026-09-05", "12:00", None),
         "sometime in March 2026": (None, None, "month_only"),
         "12 March 2026 at midnight": ("2026-03-12", None, None),
-        "12 March 2026 at 10:00 or 11:00": ("2026-03-12", None, None),
+        "12 March 2026 at 10:00 or 11:00": (None, None, "several_times"),
+        "12 March 2026, 10:00 or midnight": (None, None, "several_times"),
+        "3 March 2026, 10:00 or 11 a.m.": (None, None, "several_times"),
+        "3 March 2026, 10:00 or 10 a.m.": ("2026-03-03", "10:00", None),
+        "3 March 2026 at 24:00": (None, None, "impossible_time"),
+        "3 March 2026 at 14:00 pm": (None, None, "impossible_time"),
+        "Thursday, 12 Mar. 2026 at 11:59 P.M.": ("2026-03-12", "23:59", None),
+        "12 March 2026 and 2026-03-12": ("2026-03-12", None, None),
+        "12 March 2026; worth 3.50 marks, ratio 3:1": ("2026-03-12", None, None),
+        "x2026-03-12 or 12March 2026": (None, None, "no_date"),
+        "1.2.26": (None, None, "numeric_date"),
+        "version 1.2.30000 on 12 March 2026": ("2026-03-12", None, None),
+        "12 March 2026 at 12 am": ("2026-03-12", "00:00", None),
+        "12 March 2026 at 9.05 pm": ("2026-03-12", "21:05", None),
+        "": (None, None, "no_date"),
     }
     for text, expected in cases.items():
         d = one(spark, text, D.deadline(F.col("t")))
@@ -64,9 +124,11 @@ def test_what_a_deadline_leaves_to_review(spark):
     cases = {
         "Monday 3 March 2026": ["weekday_mismatch"],
         "Tuesday 3 March 2026": [],
-        "3 March 2026 at 24:00": ["impossible_time"],
         "3 March 2026 at midnight": ["ambiguous_time"],
-        "3 March 2026, 10:00 or 11 a.m.": ["several_times"],
+        "Mon. 3 March 2026 at midnight": ["ambiguous_time", "weekday_mismatch"],
+        "3 March 2026, 14:00 UTC+1": ["unrecognised_timezone"],
+        "3 March 2026, 14:00 local UK time": ["unrecognised_timezone"],
+        "3 March 2026, 14:00 GMT": [],
         "3 March 2026, 14:00 CET": ["unrecognised_timezone"],
         "3 March 2026, 2:00 PM (Paris time)": ["unrecognised_timezone"],
         "3 March 2026, 14:00 UTC or UK time": ["conflicting_timezone"],
@@ -83,7 +145,11 @@ def test_settled_deadlines(spark):
         ("3 July 2026, 14:00", None): (None, "unknown", "datetime", None, "needs_review", None),
         ("3 July 2026", None): (None, "unknown", "date", None, "verified", None),
         ("25 October 2026, 01:30", "Europe/London"): ("Europe/London", "institution_default", "datetime", None, "needs_review", None),
-        ("29 March 2026, 01:30", "Europe/London"): ("Europe/London", "institution_default", "datetime", None, "verified", "nonexistent_local_time"),
+        ("29 March 2026, 01:30", "Europe/London"): (None, None, None, None, "rejected", "nonexistent_local_time"),
+        ("due soon", "Europe/London"): (None, None, None, None, "rejected", "no_date"),
+        ("March 2026", None): (None, None, None, None, "rejected", "month_only"),
+        ("3/7/2026", "Europe/London"): (None, None, None, None, "rejected", "numeric_date"),
+        ("3 July 2026 or 4 July 2026, 14:00 UTC", None): (None, None, None, None, "rejected", "several_dates"),
         ("3 July 2026, 14:00 CET", "Europe/London"): (None, "unknown", "datetime", None, "needs_review", None),
     }
     for (text, zone), expected in cases.items():
@@ -91,6 +157,12 @@ def test_settled_deadlines(spark):
         assert (d.zone, d.zone_source, d.precision, d.instant and d.instant.strftime("%Y-%m-%d %H:%M"), d.status, d.reason) == expected, text
 
 
+def test_date_spans(spark):
+    text = "\U0001f600 by Friday, 13 November 2026 (12 Nov 2026) or 2026-02-30"
+    found = one(spark, text, D.date_spans(F.col("t")))
+    assert [(text[x.start : x.end], x.date and str(x.date)) for x in found] == [("Friday, 13 November 2026", "2026-11-13"), ("12 Nov 2026", "2026-11-12"), ("2026-02-30", None)]
+
+
 def test_local_instants(spark):
     state = D.local_instant(F.to_timestamp("t"), "Europe/London")["state"]
     cases = {"2026-03-29 01:30:00": "gap", "2026-10-25 01:30:00": "overlap", "2026-07-01 12:00:00": "exact", "2026-10-25 02:30:00": "exact"}
