@@ -1,18 +1,155 @@
-"""Sentences, quotes and injected instructions in a text, by code-point offsets from 0; Arrow-batched pandas UDFs."""
+"""Lines, sentences, list items, quotes and injected instructions in a text, by code-point offsets from 0; Arrow-batched pandas UDFs.
+
+A line opens a block if it begins with a list marker or with anything but a
+small letter; other lines continue the block above.  A sentence never leaves its
+block, so a wrapped sentence is whole and a heading is never glued to what
+follows.  A block that a marker opens is a list item.  Items right below each
+other are introduced by the block above them, if that is one line of text.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-#: A line that begins a list item.
-ITEM = re.compile(r"\s*(?:[-*•]|\d{1,3}[.)]|[a-z][.)])\s+")
-#: Wording that addresses a model instead of a reader.
-INJECTION = re.compile(r"\b(?:ignore|disregard|forget)\b[^.\n]{0,40}\b(?:instructions?|prompts?|rules)\b|\byou are (?:now )?an? (?:ai|assistant|language model)\b|\bsystem prompt\b", re.I)
+#: Bullets, and how numbers or letters mark a list item.
+MARKER = re.compile(r"\s*(?:[-•*]|\(?(?:[0-9]{1,2}|[a-z])[.)])\s+")
+_STOP = re.compile(r"[.!?](?=\s|$)")
+
+# Wording that addresses a model and not a reader.
+ORDERS = "ignore disregard forget override".split()
+EARLIER = "previous prior above earlier your".split()
+RULES = "instructions prompt prompts rules".split()
+SHOWING = "reveal print show output leak".split()
+SECRETS = ["api key", "system prompt", "password", "secret", "secrets", "credentials"]
+SPEAKERS = "system assistant developer".split()
+
+
+def _either(words: Iterable[str]) -> str:
+    return "(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + ")"
+
+
+TRIGGERS = [
+    rf"\b{_either(ORDERS)}\s+(?:{_either(['all', 'any', 'the'])}\s+)?{_either(EARLIER)}\s+{_either(RULES)}\b",
+    r"\byou\s+are\s+now\b",
+    rf"\b{_either(SHOWING)}\s+(?:{_either(['the', 'your'])}\s+)?{_either(SECRETS)}\b",
+    rf"^\s*{_either(SPEAKERS)}\s*:",
+]
+INJECTION = re.compile("|".join(TRIGGERS), re.I | re.M)
+#: What an assessed piece of work is called; what it has to do; what it does with content.
+WORKS = "specification specifications report reports submission submissions essay essays dissertation dissertations thesis theses proposal proposals portfolio portfolios assignment assignments coursework answer answers appendix abstract abstracts".split()
+DUTIES = ["must", "should", "shall", "need to", "needs to", "is required to", "are required to"]
+CONTENT = "include contain address discuss cover describe present demonstrate justify explain reflect compare state cite do".split()
+#: Fixed value: characters between the work and its duty, within one clause.
+REACH = 40
+ARTEFACT = re.compile(rf"\b{_either(WORKS)}\b[^.;:\n]{{0,{REACH}}}?\b{_either(DUTIES)}\s+(?:not\s+)?{_either(CONTENT)}\b", re.I)
+
+
+@dataclass(frozen=True, slots=True)
+class Block:
+    """A line that opens something and the lines that continue it; ``body`` is behind a list marker."""
+
+    start: int
+    end: int
+    body: int
+    lines: int
+    item: bool
+    opened: bool
+
+
+def blocks(text: str) -> list[Block]:
+    """The blocks of a text, in order; of the first only is it possible that no line opens it."""
+    out: list[Block] = []
+    at = 0
+    for line in text.split("\n"):
+        marker = MARKER.match(line)
+        small = line.lstrip()[:1].islower()
+        if out and small and not marker:
+            last = out[-1]
+            out[-1] = Block(last.start, at + len(line), last.body, last.lines + 1, last.item, last.opened)
+        else:
+            out.append(Block(at, at + len(line), at + (marker.end() if marker else 0), 1, marker is not None, not small or marker is not None))
+        at += len(line) + 1
+    return out
+
+
+def block_at(found: list[Block], offset: int) -> int:
+    """The number of the block that ``offset`` lies in."""
+    return max(i for i, b in enumerate(found) if b.start <= offset or not i)
+
+
+def _cuts(text: str, block: Block) -> list[int]:
+    return [block.start, *(m.end() for m in _STOP.finditer(text, block.body, block.end)), block.end]
+
+
+def sentence_at(text: str, offset: int) -> tuple[int, int]:
+    """The sentence that ``offset`` lies in; what stands between two belongs to the second. A marker's own stop ends none."""
+    found = blocks(text)
+    block = found[block_at(found, offset)]
+    return next(((a, b) for a, b in pairwise(_cuts(text, block)) if offset < b), (_cuts(text, block)[-2], block.end))
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    part = text[start:end]
+    return start + len(part) - len(part.lstrip()), start + len(part.rstrip())
+
+
+def sentence_spans(text: str | None) -> list[tuple[int, int]]:
+    """All sentences, bare of white space at their ends, with their list markers."""
+    spans = (_trimmed(text, a, b) for block in blocks(text or "") for a, b in pairwise(_cuts(text or "", block)))
+    return [(a, b) for a, b in spans if a < b]
+
+
+def _lead(text: str, found: list[Block], i: int) -> tuple[int, int] | None:
+    """The line that introduces the item ``i``."""
+    while i and found[i].item:
+        i -= 1
+    lead = found[i]
+    if lead.item or lead.lines > 1 or not lead.opened:
+        return None
+    start, end = _trimmed(text, lead.start, lead.end)
+    return (start, end) if start < end else None
+
+
+def item_spans(text: str | None) -> list[tuple[int, int, tuple[int, int] | None]]:
+    """Every list item with its wrapped lines, white space behind left out, and the line that introduces it."""
+    found = blocks(text or "")
+    return [(b.start, b.start + len(text[b.start : b.end].rstrip()), _lead(text, found, i)) for i, b in enumerate(found) if b.item]
+
+
+def items_touched(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The items that a quote touches: the one it begins in, and those whose first line it reaches."""
+    found = blocks(text)
+    first = block_at(found, start)
+    own = [b for i, b in enumerate(found) if b.item and (i == first or i > first and b.start < end)]
+    return [(b.start, b.start + len(text[b.start : b.end].rstrip())) for b in own]
+
+
+def lead_in(text: str, offset: int) -> tuple[int, int] | None:
+    """The line that introduces the item at ``offset``; none outside an item."""
+    found = blocks(text)
+    i = block_at(found, offset)
+    return _lead(text, found, i) if found[i].item else None
+
+
+def artefact_content(text: str, offset: int) -> bool:
+    """Whether the sentence at ``offset``, or the line that introduces its list item, says what a piece of work must contain."""
+    a, b = sentence_at(text, offset)
+    lead = lead_in(text, offset)
+    return bool(ARTEFACT.search(text[a:b]) or lead and ARTEFACT.search(text[lead[0] : lead[1]]))
+
+
+def bare(text: str) -> str:
+    """White space collapsed, without a list marker in front."""
+    return MARKER.sub("", " ".join(text.split()), count=1) if text else ""
 
 
 def quote_spans(text: str | None, quote: str | None) -> list[tuple[int, int]]:
@@ -24,38 +161,22 @@ def quote_spans(text: str | None, quote: str | None) -> list[tuple[int, int]]:
     return [m.span(1) for m in pattern.finditer(text)]
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """Sentences; they run over wrapped lines but never over a blank line or into a list item."""
-    out: list[tuple[int, int]] = []
-    if not text:
-        return out
-    blocks, begin, at = [], 0, 0
-    for line in text.splitlines(keepends=True):
-        if not line.strip() or ITEM.match(line):
-            blocks.append((begin, at))
-            begin = at
-        at += len(line)
-    blocks.append((begin, at))
-    for a, b in blocks:
-        start = a
-        for m in re.finditer(r"[.!?]+(?=\s|$)", text[a:b]):
-            out.append((start, a + m.end()))
-            start = a + m.end()
-        out.append((start, b))
-    trimmed = ((a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in out)
-    return [(a, b) for a, b in trimmed if a < b]
-
-
 def injected_spans(text: str | None) -> list[tuple[int, int]]:
-    """From the start of the sentence with such wording to the end of its line."""
+    """From the start of the sentence or line with such wording to the end of its line, so that what follows it there is inside."""
     out = []
     for m in INJECTION.finditer(text or ""):
-        start = next((a for a, b in sentence_spans(text) if a <= m.start() < b), m.start())
+        stops = [s.end() for s in re.finditer(r"[.!?](?=\s)|\n", text[: m.start() + 1]) if s.end() <= m.start()]
         end = text.find("\n", m.end())
-        out.append((start, len(text) if end < 0 else end))
+        end = len(text) if end < 0 else end
+        start = stops[-1] if stops else 0
+        out.append((_trimmed(text, start, end)[0], end))
     return out
 
 
+_INT = T.IntegerType()
+_SPAN = T.ArrayType(T.StructType([T.StructField("start", _INT), T.StructField("end", _INT)]))
+
+
 def _as_structs(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": a, "end": b} for a, b in spans]
 
@@ -73,3 +194,16 @@ def sentences(text: pd.Series) -> pd.Series:
 @F.pandas_udf(_SPAN)
 def injections(text: pd.Series) -> pd.Series:
     return pd.Series([_as_structs(injected_spans(t)) for t in text])
+
+
+def list_items(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """One row (key, item from 0, start, end, lead_start, lead_end) a list item; one Arrow pass without a shuffle. Null texts have none."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, a, b, *(lead or (None, None))) for i, t in enumerate(batch.column(1).to_pylist()) for n, (a, b, lead) in enumerate(item_spans(t))]
+            numbers = [pa.array(c, pa.int32()) for c in zip(*rows)] if rows else [pa.array([], pa.int32())] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers[0]), *numbers[1:]], [key, "item", "start", "end", "lead_start", "lead_end"])
+
+    return texts.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, item int, start int, end int, lead_start int, lead_end int")

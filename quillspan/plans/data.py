@@ -19,6 +19,18 @@ from quillspan.streaming import sync
 
 QUERIES, SQL, query = registry()
 
+_MARKER = "^\\s*([-•*]|\\(?([0-9]{1,2}|[a-z])[.)])\\s+"
+#: Lines and blocks of the texts in ``t`` (doc_id, text), by windows over lines; ``doc_id`` names a text.
+BLOCKS = f"""l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+l1 AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS s, regexp_matches(line, '{_MARKER}') AS item, regexp_matches(line, '^\\s*\\p{{Ll}}') AS small FROM l0),
+l2 AS (SELECT *, sum(CASE WHEN i = 1 OR item OR NOT small THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM l1),
+b AS (SELECT doc_id, block, min(s) AS s, max(s + length(line)) AS e, arg_min(item, i) AS item, count(*) AS lines, arg_min(length(regexp_extract(line, '{_MARKER}')), i) AS marker, bool_or(i = 1 AND small AND NOT item) AS unopened FROM l2 GROUP BY doc_id, block)"""
+SENTENCES = f"""WITH t AS (SELECT doc_id, text FROM documents), {BLOCKS}, x AS (SELECT b.*, substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)) AS part FROM b JOIN t USING (doc_id)),
+c AS (SELECT doc_id, block, s, part, unnest(list_concat([0], list_filter(range(CAST(marker AS BIGINT) + 1, length(part) + 1), lambda p: substr(part, p, 1) IN ('.', '!', '?') AND (p = length(part) OR regexp_matches(substr(part, p + 1, 1), '\\s'))))) AS a FROM x),
+d AS (SELECT *, lead(a, 1, length(part)) OVER (PARTITION BY doc_id, block ORDER BY a) AS z FROM c),
+f AS (SELECT doc_id, s + a + length(regexp_extract(substr(part, a + 1, z - a), '^\\s*')) AS s, s + z - length(regexp_extract(substr(part, a + 1, z - a), '\\s*$')) AS e FROM d)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS number, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM f WHERE s < e"""
+
 
 def shared_folder(spark) -> str:
     """A new folder where the whole cluster sees it."""
@@ -77,7 +89,11 @@ def evidence_gate(spark, sf_dir):
     return G.gate(proposals, docs.where("doc_id % 11 <> 0"), "doc_id", F.col("fine")).select("doc_id", "reason")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(substr(text, 1, 12), '\S+') AS parts FROM documents),
+k AS (SELECT doc_id, text, parts, array_to_string(list_transform(parts, lambda p: regexp_replace(p, '([^\p{L}\p{N}])', '\\\1', 'g')), '\s+') AS pattern FROM t),
+g AS (SELECT doc_id, pattern, substr(parts[1], 1, 1) AS c, string_split(text, substr(parts[1], 1, 1)) AS g FROM k WHERE len(parts) > 0),
+p AS (SELECT doc_id, any_value(g) AS g, count(*) AS n, min(i) AS i FROM (SELECT doc_id, g, unnest(list_filter(range(2, len(g) + 1), lambda i: regexp_matches(c || list_reduce(list_slice(g, i, i + 12), lambda a, b: a || c || b), '^' || pattern))) AS i FROM g) GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS places, CAST(list_sum(list_transform(g[1:i - 1], lambda x: length(x))) + i - 2 AS INTEGER) AS first FROM t LEFT JOIN p USING (doc_id)""")
 def quote_locations(spark, sf_dir):
     """Every place of each document's first twelve characters in it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -85,9 +101,9 @@ def quote_locations(spark, sf_dir):
     return found.select("doc_id", F.size("q").alias("places"), F.get("q", F.lit(0))["start"].alias("first"))
 
 
-@query()
+@query(SENTENCES)
 def sentence_bounds(spark, sf_dir):
-    """Sentences of every document; each is an exact slice of its text."""
+    """Sentences of every document, by offsets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(ST.sentences("text")).alias("number", "s")).select("doc_id", "number", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 

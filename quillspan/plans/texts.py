@@ -20,11 +20,14 @@ QUERIES, SQL, query = registry()
 _WORDS = "regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g') AS t FROM documents),
-b AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(t), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS t FROM a)
-SELECT doc_id, sha256(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS text_hash FROM b""")
+@query("""WITH a AS (SELECT doc_id, string_split(nfc_normalize(translate(replace(translate(text, 'xkqz', chr(11) || chr(133) || chr(8232) || chr(7)), chr(13) || chr(10), chr(10)), chr(13) || chr(11) || chr(12) || chr(133) || chr(8232) || chr(8233) || chr(7), repeat(chr(10), 6))), chr(10)) AS l FROM documents),
+b AS (SELECT doc_id, list_transform(l, lambda x: array_to_string(list_filter(string_split(replace(x, chr(9), ' '), ' '), lambda w: w <> ''), ' ')) AS l FROM a),
+c AS (SELECT doc_id, array_to_string(list_filter(list_zip(l, range(1, len(l) + 1)), lambda z: z[1] <> '' OR z[2] > 1 AND l[z[2] - 1] <> '').list_transform(lambda z: z[1]), chr(10)) AS t FROM b)
+SELECT doc_id, sha256(trim(t, chr(10))) AS text_hash FROM c""")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise(F.col("text")), 256).alias("text_hash"))
+    """Documents in which some letters are turned into odd line breaks and a control character."""
+    odd = F.translate("text", "xkqz", "\x0b\x85\u2028\x07")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalise(odd), 256).alias("text_hash"))
 
 
 @query(f"SELECT doc_id, len({_WORDS.format(t='text')}) AS words, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens, sha256(array_to_string({_WORDS.format(t='text')}, ' ')) AS statement_key FROM documents")
@@ -34,24 +37,55 @@ def words_and_keys(spark, sf_dir):
     )
 
 
-@query(f"""WITH w AS (SELECT p_partkey, {_WORDS.format(t="p_brand || ' ' || p_size || ' ' || p_name")} AS w FROM part), p AS (SELECT *, list_position(list_transform(w[1:4], lambda x: regexp_matches(x, '^[0-9]+$')), true) AS i FROM w)
-SELECT p_partkey, array_to_string(CASE WHEN i > 0 THEN w[1:i] ELSE w END, '-') AS canonical_key FROM p""")
+_TITLE = "CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_size || ' ' || p_name WHEN 2 THEN p_name || ' (' || p_size || '), part 2' ELSE p_size || ': ' || p_size || ' of ' || p_brand END"
+
+
+@query(f"""WITH w AS (SELECT p_partkey, {_WORDS.format(t=_TITLE)} AS w FROM part), n AS (SELECT p_partkey, w, unnest([2, 3, 4]) AS i FROM w), f AS (SELECT p_partkey, min(i) AS i FROM n WHERE try_cast(w[i] AS BIGINT) IS NOT NULL GROUP BY p_partkey)
+SELECT p_partkey, array_to_string(list_slice(w, 1, coalesce(i, len(w))), ' ') AS canonical_key FROM w LEFT JOIN f USING (p_partkey)""")
 def canonical_key(spark, sf_dir):
-    title = F.concat_ws(" ", "p_brand", F.col("p_size").cast("string"), "p_name")
+    """Titles worded from parts, with numbers in first and in later places."""
+    size = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 4
+    title = (
+        F.when(kind == 0, F.col("p_brand"))
+        .when(kind == 1, F.concat_ws(" ", size, "p_name"))
+        .when(kind == 2, F.concat("p_name", F.lit(" ("), size, F.lit("), part 2")))
+        .otherwise(F.concat(size, F.lit(": "), size, F.lit(" of "), "p_brand"))
+    )
     return table(spark, sf_dir, "part").select("p_partkey", T.canonical_key(title).alias("canonical_key"))
 
 
-@query("""SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f"''<>`]', ' ', 'g'), ' +', ' ', 'g')), 1, 200) AS title FROM conversations""")
+@query("""SELECT conv_id, turn, substr(array_to_string(list_filter(string_split(translate('It''s "`' || turn || '`" <b>' || chr(9) || text, '"<>' || chr(9) || chr(10) || chr(13), repeat(' ', 6)), ' '), lambda w: w <> ''), ' '), 1, 200) AS title FROM conversations""")
 def safe_title(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.safe_title(F.col("text")).alias("title"))
+    """Titles with quotes, marks and breaks, worded from turns."""
+    title = F.concat(F.lit("It's \"`"), F.col("turn").cast("string"), F.lit('`" <b>\t'), "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.safe_title(title).alias("title"))
+
+
+_PHRASES = ["is", "May", "can", "could", "might", "is optional to", "if you wish, will", "should", "is recommended to", "is advised to", "must", "SHALL", "is required to", "needs to", "has to", "is compulsory to", "may  not", "must not", "cannot", "can not", "is not allowed to", "is not permitted to"]
+_ENDS = ["be sent", "wait; no parcel may", "be sent and should be signed", "be sent. No one, not even a clerk who may", "be sent, maybe", "rest while others must"]
+
+
+def _picked(words: list[str], place: str) -> str:
+    return f"[{', '.join(repr(w) for w in words)}][1 + {place} % {len(words)}]"
+
+
+_SAID = f"'Order ' || o_orderkey || ' ' || {_picked(_PHRASES, 'o_orderkey')} || ' ' || {_picked(_ENDS, '(o_orderkey // 3)')} || ' now.'"
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'mandatory' WHEN 2 THEN 'recommended' WHEN 3 THEN 'permissive' END AS modality FROM orders""")
+@query(f"""WITH a AS (SELECT o_orderkey, {_SAID} AS said FROM orders), b AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(said), '[a-z]+|[.;:]'), ' ') || ' ' AS t FROM a),
+c AS (SELECT *, list_filter(string_split('may not,must not,cannot,can not,not permitted,not allowed', ','), lambda p: contains(t, ' ' || p || ' ')) AS no, regexp_matches(t, ' no [^.;:]* ?may ') AS none FROM b),
+d AS (SELECT *, regexp_replace(regexp_replace(t, ' (may not|must not|cannot|can not|not permitted|not allowed) ', ' # ', 'g'), ' no [^.;:]*?may ', ' # ') AS rest FROM c),
+e AS (SELECT o_orderkey, said, len(no) > 0 OR none OR len(list_filter(string_split('must,required,requires,requirement,need to,needs to,have to,has to,shall,mandatory,compulsory', ','), lambda p: contains(t, ' ' || p || ' '))) > 0 AS mandatory,
+len(list_filter(string_split('should,recommended,recommend,encouraged,advised,advisable', ','), lambda p: contains(t, ' ' || p || ' '))) > 0 AS recommended, len(list_filter(string_split('may,can,could,might,optional,optionally,if you wish', ','), lambda p: contains(rest, ' ' || p || ' '))) > 0 AS permissive FROM d)
+SELECT o_orderkey, CASE WHEN CAST(mandatory AS INTEGER) + CAST(recommended AS INTEGER) + CAST(permissive AS INTEGER) > 1 THEN 'mixed' WHEN mandatory THEN 'mandatory' WHEN recommended THEN 'recommended' WHEN permissive THEN 'permissive' END AS modality,
+CAST(nullif(strpos(lower(said), regexp_extract(lower(said), '\\b(no\\b[^.;:]{{0,60}}?\\bmay|may\\s+not|must|cannot|can|not allowed|not permitted|may|could|might|optional|if you wish|should|recommended|advised|shall|required|needs to|has to|compulsory)\\b')), 1) - 1 AS INTEGER) AS first FROM e""")
 def modal_wording(spark, sf_dir):
-    """Statements worded from each order, classified again by their modal words."""
-    verbs = F.element_at(F.array(*[F.lit(v) for v in ("must", "may not", "should", "can", "will")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" "), verbs, F.lit(" be sent before the others."))
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.modality(text).alias("modality"))
+    """Statements worded from each order with every modal phrase, classified by their words."""
+    place = [F.col("o_orderkey") % len(_PHRASES), F.floor(F.col("o_orderkey") / 3) % len(_ENDS)]
+    words = [F.element_at(F.array(*[F.lit(w) for w in ws]), (p + 1).cast("int")) for ws, p in zip((_PHRASES, _ENDS), place)]
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" "), words[0], F.lit(" "), words[1], F.lit(" now."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.modality(text).alias("modality"), T.wording(text)["first"].alias("first"))
 
 
 @query("""SELECT value, count(*) AS n FROM (SELECT CAST(round(l_discount * 100) AS INTEGER) AS value FROM lineitem UNION ALL SELECT CAST(round(l_tax * 100) AS INTEGER) FROM lineitem) GROUP BY value""")
