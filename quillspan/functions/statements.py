@@ -149,7 +149,9 @@ def artefact_content(text: str, offset: int) -> bool:
 
 def bare(text: str) -> str:
     """White space collapsed, without a list marker in front."""
-    return MARKER.sub("", " ".join(text.split()), count=1) if text else ""
+    plain = " ".join(text.split())
+    marker = MARKER.match(plain)
+    return plain[marker.end() :] if marker else plain
 
 
 def quote_spans(text: str | None, quote: str | None) -> list[tuple[int, int]]:

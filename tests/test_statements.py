@@ -76,4 +76,4 @@ def test_injected_wording():
 
 
 def test_bare_statements():
-    assert S.bare(" 1.  Do\n this ") == "Do this" and S.bare("(b) x") == "x" and S.bare("") == ""
+    assert S.bare(" 1.  Do\n this ") == "Do this" and S.bare("(b) x") == "x" and S.bare("") == "" and S.bare("The plan. It") == "The plan. It"
