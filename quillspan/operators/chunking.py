@@ -14,12 +14,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.intervals import containment_join, merged, uncovered
+
 _SPACES = re.compile(r"\s+")
 #: Boundary ranks, best first: a span's start, a blank line, a line, a sentence, a space.
 SPAN, PARAGRAPH, LINE, SENTENCE, SPACE = range(5)
+#: Characters of a bucket in joins of ranges of one text.
+GAP_WIDTH = 4096
 SLIDE_KINDS = ("slide_text", "slide_notes")
 
 
@@ -52,38 +56,55 @@ class Unit:
     slide: int | None
 
 
-def _runs(text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """White-space runs as (start, end, rank), and their starts."""
-    runs = []
-    for m in _SPACES.finditer(text):
-        s, e = m.span()
-        rank = PARAGRAPH if "\n\n" in m[0] else LINE if "\n" in m[0] else SENTENCE if s and text[s - 1] in ".!?" else SPACE
-        runs.append((s, e, rank))
-    return [r[0] for r in runs], runs
+class Breaks:
+    """Where a text can be parted: its white space, listed apart by kind, best kind first; each list ascends."""
 
+    KINDS = (PARAGRAPH, LINE, SENTENCE, SPACE)
 
-def units(text: str, spans: list[tuple[str, int | None, int, int]], sizes: Sizes) -> list[Unit]:
-    """Visible parts of the spans (kind, slide, start, end); those above the bound are cut at their best boundaries."""
-    starts, runs = _runs(text)
-    out = []
-    for number, (kind, slide, a, b) in enumerate(spans):
-        part = text[a:b]
-        begin, end = a + len(part) - len(part.lstrip()), a + len(part.rstrip())
-        mine = slide if kind in SLIDE_KINDS else None
-        while begin < end and sizes.tokens(end - begin) > sizes.split_above:
-            low, high = begin + sizes.piece_least * sizes.chars, begin + sizes.target * sizes.chars
-            near = runs[bisect.bisect_left(starts, begin + 1) : bisect.bisect_right(starts, high)]
-            inside = [r for r in near if r[0] >= low]
-            if inside:
-                cut, following, _ = min(inside, key=lambda r: (r[2], -r[0]))
-            elif near:
-                cut, following, _ = near[-1]
+    def __init__(self, text: str):
+        self.begins: dict[int, list[int]] = {kind: [] for kind in self.KINDS}
+        self.ends: dict[int, list[int]] = {kind: [] for kind in self.KINDS}
+        for space in _SPACES.finditer(text):
+            inside = space[0]
+            if "\n" in inside:
+                kind = PARAGRAPH if "\n\n" in inside else LINE
             else:
-                cut = following = high
-            out.append(Unit(begin, cut, number, kind == "heading", mine))
-            begin = following
-        if begin < end:
-            out.append(Unit(begin, end, number, kind == "heading", mine))
+                kind = SENTENCE if text[max(space.start() - 1, 0)] in ".!?" else SPACE
+            self.begins[kind].append(space.start())
+            self.ends[kind].append(space.end())
+
+    def last(self, kind: int, low: int, high: int) -> tuple[int, int] | None:
+        """The last white space of a kind that begins from low to high."""
+        i = bisect.bisect_right(self.begins[kind], high) - 1
+        return (self.begins[kind][i], self.ends[kind][i]) if i >= 0 and self.begins[kind][i] >= low else None
+
+    def part(self, begin: int, low: int, high: int) -> tuple[int, int]:
+        """Where a piece from ``begin`` ends and the next begins: the best kind between low and high, of it the last; else the last before; else high itself."""
+        fit = next((spot for kind in self.KINDS if (spot := self.last(kind, low, high))), None)
+        before = [spot for kind in self.KINDS if (spot := self.last(kind, begin + 1, low - 1))]
+        return fit or max(before, default=(high, high))
+
+    def ranked_ends(self) -> list[tuple[int, int]]:
+        return [(end, kind) for kind in self.KINDS for end in self.ends[kind]]
+
+
+def units(text: str, spans: list[tuple[str, int | None, int, int]], sizes: Sizes, breaks: Breaks | None = None) -> list[Unit]:
+    """Visible parts of the spans (kind, slide, start, end); those above the bound are dealt into pieces."""
+    breaks = breaks or Breaks(text)
+    least, target = sizes.piece_least * sizes.chars, sizes.target * sizes.chars
+    out = []
+    for number, (kind, slide, start, end) in enumerate(spans):
+        visible = text[start:end].strip()
+        if not visible:
+            continue
+        begin = text.index(visible, start)
+        end = begin + len(visible)
+        edges = [begin]
+        while sizes.tokens(end - edges[-1]) > sizes.split_above:
+            edges += breaks.part(edges[-1], edges[-1] + least, edges[-1] + target)
+        edges.append(end)
+        own = slide if kind in SLIDE_KINDS else None
+        out += [Unit(a, b, number, kind == "heading", own) for a, b in zip(edges[::2], edges[1::2])]
     return out
 
 
@@ -101,12 +122,12 @@ def groups(parts: list[Unit]) -> list[list[Unit]]:
     return out
 
 
-def _places(text: str, parts: list[Unit]) -> list[tuple[int, int]]:
+def _places(breaks: Breaks, parts: list[Unit]) -> list[tuple[int, int]]:
     """Where a chunk may begin anew, ascending, with ranks: the first unit of each span, and the ends of white space."""
     spans: dict[int, int] = {}
     for u in parts:
         spans.setdefault(u.span, u.start)
-    return sorted([(at, SPAN) for at in spans.values()] + [(end, rank) for _, end, rank in _runs(text)[1]])
+    return sorted([(at, SPAN) for at in spans.values()] + breaks.ranked_ends())
 
 
 def _shared_from(places: list[tuple[int, int]], closed: tuple[int, int], upto: int, sizes: Sizes) -> int:
@@ -134,8 +155,9 @@ def pack(text: str, spans: list[tuple[str, int | None, int, int]], sizes: Sizes
     tail of the last one, but a heading or a new slide begins bare.  A group
     beyond the bound is dealt out unit by unit.
     """
-    parts = units(text, spans, sizes)
-    places = _places(text, parts)
+    breaks = Breaks(text)
+    parts = units(text, spans, sizes, breaks)
+    places = _places(breaks, parts)
     queue = deque(groups(parts))
     chunks: list[tuple[int, int]] = []
     before: Unit | None = None  # the last unit taken; the last chunk ends with it
@@ -186,18 +208,99 @@ def chunk_documents(versions: DataFrame, key: str, sizes: Sizes = SPAN_PACK) ->
 
 
 def violations(chunks: DataFrame, versions: DataFrame, key: str, sizes: Sizes = SPAN_PACK) -> DataFrame:
-    """Chunks that break the contract: exact slice, bound, no white space at the edges, strictly increasing; none may be left."""
-    from pyspark.sql import Window
+    """Chunks that break the contract, with the first problem: (key, chunk_ordinal, problem); none may be left.
 
+    not_numbered, not_increasing, not_its_text, too_large, white_edges,
+    wrong_spans (the first or last span is not the one that it begins or ends
+    in); with no chunk number uncovered_text, for visible text in no chunk.
+    """
     w = Window.partitionBy(key).orderBy("chunk_ordinal")
-    piece = F.substring(F.col("text"), F.col("start_offset").cast("int") + 1, (F.col("end_offset") - F.col("start_offset")).cast("int"))
-    joined = chunks.join(versions.select(key, "text"), key).withColumn("piece", piece)
-    joined = joined.withColumn("a", F.lag("start_offset").over(w)).withColumn("b", F.lag("end_offset").over(w))
-    wrong = (
-        (F.sha2("piece", 256) != F.col("text_hash"))
-        | (F.col("estimated_tokens") > sizes.hard)
-        | F.col("piece").rlike("(?U)^\\s|\\s$")
-        | (F.col("start_offset") <= F.col("a"))
-        | (F.col("end_offset") <= F.col("b"))
+    start, end = F.col("start_offset"), F.col("end_offset")
+    piece = F.substring(F.col("text"), start.cast("int") + 1, (end - start).cast("int"))
+    placed = chunks.withColumns({"_a": F.lag("start_offset").over(w), "_b": F.lag("end_offset").over(w), "_n": F.row_number().over(w) - 1})
+    joined = placed.join(versions.select(key, "text", "spans"), key).withColumn("piece", piece)
+    first, last = F.get("spans", F.col("first_span")), F.get("spans", F.col("last_span"))
+    inside = (first["start"] <= start) & (start < first["end"]) & (last["start"] < end) & (end <= last["end"])
+    problems = {
+        "not_numbered": F.col("chunk_ordinal") != F.col("_n"),
+        "not_increasing": (start <= F.col("_a")) | (end <= F.col("_b")),
+        "not_its_text": F.sha2("piece", 256) != F.col("text_hash"),
+        "too_large": (F.col("estimated_tokens") > sizes.hard) | (F.col("estimated_tokens") != F.ceil(F.length("piece") / sizes.chars)),
+        "white_edges": F.col("piece").rlike("(?U)^\\s|\\s$"),
+        "wrong_spans": ~F.coalesce(inside, F.lit(False)),
+    }
+    problem = F.coalesce(*[F.when(test, F.lit(name)) for name, test in problems.items()])
+    wrong = joined.select(key, "chunk_ordinal", problem.alias("problem")).where("problem is not null")
+    missed = uncovered_text(chunks.select(key, start.alias("start"), end.alias("end")), versions, key)
+    return wrong.unionByName(missed.select(key, F.lit("uncovered_text").alias("problem")), allowMissingColumns=True)
+
+
+def uncovered_text(ranges: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, start, end) of visible text that no range (key, start, end) covers, from the first to the last visible character."""
+    whole = texts.select(key, F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
+    gaps = uncovered(whole, ranges, [key], GAP_WIDTH).join(texts.select(key, "text"), key)
+    part = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
+    edge = [F.length(F.regexp_extract(part, pattern, 0)) for pattern in ("(?U)^\\s*", "(?U)\\s*$")]
+    visible = gaps.where(part.rlike("(?U)\\S"))
+    return visible.select(key, (F.col("start") + edge[0]).alias("start"), (F.col("end") - edge[1]).alias("end"))
+
+
+def chunk_measures(chunks: DataFrame, spans: DataFrame, texts: DataFrame, key: str, sizes: Sizes = SPAN_PACK) -> DataFrame:
+    """Eighteen measures of the chunks of every version and, with a null key, of all: figures of the rows, not of the versions' figures.
+
+    ``chunks``: key, start, end, first_span, last_span; ``spans``: key, ordinal,
+    start, end; ``texts``: key, text.  A version without chunks counts with its
+    spans and text.  Ratios are null where nothing divides them.
+    """
+    size = F.col("end") - F.col("start")
+    visible = lambda t: F.length(F.regexp_replace(t, "(?U)\\s", "")).cast("long")
+    part = lambda t, s, e: F.substring(t, s.cast("int") + 1, (e - s).cast("int"))
+    bare = spans.join(texts.select(key, "text"), key).withColumn("_p", part(F.col("text"), F.col("start"), F.col("end")))
+    lead, tail = (F.length(F.regexp_extract("_p", pattern, 0)) for pattern in ("(?U)^\\s*", "(?U)\\s*$"))
+    seen = F.col("_p").rlike("(?U)\\S")
+    bare = bare.select(key, "ordinal", seen.alias("_seen"), F.when(seen, F.col("start") + lead).alias("start"), F.when(seen, F.col("end") - tail).alias("end"))
+    inner = bare.where("_seen").select(key, "ordinal", "start", "end")
+    held = containment_join(inner, chunks.select(key, "start", "end"), [key], GAP_WIDTH).select(key, F.col("a_ordinal").alias("ordinal")).distinct().withColumn("_held", F.lit(True))
+    per_span = bare.join(held, [key, "ordinal"], "left").groupBy(key).agg(F.count("*").alias("spans"), F.count_if("_seen").alias("visible_spans"), F.count_if(F.col("_seen") & F.col("_held").isNull()).alias("split_spans"))
+    first = inner.select(key, F.col("ordinal").alias("first_span"), F.col("start").alias("_from"))
+    last = inner.select(key, F.col("ordinal").alias("last_span"), F.col("end").alias("_to"))
+    edged = chunks.join(first, [key, "first_span"], "left").join(last, [key, "last_span"], "left")
+    edges = F.coalesce((F.col("start") > F.col("_from")).cast("int"), F.lit(0)) + F.coalesce((F.col("end") < F.col("_to")).cast("int"), F.lit(0))
+    rows = edged.select(key, size.alias("_size"), F.ceil(size / sizes.chars).alias("_tokens"), (F.col("last_span") - F.col("first_span") + 1).alias("_spans"), edges.alias("_edges"))
+    per_chunk = rows.rollup(key).agg(
+        F.grouping(key).alias("_all"),
+        F.count("*").alias("chunks"),
+        F.min("_tokens").alias("tokens_min"),
+        F.expr("percentile_disc(0.5) within group (order by _tokens)").cast("long").alias("tokens_p50"),
+        F.expr("percentile_disc(0.95) within group (order by _tokens)").cast("long").alias("tokens_p95"),
+        F.max("_tokens").alias("tokens_max"),
+        F.count_if(F.col("_tokens") >= sizes.target).alias("at_target"),
+        F.count_if(F.col("_tokens") == sizes.hard).alias("at_hard"),
+        F.round(F.avg("_spans"), 6).alias("spans_per_chunk"),
+        F.max("_spans").alias("spans_per_chunk_max"),
+        F.sum("_edges").alias("edges_inside"),
+        F.sum("_size").alias("chunk_chars"),
     )
-    return joined.where(F.coalesce(wrong, F.lit(False))).select(key, "chunk_ordinal")
+    islands = merged(chunks.select(key, "start", "end"), [key]).groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_i"))
+    long_ = F.lit(0).cast("long")
+    texted = texts.select(key, "text").join(islands, key, "left").select(
+        key,
+        visible(F.col("text")).alias("visible_chars"),
+        F.coalesce(F.aggregate("_i", long_, lambda n, i: n + i["end"] - i["start"]), long_).alias("covered_chars"),
+        F.coalesce(F.aggregate("_i", long_, lambda n, i: n + visible(part(F.col("text"), i["start"], i["end"]))), long_).alias("covered_visible_chars"),
+        F.length("text").cast("long").alias("_length"),
+    )
+    counts = ["spans", "visible_spans", "split_spans", "visible_chars", "covered_chars", "covered_visible_chars", "_length"]
+    totals = texted.join(per_span, key, "left").na.fill(0, counts).rollup(key).agg(F.grouping(key).alias("_all"), *[F.sum(c).alias(c) for c in counts])
+    both = totals.alias("t").join(per_chunk.alias("c"), F.col(f"t.{key}").eqNullSafe(F.col(f"c.{key}")) & (F.col("t._all") == F.col("c._all")), "left").drop(F.col(f"c.{key}"), F.col("c._all"))
+    zero = ["chunks", "at_target", "at_hard", "edges_inside", "chunk_chars"]
+    both = both.na.fill(0, zero)
+    unique, seen_chars = F.nullif("covered_chars", F.lit(0)), F.nullif("visible_chars", F.lit(0))
+    return both.select(
+        key, "chunks", "spans", "visible_spans", "tokens_min", "tokens_p50", "tokens_p95", "tokens_max", "at_target", "at_hard", "spans_per_chunk", "spans_per_chunk_max", "split_spans", "edges_inside", "chunk_chars", "covered_chars",
+        F.round(F.col("chunk_chars") / unique, 6).alias("duplication"),
+        F.round((F.col("chunk_chars") - F.col("covered_chars")) / unique, 6).alias("overlap_extra"),
+        "visible_chars", "covered_visible_chars",
+        F.round(F.col("covered_visible_chars") / seen_chars, 6).alias("visible_coverage"),
+        (F.col("_length") - F.col("covered_chars") - (F.col("visible_chars") - F.col("covered_visible_chars"))).alias("uncovered_white"),
+    )

@@ -29,13 +29,34 @@ def containment_join(inner: DataFrame, outer: DataFrame, on: list[str], width: i
     return overlap_join(inner, outer, on, width).where((F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end")))
 
 
-def union_length(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Total length of the union of each key's intervals; touching ones merge."""
+def merged(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The union of each key's intervals as (on, start, end); touching ones merge."""
     w = Window.partitionBy(*on).orderBy("start", "end")
     ahead = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0))
-    islands = marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*on, "_island").agg(F.min("start").alias("s"), F.max("end").alias("e"))
-    return islands.groupBy(*on).agg(F.sum(F.col("e") - F.col("s")).alias("union_length"), F.count("*").alias("n_ranges"))
+    islands = marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*on, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return islands.drop("_island")
+
+
+def union_length(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Total length of the union of each key's intervals; touching ones merge."""
+    return merged(rows, on).groupBy(*on).agg(F.sum(F.col("end") - F.col("start")).alias("union_length"), F.count("*").alias("n_ranges"))
+
+
+def uncovered(base: DataFrame, covers: DataFrame, on: list[str], width: int) -> DataFrame:
+    """What the covers of a key leave of each base interval, as (on, start, end); empty intervals cover nothing.
+
+    The gaps between merged covers, and those before and behind them, are met
+    with the base by ``overlap_join``.
+    """
+    reach = base.groupBy(*on).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"))
+    ends = reach.select(*on, F.explode(F.array("_lo", "_hi")).alias("start")).withColumn("end", F.col("start"))
+    solid = merged(covers.where(F.col("start") < F.col("end")).select(*on, "start", "end"), on)
+    w = Window.partitionBy(*on).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = solid.unionByName(ends).withColumn("_before", before).where(F.col("_before") < F.col("start")).select(*on, F.col("_before").alias("start"), F.col("start").alias("end"))
+    met = overlap_join(base.select(*on, "start", "end"), gaps, on, width)
+    return met.select(*on, F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
 
 
 def run_ranges(rows: DataFrame, on: list[str], number: str) -> DataFrame:

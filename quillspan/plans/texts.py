@@ -160,20 +160,61 @@ def chunk_check(spark, sf_dir):
     return wrong.join(chunks.agg(F.count_distinct("doc_id").alias("documents")), F.lit(True))
 
 
+#: Ranges of three lines each that share one; those of odd number begin two characters late where the line is long enough.
+_LINE_CHUNKS = """p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+o AS (SELECT *, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1 AS BIGINT) AS s FROM p), l AS (SELECT doc_id, s, s + length(x) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, count(*) OVER (PARTITION BY doc_id) AS m FROM o WHERE regexp_matches(x, '\\S')),
+k AS (SELECT a.doc_id, CASE WHEN (a.n // 2) % 2 = 1 AND a.e - a.s > 4 THEN a.s + 2 ELSE a.s END AS s, b.e, a.n AS f, b.n AS z FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.n = least(a.n + 2, a.m - 1) WHERE a.n % 2 = 0 AND (a.n = 0 OR a.n < a.m - 1))"""
+
+
+def line_chunks(spans):
+    w = Window.partitionBy("doc_id")
+    third = F.lead("end_offset", 2).over(w.orderBy("ordinal"))
+    late = (F.floor(F.col("ordinal") / 2) % 2 == 1) & (F.col("end_offset") - F.col("start_offset") > 4)
+    last = F.max("ordinal").over(w)
+    rows = spans.withColumns({"_last": last, "end": F.coalesce(third, F.max("end_offset").over(w)), "last_span": F.least(F.col("ordinal") + 2, last), "start": F.when(late, F.col("start_offset") + 2).otherwise(F.col("start_offset"))})
+    return rows.where("ordinal % 2 = 0 and (ordinal = 0 or ordinal < _last)").select("doc_id", "start", "end", F.col("ordinal").alias("first_span"), "last_span")
+
+
+_VISIBLE = "length(regexp_replace({t}, '\\s', '', 'g'))"
+
+
+@query(f"""WITH {_LINE_CHUNKS}, c AS (SELECT k.*, CAST(ceil((k.e - k.s) / 4) AS BIGINT) AS t, k.z - k.f + 1 AS n, CASE WHEN k.s > l.s THEN 1 ELSE 0 END AS g FROM k JOIN l ON l.doc_id = k.doc_id AND l.n = k.f),
+a AS (SELECT doc_id, grouping(doc_id) AS pooled, count(*) AS chunks, min(t) AS tokens_min, quantile_disc(t, 0.5) AS tokens_p50, quantile_disc(t, 0.95) AS tokens_p95, max(t) AS tokens_max, count(*) FILTER (WHERE t >= 800) AS at_target, count(*) FILTER (WHERE t = 1000) AS at_hard,
+round(avg(n), 6) AS spans_per_chunk, max(n) AS spans_per_chunk_max, CAST(sum(g) AS BIGINT) AS edges_inside, CAST(sum(e - s) AS BIGINT) AS chunk_chars FROM c GROUP BY ROLLUP (doc_id)),
+h AS (SELECT l.doc_id, l.n, bool_or(k.s <= l.s AND l.e <= k.e) AS held FROM l JOIN k ON k.doc_id = l.doc_id AND l.n BETWEEN k.f AND k.z GROUP BY l.doc_id, l.n),
+r AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM k), x AS (SELECT doc_id, CASE WHEN b > s THEN b ELSE s END AS s, e FROM r WHERE b IS NULL OR e > b),
+v AS (SELECT doc_id, CAST(sum(x.e - x.s) AS BIGINT) AS covered, CAST(sum({_VISIBLE.format(t='substr(text, x.s + 1, x.e - x.s)')}) AS BIGINT) AS seen FROM x JOIN documents USING (doc_id) GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(q.spans, 0) AS spans, coalesce(split, 0) AS split_spans, {_VISIBLE.format(t='text')} AS visible_chars, coalesce(covered, 0) AS covered_chars, coalesce(seen, 0) AS covered_visible_chars, length(text) AS size
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS spans, count(*) FILTER (WHERE NOT held) AS split FROM h GROUP BY doc_id) q USING (doc_id) LEFT JOIN v USING (doc_id)),
+t AS (SELECT doc_id, grouping(doc_id) AS pooled, CAST(sum(spans) AS BIGINT) AS spans, CAST(sum(split_spans) AS BIGINT) AS split_spans, CAST(sum(visible_chars) AS BIGINT) AS visible_chars, CAST(sum(covered_chars) AS BIGINT) AS covered_chars, CAST(sum(covered_visible_chars) AS BIGINT) AS covered_visible_chars, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY ROLLUP (doc_id))
+SELECT t.doc_id, coalesce(chunks, 0) AS chunks, spans, spans AS visible_spans, tokens_min, tokens_p50, tokens_p95, tokens_max, coalesce(at_target, 0) AS at_target, coalesce(at_hard, 0) AS at_hard, spans_per_chunk, spans_per_chunk_max, split_spans, coalesce(edges_inside, 0) AS edges_inside, coalesce(chunk_chars, 0) AS chunk_chars, covered_chars,
+round(chunk_chars / nullif(covered_chars, 0), 6) AS duplication, round((chunk_chars - covered_chars) / nullif(covered_chars, 0), 6) AS overlap_extra, visible_chars, covered_visible_chars, round(covered_visible_chars / nullif(visible_chars, 0), 6) AS visible_coverage, size - covered_chars - (visible_chars - covered_visible_chars) AS uncovered_white
+FROM t LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM t.doc_id AND a.pooled = t.pooled""")
+def chunk_measures(spark, sf_dir):
+    """All measures of a set of ranges that SQL can state, for each document and pooled (a null doc_id)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = S.line_spans(docs, "doc_id", "text")
+    return C.chunk_measures(line_chunks(spans), spans.select("doc_id", "ordinal", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")), docs, "doc_id")
+
+
+@query(f"""WITH {_LINE_CHUNKS}, j AS (SELECT * FROM l WHERE (doc_id + n) % 5 < 2), g AS (SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+UNION ALL SELECT d.doc_id, coalesce(max(j.e), 0), any_value(length(d.text)) FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id),
+t AS (SELECT g.doc_id, g.s, g.e, substr(text, g.s + 1, g.e - g.s) AS x FROM g JOIN documents USING (doc_id) WHERE g.s < g.e)
+SELECT doc_id, s + length(regexp_extract(x, '^\\s*')) AS start, e - length(regexp_extract(x, '\\s*$')) AS "end" FROM t WHERE regexp_matches(x, '\\S')""")
+def uncovered_text(spark, sf_dir):
+    """What two lines of five leave uncovered of each document's visible text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = S.line_spans(docs, "doc_id", "text").where("(doc_id + ordinal) % 5 < 2")
+    return C.uncovered_text(spans.select("doc_id", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")), docs, "doc_id")
+
+
 @query()
 def chunk_stats(spark, sf_dir):
-    """Per document: chunks, estimated tokens, chunks at or above the target, characters covered and covered twice."""
-    chunks = C.chunk_documents(document_versions(spark, sf_dir), "doc_id")
-    w = Window.partitionBy("doc_id").orderBy("chunk_ordinal")
-    size = F.col("end_offset") - F.col("start_offset")
-    twice = F.greatest(F.lag("end_offset").over(w) - F.col("start_offset"), F.lit(0))
-    return chunks.withColumn("twice", F.coalesce(twice, F.lit(0))).groupBy("doc_id").agg(
-        F.count("*").alias("chunks"),
-        F.expr("percentile_disc(0.5) within group (order by estimated_tokens)").alias("p50"),
-        F.count_if(F.col("estimated_tokens") >= 800).alias("at_target"),
-        F.sum(size - F.col("twice")).alias("covered"),
-        F.sum("twice").alias("covered_twice"),
-    )
+    """All measures of the packed chunks of every document, and pooled."""
+    versions = document_versions(spark, sf_dir)
+    chunks = C.chunk_documents(versions, "doc_id").select("doc_id", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"), "first_span", "last_span")
+    spans = versions.select("doc_id", F.posexplode("spans").alias("ordinal", "s")).select("doc_id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    return C.chunk_measures(chunks, spans, versions, "doc_id")
 
 
 @query()

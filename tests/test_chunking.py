@@ -69,3 +69,49 @@ def test_random_layouts_hold_the_contract():
 def test_nothing_visible_gives_no_chunk():
     assert C.pack("  \n ", [("paragraph", None, 0, 4)]) == []
     assert C.pack("", []) == []
+
+
+def test_what_ranges_leave_uncovered(spark):
+    from quillspan.operators.intervals import uncovered
+
+    rng = random.Random(9)
+    base, covers, want = [], [], []
+    for k in range(30):
+        own = sorted(rng.sample(range(60), 4))
+        base += [(k, own[0], own[1]), (k, own[2], own[3])]
+        held = [sorted(rng.choices(range(-5, 70), k=2)) for _ in range(rng.randrange(5))]
+        covers += [(k, a, b) for a, b in held]
+        for s, e in ((own[0], own[1]), (own[2], own[3])):
+            free = [i for i in range(s, e) if not any(a <= i < b for a, b in held)]
+            want += [(k, i, next(j + 1 for j in range(i, e) if j + 1 not in free)) for i in free if i - 1 not in free]
+    schema = "k int, start int, end int"
+    got = uncovered(spark.createDataFrame(base, schema), spark.createDataFrame(covers, schema), ["k"], 7)
+    assert sorted((r.k, r.start, r.end) for r in got.collect()) == sorted(want)
+
+
+def test_every_violation_is_told(spark):
+    import hashlib
+
+    text = "one two.\n\nthree four.\n\nfive"
+    spans = [("p", None, 0, 8), ("p", None, 10, 21), ("p", None, 23, 27)]
+
+    def row(key, n, a, b, first, last, said=None, tokens=None):
+        said = text[a:b] if said is None else said
+        return (key, n, a, b, first, last, -(-(b - a) // 4) if tokens is None else tokens, hashlib.sha256(said.encode()).hexdigest())
+
+    fine = [(0, 0, 21, 0, 1), (1, 10, 27, 1, 2)]
+    cases = {
+        "fine": [row(1, *c) for c in fine],
+        "not_numbered": [row(1, 0, 0, 21, 0, 1), row(1, 2, 10, 27, 1, 2)],
+        "not_increasing": [row(1, 0, 0, 27, 0, 2), row(1, 1, 10, 27, 1, 2)],
+        "not_its_text": [row(1, *fine[0], said="other"), row(1, *fine[1])],
+        "too_large": [row(1, *fine[0], tokens=7), row(1, *fine[1])],
+        "white_edges": [row(1, 0, 0, 22, 0, 1), row(1, 1, 10, 27, 1, 2)],
+        "wrong_spans": [row(1, 0, 0, 21, 0, 2), row(1, 1, 10, 27, 1, 2)],
+        "uncovered_text": [row(1, 0, 0, 8, 0, 0), row(1, 1, 10, 21, 1, 1)],
+    }
+    schema = "k int, chunk_ordinal int, start_offset long, end_offset long, first_span int, last_span int, estimated_tokens long, text_hash string"
+    version = spark.createDataFrame([(1, text, spans)], "k int, text string, spans array<struct<kind:string,slide:int,start:int,end:int>>")
+    for problem, rows in cases.items():
+        got = [r.problem for r in C.violations(spark.createDataFrame(rows, schema), version, "k").collect()]
+        assert got == ([] if problem == "fine" else [problem]), problem
