@@ -142,25 +142,31 @@ def cover_density(events: Column, parts: Column) -> Column:
     return F.aggregate(events, begun, step, lambda acc: F.round(acc["sum"], 9))
 
 
-def cover_matches(queries: DataFrame, query_key: str, query_text: str, texts: DataFrame, key: str, text: str, every: int | None = None) -> DataFrame:
+def cover_matches(queries: DataFrame, query_key: str, query_text: str, texts: DataFrame, key: str, text: str, every: int | None = None, within: str | None = None) -> DataFrame:
     """(query, key, score) of the texts that hold a cover of the query; English stems, stop words left out, scores decimals.
 
     Stems of the queries are sent to the pass over the texts while they are few;
     beyond that the whole positional table is narrowed by a join.  Where any stem
     is a cover every place is one, so places are counted before anything is
-    shuffled; otherwise a query's places in a text are folded once.
+    shuffled; otherwise a query's places in a text are folded once.  ``within`` names a column of the
+    queries and a field of the key, a struct, that have to be equal.
     """
     parts = query_parts(queries, query_key, query_text, every)
     asked = parts.select("lexeme").distinct()
     few = asked.limit(QUERY_TERMS + 1).collect()
     small = len(few) <= QUERY_TERMS
     postings = stem_postings(texts, key, text, {r.lexeme for r in few} if small else None)
+    on = ["lexeme"]
+    if within:
+        on.append("_within")
+        parts = parts.join(queries.select(query_key, F.col(within).alias("_within")), query_key)
+        postings = postings.withColumn("_within", F.col(f"{key}.{within}"))
     if every is None:
-        counted = postings.select(key, "lexeme", F.size("positions").cast("long").alias("n"))
-        summed = counted.join(F.broadcast(parts) if small else parts, "lexeme").groupBy(query_key, key).agg(F.sum("n").alias("n"))
+        counted = postings.select(key, *on, F.size("positions").cast("long").alias("n"))
+        summed = counted.join(F.broadcast(parts) if small else parts, on).groupBy(query_key, key).agg(F.sum("n").alias("n"))
         return summed.select(query_key, key, (F.col("n") * F.lit(COVER).cast("decimal(2,1)")).cast("decimal(38,18)").alias("score"))
     # Of a text that holds only some parts nothing is gathered: parts are counted first.
-    met = postings.join(F.broadcast(parts) if small else parts, "lexeme")
+    met = postings.join(F.broadcast(parts) if small else parts, on)
     sizes = parts.groupBy(query_key).agg(F.count_distinct("part").cast("int").alias("_parts"))
     event = F.transform("positions", lambda p: F.struct(p.alias("position"), F.col("part").alias("part")))
     per = met.groupBy(query_key, key).agg(F.count_distinct("part").alias("_met"), F.array_sort(F.flatten(F.collect_list(event))).alias("_events"))

@@ -1,10 +1,8 @@
-"""Content-addressed objects, published table versions, index states and the vector cache."""
+"""Content-addressed objects, index states and the vector cache; versions are published by ``operators.index``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,23 +17,6 @@ def corrupt_objects(store: DataFrame) -> DataFrame:
     return store.where(F.concat(F.lit("sha256:"), F.sha2("content", 256)) != F.col("address"))
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Writes a new version of a table and then moves its pointer; readers see the old or the new one, never a part. One writer."""
-    spark = df.sparkSession
-    version = uuid.uuid4().hex
-    df.write.parquet(f"{root}/versions/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return version
-
-
-def published(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
-    """A pinned version, or the one published last (by the pointer file's time)."""
-    if version is None:
-        pointer = spark.read.parquet(f"{root}/pointer").select("version", "_metadata.file_modification_time", "_metadata.file_name")
-        version = pointer.orderBy(F.desc("file_modification_time"), F.desc("file_name")).first().version
-    return spark.read.parquet(f"{root}/versions/{version}")
-
-
 def chunk_state(expected: DataFrame, stored: DataFrame, key: str, ordinal: str, content: str) -> DataFrame:
     """Per version: none (nothing stored), exact (the stored chunks are the expected ones) or mismatch."""
     e = expected.select(key, ordinal, F.col(content).alias("_e"), F.lit(True).alias("_want"))

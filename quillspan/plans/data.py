@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import statements as ST
 from quillspan.operators import gates as G
+from quillspan.operators import index as I
 from quillspan.operators import spans as S
 from quillspan.operators import store as K
 from quillspan.plans.register import registry
@@ -46,13 +47,18 @@ def content_store(spark, sf_dir):
     return K.content_store(table(spark, sf_dir, "documents"), "text").select("address", "size")
 
 
-@query("SELECT count(DISTINCT sha256(text)) AS objects, CAST(0 AS BIGINT) AS corrupt FROM documents")
+@query("SELECT count(DISTINCT sha256(text)) AS objects, count(DISTINCT CASE WHEN doc_id % 3 = 0 THEN sha256(text) END) AS corrupt, CAST(2 AS BIGINT) AS version FROM documents")
 def stored_version_verification(spark, sf_dir):
-    """The store published as a table version, read back through its pointer and re-hashed."""
+    """The store in two versions, of which the second has some contents altered: the last one is read back and re-hashed."""
     root = shared_folder(spark)
-    K.publish(K.content_store(table(spark, sf_dir, "documents"), "text"), root)
-    store = K.published(spark, root)
-    return store.agg(F.count("*").alias("objects")).join(K.corrupt_objects(store).agg(F.count("*").alias("corrupt")), F.lit(True))
+    docs = table(spark, sf_dir, "documents")
+    store = K.content_store(docs, "text")
+    first = I.commit(store, root, 0)
+    marked = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("address")).distinct().withColumn("_bad", F.lit(True))
+    altered = I.pinned(spark, root, first).join(marked, "address", "left").withColumn("content", F.when(F.col("_bad"), F.concat("content", F.lit("!"))).otherwise(F.col("content"))).drop("_bad")
+    second = I.commit(altered, root, first)
+    stored = I.pinned(spark, root)
+    return stored.agg(F.count("*").alias("objects")).join(K.corrupt_objects(stored).agg(F.count("*").alias("corrupt")), F.lit(True)).withColumn("version", F.lit(second).cast("long"))
 
 
 @query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS e FROM documents), l AS (SELECT doc_id, count(*) AS n FROM p WHERE regexp_matches(e, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id)

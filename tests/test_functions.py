@@ -255,15 +255,6 @@ def test_office_files():
     assert O.parse("d.pptx", out.getvalue())[0] == [("slide_text", 1, None, "One\nTwo"), ("slide_notes", 1, None, "Say it")]
 
 
-def test_publish_moves_the_pointer(spark, tmp_path):
-    from quillspan.operators import store as K
-
-    first = K.publish(spark.range(3), str(tmp_path))
-    K.publish(spark.range(5), str(tmp_path))
-    assert K.published(spark, str(tmp_path)).count() == 5
-    assert K.published(spark, str(tmp_path), first).count() == 3
-
-
 def test_vector_codec_is_canonical():
     from quillspan.sources import codec
 
