@@ -122,4 +122,5 @@ def order_tasks(tasks: DataFrame, prerequisites: DataFrame, owner: str) -> DataF
     # Sorted by preference: the fields of a struct compare in turn.
     preferred = F.sort_array(F.collect_list(F.struct("anchor", "optional", (~F.col("studying")).alias("later"), "key", "done", "needs")))
     lists = rows.groupBy(owner).agg(preferred.alias("tasks"))
-    return lists.mapInPandas(run, f"{owner} long, key long, position int, status string")
+    kinds = [tasks.schema[c].dataType.simpleString() for c in (owner, "key")]
+    return lists.mapInPandas(run, f"{owner} {kinds[0]}, key {kinds[1]}, position int, status string")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from quillspan.plans.register import registry
 from quillspan.session import table
 from quillspan.sources import office as O
 from quillspan.streaming import sync
+from quillspan.tables import shared_folder
 
 QUERIES, SQL, query = registry()
 
@@ -33,15 +31,6 @@ f AS (SELECT doc_id, s + a + length(regexp_extract(substr(part, a + 1, z - a), '
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS number, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM f WHERE s < e"""
 
 
-def shared_folder(spark) -> str:
-    """A new folder where the whole cluster sees it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
-
-
 @query("SELECT DISTINCT 'sha256:' || sha256(text) AS address, CAST(strlen(text) AS INTEGER) AS size FROM documents WHERE text IS NOT NULL")
 def content_store(spark, sf_dir):
     return K.content_store(table(spark, sf_dir, "documents"), "text").select("address", "size")

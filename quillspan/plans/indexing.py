@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from quillspan.operators import chunking as C
 from quillspan.operators import index as I
 from quillspan.operators import spans as S
-from quillspan.plans.data import shared_folder
 from quillspan.plans.register import registry
 from quillspan.plans.retrieval import _STEMS
 from quillspan.plans.texts import document_versions
 from quillspan.session import table
+from quillspan.tables import shared_folder
 
 QUERIES, SQL, query = registry()
 
