@@ -11,22 +11,25 @@ ZERO, COMPLETE, INCONSISTENT = "zero", "complete", "inconsistent"
 SEARCHABLE, UNINDEXED, CORRUPT = "searchable", "unindexed", "corrupt"
 
 
+def _named(named: dict[str, DataFrame]) -> DataFrame:
+    """All subjects as (type, key as text, label)."""
+    parts = [rows.select(F.lit(name).alias("_type"), F.col("key").cast("string").alias("_key"), "label") for name, rows in named.items()]
+    return reduce(DataFrame.union, parts)
+
+
 def subjects(links: DataFrame, kind: str, ref: str, named: dict[str, DataFrame]) -> DataFrame:
     """Each link with the label of the one subject that its type names; null where there is none.
 
-    ``named``: for each type its subjects as (key, label).  A link of another
-    type keeps a null label.
+    ``named``: for each type its subjects as (key, label).  The links are read
+    once and joined once, on type and key together.
     """
-    parts = []
-    for name, rows in named.items():
-        own = links.where(F.col(kind) == name)
-        parts.append(own.join(rows.select(F.col("key").alias(ref), "label"), ref, "left").select(*links.columns, "label"))
-    parts.append(links.where(~F.coalesce(F.col(kind).isin(*named), F.lit(False))).withColumn("label", F.lit(None).cast("string")))
-    return reduce(DataFrame.unionByName, parts)
+    every = _named(named)
+    met = links.join(every, (F.col(kind) == F.col("_type")) & (F.col(ref).cast("string") == F.col("_key")), "left")
+    return met.select(*links.columns, "label")
 
 
 def edge_ends(edges: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
-    """Edges (from_kind, from_id, to_kind, to_id) with the labels of both ends."""
+    """Edges (from_kind, from_id, to_kind, to_id) with the labels of both ends: two joins, whatever the number of types."""
     first = subjects(edges, "from_kind", "from_id", named).withColumnRenamed("label", "from_label")
     return subjects(first, "to_kind", "to_id", named).withColumnRenamed("label", "to_label")
 

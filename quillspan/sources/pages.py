@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Element roles, the joiner of a section trail and the name before the first heading.
 SKIPPED = frozenset("head script style template noscript".split())
@@ -124,3 +127,50 @@ def html_blocks(pages: DataFrame, key: str, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[key, "ordinal", "kind", "section", "text", "error"])
 
     return pages.select(key, column).mapInArrow(run, f"{key} long, ordinal int, kind string, section string, text string, error string")
+
+
+# Encodings that a page may declare, by Python's names; what browsers read as another.
+ENCODINGS = (
+    "utf-8 utf-16-le utf-16-be cp866 koi8-r koi8-u mac-roman iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 "
+    "cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 gbk gb18030 big5 euc_jp iso2022_jp shift_jis euc_kr"
+).split()
+READ_AS = {"iso8859-1": "cp1252", "ascii": "cp1252"}
+#: Bytes in which a declaration is looked for.
+DECLARED_WITHIN = 2048
+_DECLARATIONS = (re.compile(rb"^\s*<\?xml[^>]*?\bencoding\s*=\s*[\"']([\w.:-]+)", re.I), re.compile(rb"<\s*meta\b[^>]*?\bcharset\s*=\s*[\"']?\s*([\w.:-]+)", re.I))
+CORRUPT = "corrupt_file"
+
+
+def decoded(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+    """A page's text, the encoding that it was read by, and an error.
+
+    UTF-8, with or without its mark, comes first; else what the page declares,
+    if it is an encoding of the web and fits every byte.  Null bytes are an
+    empty page.
+    """
+    try:
+        return (content or b"").decode("utf-8-sig"), "utf-8", None
+    except UnicodeDecodeError:
+        pass
+    found = next((m for p in _DECLARATIONS if (m := p.search(content[:DECLARED_WITHIN]))), None)
+    if found:
+        try:
+            name = codecs.lookup(found[1].decode("ascii")).name
+            name = READ_AS.get(name, name)
+            if name in ENCODINGS:
+                return content.decode(name), name, None
+        except (LookupError, UnicodeDecodeError):
+            pass
+    return None, None, CORRUPT
+
+
+def decode_pages(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """Rows (key, text, encoding, error) of pages as bytes, see ``decoded``."""
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*map(decoded, batch.column(1).to_pylist()))) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns]], names=[key, "text", "encoding", "error"])
+
+    return pages.select(key, F.col(column).cast("binary").alias("_content")).mapInArrow(run, f"{key} {kind}, text string, encoding string, error string")
