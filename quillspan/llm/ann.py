@@ -6,9 +6,11 @@ is stored as flat neighbour arrays, one a level, padded with -1: links are
 chosen from exact candidates in the shard by the usual diversity rule, which
 gives the graph that insertion one by one approximates.  Each shard's arrays are
 written as one row, then searched by slices of the queries of bounded size.
-Every query descends every shard's levels greedily, then searches the lowest
-level with a beam; the shards' best are merged and scored in double precision on
-the original vectors.
+Every query descends every shard's levels with a beam, then searches the lowest
+level with a wider one; the shards' best are merged and scored in double precision
+on the original vectors.  In a shard vectors are moved about their mean and scaled
+before they are rounded to single precision, so neither a common offset nor very
+large or small components cost recall.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ QUERY_EVERY = 100
 SHARD = 8192
 #: Links a node on upper levels (twice as many on the lowest), candidates a link is chosen from, width of the beam.
 LINKS, CANDIDATES, BEAM = 16, 64, 128
+#: Width of the beam on upper levels.
+UPPER = 64
 #: Queries that one row of the search carries to a shard, and rows that one task searches a shard with on average.
 QUERY_BLOCK, SLICE_BLOCKS = 256, 16
 #: Parts that rows of one vector are dealt to before they meet.
@@ -96,33 +100,20 @@ class Graph:
             row[len(held) : len(held) + min(free, len(new))] = new[:free]
         return table
 
-    def search(self, query: np.ndarray, k: int, beam: int = BEAM) -> list[tuple[float, int]]:
-        """The k nearest found, as (squared distance, position)."""
-        if self.entry < 0:
-            return []
-        data = self.data
-        at = self.entry
-        d = float(((data[at] - query) ** 2).sum())
-        for level in range(len(self.links) - 1, 0, -1):
-            while True:
-                near = self.links[level][at]
-                near = near[near >= 0]
-                if not len(near):
-                    break
-                dist = ((data[near] - query) ** 2).sum(axis=1)
-                i = int(dist.argmin())
-                if dist[i] >= d:
-                    break
-                at, d = int(near[i]), float(dist[i])
+    def _nearest(self, query: np.ndarray, level: int, starts: list[tuple[float, int]], beam: int) -> list[tuple[float, int]]:
+        """Beam search on one level from (squared distance, position) pairs; the nearest found, at most ``beam``, ascending."""
+        data, links = self.data, self.links[level]
         seen = np.zeros(len(data), dtype=bool)
-        seen[at] = True
-        open_ = [(d, at)]
-        best = [(-d, at)]
+        seen[[n for _, n in starts]] = True
+        open_ = list(starts)
+        heapq.heapify(open_)
+        best = [(-d, n) for d, n in sorted(starts)[:beam]]
+        heapq.heapify(best)
         while open_:
             d, at = heapq.heappop(open_)
             if d > -best[0][0] and len(best) >= beam:
                 break
-            near = self.links[0][at]
+            near = links[at]
             near = near[near >= 0]
             near = near[~seen[near]]
             if not len(near):
@@ -136,7 +127,21 @@ class Graph:
                 elif x < -best[0][0]:
                     heapq.heapreplace(best, (-x, n))
                     heapq.heappush(open_, (x, n))
-        return sorted((-x, n) for x, n in best)[:k]
+        return sorted((-x, n) for x, n in best)
+
+    def search(self, query: np.ndarray, k: int, beam: int = BEAM, upper: int = UPPER) -> list[tuple[float, int]]:
+        """The k nearest found, as (squared distance, position).
+
+        Upper levels keep a beam too, and all that they end with begins the next
+        level: links on the lowest level do not leave a group that is larger than
+        the candidates, so each group near the query has to be entered from above.
+        """
+        if self.entry < 0:
+            return []
+        found = [(float(((self.data[self.entry] - query) ** 2).sum()), self.entry)]
+        for level in range(len(self.links) - 1, 0, -1):
+            found = self._nearest(query, level, found, upper)
+        return self._nearest(query, 0, found, max(beam, k))[:k]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -145,6 +150,16 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1)
 
 
+def _scaled(exact: np.ndarray) -> tuple[np.ndarray, tuple[float, np.ndarray, float]]:
+    """A shard's vectors about their mean and within a ball of radius one, and how a query is moved there; in double, rounded last."""
+    big = float(np.abs(exact).max(initial=0)) or 1.0
+    shrunk = exact / big
+    centre = shrunk.mean(axis=0) if len(exact) else np.zeros(exact.shape[1])
+    moved = shrunk - centre
+    radius = math.sqrt(float((moved**2).sum(axis=1).max(initial=0))) or 1.0
+    return (moved / radius).astype(np.float32), (big, centre, radius)
+
+
 _GRAPH = "size int, shard long, vectors binary, ids array<array<long>>, links array<binary>, entry int"
 
 
@@ -152,7 +167,7 @@ def _build_shard(key: tuple, nodes: pa.Table) -> pa.Table:
     """The shard's graph as one row: vectors, ids of each node, flat neighbour arrays by level, entry."""
     table = nodes.sort_by("node")
     exact = _matrix(table.column("vector"))
-    graph = Graph.build(exact.astype(np.float32))
+    graph = Graph.build(_scaled(exact)[0])
     row = {"size": key[0].as_py(), "shard": key[1].as_py(), "vectors": exact.tobytes(), "ids": table.column("ids").to_pylist(), "links": [x.tobytes() for x in graph.links], "entry": graph.entry}
     kinds = pa.schema([("size", pa.int32()), ("shard", pa.int64()), ("vectors", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64()))), ("links", pa.list_(pa.binary())), ("entry", pa.int32())])
     return pa.Table.from_pylist([row], schema=kinds)
@@ -166,12 +181,13 @@ def _search_shard(k: int, beam: int):
             row = graphs.slice(0, 1).to_pylist()[0]
             ids = row["ids"]
             exact = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
-            graph = Graph(exact.astype(np.float32), [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row["links"]], row["entry"])
+            data, (big, centre, radius) = _scaled(exact)
+            graph = Graph(data, [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in row["links"]], row["entry"])
             for block in blocks.column("queries").to_pylist():
                 for q in block:
                     point = np.asarray(q["vector"], dtype=np.float64)
                     # One node more: the query's own may hold nothing but itself.
-                    found = [n for _, n in graph.search(point.astype(np.float32), k + 1, beam)]
+                    found = [n for _, n in graph.search((point / big - centre) / radius, k + 1, beam)]
                     for n in found:
                         score = math.sqrt(float(((exact[n] - point) ** 2).sum()))
                         out += [(q["vec_id"], i, score) for i in ids[n] if i != q["vec_id"]]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
 from quillspan.llm.substring_dedup import _probes, bloom
-from quillspan.llm.tables import cut
+from quillspan.llm.tables import cut, named, versioned
 
 #: Words of a seed, which is also the shortest tile; items with fewer words match nothing.
 SEED = 5
@@ -30,7 +30,6 @@ COVERAGE = 0.5
 BROADCAST_WORDS = 1_000_000
 BLOOM_BITS = 26
 
-_LAST = (1 << 63) - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Seed pairs that are expanded at once.
 _CHUNK = 1 << 21
@@ -192,11 +191,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").withColumn("version", F.xxhash64("text"))
+    return versioned(docs.select("doc_id", "text")).select("doc", "text", "version")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """Pairs at or over the coverage: doc (null ids as the largest long), version, item, coverage, n_tiles, longest."""
+    """Pairs at or over the coverage: doc and version (see ``tables.versioned``), item, coverage, n_tiles, longest."""
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").alias("name"), "text").distinct()
     seeds = cut(items.mapInArrow(_item_seeds(seed), "core long, item long, p int, size int"), "seeds")
@@ -238,11 +237,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     without ``doc_id`` come out with a null one.  Rows repeated exactly count
     once.  With no documents or items the result is empty.
     """
-    return matches(docs, benchmark, **options).select(F.nullif("doc", F.lit(_LAST)).alias("doc_id"), "item_id", "coverage", "n_tiles", "longest")
+    return matches(docs, benchmark, **options).select(named().alias("doc_id"), "item_id", "coverage", "n_tiles", "longest")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with its columns, without the contaminated documents."""
     bad = cut(matches(docs, benchmark, **options).select(F.col("doc").alias("__doc"), F.col("version").alias("__version")).distinct(), "contaminated")
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__version": F.xxhash64("text")})
+    keyed = versioned(docs, "__doc", "__version")
     return keyed.join(bad, ["__doc", "__version"], "left_anti").select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillspan.llm import vectext as V
 from quillspan.llm.linking import contracted, linked, placed_links
 from quillspan.llm.substring_dedup import _probes, bloom
-from quillspan.llm.tables import cut
+from quillspan.llm.tables import cut, versioned
 
 #: Units of a shingle: two 64-bit words, which hash without a loop over the units.
 SHINGLE = 8
@@ -37,7 +37,6 @@ BLOOM_BITS = 26
 #: Units of the lines that one edit links, least and most; from 63 on the shingles allow for one.
 EDIT_LEAST, EDIT_MOST = 16, 64
 
-_LAST = (1 << 63) - 1
 
 
 def _since(flags: np.ndarray) -> np.ndarray:
@@ -218,7 +217,7 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """Per document with any: doc, version (the text's hash) and ``lines``, the numbers from 0 of the lines to remove."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text").withColumn("version", F.xxhash64("text"))
+    texts = versioned(docs.select("doc_id", "text")).select("doc", "text", "version")
     lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long, short binary"), "lines")
     proposed = texts.select("text").mapInArrow(_band_rows(), "key long, hash long")
     shared = cut(proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
@@ -234,8 +233,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
         parts = contracted(parts, placed_links(edits, parts))
     grouped = lines.join(parts.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group", F.coalesce("component", "hash"))
     grouped = grouped.select("doc", "version", "line", "group")
-    first = grouped.groupBy("group").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    later = grouped.join(first, "group").where(F.struct("doc", "line") > F.col("first"))
+    # A null id comes after the largest one.
+    place = F.struct("doc", F.col("version").bitwiseAND(F.lit(1)).alias("unnamed"), "line")
+    first = grouped.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1")
+    later = grouped.join(first, "group").where(place > F.col("first"))
     return later.groupBy("doc", "version").agg(F.collect_set("line").alias("lines"))
 
 
@@ -255,7 +256,7 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
     others.  Rows that repeat a ``doc_id`` stand at the same place.
     """
     gone = cut(removed_lines(docs, **options), "removed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))).withColumn("version", F.xxhash64("text"))
+    texts = versioned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     joined = texts.join(gone, ["doc", "version"], "left")
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.size(F.split("text", "\n", -1)))
     return joined.select(
@@ -267,7 +268,7 @@ def strip_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with its columns, texts without their removed lines; documents left without any line but blank ones go."""
     gone = cut(removed_lines(docs, **options), "removed")
     names = docs.columns
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__version": F.xxhash64("text")})
+    keyed = versioned(docs, "__doc", "__version")
     gone = gone.select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
     joined = keyed.join(gone, ["__doc", "__version"], "left")
     out = joined.withColumn("text", _without(F.col("text"), F.col("__lines")))

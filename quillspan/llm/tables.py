@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +29,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Stands for a null ``doc_id`` where rows are ordered: after all others.
+LAST = (1 << 63) - 1
+
+
+def versioned(docs: DataFrame, doc: str = "doc", version: str = "version") -> DataFrame:
+    """``docs`` with a non-null ``doc`` and a hash of the text that tells rows of one id apart; it is odd where the id is null, so that one is never taken for the largest id."""
+    known = F.col("doc_id").isNull().cast("long")
+    return docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), version: F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(known)})
+
+
+def named(doc: str = "doc", version: str = "version") -> Column:
+    """The ``doc_id`` of a row that ``versioned`` marked."""
+    return F.when(F.col(version).bitwiseAND(F.lit(1)) == 0, F.col(doc))
