@@ -86,34 +86,36 @@ def state_problems(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
     return both.na.fill(0, ["expected", "actual"]).where("expected <> actual")
 
 
+#: What a case counts as: of its rows the first whose condition holds for what the case expects (None: anything else, or always).
+OUTCOMES = (
+    ("materials", "no_target_offered", "retrieval_miss"),
+    ("materials", "misjudged", "verifier_mistake"),
+    ("materials", "others_taken", "ground_truth_ambiguity"),
+    ("materials", None, "correct"),
+    ("no_material", "any_taken", "verifier_mistake"),
+    ("no_material", None, "correct"),
+    (None, "irrelevant_taken", "verifier_mistake"),
+    (None, None, "unlabelled_for_review"),
+)
+
+
 def mapping_scores(cases: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per case: whether a target was a candidate and was selected (null without targets), and its category.
+    """Per case: whether a target was a candidate and was selected (null without targets), and its category by OUTCOMES.
 
     ``cases``: (case, expect); ``candidates``: (case, item, selected, bad);
     ``gold``: (case, item).
     """
-    targets = gold.distinct()
-    rows = candidates.join(targets.withColumn("_g", F.lit(True)), ["case", "item"], "left").withColumn("_g", F.coalesce("_g", F.lit(False)))
-    per = rows.groupBy("case").agg(
-        F.bool_or("_g").alias("retrieved"),
-        F.bool_or(F.col("_g") & F.col("selected")).alias("hit"),
-        F.bool_or(F.col("bad") & F.col("selected")).alias("wrong"),
-        F.bool_or(~F.col("_g") & F.col("selected")).alias("extra"),
-    )
-    every = cases.join(per, "case", "left").na.fill(False, ["retrieved", "hit", "wrong", "extra"])
-    every = every.join(targets.select("case").distinct().withColumn("_any", F.lit(True)), "case", "left")
-    of_materials = (
-        F.when(~F.col("retrieved"), "retrieval_miss")
-        .when(~F.col("hit") | F.col("wrong"), "verifier_mistake")
-        .when(F.col("extra"), "ground_truth_ambiguity")
-        .otherwise("correct")
-    )
-    category = (
-        F.when(F.col("expect") == "materials", of_materials)
-        .when(F.col("expect") == "no_material", F.when(F.col("hit") | F.col("wrong") | F.col("extra"), "verifier_mistake").otherwise("correct"))
-        .otherwise(F.when(F.col("wrong"), "verifier_mistake").otherwise("unlabelled_for_review"))
-    )
-    return every.select("case", F.when(F.col("_any"), F.col("retrieved")).alias("retrieval_hit"), F.when(F.col("_any"), F.col("hit")).alias("mapping_hit"), category.alias("category"))
+    marked = candidates.join(gold.distinct().withColumn("_target", F.lit(True)), ["case", "item"], "left").withColumn("_target", F.col("_target").isNotNull())
+    target, taken = F.col("_target"), F.coalesce("selected", F.lit(False))
+    counted = {"offered": target, "targets_taken": target & taken, "others_taken": ~target & taken, "irrelevant_taken": F.coalesce("bad", F.lit(False)) & taken, "any_taken": taken}
+    per = marked.groupBy("case").agg(*[F.count_if(test).alias(name) for name, test in counted.items()])
+    every = cases.join(per, "case", "left").na.fill(0, list(counted)).join(gold.groupBy("case").agg(F.count("*").alias("_targets")), "case", "left")
+    holds = {name: F.col(name) > 0 for name in ("others_taken", "irrelevant_taken", "any_taken")}
+    holds |= {"no_target_offered": F.col("offered") == 0, "misjudged": (F.col("targets_taken") == 0) | (F.col("irrelevant_taken") > 0)}
+    always = F.lit(True)
+    rows = [F.when((F.col("expect") == expect if expect else always) & holds.get(test, always), F.lit(category)) for expect, test, category in OUTCOMES]
+    known = F.col("_targets").isNotNull()
+    return every.select("case", F.when(known, F.col("offered") > 0).alias("retrieval_hit"), F.when(known, F.col("targets_taken") > 0).alias("mapping_hit"), F.coalesce(*rows).alias("category"))
 
 
 def integrity_violations(selected: DataFrame, spans: DataFrame) -> DataFrame:
