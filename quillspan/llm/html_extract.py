@@ -49,7 +49,11 @@ FAMILY = {
 #: Elements whose content is no page text: those that only their own end tag ends, and those of which a start tag without an end counts for nothing.
 RAW = "script style noscript textarea iframe"
 SOFT = frozenset("title template select svg math object canvas audio video button".split())
-DROP_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
+DROP_TAGS = frozenset("nav footer aside menu dialog head search fieldset".split())
+#: Elements of running text: inside an article only a class that is one of DROP_NAMES as a whole drops them, and an id never does, as it is an anchor.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li blockquote pre dd dt td th tr caption figcaption figure summary".split())
+#: Prose of a sibling, as a share of the best container's, from which it is another part of the same article.
+FELLOW = 0.3
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 DROP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies dialog disclaimer discussion "
@@ -78,7 +82,7 @@ _DIGITS = re.compile(r"\d+")
 class Element:
     """An open or closed block element: generalised name, path, whether it is to be dropped, and its score."""
 
-    __slots__ = ("tag", "parent", "path", "named", "barred", "drop", "inside", "held", "mains", "score", "order")
+    __slots__ = ("tag", "parent", "path", "named", "hinted", "barred", "drop", "inside", "held", "mains", "score", "order", "chars", "linked", "fields")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
@@ -87,22 +91,30 @@ class Element:
         path = own if parent is None else f"{parent.path}/{own}"
         self.path = path if len(path) <= PATH_CHARS else "~" + hashlib.md5(path.encode("utf-8", "replace")).hexdigest()
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
-        self.named = self.barred = self.drop = False
+        self.named = self.hinted = self.barred = self.drop = False
         self._boilerplate(attributes)
         self.barred = self.barred or bool(parent and parent.barred)
         self.held = self.mains = self.score = 0.0
+        self.chars = self.linked = 0
+        self.fields = tag == "form"
 
     def _boilerplate(self, attributes: dict[str, str]) -> None:
-        """Sets ``barred`` by tag, role or being hidden, and ``named`` by a word of class or id."""
+        """Sets ``barred`` by tag, role or being hidden, ``named`` by a class or id, and ``hinted`` where in an article a part of one says so."""
         if self.tag in ("html", "body", "article", "main") and "comment" not in attributes.get("class", "").lower():
             return
         if self.tag in DROP_TAGS or attributes.get("role", "").lower() in DROP_ROLES:
             self.barred = True
         if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
             self.barred = True
-        names = set(_NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-        if names & DROP_NAMES:
+        own = set(attributes.get("class", "").lower().split())
+        anchor = attributes.get("id", "").lower()
+        names = set(_NAME.findall(" ".join([*own, anchor])))
+        whole = own if self.tag in TEXTUAL else own | {anchor}
+        if self.tag == "form" or {_DIGITS.sub("", w).strip("-_") for w in whole} & DROP_NAMES:
             self.named = True
+        elif names & DROP_NAMES and not (self.tag in TEXTUAL or self.tag == "section"):
+            # Part of a longer name: within an article that alone says nothing.
+            self.hinted, self.named = self.inside, not self.inside
         if not self.inside and not names & OWN_NAMES:
             self.barred = self.barred or self.tag == "header"
             self.named = self.named or "header" in names
@@ -120,10 +132,14 @@ def settle(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> N
     """Sets ``drop``: what is barred or named, and all in it.
 
     A name drops no article or main further in, and not the element that holds
-    most of the page's prose, unless an article or main lies elsewhere.
+    most of the page's prose, unless an article or main lies elsewhere; so a
+    form around the whole page is a wrapper.  What is hinted at goes if at least
+    half of its text is links or if it holds a form.
     """
     total = 0.0
     for e, text, linked in blocks:
+        e.chars += len(text)
+        e.linked += linked
         if not e.barred:
             e.held += prose(text, linked)
             total += prose(text, linked)
@@ -135,10 +151,14 @@ def settle(elements: list[Element], blocks: list[tuple[Element, str, int]]) -> N
         if e.parent:
             e.parent.held += e.held
             e.parent.mains += e.mains
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
+            e.parent.fields |= e.fields
     for e in elements:
         most = 2 * e.held > total and e.mains == mains and not e.inside
         above = bool(e.parent and e.parent.drop) and not e.is_main()
-        e.drop = e.barred or above or e.named and not most
+        busy = e.hinted and (e.fields or 2 * e.linked >= e.chars)
+        e.drop = e.barred or above or busy or e.named and not most
 
 
 def soft_ends(page: str) -> dict[int, int]:
@@ -276,6 +296,13 @@ def best_container(elements: list[Element], blocks: list[tuple[Element, str, int
     return outer or best
 
 
+def parts(container: Element, elements: list[Element]) -> list[Element]:
+    """The container and, unless it is an article, its siblings of the same generalised path that hold nearly as much prose: an article in several pieces."""
+    if container.tag in ("article", "main") or container.parent is None:
+        return [container]
+    return [e for e in elements if e is container or e.parent is container.parent and e.path == container.path and not e.drop and e.held >= FELLOW * container.held > 0]
+
+
 def extract(page: str | None, path: str | None) -> str:
     """The main text: blocks of the element at ``path`` or, without it or its text, of the page's own best container."""
     if not page:
@@ -285,7 +312,8 @@ def extract(page: str | None, path: str | None) -> str:
     chosen = max((e for e in elements if path and e.path == path and not e.drop), key=lambda e: (e.score, -e.order), default=None)
     for container in (chosen, own):
         if container is not None:
-            texts = [t for e, t, _ in blocks if not e.drop and _within(e, container)]
+            pieces = parts(container, elements)
+            texts = [t for e, t, _ in blocks if not e.drop and any(_within(e, p) for p in pieces)]
             if texts:
                 return "\n\n".join(texts)
     # A page without any block element is one block.
