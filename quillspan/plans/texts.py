@@ -11,6 +11,7 @@ from quillspan.functions import text as T
 from quillspan.operators import chunking as C
 from quillspan.operators import spans as S
 from quillspan.plans.register import registry
+from quillspan.plans.retrieval import _STEMS
 from quillspan.session import table
 from quillspan.sources import pages as P
 
@@ -109,10 +110,17 @@ def parse_deadline(spark, sf_dir):
     return found.select("o_orderkey", F.date_format("d.date", "yyyy-MM-dd").alias("due"), F.col("d.time").alias("time"), F.col("d.reason").alias("reason"))
 
 
-@query()
+#: In London the clocks go forward at 01:00 on the last Sunday of March and back at 02:00 (01:00 UTC) on that of October.
+_SUNDAY = "make_date(year(ts), {month}, 31) - CAST(dayofweek(make_date(year(ts), {month}, 31)) AS INTEGER) + INTERVAL 1 HOUR"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts + to_days(CAST(event_id % 300 AS INTEGER)) AS ts FROM events), s AS (SELECT *, {_SUNDAY.format(month=3)} AS spring, {_SUNDAY.format(month=10)} AS autumn FROM e),
+t AS (SELECT *, CASE WHEN ts >= spring AND ts < spring + INTERVAL 1 HOUR THEN 'gap' WHEN ts >= autumn AND ts < autumn + INTERVAL 1 HOUR THEN 'overlap' ELSE 'exact' END AS state FROM s)
+SELECT event_id, CASE WHEN state = 'exact' THEN strftime(CASE WHEN ts >= spring AND ts < autumn THEN ts - INTERVAL 1 HOUR ELSE ts END, '%Y-%m-%d %H:%M:%S') END AS instant, state FROM t""")
 def dst_instant(spark, sf_dir):
-    """Event times read as London wall-clock times: exact, in a gap or in an overlap."""
-    found = table(spark, sf_dir, "events").select("event_id", D.local_instant(F.col("ts").cast("timestamp"), "Europe/London").alias("i"))
+    """Event times, spread over a year, read as London wall-clock times: exact, in a gap or in an overlap."""
+    spread = F.expr("cast(ts as timestamp) + make_dt_interval(cast(event_id % 300 as int))")
+    found = table(spark, sf_dir, "events").select("event_id", D.local_instant(spread, "Europe/London").alias("i"))
     return found.select("event_id", F.date_format("i.instant", "yyyy-MM-dd HH:mm:ss").alias("instant"), F.col("i.state").alias("state"))
 
 
@@ -223,8 +231,8 @@ def html_blocks(spark, sf_dir):
     return P.html_blocks(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"WITH {_STEMS} SELECT lexeme, count(DISTINCT doc_id) AS documents FROM dl GROUP BY lexeme")
 def stemmed_lexemes(spark, sf_dir):
-    """How many documents hold each English stem."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """How many documents hold each stem."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.explode(ST.lexeme_list("text")).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("documents"))
