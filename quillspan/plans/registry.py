@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.plans import claims, courses, data, evaluation, indexing, mapping, planning, records, relational, retrieval, rules, statements, texts
+from quillspan.plans import claims, courses, data, evaluation, indexing, mapping, planning, records, relational, retrieval, rules, statements, texts, validation
 from quillspan.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (relational, retrieval, rules, texts, data, courses, records, mapping, statements, claims, indexing, planning, evaluation)
+_MODULES = (relational, retrieval, rules, texts, data, courses, records, mapping, statements, claims, indexing, planning, evaluation, validation)
 
 
 def _shipped(f: Query) -> Query:
