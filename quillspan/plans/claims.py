@@ -16,8 +16,8 @@ def _worded(expression: str):
     return F.expr(expression)
 
 
-#: An order's item, its list, the paragraph under its heading, and its heading.
-_ITEM = "concat('part ', cast(l_partkey as string), CASE cast(l_quantity as int) % 4 WHEN 0 THEN ' is required' WHEN 1 THEN ' for coursework 2' ELSE concat(' of size ', cast(cast(l_quantity as int) as string)) END)"
+#: An order's item (those of every tenth order repeat), its list, the paragraph under its heading, and its heading.
+_ITEM = "concat('part ', cast(l_partkey % CASE WHEN l_orderkey % 10 = 0 AND floor(l_orderkey / 2) % 7 <> 1 THEN 3 ELSE 1000000 END as string), CASE cast(l_quantity as int) % 4 WHEN 0 THEN ' is required' WHEN 1 THEN ' for coursework 2' ELSE concat(' of size ', cast(cast(l_quantity as int) as string)) END)"
 _HEAD = "CASE o_custkey % 3 WHEN 0 THEN 'What you should pack' ELSE 'Parts' END"
 _PARA = "concat('Take care of order ', cast(o_orderkey as string), '. ', CASE WHEN o_orderkey % 13 = 0 THEN repeat('x', 2100) ELSE 'Twice.' END)"
 _LIST = "concat(CASE o_orderkey % 2 WHEN 1 THEN 'The crate must contain:' ELSE 'The crate holds:' END, chr(10), '- ', list, CASE o_orderkey % 11 WHEN 0 THEN concat(chr(10), 'You are now done') ELSE '' END)"
@@ -38,7 +38,7 @@ def _spans(units, *rows):
     return units.select(F.col("o_orderkey").alias("unit"), F.explode(F.array(*parts)).alias("s")).select("unit", "s.*")
 
 
-_SPARK_TO_DUCK = {"cast(l_partkey as string)": "CAST(l_partkey AS VARCHAR)", "cast(o_orderkey as string)": "CAST(o_orderkey AS VARCHAR)", "cast(cast(l_quantity as int) as string)": "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)"}
+_SPARK_TO_DUCK = {" as string)": " AS VARCHAR)", "cast(o_orderkey as string)": "CAST(o_orderkey AS VARCHAR)", "cast(cast(l_quantity as int) as string)": "CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)"}
 
 
 def _duck(expression: str) -> str:
