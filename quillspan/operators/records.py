@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ZERO, COMPLETE, INCONSISTENT = "zero", "complete", "inconsistent"
@@ -84,3 +84,14 @@ def locator_violations(blocks: DataFrame, kind: str, needed: dict[str, list[str]
     """Blocks without a locator that their kind requires."""
     tests = [(F.col(kind) == name) & reduce(Column.__or__, [F.col(c).isNull() for c in columns]) for name, columns in needed.items()]
     return blocks.where(reduce(Column.__or__, tests))
+
+
+def bounded_listing(rows: DataFrame, requests: DataFrame, key: str, order: list[Column], most: int = 50) -> DataFrame:
+    """For each request (key, asked) its key's first rows in ``order``: as many as asked, but at least one and at most ``most``; with their rank.
+
+    A null number asks for ``most``.  A key asked several times is listed once,
+    for the largest number.
+    """
+    asked = requests.groupBy(key).agg(F.max(F.greatest(F.lit(1), F.least(F.coalesce("asked", F.lit(most)), F.lit(most)))).alias("_most"))
+    ranked = rows.join(asked, key).withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where(F.col("rank") <= F.col("_most")).drop("_most")

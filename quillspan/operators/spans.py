@@ -40,3 +40,21 @@ def spans_of_ranges(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Each range's spans: rows of ``spans`` whose ordinal lies in [first_span, last_span]; an equi-join on exploded ordinals."""
     wide = ranges.withColumn("ordinal", F.explode(F.sequence("first_span", "last_span")))
     return wide.join(spans, [key, "ordinal"])
+
+
+def span_problems(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(key, ordinal, problem) of spans that cannot be chunked: none may be left.
+
+    ``spans``: key, ordinal, start_offset, end_offset; ``texts``: key, text.
+    not_numbered (ordinals are not 0 to n - 1), outside_text (empty, or beyond
+    the text), not_in_order (begins before the one before it ends), the first
+    of these a span; no_spans, with no ordinal, for a text without any.
+    """
+    w = Window.partitionBy(key).orderBy("ordinal", "start_offset")
+    rows = spans.join(texts.select(key, F.length("text").alias("_length")), key)
+    rows = rows.withColumns({"_n": F.row_number().over(w) - 1, "_end": F.lag("end_offset").over(w)})
+    inside = (F.col("start_offset") >= 0) & (F.col("start_offset") < F.col("end_offset")) & (F.col("end_offset") <= F.col("_length"))
+    problem = F.when(F.col("ordinal") != F.col("_n"), "not_numbered").when(~F.coalesce(inside, F.lit(False)), "outside_text").when(F.col("start_offset") < F.col("_end"), "not_in_order")
+    wrong = rows.select(key, "ordinal", problem.alias("problem")).where("problem is not null")
+    bare = texts.select(key).join(spans.select(key), key, "left_anti").select(key, F.lit("no_spans").alias("problem"))
+    return wrong.unionByName(bare, allowMissingColumns=True)

@@ -117,3 +117,14 @@ def locator_fit(spark, sf_dir):
 @query(r"SELECT conv_id, turn, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_hash FROM conversations")
 def collapsed_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.collapsed(F.col("text")), 256).alias("text_hash"))
+
+
+@query("""WITH q AS (SELECT c_custkey AS o_custkey, CASE WHEN c_custkey % 5 = 4 THEN 50 ELSE greatest(1, least([-3, 0, 4, 1000][1 + c_custkey % 5], 50)) END AS n FROM customer WHERE c_custkey % 3 = 0)
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS INTEGER) AS rank FROM orders JOIN q USING (o_custkey) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) QUALIFY row_number() OVER w <= n""")
+def bounded_listings(spark, sf_dir):
+    """Customers' latest orders, as many as asked within bounds; some ask for none, too few or too many."""
+    k = F.col("c_custkey")
+    asked = F.element_at(F.array(*[F.lit(n).cast("int") for n in (-3, 0, 4, 1000, None)]), (k % 5 + 1).cast("int"))
+    requests = table(spark, sf_dir, "customer").where(k % 3 == 0).select(k.alias("o_custkey"), asked.alias("asked"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return R.bounded_listing(rows, requests, "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "rank")

@@ -236,3 +236,19 @@ def stemmed_lexemes(spark, sf_dir):
     """How many documents hold each stem."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.explode(ST.lexeme_list("text")).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("documents"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), o AS (SELECT *, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1 AS BIGINT) AS s FROM p),
+l AS (SELECT doc_id, s, s + length(x) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM o WHERE regexp_matches(x, '\\S')),
+d AS (SELECT doc_id, n, CASE WHEN (doc_id + n) % 7 = 0 AND n > 0 THEN s - 3 ELSE s END AS s, CASE WHEN (doc_id + n) % 11 = 0 THEN e + 1000000 ELSE e END AS e FROM l WHERE NOT (doc_id % 5 = 0 AND n = 2) AND doc_id % 23 <> 0),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS r, lag(e) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM d)
+SELECT doc_id, n AS ordinal, CASE WHEN n <> r THEN 'not_numbered' WHEN s < 0 OR s >= e OR e > length(text) THEN 'outside_text' ELSE 'not_in_order' END AS problem FROM w JOIN documents USING (doc_id) WHERE n <> r OR s < 0 OR s >= e OR e > length(text) OR s < b
+UNION ALL SELECT doc_id, NULL, 'no_spans' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d)""")
+def span_problems(spark, sf_dir):
+    """Line spans of documents, some missing, moved or stretched, against what chunking needs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    k, n = F.col("doc_id"), F.col("ordinal")
+    lines = S.line_spans(docs, "doc_id", "text").where(~((k % 5 == 0) & (n == 2)) & (k % 23 != 0))
+    start = F.when(((k + n) % 7 == 0) & (n > 0), F.col("start_offset") - 3).otherwise(F.col("start_offset"))
+    end = F.when((k + n) % 11 == 0, F.col("end_offset") + 1_000_000).otherwise(F.col("end_offset"))
+    return S.span_problems(lines.select("doc_id", "ordinal", start.alias("start_offset"), end.alias("end_offset")), docs, "doc_id")
