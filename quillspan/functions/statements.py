@@ -154,6 +154,51 @@ def bare(text: str) -> str:
     return plain[marker.end() :] if marker else plain
 
 
+# What can close a sentence behind its stop, what can open the next, and words whose stop ends none.
+CLOSERS, OPENERS = "\"'”’)]", "\"“‘("
+ABBREVIATIONS = ("e.g.", "i.e.", "Dr.", "Prof.", "Mr.", "Mrs.", "Ms.", "cf.", "vs.")
+#: Characters up to which a line without a stop, between sentences, is a label of its own.
+LABEL_CHARS = 60
+_ENDED = re.compile(rf"[.!?][{re.escape(CLOSERS)}]*$")
+_PARTED = re.compile(rf"[.!?][{re.escape(CLOSERS)}]*(?=\s+[{re.escape(OPENERS)}]?[A-Z0-9])")
+
+
+def numbered_spans(text: str | None) -> list[tuple[int, int]]:
+    """Sentences as a reader would number them: wrapped lines are one run, a short label is a sentence of its own, a blank line ends any."""
+    out: list[tuple[int, int]] = []
+    lines, at = [], 0
+    for line in (text or "").split("\n"):
+        lines.append(_trimmed(line, 0, len(line)) if line.strip() else None)
+        lines[-1] = lines[-1] and (at + lines[-1][0], at + lines[-1][1])
+        at += len(line) + 1
+    run: list[int] = []
+
+    def close() -> None:
+        if run:
+            starts = [run[0]]
+            for stop in _PARTED.finditer(text, run[0], run[1]):
+                if not text[starts[-1] : stop.end()].endswith(ABBREVIATIONS):
+                    out.append((starts[-1], stop.end()))
+                    starts.append(stop.end() + len(text[stop.end() : run[1]]) - len(text[stop.end() : run[1]].lstrip()))
+            if starts[-1] < run[1]:
+                out.append((starts[-1], run[1]))
+            run.clear()
+
+    for line, following in zip(lines, [*lines[1:], None]):
+        if line is None:
+            close()
+            continue
+        between = not run or _ENDED.search(text[run[0] : run[1]])
+        begins = following is None or text[following[0]].isupper() or text[following[0]].isdigit()
+        if between and begins and line[1] - line[0] <= LABEL_CHARS and not _ENDED.search(text[line[0] : line[1]]):
+            close()
+            out.append(line)
+        else:
+            run[:] = [run[0] if run else line[0], line[1]]
+    close()
+    return out
+
+
 def quote_spans(text: str | None, quote: str | None) -> list[tuple[int, int]]:
     """Every place of the quote, overlapping ones too; a run of white space matches any run."""
     parts = (quote or "").split()
@@ -209,3 +254,17 @@ def list_items(texts: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers[0]), *numbers[1:]], [key, "item", "start", "end", "lead_start", "lead_end"])
 
     return texts.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, item int, start int, end int, lead_start int, lead_end int")
+
+
+def numbered_sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """One row (key, sentence, start, end, said) a sentence, S001 on in order, white space collapsed in ``said``; an Arrow pass without a shuffle. Null texts have none."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, f"S{n:03}", a, b, " ".join(t[a:b].split())) for i, t in enumerate(batch.column(1).to_pylist()) for n, (a, b) in enumerate(numbered_spans(t), 1)]
+            which, names, starts, ends, said = zip(*rows) if rows else ((),) * 5
+            columns = [pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(said, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *columns], [key, "sentence", "start", "end", "said"])
+
+    return texts.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, sentence string, start int, end int, said string")

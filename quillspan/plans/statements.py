@@ -90,3 +90,26 @@ def settled_deadlines(spark, sf_dir):
         F.col("d.status").alias("status"),
         F.array_join("d.review", " ").alias("review"),
     )
+
+
+_CLOSED = "[.!?][\"''”’)\\]]*"
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+o AS (SELECT *, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1 AS BIGINT) AS s0, regexp_matches(x, '\\S') AS solid, sum(CASE WHEN regexp_matches(x, '\\S') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM p),
+l AS (SELECT doc_id, i, para, s0 + length(regexp_extract(x, '^\\s*')) AS s, s0 + length(x) - length(regexp_extract(x, '\\s*$')) AS e, regexp_extract(x, '\\S.*') AS body FROM o WHERE solid),
+m AS (SELECT *, regexp_matches(body, '{_CLOSED}\\s*$') AS ended, lead(body) OVER w AS nxt, row_number() OVER w = 1 AS first FROM l WINDOW w AS (PARTITION BY doc_id, para ORDER BY i)),
+c AS (SELECT *, NOT ended AND e - s <= 60 AND (nxt IS NULL OR regexp_matches(nxt, '^[\\p{{Lu}}\\p{{Nd}}]')) AS fit, first OR lag(ended) OVER (PARTITION BY doc_id, para ORDER BY i) AS reset FROM m),
+g AS (SELECT *, sum(CASE WHEN fit THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, para ORDER BY i) AS grp FROM c),
+h AS (SELECT *, fit AND bool_or(reset AND fit) OVER (PARTITION BY doc_id, para, grp ORDER BY i) AS label FROM g),
+r AS (SELECT *, sum(CASE WHEN label THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, para ORDER BY i) AS n FROM h),
+u AS (SELECT doc_id, s, e, true AS label FROM r WHERE label UNION ALL SELECT doc_id, min(s), max(e), false FROM r WHERE NOT label GROUP BY doc_id, para, n),
+t AS (SELECT *, string_split(part, '') AS chars FROM (SELECT u.*, substr(text, s + 1, e - s) AS part FROM u JOIN documents USING (doc_id))),
+k AS (SELECT doc_id, s, part, label, unnest(list_concat([0], CASE WHEN label THEN [] ELSE list_filter(list_filter(range(1, len(chars)), lambda q: chars[q] IN ('.', '!', '?')), lambda q: regexp_matches(substr(part, q, 40), '^{_CLOSED}\\s+["“‘(]?[A-Z0-9]') AND NOT regexp_matches(substr(part, greatest(q - 4, 1), q - greatest(q - 4, 1) + 1), '(e\\.g|i\\.e|Dr|Prof|Mr|Mrs|Ms|cf|vs)\\.$')) END)) AS q FROM t),
+z AS (SELECT *, CASE WHEN q = 0 THEN 0 ELSE q - 1 + length(regexp_extract(substr(part, q, 40), '^{_CLOSED}')) END AS cut FROM k),
+y AS (SELECT *, lead(cut, 1, length(part)) OVER (PARTITION BY doc_id, s ORDER BY cut) AS until FROM z),
+f AS (SELECT doc_id, s + cut + length(regexp_extract(substr(part, cut + 1, until - cut), '^\\s*')) AS a, s + until AS b FROM y)
+SELECT doc_id, 'S' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) AS VARCHAR), CAST(greatest(3, length(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) AS VARCHAR))) AS INTEGER), '0') AS sentence, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end" FROM f WHERE a < b""")
+def numbered_sentences(spark, sf_dir):
+    """Every document's sentences by number and place."""
+    return S.numbered_sentences(table(spark, sf_dir, "documents"), "doc_id", "text").drop("said")

@@ -77,3 +77,15 @@ def test_injected_wording():
 
 def test_bare_statements():
     assert S.bare(" 1.  Do\n this ") == "Do this" and S.bare("(b) x") == "x" and S.bare("") == "" and S.bare("The plan. It") == "The plan. It"
+
+
+def test_numbered_sentences(spark):
+    text = "REPORT BRIEF\nWrite about e.g. Dr. Who and\nhis friends. Then stop! (Now)\nMarking\nIt is marked\n\nPage 3\n  next part runs on. 2 marks"
+    said = ["REPORT BRIEF", "Write about e.g. Dr. Who and\nhis friends.", "Then stop!", "(Now)\nMarking\nIt is marked", "Page 3\n  next part runs on.", "2 marks"]
+    assert parts(text, S.numbered_spans(text)) == said
+    assert parts("One two.\nLabel here\nThree four.", S.numbered_spans("One two.\nLabel here\nThree four.")) == ["One two.", "Label here", "Three four."]
+    assert parts("x" * 61 + "\nAb", S.numbered_spans("x" * 61 + "\nAb")) == ["x" * 61 + "\nAb"]
+    assert S.numbered_spans(None) == S.numbered_spans(" \n ") == []
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = sorted(S.numbered_sentences(df, "doc_id", "text").collect())
+    assert [(r.sentence, r.said) for r in rows] == [(f"S{n:03}", " ".join(x.split())) for n, x in enumerate(said, 1)]
