@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import accumulate, groupby, pairwise
 
 import pandas as pd
 import pyarrow as pa
@@ -163,39 +163,33 @@ _ENDED = re.compile(rf"[.!?][{re.escape(CLOSERS)}]*$")
 _PARTED = re.compile(rf"[.!?][{re.escape(CLOSERS)}]*(?=\s+[{re.escape(OPENERS)}]?[A-Z0-9])")
 
 
+_LINE = re.compile(r"[^\n]+")
+#: Lines on end of which none is blank.
+_PARAGRAPH = re.compile(r"\S[^\n]*(?:\n[^\S\n]*\S[^\n]*)*")
+
+
+def _labels(bodies: list[str]) -> list[bool]:
+    """Which lines of a paragraph are labels: short, without a stop, before what can begin a sentence, and behind a stop, a label or nothing."""
+    ended = [_ENDED.search(body) is not None for body in bodies]
+    begins = [body[0].isupper() or body[0].isdigit() for body in bodies[1:]] + [True]
+    fit = [not e and n and len(body) <= LABEL_CHARS for e, n, body in zip(ended, begins, bodies)]
+    free = [True, *ended[:-1]]
+    return list(accumulate(zip(fit, free), lambda before, line: line[0] and (line[1] or before), initial=True))[1:]
+
+
 def numbered_spans(text: str | None) -> list[tuple[int, int]]:
     """Sentences as a reader would number them: wrapped lines are one run, a short label is a sentence of its own, a blank line ends any."""
     out: list[tuple[int, int]] = []
-    lines, at = [], 0
-    for line in (text or "").split("\n"):
-        lines.append(_trimmed(line, 0, len(line)) if line.strip() else None)
-        lines[-1] = lines[-1] and (at + lines[-1][0], at + lines[-1][1])
-        at += len(line) + 1
-    run: list[int] = []
-
-    def close() -> None:
-        if run:
-            starts = [run[0]]
-            for stop in _PARTED.finditer(text, run[0], run[1]):
-                if not text[starts[-1] : stop.end()].endswith(ABBREVIATIONS):
-                    out.append((starts[-1], stop.end()))
-                    starts.append(stop.end() + len(text[stop.end() : run[1]]) - len(text[stop.end() : run[1]].lstrip()))
-            if starts[-1] < run[1]:
-                out.append((starts[-1], run[1]))
-            run.clear()
-
-    for line, following in zip(lines, [*lines[1:], None]):
-        if line is None:
-            close()
-            continue
-        between = not run or _ENDED.search(text[run[0] : run[1]])
-        begins = following is None or text[following[0]].isupper() or text[following[0]].isdigit()
-        if between and begins and line[1] - line[0] <= LABEL_CHARS and not _ENDED.search(text[line[0] : line[1]]):
-            close()
-            out.append(line)
-        else:
-            run[:] = [run[0] if run else line[0], line[1]]
-    close()
+    for paragraph in _PARAGRAPH.finditer(text or ""):
+        lines = [_trimmed(text, *m.span()) for m in _LINE.finditer(text, *paragraph.span())]
+        labels = _labels([text[a:b] for a, b in lines])
+        # Lines of one run share the number of labels up to them; a label is alone.
+        numbers = accumulate(labels)
+        for _, group in groupby(zip(lines, labels, numbers), key=lambda x: (x[2], x[1])):
+            run = list(group)
+            start, end = run[0][0][0], run[-1][0][1]
+            stops = [] if run[0][1] else [m.end() for m in _PARTED.finditer(text, start, end) if not text[start : m.end()].endswith(ABBREVIATIONS)]
+            out += [spot for spot in (_trimmed(text, a, b) for a, b in pairwise([start, *stops, end])) if spot[0] < spot[1]]
     return out
 
 
