@@ -199,7 +199,7 @@ def interval_containment(spark, sf_dir):
 
 @query("""WITH r AS (SELECT l_orderkey AS k, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
 m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
-i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e) AS g FROM m)
 SELECT k AS l_orderkey, CAST(sum(w) AS BIGINT) AS union_length, count(*) AS n_ranges FROM (SELECT k, g, max(e) - min(s) AS w FROM i GROUP BY k, g) GROUP BY k""")
 def interval_union_length(spark, sf_dir):
     start = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
