@@ -14,6 +14,7 @@ from quillspan.plans.register import registry
 from quillspan.plans.retrieval import _STEMS
 from quillspan.session import table
 from quillspan.sources import pages as P
+from quillspan.tables import settled
 
 QUERIES, SQL, query = registry()
 
@@ -147,11 +148,11 @@ def pack_units(spark, sf_dir):
 
 
 def document_versions(spark, sf_dir):
-    """Documents with their line spans as one array each."""
+    """Documents with their line spans as one array each, written once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     mark = F.struct(F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("slide"), F.col("start_offset").alias("start"), F.col("end_offset").alias("end"))
     spans = S.line_spans(docs, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", mark.alias("m")))).alias("s"))
-    return docs.join(spans.select("doc_id", F.transform("s", lambda x: x["m"]).alias("spans")), "doc_id", "left")
+    return settled(docs.join(spans.select("doc_id", F.transform("s", lambda x: x["m"]).alias("spans")), "doc_id", "left"))
 
 
 @query()
@@ -163,7 +164,7 @@ def chunk_documents(spark, sf_dir):
 def chunk_check(spark, sf_dir):
     """Chunks that break the contract, of which there may be none, and documents with chunks, which must be all with visible text."""
     versions = document_versions(spark, sf_dir)
-    chunks = C.chunk_documents(versions, "doc_id")
+    chunks = settled(C.chunk_documents(versions, "doc_id"))
     wrong = C.violations(chunks, versions, "doc_id").agg(F.count("*").alias("violations"))
     return wrong.join(chunks.agg(F.count_distinct("doc_id").alias("documents")), F.lit(True))
 
@@ -201,8 +202,8 @@ FROM t LEFT JOIN a ON a.doc_id IS NOT DISTINCT FROM t.doc_id AND a.pooled = t.po
 def chunk_measures(spark, sf_dir):
     """All measures of a set of ranges that SQL can state, for each document and pooled (a null doc_id)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = S.line_spans(docs, "doc_id", "text")
-    return C.chunk_measures(line_chunks(spans), spans.select("doc_id", "ordinal", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")), docs, "doc_id")
+    spans = settled(S.line_spans(docs, "doc_id", "text").select("doc_id", "ordinal", "start_offset", "end_offset"))
+    return C.chunk_measures(settled(line_chunks(spans)), spans.select("doc_id", "ordinal", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")), docs, "doc_id")
 
 
 @query(f"""WITH {_LINE_CHUNKS}, j AS (SELECT * FROM l WHERE (doc_id + n) % 5 < 2), g AS (SELECT doc_id, coalesce(lag(e) OVER w, 0) AS s, s AS e FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY s)
@@ -220,7 +221,7 @@ def uncovered_text(spark, sf_dir):
 def chunk_stats(spark, sf_dir):
     """All measures of the packed chunks of every document, and pooled."""
     versions = document_versions(spark, sf_dir)
-    chunks = C.chunk_documents(versions, "doc_id").select("doc_id", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"), "first_span", "last_span")
+    chunks = settled(C.chunk_documents(versions, "doc_id").select("doc_id", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"), "first_span", "last_span"))
     spans = versions.select("doc_id", F.posexplode("spans").alias("ordinal", "s")).select("doc_id", "ordinal", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     return C.chunk_measures(chunks, spans, versions, "doc_id")
 

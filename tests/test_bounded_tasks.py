@@ -1,8 +1,13 @@
 """What one task holds does not grow with the tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillspan.operators import index as I
 from quillspan.operators import retrieval as R
+from quillspan.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def pairs(spark):
@@ -27,3 +32,17 @@ def test_two_rankings_keep_a_tasks_best_before_the_shuffle(spark):
     assert both._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
     rows = both.collect()
     assert sorted(r.rank_a for r in rows if r.q == 1 and r.rank_a) == sorted(r.rank_b for r in rows if r.q == 1 and r.rank_b) == [1, 2, 3, 4]
+
+
+def passes(df):
+    """Python passes that a table still has to make, in its physical plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return sum(text.count(name) for name in ("MapInArrow", "ArrowEvalPython"))
+
+
+def test_an_index_run_packs_once(spark):
+    kind = "id long, text string, spans array<struct<kind:string,slide:int,start:bigint,end:bigint>>"
+    versions = spark.createDataFrame([(1, "abcd", [("paragraph", None, 0, 4)]), (2, None, []), (3, "  ", [])], kind)
+    _, outcomes = I.index_run(versions, None, "id")
+    assert passes(outcomes) == 0
+    assert {(r.id, r.outcome) for r in outcomes.collect()} == {(1, "indexed"), (2, "failed"), (3, "no_visible_text")}
