@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quillspan.functions import dates as D
 from quillspan.functions import statements as S
 from quillspan.functions import text as X
+from quillspan.tables import settled
 
 #: Characters of a requirement's text at most.
 LONGEST = 2000
@@ -134,9 +135,10 @@ def requirement_gate(proposals: DataFrame, spans: DataFrame, assessments: DataFr
     reviewed, the proposed one.  Refused: assessment_unknown, a reason of
     ``located``, no_requirement_language, statement_too_long.
     """
-    known = headings(spans)
+    known = settled(headings(spans))
     proposed = proposals.join(assessments.withColumn("_known", F.lit(True)), ["unit", "assessment"], "left")
     placed = located(proposed, known).withColumn("refused", F.when(F.col("_known").isNull(), "assessment_unknown").otherwise(F.col("refused")))
+    placed = settled(placed.select("proposal", "span", "excerpt", "heading", "places", "canonical_key", "evidenced", "refused"))
     leads = proposals.where("lead_quote is not null").select("proposal", "unit", F.col("lead_span").alias("span"), F.col("lead_quote").alias("quote"))
     leads = located(leads, known).where("refused is null").select("proposal", F.col("said").alias("proposed_lead"))
     fine = placed.where("refused is null").withColumn("_u", F.explode(source_units("excerpt", F.col("heading").isNotNull(), "places")))
@@ -226,7 +228,7 @@ def obligation_gate(proposals: DataFrame, evidence: DataFrame, spans: DataFrame,
     Refused: no_evidence, no_obligation_wording, wrong_claim_type (what a piece
     of work must contain).  ``review`` is in the order of REASONS.
     """
-    known = headings(spans)
+    known = settled(headings(spans))
     good = located(evidence, known).where("refused is null").withColumn("_w", X.wording(F.col("said")))
     named = good.join(proposals.select("proposal", "unit", "assessment"), ["proposal", "unit"]).join(assessments.withColumn("_known", F.lit(True)), ["unit", "assessment"], "left")
     worded = F.col("_w.first").isNotNull()
@@ -252,7 +254,7 @@ def obligation_gate(proposals: DataFrame, evidence: DataFrame, spans: DataFrame,
     guarded = reduce(lambda rest, c: F.when(F.col("category") == c, F.col(f"_{c}")).otherwise(rest), CATEGORY_WORDS, F.lit(True))
     linked = F.col("assessment").isNotNull() & F.coalesce(F.col("known"), F.lit(False)) & F.coalesce(F.col("evidenced") | F.col("named"), F.lit(False))
     joined = joined.withColumns({"refused": refused, "linked": linked, "modality": F.when(kinds == 1, F.when(F.col("mandatory"), "mandatory").when(F.col("recommended"), "recommended"))})
-    joined = joined.withColumns({"_kinds": kinds, "_guarded": guarded})
+    joined = settled(joined.withColumns({"_kinds": kinds, "_guarded": guarded}))
     due = joined.where("refused is null and due_status = 'stated'").select(
         "proposal", "unit", F.col("due_span").alias("span"), F.col("due_quote").alias("_q"), F.when(F.col("linked"), F.col("canonical_key")).otherwise("").alias("key"), F.col("due_date").alias("claimed_date"), F.col("due_time").alias("claimed_time")
     )

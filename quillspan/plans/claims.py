@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import claims as C
 from quillspan.plans.register import registry
 from quillspan.session import table
+from quillspan.tables import settled
 
 QUERIES, SQL, query = registry()
 
@@ -65,7 +66,7 @@ SELECT o_orderkey AS proposal, key, lead_from, refused, CASE WHEN refused IS NUL
 UNION ALL SELECT o_orderkey, NULL, NULL, CASE kind WHEN 3 THEN 'span_unknown' WHEN 4 THEN CASE WHEN injected THEN 'quote_overlaps_injection' ELSE 'quote_not_found' END ELSE 'assessment_unknown' END, '' FROM u WHERE kind IN (3, 4, 5)""")
 def requirement_gate(spark, sf_dir):
     """One proposal an order; those over two items give two requirements."""
-    units = order_units(spark, sf_dir)
+    units = settled(order_units(spark, sf_dir))
     spans = _spans(units, ("concat('Orders > ', head)", "head"), ("concat('Orders > ', head)", "para"), ("'page 1'", "text"))
     kind = F.col("kind")
     quote = F.when(kind == 1, F.concat_ws("\n- ", "first", "second")).when(kind == 4, "now done").when(kind == 6, "Take  care").otherwise(F.col("first"))

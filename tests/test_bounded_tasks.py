@@ -46,3 +46,14 @@ def test_an_index_run_packs_once(spark):
     _, outcomes = I.index_run(versions, None, "id")
     assert passes(outcomes) == 0
     assert {(r.id, r.outcome) for r in outcomes.collect()} == {(1, "indexed"), (2, "failed"), (3, "no_visible_text")}
+
+
+@pytest.mark.parametrize("name", ["chunk_stats", "chunk_check"])
+def test_python_passes_are_made_once(spark, name):
+    """What several steps read is written once, so no pass is left that is made again for each."""
+    assert passes(registry.queries()[name](spark, SF)) <= 1
+
+
+@pytest.mark.parametrize("name", ["requirement_gate"])
+def test_lines_are_grouped_once(spark, name):
+    assert "lineitem.parquet" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
