@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quillspan.functions import statements as S
 from quillspan.operators.intervals import overlap_join
+from quillspan.tables import settled
 
 _CUT = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
 _LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("cuts", T.ArrayType(_CUT))])
@@ -48,13 +49,13 @@ def injection_control(proposals: DataFrame, units: DataFrame, on: str, gate: Cal
     and reason, null for accepted ones; it runs on both texts, and offsets into
     the shorter one are mapped back.
     """
-    bare = units.withColumn("_l", without_injections("text"))
+    bare = settled(units.withColumn("_l", without_injections("text")))
     accepted = lambda rows: rows.where("reason is null").select(*key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    one = accepted(gate(proposals, units))
+    one = settled(accepted(gate(proposals, units)))
     other = gate(proposals, bare.select(on, F.col("_l.text").alias("text"))).where("reason is null")
     other = other.join(bare.select(on, F.col("_l.cuts").alias("_cuts")), on)
     other = other.withColumns({"start": restored(F.col("start"), F.col("_cuts"), False), "end": restored(F.col("end"), F.col("_cuts"), True), "reason": F.lit(None).cast("string")})
-    other = accepted(other)
+    other = settled(accepted(other))
     return one.exceptAll(other).withColumn("side", F.lit("with")).union(other.exceptAll(one).withColumn("side", F.lit("without")))
 
 

@@ -48,7 +48,7 @@ def test_an_index_run_packs_once(spark):
     assert {(r.id, r.outcome) for r in outcomes.collect()} == {(1, "indexed"), (2, "failed"), (3, "no_visible_text")}
 
 
-@pytest.mark.parametrize("name", ["chunk_stats", "chunk_check"])
+@pytest.mark.parametrize("name", ["chunk_stats", "chunk_check", "injection_control"])
 def test_python_passes_are_made_once(spark, name):
     """What several steps read is written once, so no pass is left that is made again for each."""
     assert passes(registry.queries()[name](spark, SF)) <= 1
