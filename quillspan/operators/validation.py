@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import statements as S
 from quillspan.functions import text as X
+from quillspan.tables import settled
 
 # The codes, in order, and which only warn.
 CODES = (
@@ -97,7 +98,8 @@ def issues(claims: DataFrame, links: DataFrame, spans: DataFrame, calls: DataFra
     end, status, call, run; ``spans``: span, version, course, excerpt, current;
     ``calls``: call, run; ``runs``: run, course; ``inputs``: run, version.
     """
-    rows = joined_links(links, claims, spans, calls, runs, inputs)
+    # Joined once: issues of links and of claims both read the rows.
+    rows = settled(joined_links(links, claims, spans, calls, runs, inputs))
     both = link_issues(rows).unionByName(claim_issues(claims, rows, calls, runs).withColumn("link", F.lit(None).cast(links.schema["link"].dataType)))
     return both.select("code", F.when(F.col("code").isin(*WARNINGS), "warning").otherwise("error").alias("severity"), "kind", "claim", "link")
 

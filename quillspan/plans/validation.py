@@ -8,6 +8,7 @@ from quillspan.functions import text as T
 from quillspan.operators import validation as V
 from quillspan.plans.register import registry
 from quillspan.session import table
+from quillspan.tables import settled
 
 QUERIES, SQL, query = registry()
 
@@ -57,6 +58,7 @@ def stored(spark, sf_dir):
     )
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("n"))
     lines = lines.agg(F.min("l_partkey").alias("span"), F.min(F.col("l_quantity").cast("int")).alias("q"), F.min("l_suppkey").alias("s"), F.bool_and(F.col("l_returnflag") == "N").alias("ver"))
+    lines = settled(lines)
     named = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("claim") % 4 + 1).cast("int"))
     second = F.col("n") % 3 == 1
     field = F.when(named == V.ASSESSMENT, F.when(second, "weighting").otherwise("title")).when(named == V.OBLIGATION, F.when(second, "due_date").otherwise("obligation")).otherwise("any")

@@ -54,6 +54,6 @@ def test_python_passes_are_made_once(spark, name):
     assert passes(registry.queries()[name](spark, SF)) <= 1
 
 
-@pytest.mark.parametrize("name", ["requirement_gate"])
+@pytest.mark.parametrize("name", ["claim_validation", "requirement_gate"])
 def test_lines_are_grouped_once(spark, name):
     assert "lineitem.parquet" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
