@@ -238,6 +238,14 @@ def placed_links(links: DataFrame, parts: DataFrame) -> DataFrame:
     return links.select("ca", "cb")
 
 
+def _mixed(placed: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members by their components in ``parts``; a bucket that lies in one component stays so, and goes."""
+    now = placed.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    now = now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return cut(now.join(mixed.select("key"), "key", "left_semi"), "placed")
+
+
 def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = stored, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the links 100 * intersection >= percent * union; a component's smallest node is left out.
 
@@ -245,17 +253,12 @@ def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = s
     ``sets``: (doc_id, n, shingles), n the set's size and shingles what
     ``unpack`` reads, for every doc_id in ``members``.
     """
-    parts: DataFrame | None = None
+    parts, placed = None, members.withColumn("component", F.col("doc_id"))
     enough, turn, settled = sets.count() / SETTLED, 0, False
-    while True:
-        if parts is None:
-            placed = members.withColumn("component", F.col("doc_id"))
-        else:
-            placed = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            placed = placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        if settled:
-            links = _rest(cut(placed, "placed"), sets, percent, block, unpack)
-            return parts if links is None else contracted(parts, cut(links, "found"))
+    while not settled:
         links = cut(_verify(_leader_edges(placed, turn), sets, percent, unpack).distinct(), "found")
         parts = contracted(parts, links)
+        placed = _mixed(placed, parts)
         settled, turn = links.count() <= enough, turn + 1
+    links = _rest(placed, sets, percent, block, unpack)
+    return parts if links is None else contracted(parts, cut(links, "found"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
 from quillspan.llm.linking import BLOCK, linked
+from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut
 
 WORDS = 5
@@ -30,6 +31,7 @@ WORDS = 5
 PERCENT = 75
 COLLECTIONS = 14
 PER_COLLECTION = 2
+BLOOM_BITS = 26
 
 _SKETCH = "doc_id long, n_words long, n_shingles long, fp_a long, fp_b long, sig binary"
 
@@ -98,9 +100,18 @@ def _collections(collections: int, per: int):
     return run
 
 
-def _pack_sets(words: int):
+def _pack_sets(words: int, wanted, bits: int):
+    """The sets of the texts whose ``doc_id`` the filter lets through: all wanted ones, and a few more."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for p in _probes(batch.column("doc_id").to_numpy().view(np.uint64), bits):
+                keep &= (wanted.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in V.slices(batches, "text"):
+        for batch in V.slices(asked(batches), "text"):
             flat, bounds, *_ = _sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -147,8 +158,9 @@ def near_dedup(
     keys = cut(own.select("doc_id", F.explode(pairs).alias("key")), "keys")
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(keys.join(often, "key").select("key", "doc_id"), "members")
-    wanted = members.select("doc_id").distinct()
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(words), "doc_id long, n long, shingles binary"), "sets")
+    # A filter of fixed size and not a join, which would shuffle all texts for the few wanted.
+    wanted = bloom(members.select(F.col("doc_id").alias("core")).distinct(), BLOOM_BITS)
+    sets = cut(texts.where("doc_id is not null").mapInArrow(_pack_sets(words, wanted, BLOOM_BITS), "doc_id long, n long, shingles binary"), "sets")
 
     parts = linked(members, sets, percent, block=block)
     out = rows.join(classes.select("fp_a", "fp_b", "rep"), ["fp_a", "fp_b"], "left")

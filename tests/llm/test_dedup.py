@@ -266,3 +266,32 @@ def test_components(spark):
     expected = {x: union.find(x) for a, b in edges if b is not None and a != b for x in (a, b)}
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == expected
+
+
+def test_components_in_chunks(spark, monkeypatch):
+    """The same components from links contracted seven at a time; links of one chunk take no steps at all."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    union = Sets()
+    for a, b in edges:
+        union.join(a, b)
+    expected = {x: union.find(x) for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components(df, chunk=7).collect()} == expected
+    monkeypatch.setattr("quillspan.llm.graph._stars", None)
+    assert {r.node: r.component for r in components(df).collect()} == expected
+
+
+def test_settled_buckets_go(spark):
+    placed = spark.createDataFrame([(1, 5, 5), (1, 6, 6), (2, 6, 6), (2, 7, 7)], "key long, doc_id long, component long")
+    parts = spark.createDataFrame([(6, 5)], "node long, component long")
+    assert {tuple(r) for r in linking._mixed(placed, parts).collect()} == {(2, 6, 5), (2, 7, 7)}
+
+
+def test_near_dedup_shuffles_no_texts(spark, docs, monkeypatch):
+    from quillspan.llm import near_dedup as N
+
+    plans, cut = {}, N.cut
+    monkeypatch.setattr(N, "cut", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(df, name))
+    near_dedup(docs)
+    assert "MapInArrow" in plans["sets"] and "Join" not in plans["sets"]
