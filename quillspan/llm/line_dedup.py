@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
-from quillspan.llm.linking import contracted, linked, placed_links
+from quillspan.llm.linking import contracted, linked, placed_links, set_sizes
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut, versioned
 
@@ -87,9 +87,10 @@ def shingles(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return _unit_hashes(text)[at], owner
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of one line, given as UTF-16 units."""
-    return np.unique(_unit_hashes(np.frombuffer(line, dtype="<u2")))
+def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every shingle of lines, given as UTF-16 units, and the line of each."""
+    ends = np.cumsum([len(x) // 2 for x in lines], dtype=np.int64)
+    return shingles(np.frombuffer(b"".join(lines), dtype="<u2"), np.concatenate([[0], ends])[:-1], ends)
 
 
 def _densifier(bins: int) -> np.ndarray:
@@ -210,8 +211,8 @@ def _edit_links(lines: DataFrame) -> DataFrame:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [len(shingle_set(x)) for x in batch.column("shingles").to_pylist()]
+    for batch in V.slices(batches, "shingles"):
+        sizes = set_sizes(*shingle_sets(batch.column("shingles").to_pylist()), batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), batch.column("shingles")], names=["doc_id", "n", "shingles"])
 
 
@@ -227,7 +228,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLO
     members = cut(members, "members")
     sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
     sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
-    parts = linked(members, sets, percent, shingle_set)
+    parts = linked(members, sets, percent, shingle_sets)
     edits = _edit_links(lines)
     if not edits.isEmpty():
         parts = contracted(parts, placed_links(edits, parts))

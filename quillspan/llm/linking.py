@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm import vectext as V
 from quillspan.llm.graph import components
 from quillspan.llm.tables import cut
 
@@ -27,24 +28,39 @@ SETTLED = 50
 #: Pairs of places in the index that are expanded at once.
 _CHUNK = 1 << 20
 
-#: What turns a stored set into its sorted distinct 64-bit shingle hashes.
-Unpack = Callable[[bytes], np.ndarray]
+#: Texts of a bucket up to which all of them are kept for the next round of leaders; of more, all that are
+#: outside its main component, and of those in it one in so many.
+FEW, ONE_IN = 32, 16
 
+#: What turns stored sets into their 64-bit shingle hashes, on end, and the set of each; a set's may repeat.
+Unpack = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
-def stored(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+
+def stored(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets])
+
+
+def _numbered(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, int]:
+    """The distinct (owner, number of the hash) as one sorted array, the owner in its upper half; and how many hashes there are."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    every = np.sort((owner[order] << 32) | (np.cumsum(new) - 1))
+    return every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every, int(new.sum())
+
+
+def set_sizes(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each of n owners."""
+    return np.bincount(_numbered(hashes, owner)[0] >> 32, minlength=n)
 
 
 def _overlaps(percent: int, unpack: Unpack):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = unpack(a), unpack(b)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * same >= percent * (len(both) - same))
-            yield batch.select(["ca", "cb"]).filter(pa.array(good, pa.bool_()))
+        for batch in V.slices(V.slices(batches, "sa"), "sb"):
+            (x, of_x), (y, of_y) = unpack(batch.column("sa").to_pylist()), unpack(batch.column("sb").to_pylist())
+            union = set_sizes(np.concatenate([x, y]), np.concatenate([of_x, of_y]), batch.num_rows)
+            same = batch.column("na").to_numpy() + batch.column("nb").to_numpy() - union
+            yield batch.select(["ca", "cb"]).filter(pa.array(100 * same >= percent * union))
 
     return run
 
@@ -54,7 +70,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack) ->
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").where(fits).select("ca", "cb", "sa", "sb").mapInArrow(_overlaps(percent, unpack), "ca long, cb long")
+    return pairs.join(left, "a").join(right, "b").where(fits).select("ca", "cb", "na", "nb", "sa", "sb").mapInArrow(_overlaps(percent, unpack), "ca long, cb long")
 
 
 def _leader_edges(members: DataFrame, turn: int) -> DataFrame:
@@ -102,19 +118,19 @@ class _Roots:
             self.up = up
 
 
-def _merge(sets: list[np.ndarray], roots: _Roots, held: np.ndarray, asks: np.ndarray, percent: int) -> None:
+def _merge(hashes: np.ndarray, owner: np.ndarray, roots: _Roots, held: np.ndarray, asks: np.ndarray, percent: int) -> None:
     """Joins the components of all similar pairs of one that asks and one that is held.
 
     With a set's shingles by how many sets hold them, rarest first, two similar
     sets share one among their first n - ceil(percent * n / 100) + 1.
     """
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    tokens, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(tokens), dtype=np.int64)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(tokens))
+    numbered, n = _numbered(hashes, owner)
+    owner, tokens = numbered >> 32, numbered & 0xFFFFFFFF
+    sizes, often = np.bincount(owner, minlength=len(held)), np.bincount(tokens, minlength=n)
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(n)
     # Each set's shingles by rank, on end: one sorted array of (set, rank).
-    every = np.sort((owner << 32) | rank[inverse.reshape(-1)])
+    every = np.sort((owner << 32) | rank[tokens])
     begin = np.cumsum(sizes) - sizes
     first = np.arange(len(every)) - begin[owner] < (sizes + (-percent * sizes) // 100 + 1)[owner]
     lone = np.sort(often) == 1
@@ -175,7 +191,7 @@ def _against_block(percent: int, unpack: Unpack):
         held, asks = table.column("held").to_numpy(), table.column("asks").to_numpy()
         roots = _Roots(table.column("component").to_numpy())
         if held.any() and asks.any():
-            _merge([unpack(s) for s in table.column("shingles").to_pylist()], roots, held, asks, percent)
+            _merge(*unpack(table.column("shingles").to_pylist()), roots, held, asks, percent)
         a, b = zip(*roots.links) if roots.links else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["ca", "cb"])
 
@@ -238,27 +254,43 @@ def placed_links(links: DataFrame, parts: DataFrame) -> DataFrame:
     return links.select("ca", "cb")
 
 
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members with their components in ``parts``, and how many nodes each has."""
+    sizes = parts.groupBy("component").agg((F.count("*") + 1).alias("size"))
+    now = members.select("key", "doc_id").join(parts.join(sizes, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # A component's smallest node is its name, and no node of ``parts``.
+    return now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+
+
 def _mixed(placed: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members by their components in ``parts``; a bucket that lies in one component stays so, and goes."""
-    now = placed.select("key", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    now = now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return cut(now.join(mixed.select("key"), "key", "left_semi"), "placed")
+    """The members that the next round of leaders needs, by their components in ``parts``.
+
+    A bucket that lies in one component stays so, and goes.  In a large bucket
+    most texts lie in its main component and ask nothing; a share of them stays
+    for leaders.  All texts of a bucket are compared in the end, by ``_rest``.
+    """
+    now = _placed(placed, parts)
+    weight = F.col("size") * (1 << 32) + F.shiftrightunsigned(F.xxhash64("component"), 32)
+    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", weight).alias("main"), F.count("*").alias("k")).where("lo < hi")
+    leads = F.pmod(F.xxhash64("doc_id", "key"), F.lit(ONE_IN)) == 0
+    kept = now.join(mixed.select("key", "main", "k"), "key").where((F.col("component") != F.col("main")) | (F.col("k") <= FEW) | leads)
+    return cut(kept.select("key", "doc_id", "component"), "placed")
 
 
 def linked(members: DataFrame, sets: DataFrame, percent: int, unpack: Unpack = stored, block: int = BLOCK) -> DataFrame:
     """Components (node, component) of the links 100 * intersection >= percent * union; a component's smallest node is left out.
 
-    ``members``: (key, doc_id), each pair once, of keys that two or more share.
-    ``sets``: (doc_id, n, shingles), n the set's size and shingles what
-    ``unpack`` reads, for every doc_id in ``members``.
+    ``members``: (key, doc_id) of keys that two or more share; pairs that come
+    twice change no result.  ``sets``: (doc_id, n, shingles), n the set's size
+    and shingles what ``unpack`` reads, for every doc_id in ``members``.
     """
     parts, placed = None, members.withColumn("component", F.col("doc_id"))
     enough, turn, settled = sets.count() / SETTLED, 0, False
     while not settled:
         links = cut(_verify(_leader_edges(placed, turn), sets, percent, unpack).distinct(), "found")
         parts = contracted(parts, links)
-        placed = _mixed(placed, parts)
         settled, turn = links.count() <= enough, turn + 1
-    links = _rest(placed, sets, percent, block, unpack)
+        if not settled:
+            placed = _mixed(placed, parts)
+    links = _rest(_placed(members, parts).drop("size"), sets, percent, block, unpack)
     return parts if links is None else contracted(parts, cut(links, "found"))

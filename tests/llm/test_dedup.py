@@ -295,3 +295,13 @@ def test_near_dedup_shuffles_no_texts(spark, docs, monkeypatch):
     monkeypatch.setattr(N, "cut", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or cut(df, name))
     near_dedup(docs)
     assert "MapInArrow" in plans["sets"] and "Join" not in plans["sets"]
+
+
+def test_a_large_bucket_keeps_few_of_its_main_component(spark):
+    """What a round hands on grows with the texts outside the main component, not with the group; none of these is lost."""
+    rows = [(k, d, d) for k in range(20) for d in range(400)]
+    placed = spark.createDataFrame(rows, "key long, doc_id long, component long")
+    parts = spark.createDataFrame([(d, 0) for d in range(1, 390)], "node long, component long")
+    kept = linking._mixed(placed, parts).collect()
+    assert {(r.key, r.doc_id) for r in kept if r.component} == {(k, d) for k in range(20) for d in range(390, 400)}
+    assert 0 < len(kept) < len(rows) // 5
