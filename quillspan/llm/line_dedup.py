@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm import vectext as V
+from quillspan.llm.keys import bucket_count, shared_keys
 from quillspan.llm.linking import contracted, linked, placed_links, set_sizes
 from quillspan.llm.substring_dedup import _probes, bloom
 from quillspan.llm.tables import cut, versioned
@@ -36,7 +37,7 @@ PERCENT = 75
 BLOOM_BITS = 26
 #: Units of the lines that one edit links, least and most; from 63 on the shingles allow for one.
 EDIT_LEAST, EDIT_MOST = 16, 64
-
+_PIECE = 1 << 14
 
 
 def _since(flags: np.ndarray) -> np.ndarray:
@@ -58,8 +59,10 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(buf) and buf.max() >= 0x80:
         try:
             text = buf.tobytes().decode("utf-8")
-            sizes = (((buf & 0xC0) != 0x80).view(np.int8) + (buf >= 0xF0)).astype(np.int64)
-            return np.frombuffer(text.encode("utf-16-le"), dtype="<u2"), _since(sizes)[offsets]
+            # Only bytes that are not ASCII tell units from bytes: a later byte has none, the first of four two.
+            wide = np.flatnonzero(buf >= 0x80)
+            more = np.where((buf[wide] & 0xC0) == 0x80, -1, np.where(buf[wide] >= 0xF0, 1, 0))
+            return np.frombuffer(text.encode("utf-16-le"), dtype="<u2"), offsets + _since(more)[np.searchsorted(wide, offsets)]
         except UnicodeDecodeError:
             buf = np.where(buf < 0x80, buf, 63)
     return buf.astype("<u2"), offsets
@@ -72,19 +75,26 @@ def _unit_hashes(text: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     low = np.ndarray((n,), "<u8", text.data, 0, (2,))
     high = np.ndarray((n,), "<u8", text.data, 8, (2,))
-    h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
+    out = np.empty(n, np.uint64)
+    # In pieces that stay in a core's cache.
+    for a in range(0, n, _PIECE):
+        h = low[a : a + _PIECE] * np.uint64(0x9E3779B97F4A7C15)
+        h += high[a : a + _PIECE] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        np.bitwise_xor(h, h >> np.uint64(29), out=out[a : a + _PIECE])
+    return out
 
 
 def shingles(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every shingle within each span of units, and the span of each; shorter spans have none."""
+    """Hashes of every shingle within each span of units, and the span of each; shorter spans have none. Spans ascend and do not overlap."""
     counts = np.maximum(ends - starts - SHINGLE + 1, 0)
-    owner = np.repeat(np.arange(len(starts)), counts)
-    at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-    return _unit_hashes(text)[at], owner
+    some = counts > 0
+    edge = np.zeros(max(len(text) - SHINGLE + 2, 1), dtype=np.int8)
+    edge[starts[some]] = 1
+    edge[(starts + counts)[some]] -= 1
+    inside = np.cumsum(edge, dtype=np.int8)[:-1].view(bool)
+    return _unit_hashes(text)[inside], np.repeat(np.arange(len(starts)), counts)
 
 
 def shingle_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,55 +134,55 @@ def bands(hashes: np.ndarray, owner: np.ndarray, n: int, bins: int, n_bands: int
     return key
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that is not blank: doc, version, line number, hash and, of lines that one edit links, the units."""
-    for batch in V.slices(batches, "text"):
-        buf, offsets = units(batch.column("text"))
-        starts, ends, first = line_bounds(buf, offsets)
-        solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
-        at = np.flatnonzero(solid[ends] > solid[starts])
-        owner = np.searchsorted(first, at, side="right") - 1
-        starts, ends = starts[at], ends[at]
-        hashes = V.span_hashes(buf, starts, ends)
-        short = (ends - starts >= EDIT_LEAST) & (ends - starts <= EDIT_MOST)
-        texts = [bytes(buf[a:b].data) if s else None for s, a, b in zip(short.tolist(), starts.tolist(), ends.tolist())]
-        which = pa.array(owner)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc").take(which), batch.column("version").take(which), pa.array((at - first[owner]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(texts, pa.binary())],
-            names=["doc", "version", "line", "hash", "short"],
-        )
-
-
-def _band_rows(shared=None, bits: int = 0):
-    """Band keys of each batch's distinct lines; with a filter, only keys it lets through, and the lines themselves."""
+def _lines(wanted, bits: int):
+    """Every line that is not blank: doc, version, line number, hash, of lines that one edit links the units (``short``), and of lines that the filter lets through too, once a batch (``words``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.slices(batches, "text"):
             buf, offsets = units(batch.column("text"))
-            starts, ends, _ = line_bounds(buf, offsets)
-            long_ = ends - starts >= SHINGLE
-            starts, ends = starts[long_], ends[long_]
-            hashes, one = np.unique(V.span_hashes(buf, starts, ends), return_index=True)
-            starts, ends = starts[one], ends[one]
-            keys = bands(*shingles(buf, starts, ends), len(one), BINS, BANDS)
-            if shared is None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(hashes, BANDS).view(np.int64))], names=["key", "hash"])
-                continue
-            keep = np.ones(keys.shape, dtype=bool)
-            for p in _probes(keys, bits):
-                keep &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
-            row, col = np.nonzero(keep)
+            starts, ends, first = line_bounds(buf, offsets)
+            solid = _since((buf != 32) & ((buf < 9) | (buf > 13)))
+            at = np.flatnonzero(solid[ends] > solid[starts])
+            owner = np.searchsorted(first, at, side="right") - 1
+            starts, ends = starts[at], ends[at]
+            hashes = V.span_hashes(buf, starts, ends)
             data = buf.tobytes()
-            texts = [data[2 * a : 2 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-            firsts = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+
+            def cut_out(these: np.ndarray) -> pa.Array:
+                texts = np.full(len(these), None, dtype=object)
+                texts[these] = [data[2 * a : 2 * b] for a, b in zip(starts[these].tolist(), ends[these].tolist())]
+                return pa.array(texts, pa.binary())
+
+            keep = ends - starts >= SHINGLE
+            for p in _probes(hashes, bits):
+                keep &= (wanted.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+            keep = np.flatnonzero(keep)
+            once = np.zeros(len(at), dtype=bool)
+            once[keep[np.unique(hashes[keep], return_index=True)[1]]] = True
+            short = (ends - starts >= EDIT_LEAST) & (ends - starts <= EDIT_MOST)
+            which = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[row, col].view(np.int64)), pa.array(hashes[row].view(np.int64)), pa.array([texts[r] if f else None for r, f in zip(row.tolist(), firsts.tolist())], pa.binary())],
-                names=["key", "hash", "words"],
+                [batch.column("doc").take(which), batch.column("version").take(which), pa.array((at - first[owner]).astype(np.int32)), pa.array(hashes.view(np.int64)), cut_out(short), cut_out(once)],
+                names=["doc", "version", "line", "hash", "short", "words"],
             )
 
     return run
 
 
+def _band_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Band keys of each batch's distinct lines."""
+    for batch in V.slices(batches, "text"):
+        buf, offsets = units(batch.column("text"))
+        starts, ends, _ = line_bounds(buf, offsets)
+        long_ = ends - starts >= SHINGLE
+        starts, ends = starts[long_], ends[long_]
+        hashes = V.span_hashes(buf, starts, ends)
+        one = np.sort(np.unique(hashes, return_index=True)[1])
+        hashes = hashes[one]
+        keys = bands(*shingles(buf, starts[one], ends[one]), len(one), BINS, BANDS)
+        yield keys.reshape(-1), np.repeat(hashes, BANDS)
+
+
 def edit_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each span of units, and of each span without one of its units; and the span of each hash."""
     sizes = ends - starts
@@ -192,21 +202,22 @@ def edit_keys(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return V.mix64(np.concatenate([whole, without]) ^ V.mix64(length)), np.concatenate([np.arange(len(starts)), owner])
 
 
-def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edit_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edit keys of short lines, given as UTF-16 units."""
     for batch in V.slices(batches, "short", V.SLICE_BYTES // 16):
         lines = batch.column("short").to_pylist()
         ends = np.cumsum([len(x) // 2 for x in lines])
         keys, owner = edit_keys(np.frombuffer(b"".join(lines), "<u2"), np.concatenate([[0], ends[:-1]]), ends)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("hash").take(pa.array(owner))], names=["key", "hash"])
+        yield keys, batch.column("hash").to_numpy().view(np.uint64)[owner]
 
 
-def _edit_links(lines: DataFrame) -> DataFrame:
+def _edit_links(lines: DataFrame, buckets: int) -> DataFrame:
     """Links (a, b) of short lines one edit apart: the lines of a key to its least."""
     short = lines.where("short is not null").groupBy("hash").agg(F.first("short").alias("short"))
-    keys = cut(short.mapInArrow(_edit_rows, "key long, hash long"), "edits")
-    shared = keys.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select("key", "lo")
-    links = keys.join(shared, "key").where("hash <> lo")
+    # About as many keys as a line has units, instead of one for each band.
+    keys = cut(shared_keys(short, _edit_pairs, buckets), "edits")
+    least = keys.groupBy("key").agg(F.min("hash").alias("lo"))
+    links = keys.join(least, "key").where("hash <> lo")
     return cut(links.select(F.col("lo").alias("a"), F.col("hash").alias("b")).distinct(), "edit_links")
 
 
@@ -219,17 +230,15 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """Per document with any: doc, version (the text's hash) and ``lines``, the numbers from 0 of the lines to remove."""
     texts = versioned(docs.select("doc_id", "text")).select("doc", "text", "version")
-    lines = cut(texts.mapInArrow(_lines, "doc long, version long, line int, hash long, short binary"), "lines")
-    proposed = texts.select("text").mapInArrow(_band_rows(), "key long, hash long")
-    shared = cut(proposed.groupBy("key").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo <> hi").select(F.col("key").alias("core")), "bands")
-    found = texts.select("text").mapInArrow(_band_rows(bloom(shared, bloom_bits), bloom_bits), "key long, hash long, words binary")
-    found = cut(found, "candidates")
-    members = found.select("key", F.col("hash").alias("doc_id")).distinct().join(shared.withColumnRenamed("core", "key"), "key", "left_semi")
-    members = cut(members, "members")
-    sets = found.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
-    sets = cut(sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
+    buckets = bucket_count(texts, "text")
+    members = cut(shared_keys(texts.select("text"), _band_pairs, buckets).select("key", F.col("hash").alias("doc_id")), "members")
+    # Of the lines that share a key, a few more by the filter, the units are kept.
+    wanted = bloom(members.select(F.col("doc_id").alias("core")).distinct(), bloom_bits)
+    lines = cut(texts.mapInArrow(_lines(wanted, bloom_bits), "doc long, version long, line int, hash long, short binary, words binary"), "lines")
+    sets = lines.where("words is not null").groupBy(F.col("hash").alias("doc_id")).agg(F.first("words").alias("shingles"))
+    sets = cut(sets.mapInArrow(_sized, "doc_id long, n long, shingles binary"), "sets")
     parts = linked(members, sets, percent, shingle_sets)
-    edits = _edit_links(lines)
+    edits = _edit_links(lines, buckets)
     if not edits.isEmpty():
         parts = contracted(parts, placed_links(edits, parts))
     grouped = lines.join(parts.withColumnRenamed("node", "hash"), "hash", "left").withColumn("group", F.coalesce("component", "hash"))

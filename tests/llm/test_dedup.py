@@ -14,6 +14,7 @@ from quillspan.llm import linking
 from quillspan.llm import substring_dedup as substring
 from quillspan.llm import vectext as V
 from quillspan.llm.graph import components
+from quillspan.llm.keys import _packed, shared_keys
 from quillspan.llm.line_dedup import line_dedup, strip_lines
 from quillspan.llm.near_dedup import near_dedup
 from quillspan.llm.substring_dedup import kept_texts, substring_dedup
@@ -297,6 +298,33 @@ def test_near_dedup_shuffles_no_texts(spark, docs, monkeypatch):
     assert "MapInArrow" in plans["sets"] and "Join" not in plans["sets"]
 
 
+def test_shared_keys_of_every_frequency(spark):
+    """Exactly the pairs of keys with two hashes or more, whatever a task packs at once and however frequent a key is."""
+    rng = np.random.default_rng(11)
+    keys = np.concatenate([rng.integers(0, 300, 900), np.full(400, 7), np.full(60, 9)]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = np.concatenate([rng.integers(0, 4, 900), np.arange(400), np.full(60, 3)]).astype(np.uint64)
+    df = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), hashes.tolist())), "k long, h long").repartition(3)
+
+    def pairs(batches):
+        for batch in batches:
+            yield batch.column("k").to_numpy().view(np.uint64), batch.column("h").to_numpy().view(np.uint64)
+
+    by_key = defaultdict(set)
+    for k, h in zip(keys.view(np.int64).tolist(), hashes.tolist()):
+        by_key[k].add(h)
+    expected = {(k, h) for k, hs in by_key.items() if len(hs) > 1 for h in hs}
+    for flush, often in ((1 << 20, 32), (100, 8), (100, 1000), (1, 1)):
+        got = shared_keys(df, pairs, 5, flush, often).collect()
+        assert {tuple(r) for r in got} == expected
+
+
+def test_no_bucket_grows_with_the_group_of_a_key():
+    keys, hashes = np.full(5000, 1 << 40, np.uint64), np.arange(5000, dtype=np.uint64)
+    rows = [r for batch in _packed(lambda x: x, 10, 1 << 20, 32)([(keys, hashes)]) for r in batch.to_pylist()]
+    assert sorted(r["bucket"] for r in rows) == [*range(-10, 0), 0] and max(len(r["keys"]) for r in rows) == 8 * 500
+    assert len(next(r for r in rows if r["bucket"] == 0)["keys"]) == 16
+
+
 def test_a_large_bucket_keeps_few_of_its_main_component(spark):
     """What a round hands on grows with the texts outside the main component, not with the group; none of these is lost."""
     rows = [(k, d, d) for k in range(20) for d in range(400)]
