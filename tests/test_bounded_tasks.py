@@ -1,5 +1,7 @@
 """What one task holds does not grow with the tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,18 @@ def test_python_passes_are_made_once(spark, name):
 @pytest.mark.parametrize("name", ["claim_validation", "requirement_gate"])
 def test_lines_are_grouped_once(spark, name):
     assert "lineitem.parquet" not in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_vectors_give_the_best_of_all(spark, monkeypatch):
+    """The same ranks and scores as of all pairs, whatever the blocks, with copies that tie; few rows leave a block."""
+    rng = random.Random(9)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    rows += [(200 + i, 0, rows[4][2]) for i in range(60)] + [(300, None, rows[1][2]), (301, 7, rows[1][2])]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<float>")
+    asks = df.where("id % 20 = 4 or id = 301").withColumnRenamed("id", "q")
+    every = {tuple(r) for r in R.ranked(R.vector_scores(asks, "q", df, "id", "label"), "q", [F.desc("score"), F.col("id")], 5).select("q", "id", "score", "rank").collect()}
+    for block in (1024, 16):
+        monkeypatch.setattr(R, "BLOCK", block)
+        near = R.nearest(asks, "q", df, "id", "label", 5)
+        assert {tuple(r) for r in R.ranked(near, "q", [F.desc("score"), F.col("id")], 5).select("q", "id", "score", "rank").collect()} == every
+        assert block < 1024 or near.count() < 100
