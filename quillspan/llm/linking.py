@@ -25,6 +25,8 @@ from quillspan.llm.tables import cut
 BLOCK = 2_000_000
 #: A round of leaders is the last if it links fewer than one in so many sets.
 SETTLED = 50
+#: A round is a bucket's last if it moves fewer than one in so many of the texts it was handed to another component.
+MOVED = 16
 #: Pairs of places in the index that are expanded at once.
 _CHUNK = 1 << 20
 
@@ -254,24 +256,33 @@ def placed_links(links: DataFrame, parts: DataFrame) -> DataFrame:
     return links.select("ca", "cb")
 
 
-def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+def _placed(members: DataFrame, parts: DataFrame, *more: str) -> DataFrame:
     """The members with their components in ``parts``, and how many nodes each has."""
     sizes = parts.groupBy("component").agg((F.count("*") + 1).alias("size"))
-    now = members.select("key", "doc_id").join(parts.join(sizes, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    now = members.select("key", "doc_id", *more).join(parts.join(sizes, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
     # A component's smallest node is its name, and no node of ``parts``.
-    return now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    return now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), *more)
 
 
 def _mixed(placed: DataFrame, parts: DataFrame) -> DataFrame:
     """The members that the next round of leaders needs, by their components in ``parts``.
 
-    A bucket that lies in one component stays so, and goes.  In a large bucket
-    most texts lie in its main component and ask nothing; a share of them stays
-    for leaders.  All texts of a bucket are compared in the end, by ``_rest``.
+    A bucket that lies in one component stays so, and goes.  So does one in
+    which the last round moved few texts, so that rounds do not hand on again
+    and again what no leader links.  In a large bucket most texts lie in its
+    main component and ask nothing; a share of them stays for leaders.  All
+    texts of a bucket are compared in the end, by ``_rest``.
     """
-    now = _placed(placed, parts)
+    now = _placed(placed.withColumnRenamed("component", "was"), parts, "was")
     weight = F.col("size") * (1 << 32) + F.shiftrightunsigned(F.xxhash64("component"), 32)
-    mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", weight).alias("main"), F.count("*").alias("k")).where("lo < hi")
+    mixed = now.groupBy("key").agg(
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.max_by("component", weight).alias("main"),
+        F.count("*").alias("k"),
+        F.count_if(F.col("was") != F.col("component")).alias("moved"),
+    )
+    mixed = mixed.where(f"lo < hi and moved * {MOVED} >= k")
     leads = F.pmod(F.xxhash64("doc_id", "key"), F.lit(ONE_IN)) == 0
     kept = now.join(mixed.select("key", "main", "k"), "key").where((F.col("component") != F.col("main")) | (F.col("k") <= FEW) | leads)
     return cut(kept.select("key", "doc_id", "component"), "placed")

@@ -333,3 +333,30 @@ def test_a_large_bucket_keeps_few_of_its_main_component(spark):
     kept = linking._mixed(placed, parts).collect()
     assert {(r.key, r.doc_id) for r in kept if r.component} == {(k, d) for k in range(20) for d in range(390, 400)}
     assert 0 < len(kept) < len(rows) // 5
+
+
+def test_a_bucket_goes_that_the_last_round_moved_little_in(spark):
+    """Rounds do not hand on again and again what no leader links."""
+    moved = {1: 3, 2: 10}
+    rows = [(k, 1000 * k + d, 1000 * k + d) for k in moved for d in range(100)]
+    placed = spark.createDataFrame(rows, "key long, doc_id long, component long")
+    parts = spark.createDataFrame([(1000 * k + d, 1000 * k) for k, n in moved.items() for d in range(1, n + 1)], "node long, component long")
+    kept = {(r.key, r.doc_id) for r in linking._mixed(placed, parts).collect() if r.component != 2000}
+    assert kept == {(2, 2000 + d) for d in range(11, 100)}
+
+
+def test_near_dedup_links_all_when_every_bucket_goes_at_once(spark, monkeypatch):
+    monkeypatch.setattr(linking, "MOVED", 0)
+    rng = random.Random(5)
+    rows = []
+    for d in range(160):
+        w = [f"b{d % 4}_{i}" if d % 4 else f"b{i}" for i in range(90)]
+        for i in rng.sample(range(90), rng.randint(0, 10)):
+            w[i] = f"e{d}_{i}"
+        rows.append((d, " ".join(w)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    union = Sets()
+    for a, b in similar_pairs(sets):
+        union.join(a, b)
+    got = {r.doc_id: r.component_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=4000).collect()}
+    assert got == {d: union.find(d) for d, _ in rows}
