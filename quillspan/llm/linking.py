@@ -205,8 +205,12 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack:
 
     Texts that meet in such buckets form clusters.  Texts outside their
     cluster's main component ask, and are compared with all of the cluster.
-    Clusters of up to ``block`` shingles share groups; a larger one is dealt to
-    blocks of it and slices of those that ask, a group for each of both.
+    Clusters of up to ``block`` shingles share groups.  The larger a corpus, the
+    more clusters chance meetings join, up to one of nearly all texts, most of
+    which never meet: a larger cluster is taken apart into the texts that meet
+    each component that is the least of a bucket.  All that share a bucket stay
+    together.  If that is still too large, it is dealt to blocks of it and
+    slices of those that ask, a group for each of both.
     """
     mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     met = cut(members.join(mixed.select("key", "lo"), "key").select("doc_id", "component", "lo").distinct(), "met")
@@ -215,8 +219,12 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int, unpack:
     # Clusters are found over components, of which there are far fewer than texts in a large group.
     clusters = components(met.select("component", "lo").distinct(), "component", "lo", roots=False)
     clusters = clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    docs = met.select("doc_id", "component").distinct().join(clusters, "component", "left").join(sets.select("doc_id", "n"), "doc_id")
+    docs = met.join(clusters, "component", "left").join(sets.select("doc_id", "n"), "doc_id")
     docs = cut(docs.withColumn("cluster", F.coalesce("cluster", "component")), "clusters")
+    # At most one in ``block`` shingles.
+    large = docs.select("doc_id", "cluster", "n").distinct().groupBy("cluster").agg(F.sum("n").alias("k")).where(F.col("k") > block)
+    docs = docs.join(F.broadcast(large.select("cluster", F.lit(True).alias("large"))), "cluster", "left")
+    docs = cut(docs.select("doc_id", "component", "n", F.when(F.col("large"), F.col("lo")).otherwise(F.col("cluster")).alias("cluster")).distinct(), "clusters")
     per = docs.groupBy("cluster", "component").agg(F.sum("n").alias("k"))
     main = per.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
     main = main.select("cluster", "main", F.ceil(F.col("all") / block).alias("blocks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / block), F.lit(1)).alias("slices"))
