@@ -1,9 +1,12 @@
 """What steps hand on and leave on disk follows the input."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from quillspan.llm import linking
+from quillspan.llm import linking, tables
 
 
 def test_a_chain_of_buckets_is_not_compared_as_a_whole(spark, monkeypatch):
@@ -24,3 +27,16 @@ def test_a_chain_of_buckets_is_not_compared_as_a_whole(spark, monkeypatch):
     rows = linking._rest(members, sets, 75, 8 * of, linking.stored).collect()
     assert {(r.ca, r.cb) for r in rows if r.cb >= 0} == {(d, d + 1) for d in range(n - 1)}
     assert sum(r.ca for r in rows if r.cb < 0) <= 3 * n
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    """What a step shuffled goes when it is written, so disk follows the largest step and not their sum."""
+    files = lambda: sum("shuffle_" in b.name() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()))
+    before = files()
+    for i in range(3):
+        table = tables.cut(spark.range(5000).withColumn("k", F.col("id") % 97).groupBy("k").agg(F.sum("id").alias("s")), "summed")
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+    assert table.count() == 97 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
