@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quillspan.functions import dates as D
 from quillspan.functions import statements as S
 from quillspan.functions import text as X
+from quillspan.functions.batched import per_distinct
 from quillspan.tables import settled
 
 #: Characters of a requirement's text at most.
@@ -74,7 +75,7 @@ def located(refs: DataFrame, spans: DataFrame, span: str = "span", quote: str =
     """
     own = spans.select(F.col("unit"), F.col("span").alias(span), *[c for c in spans.columns if c not in ("unit", "span")])
     joined = refs.join(own, ["unit", span], "left")
-    placed = joined.withColumn("places", S.quotes("excerpt", quote)).withColumn("_i", S.injections("excerpt"))
+    placed = joined.withColumns({"places": S.quotes_once("excerpt", quote), "_i": S.injections_once("excerpt")})
     injected = F.exists("places", lambda p: F.exists("_i", lambda i: (p["start"] < i["end"]) & (i["start"] < p["end"])))
     refused = F.when(F.col("excerpt").isNull(), "span_unknown").when(F.size("places") == 0, "quote_not_found").when(injected, "quote_overlaps_injection")
     first = F.get("places", F.lit(0))
@@ -203,18 +204,15 @@ def checked_deadlines(claims: DataFrame, default_zone: str | None) -> DataFrame:
     return read.withColumn("refused", refused).drop("_d", "_s")
 
 
-@F.pandas_udf(T.BooleanType())
-def _content(excerpt: pd.Series, offset: pd.Series) -> pd.Series:
-    return pd.Series([S.artefact_content(t, int(o)) if t is not None else False for t, o in zip(excerpt, offset)])
+def _sentence(text: str | None, at: int) -> dict:
+    """The bare sentence at ``at``, and whether it says what a piece of work must contain."""
+    if text is None:
+        return {"said": None, "content": False}
+    a, b = S.sentence_at(text, at)
+    return {"said": S.bare(text[a:b]), "content": S.artefact_content(text, at)}
 
 
-@F.pandas_udf(T.StringType())
-def _anchor(excerpt: pd.Series, offset: pd.Series) -> pd.Series:
-    def sentence(text: str, at: int) -> str:
-        a, b = S.sentence_at(text, at)
-        return S.bare(text[a:b])
-
-    return pd.Series([sentence(t, int(o)) if t is not None else None for t, o in zip(excerpt, offset)])
+_anchored = per_distinct(_sentence, T.StructType([T.StructField("said", T.StringType()), T.StructField("content", T.BooleanType())]), once=True)
 
 
 def obligation_gate(proposals: DataFrame, evidence: DataFrame, spans: DataFrame, assessments: DataFrame, default_zone: str | None) -> DataFrame:
@@ -245,9 +243,9 @@ def obligation_gate(proposals: DataFrame, evidence: DataFrame, spans: DataFrame,
         F.max("canonical_key").alias("canonical_key"),
     )
     at = F.col("_a.start") + F.coalesce("_a.first", F.lit(0))
-    per = per.withColumn("anchor", at).withColumn("_own", F.coalesce(_content("_a.excerpt", F.coalesce("anchor", F.lit(0))), F.lit(False)))
-    per = per.withColumn("key", X.statement_key(_anchor("_a.excerpt", F.coalesce("anchor", F.lit(0)))))
-    content = F.col("_own") | F.coalesce(F.col("_a.heading").rlike(f"(?i){S.ARTEFACT.pattern}"), F.lit(False))
+    per = per.withColumn("anchor", at).withColumn("_own", _anchored("_a.excerpt", F.coalesce("anchor", F.lit(0))))
+    per = per.withColumn("key", X.statement_key(F.col("_own.said")))
+    content = F.coalesce(F.col("_own.content"), F.lit(False)) | F.coalesce(F.col("_a.heading").rlike(f"(?i){S.ARTEFACT.pattern}"), F.lit(False))
     joined = proposals.join(per, "proposal", "left")
     kinds = sum(F.coalesce(F.col(k), F.lit(False)).cast("int") for k in ("mandatory", "recommended", "permissive"))
     refused = F.when(F.col("repeated").isNull(), "no_evidence").when(kinds == 0, "no_obligation_wording").when(content, "wrong_claim_type")
@@ -259,8 +257,9 @@ def obligation_gate(proposals: DataFrame, evidence: DataFrame, spans: DataFrame,
         "proposal", "unit", F.col("due_span").alias("span"), F.col("due_quote").alias("_q"), F.when(F.col("linked"), F.col("canonical_key")).otherwise("").alias("key"), F.col("due_date").alias("claimed_date"), F.col("due_time").alias("claimed_time")
     )
     due = located(due, known, quote="_q").where("refused is null").drop("refused").withColumn("quote", F.col("said"))
-    due = checked_deadlines(due, default_zone).where("refused is null")
-    due = due.select("proposal", F.col("value").alias("due"), (F.size("places") > 1).alias("_due_repeated"))
+    # Written before the filter, which would else work every value out once more for each of its parts.
+    due = settled(checked_deadlines(due, default_zone).select("proposal", F.col("value").alias("due"), (F.size("places") > 1).alias("_due_repeated"), "refused"))
+    due = due.where("refused is null").drop("refused")
     joined = joined.join(due, "proposal", "left")
     of_due: Callable[[str], Column] = lambda r: F.get("due.review", F.lit(0)) == r
     holds = {
