@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspan.functions import statements as S
+from quillspan.functions.batched import per_distinct
 from quillspan.operators.intervals import overlap_join
 from quillspan.tables import settled
 
@@ -19,21 +19,19 @@ _LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("cuts
 WIDTH = 1024
 
 
-@F.pandas_udf(_LEFT)
-def without_injections(text: pd.Series) -> pd.DataFrame:
-    """The text without its injected spans, and where in what is left how many characters went."""
+def _left(text: str | None) -> dict:
+    kept, cuts, end = [], [], 0
+    for a, b in sorted(S.injected_spans(text)):
+        if b > end:
+            a = max(a, end)
+            kept.append(text[end:a])
+            cuts.append({"at": sum(map(len, kept)), "length": b - a})
+            end = b
+    return {"text": None, "cuts": []} if text is None else {"text": "".join([*kept, text[end:]]), "cuts": cuts}
 
-    def left(t: str | None) -> tuple[str | None, list[dict]]:
-        kept, cuts, end = [], [], 0
-        for a, b in sorted(S.injected_spans(t)):
-            if b > end:
-                a = max(a, end)
-                kept.append(t[end:a])
-                cuts.append({"at": sum(map(len, kept)), "length": b - a})
-                end = b
-        return (None, []) if t is None else ("".join([*kept, t[end:]]), cuts)
 
-    return pd.DataFrame([left(t) for t in text], columns=["text", "cuts"])
+#: The text without its injected spans, and where in what is left how many characters went.
+without_injections = per_distinct(_left, _LEFT)
 
 
 def restored(offset: Column, cuts: Column, end: bool) -> Column:
@@ -42,21 +40,29 @@ def restored(offset: Column, cuts: Column, end: bool) -> Column:
     return F.aggregate(gone, offset.cast("long"), lambda n, c: n + c["length"])
 
 
-def injection_control(proposals: DataFrame, units: DataFrame, on: str, gate: Callable[[DataFrame, DataFrame], DataFrame], key: list[str]) -> DataFrame:
+def bare_units(units: DataFrame) -> DataFrame:
+    """``units`` with ``_l``, their texts without injected spans; written once, for any number of gates."""
+    return settled(units.withColumn("_l", without_injections("text")))
+
+
+def injection_control(proposals: DataFrame, units: DataFrame, on: str, gate: Callable[[DataFrame, DataFrame], DataFrame], key: list[str], bare: DataFrame | None = None) -> DataFrame:
     """What a gate accepts only with (``side`` with) or only without the injected wording: (key, start, end, side). No row: unchanged.
 
     ``gate`` takes proposals and units (on, text) and returns ``key``, start, end
     and reason, null for accepted ones; it runs on both texts, and offsets into
-    the shorter one are mapped back.
+    the shorter one are mapped back.  ``bare``: ``bare_units`` of the units, where several gates share them.
     """
-    bare = settled(units.withColumn("_l", without_injections("text")))
+    bare = bare_units(units) if bare is None else bare
     accepted = lambda rows: rows.where("reason is null").select(*key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    one = settled(accepted(gate(proposals, units)))
+    one = accepted(gate(proposals, bare.select(on, "text")))
     other = gate(proposals, bare.select(on, F.col("_l.text").alias("text"))).where("reason is null")
     other = other.join(bare.select(on, F.col("_l.cuts").alias("_cuts")), on)
     other = other.withColumns({"start": restored(F.col("start"), F.col("_cuts"), False), "end": restored(F.col("end"), F.col("_cuts"), True), "reason": F.lit(None).cast("string")})
-    other = settled(accepted(other))
-    return one.exceptAll(other).withColumn("side", F.lit("with")).union(other.exceptAll(one).withColumn("side", F.lit("without")))
+    # Both differences are read off one count a row.
+    each = one.withColumn("_n", F.lit(1)).union(accepted(other).withColumn("_n", F.lit(-1)))
+    more = settled(each.groupBy(*key, "start", "end").agg(F.sum("_n").alias("_n")).where("_n <> 0"))
+    side = F.when(F.col("_n") > 0, "with").otherwise("without")
+    return more.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).select(*key, "start", "end", side.alias("side"))
 
 
 def label_matches(labels: DataFrame, claims: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def gate(proposals: DataFrame, units: DataFrame, on: str, supported: Column) ->
     (every place lies in an injected passage) and value_unsupported.
     """
     joined = proposals.join(units.select(on, "text"), on, "left")
-    placed = joined.withColumn("_q", S.quotes("text", "quote")).withColumn("_i", S.injections("text"))
+    placed = joined.withColumns({"_q": S.quotes_once("text", "quote"), "_i": S.injections_once("text")})
     clean = F.filter("_q", lambda q: ~F.exists("_i", lambda i: (q["start"] < i["end"]) & (i["start"] < q["end"])))
     placed = placed.withColumn("_c", clean)
     reason = (

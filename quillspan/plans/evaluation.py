@@ -30,14 +30,15 @@ def injection_control(spark, sf_dir):
     proposals = orders.select("o_orderkey", F.explode(quotes).alias("quote"))
 
     def naive(asked, texts):
-        first = F.get(ST.quotes("text", "quote"), F.lit(0))
+        first = F.get(ST.quotes_once("text", "quote"), F.lit(0))
         found = asked.join(texts, "o_orderkey").select("o_orderkey", "quote", first.alias("_q"))
         return found.select("o_orderkey", "quote", F.col("_q.start").alias("start"), F.col("_q.end").alias("end"), F.when(F.col("_q").isNull(), "quote_not_found").alias("reason"))
 
     def guarded(asked, texts):
         return G.gate(asked, texts, "o_orderkey", F.lit(True))
 
-    runs = [E.injection_control(proposals, units, "o_orderkey", gate, ["o_orderkey", "quote"]).withColumn("gate", F.lit(name)) for name, gate in (("naive", naive), ("guarded", guarded))]
+    bare = E.bare_units(units)
+    runs = [E.injection_control(proposals, units, "o_orderkey", gate, ["o_orderkey", "quote"], bare).withColumn("gate", F.lit(name)) for name, gate in (("naive", naive), ("guarded", guarded))]
     return runs[0].union(runs[1])
 
 
